@@ -109,7 +109,7 @@ ENTITIES = {
     "gt": ">",
     "quot": '"',
     "apos": "'",
-    "nbsp": " ",
+    "nbsp": "\u00a0",
     "iexcl": "¡",
     "cent": "¢",
     "pound": "£",
