@@ -62,8 +62,8 @@ lettered AS (
 """
 
 # Forest: turns are chains; even turns of even conversations get two more leaves; every third
-# conversation switches language at turn 2; all conversations of one language share a hot root
-# where conv_id % 3 = 1.
+# conversation switches language at turn 2; a third of the conversations of a language hang off one
+# hot root; some conversations get a cycle with messages leading into it.
 FOREST_CTE = """
 base AS (
   SELECT conv_id, turn, text,
@@ -80,9 +80,11 @@ forest AS (
   UNION ALL
   SELECT DISTINCT lang, 'hub', '', 'hub of ' || lang FROM base WHERE turn = 0 AND conv_id % 3 = 1
   UNION ALL
-  SELECT lang, 'loop' || turn, 'loop' || ((turn + 1) % 3), text FROM base WHERE conv_id = 0 AND turn < 3
+  SELECT lang, 'loop' || conv_id || '_' || turn, 'loop' || conv_id || '_' || ((turn + 1) % 3), text
+  FROM base WHERE conv_id % 9 = 4 AND turn < 3
   UNION ALL
-  SELECT lang, 'tail' || turn, 'loop0', text FROM base WHERE conv_id = 0 AND turn < 2)
+  SELECT lang, 'tail' || conv_id || '_' || turn, 'loop' || conv_id || '_0', text
+  FROM base WHERE conv_id % 9 = 4 AND turn < 2)
 """
 
 
@@ -93,7 +95,7 @@ def dirty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n")))
         .when(
             F.col("doc_id") % 7 == 0,
-            F.concat(F.lit(" 　"), "text", F.lit("\u001c ")),
+            F.concat(F.lit("\u00a0\u3000"), "text", F.lit("\u001c\u2003")),
         )
         .otherwise(F.col("text"))
     )
@@ -188,14 +190,11 @@ def message_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     hub = base.where((turn == 0) & (conv % 3 == 1)).select("lang").distinct()
     hubs = hub.select("lang", F.lit("hub"), F.lit(""), F.concat(F.lit("hub of "), "lang"))
-    start = base.where(conv == 0)
-    loop = start.where(turn < 3).select(
-        "lang",
-        F.concat(F.lit("loop"), turn.cast("string")),
-        F.concat(F.lit("loop"), ((turn + 1) % 3).cast("string")),
-        "text",
-    )
-    tail = start.where(turn < 2).select(
-        "lang", F.concat(F.lit("tail"), turn.cast("string")), F.lit("loop0"), "text"
-    )
+    start = base.where(conv % 9 == 4)
+
+    def name(prefix: str, position):
+        return F.concat(F.lit(prefix), conv.cast("string"), F.lit("_"), position.cast("string"))
+
+    loop = start.where(turn < 3).select("lang", name("loop", turn), name("loop", (turn + 1) % 3), "text")
+    tail = start.where(turn < 2).select("lang", name("tail", turn), name("loop", F.lit(0)), "text")
     return chain.union(branch).union(hubs).union(loop).union(tail)

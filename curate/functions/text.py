@@ -69,7 +69,8 @@ def indexed_choice(choices: Column, answer: Column) -> Column:
 
     Null where the answer lies outside the list in either direction.
     """
-    return F.try_element_at(choices, F.when(answer >= 1, answer).otherwise(answer - 1))
+    position = F.when(answer >= 1, answer).otherwise(answer - 1)
+    return F.try_element_at(choices, position.cast("int"))
 
 
 def indexed_choice_text(question: Column, choices: Column, answer: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,18 +46,17 @@ def drop_empty(samples: DataFrame, column: str = "text") -> tuple[DataFrame, Dat
     return samples.where(good), samples.where(~good)
 
 
-def write_selection(
-    selection: Selection, kept_path: str, rejected_path: str, jsonl: bool = False
-) -> None:
-    """Write kept and rejected documents; scores are computed once for both."""
-    scored = selection.scored.persist(StorageLevel.DISK_ONLY)
-    once = Selection(scored, selection.threshold)
-    for frame, path in ((once.kept, kept_path), (once.rejected, rejected_path)):
-        if jsonl:
-            write_jsonl(frame, path, compressed=True)
-        else:
-            write_documents(frame, path)
-    scored.unpersist()
+def write_selection(selection: Selection, root: str, jsonl: bool = False) -> tuple[str, str]:
+    """Write kept and rejected documents in one pass; returns the two folders.
+
+    The keep flag is the partition column, so every document is scored once and lands in exactly one
+    folder.
+    """
+    if jsonl:
+        write_jsonl(selection.scored, root, "keep", compressed=True)
+    else:
+        write_documents(selection.scored, root, "keep")
+    return f"{root}/keep=true", f"{root}/keep=false"
 
 
 def write_threshold(threshold: DataFrame, path: str, **parameters: float | str) -> None:
