@@ -8,9 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curate.functions.vectors import above
+from curate.functions.vectors import above, at_least
+from curate.models.ngram import POSITIVE
 from curate.operators.quantiles import corpus_threshold, retention_threshold
 from curate.session import join_lookup
+from curate.sources.documents import PREFIX_SAMPLE, prefix_sample
 
 # Sample size for the threshold and share of documents kept.
 THRESHOLD_SAMPLE = 1_000_000
@@ -68,3 +70,23 @@ def select_top(
     value = threshold_value(threshold)
     keep = F.lit(False) if value is None else above(F.col("quality_score"), value)
     return Selection(scored.withColumn("keep", keep), threshold)
+
+
+def select_text(
+    docs: DataFrame,
+    classifier,
+    order: Column | str,
+    text: str = "text",
+    retention: float = RETENTION,
+    sample_size: int = PREFIX_SAMPLE,
+) -> Selection:
+    """Keep documents whose text scores at least the threshold of a prefix sample.
+
+    Adds ``scores``, the probability of every label.
+    """
+    sample = classifier.score(prefix_sample(docs, order, sample_size), text)
+    score = F.col("scores")[POSITIVE]
+    threshold = retention_threshold(sample.select(score.alias("score")), "score", retention)
+    value = threshold_value(threshold)
+    keep = F.lit(False) if value is None else at_least(score, value)
+    return Selection(classifier.score(docs, text).withColumn("keep", keep), threshold)
