@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,14 @@ MASK_FLOOR = 1e-9
 SCORE_DECIMALS = 9
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression captured by a lambda is computed again for every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_chunk(embeddings: Column) -> Column:
     """The vector of a document's first chunk; null for a document without chunks."""
     return F.get(embeddings, F.lit(0))
@@ -24,9 +34,10 @@ def norm(vector: Column) -> Column:
 
 def normalize(vector: Column) -> Column:
     """Unit vector; null where the length is zero."""
-    length = norm(vector)
     doubles = vector.cast("array<double>")
-    return F.when(length > 0, F.transform(doubles, lambda x: x / length))
+    return bound(
+        norm(vector), lambda length: F.when(length > 0, F.transform(doubles, lambda x: x / length))
+    )
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -48,7 +59,9 @@ def masked_mean(vectors: Column, mask: Column, dim: int) -> Column:
         ),
     )
     weight = F.aggregate(mask, F.lit(0.0), lambda acc, keep: acc + keep.cast("double"))
-    return F.transform(total, lambda x: x / F.greatest(weight, F.lit(MASK_FLOOR)))
+    return bound(
+        F.greatest(weight, F.lit(MASK_FLOOR)), lambda n: F.transform(total, lambda x: x / n)
+    )
 
 
 def sigmoid(logit: Column) -> Column:

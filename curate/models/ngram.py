@@ -8,9 +8,9 @@ from itertools import product
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curate.functions.text import words
@@ -35,15 +35,14 @@ def ngrams_for(lang: str | None) -> int:
     return NGRAMS_BY_LANGUAGE.get(lang, NGRAMS)
 
 
-def ngram_terms(text: Column, longest: int) -> Column:
-    """All word n-grams of length 1 to ``longest``."""
-    tokens = words(text)
-    grams = [tokens]
+def with_terms(docs: DataFrame, text: str, longest: int) -> DataFrame:
+    """Add ``_terms``: all word n-grams of length 1 to ``longest``; none for a missing text."""
+    terms = docs.withColumn("_1", words(F.coalesce(F.col(text), F.lit(""))))
+    names = ["_1"]
     for n in range(2, longest + 1):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
-        joined = F.transform(starts, lambda at, n=n: F.array_join(F.slice(tokens, at, n), " "))
-        grams.append(F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>")))
-    return F.concat(*grams)
+        terms = NGram(n=n, inputCol="_1", outputCol=f"_{n}").transform(terms)
+        names.append(f"_{n}")
+    return terms.withColumn("_terms", F.concat(*names)).drop(*names)
 
 
 @dataclass
@@ -55,7 +54,7 @@ class NgramClassifier:
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Add ``scores``, the probability of each label; 0.0 for a label the model does not know."""
-        terms = docs.withColumn("_terms", ngram_terms(F.coalesce(F.col(text), F.lit("")), self.longest))
+        terms = with_terms(docs, text, self.longest)
         positive = F.coalesce(F.get(vector_to_array("_probability"), F.lit(1)), F.lit(0.0))
         scored = self.pipeline.transform(terms).withColumn("_p", positive)
         scores = F.create_map(F.lit(POSITIVE), F.col("_p"), F.lit(NEGATIVE), 1 - F.col("_p"))
@@ -98,7 +97,7 @@ def train_ngram(
     """Fit on (label, text). With a validation set, pick the grid point of the best F1."""
     longest = ngrams_for(lang)
     label = F.when(F.col("label") == "positive", 1.0).otherwise(0.0)
-    terms = settle(train.select(label.alias("_label"), ngram_terms(F.col("text"), longest).alias("_terms")))
+    terms = settle(with_terms(train.select(label.alias("_label"), "text"), "text", longest).drop("text"))
     if valid is None or lang in UNTUNED_LANGUAGES:
         return _fit(terms, longest, FEATURES, 0.0, iterations)
     best, best_f1 = None, -1.0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curate.functions.vectors import MASK_FLOOR
+from curate.functions.vectors import MASK_FLOOR, bound
 
 # Window length of the encoder, the special tokens it spends, chunks per model call.
 WINDOW = 512
@@ -26,9 +26,12 @@ MODEL_BATCH = 4096
 
 def chunks(tokens: Column, size: int = WINDOW - SPECIAL_TOKENS) -> Column:
     """All windows of ``size`` tokens; a document without tokens has one empty window."""
-    present = F.coalesce(tokens, F.array().cast("array<string>"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(present) - 1, F.lit(0)), F.lit(size))
-    return F.transform(starts, lambda start: F.slice(present, start + 1, size))
+
+    def cut(present: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(present) - 1, F.lit(0)), F.lit(size))
+        return F.transform(starts, lambda start: F.slice(present, start + 1, size))
+
+    return bound(F.coalesce(tokens, F.array().cast("array<string>")), cut)
 
 
 def chunk_rows(docs: DataFrame, key: str, tokens: Column, size: int = WINDOW - SPECIAL_TOKENS) -> DataFrame:
