@@ -11,7 +11,7 @@ from catalog.fixtures import WS
 from catalog.registry import query, table
 from curate.functions.text import words
 from curate.functions.vectors import first_chunk
-from curate.operators.embedding import HashedWords, chunk_rows, chunks, collect_chunks, embed
+from curate.operators.embedding import HashedWords, chunk_rows, collect_chunks, embed
 from curate.operators.rehydrate import rehydrate, upsampling_weight
 from curate.operators.tokens import shard_by_tokens, tokenize
 from curate.session import settle
@@ -58,7 +58,7 @@ def _rounded(embeddings):
 def document_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunked, embedded and put together inside each row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vectors = embed(chunks(words(F.col("text")), SIZE), partial(HashedWords, DIM))
+    vectors = embed(words(F.col("text")), partial(HashedWords, DIM), SIZE)
     return docs.select("doc_id", vectors.alias("embeddings")).select(
         "doc_id", _rounded(F.col("embeddings")).alias("embeddings")
     )
@@ -68,7 +68,7 @@ def document_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks embedded one per row, then gathered per document."""
     rows = chunk_rows(table(spark, sf_dir, "documents"), "doc_id", words(F.col("text")), SIZE)
-    vectors = embed(F.array("tokens"), partial(HashedWords, DIM))
+    vectors = embed(F.col("tokens"), partial(HashedWords, DIM), SIZE)
     embedded = rows.select("doc_id", "chunk_no", vectors.alias("_one")).select(
         "doc_id", "chunk_no", first_chunk(F.col("_one")).alias("vector")
     )

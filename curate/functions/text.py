@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 WHITESPACE = (
     r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+WHITESPACE_CHARACTERS = "".join(
+    chr(code)
+    for code in (
+        *range(0x09, 0x0E),
+        *range(0x1C, 0x21),
+        *(0x85, 0xA0, 0x1680),
+        *range(0x2000, 0x200B),
+        *(0x2028, 0x2029, 0x202F, 0x205F, 0x3000),
+    )
+)
 
 # The marker that replaces a line break in cleaning version V3, and the prefix that
 # introduces a label in classifier input lines.
@@ -23,10 +33,7 @@ CLEANING_VERSIONS = ("V1", "V2", "V3")
 
 def strip(text: Column) -> Column:
     """``str.strip()``: remove white space of any script from both ends."""
-    # Two anchored passes. The second starts at a run of spaces that must reach the end; the
-    # possessive quantifier with a look-behind keeps it linear in long inner runs of spaces.
-    left = F.regexp_replace(text, rf"^{WHITESPACE}++", "")
-    return F.regexp_replace(left, rf"(?<!{WHITESPACE}){WHITESPACE}++\z", "")
+    return F.btrim(text, F.lit(WHITESPACE_CHARACTERS))
 
 
 def squeeze(text: Column) -> Column:
@@ -101,7 +108,9 @@ def without_unknown(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Default tokenizer: maximal runs of non-white-space characters."""
-    return F.filter(F.split(text, rf"{WHITESPACE}+"), lambda word: word != "")
+    inner = strip(text)
+    none = F.array().cast("array<string>")
+    return F.when(inner == "", none).otherwise(F.split(inner, rf"{WHITESPACE}+"))
 
 
 # Named character references that are repaired.

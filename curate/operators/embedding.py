@@ -1,8 +1,8 @@
 """Chunking with overflow, batched embedding and reassembly.
 
-A document's chunks stay inside its row as a nested array, so embedding is one Arrow-batched column
-function: chunks of a whole batch of documents are flattened, run through the model in batches, and
-regrouped by the offsets of the array. Nothing is exploded or shuffled.
+Embedding is one Arrow-batched column function over token lists: the windows of a batch of documents
+are cut by array offsets, run through the model in batches, and regrouped by offsets, so nothing is
+exploded or shuffled. ``chunk_rows`` and ``collect_chunks`` do the same with one row per window.
 """
 
 from __future__ import annotations
@@ -70,27 +70,41 @@ class HashedWords:
 Model = Callable[[pa.ListArray], np.ndarray]
 
 
-def embed(chunked: Column, load: Callable[[], Model], batch: int = MODEL_BATCH) -> Column:
-    """Chunk vectors of each document, ``array<array<float>>``.
+def _windows(docs: pa.ListArray, size: int) -> tuple[pa.ListArray, np.ndarray]:
+    """All windows of a batch of token lists, and the number of windows of each list."""
+    lengths = docs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = np.maximum(1, -(-lengths // size))
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = np.repeat(np.cumsum(lengths) - lengths, counts) + number * size
+    bounds = np.append(starts, lengths.sum()).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), docs.flatten()), counts
+
+
+def embed(
+    tokens: Column,
+    load: Callable[[], Model],
+    size: int = WINDOW - SPECIAL_TOKENS,
+    batch: int = MODEL_BATCH,
+) -> Column:
+    """Vectors of all windows of each document, ``array<array<float>>``, from its token list.
 
     ``load`` is called once per task and returns the model: a function from a batch of token lists
-    to a matrix with one row per chunk. Batches run across document boundaries.
+    to a matrix with one row per list. Batches run across document boundaries.
     """
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for docs in columns:
-            inner = docs.flatten()
-            parts = [model(inner.slice(at, batch)) for at in range(0, len(inner), batch)]
+            windows, counts = _windows(docs, size)
+            parts = [model(windows.slice(at, batch)) for at in range(0, len(windows), batch)]
             matrix = np.concatenate(parts) if parts else np.empty((0, 1))
             flat = pa.array(matrix.astype(np.float32).ravel())
-            vectors = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]), flat
-            )
-            offsets = np.concatenate([[0], np.cumsum(docs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            yield pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), vectors)
+            bounds = np.arange(len(matrix) + 1) * matrix.shape[1]
+            vectors = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat)
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), vectors)
 
-    return F.arrow_udf(run, "array<array<float>>").asNondeterministic()(chunked)
+    return F.arrow_udf(run, "array<array<float>>").asNondeterministic()(tokens)
 
 
 def mean_pool(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
