@@ -38,7 +38,8 @@ def strip(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Every run of white space becomes one space."""
-    return F.regexp_replace(text, rf"{WHITESPACE}+", " ")
+    # A lone space is not matched: it needs no replacement, and most runs are one.
+    return F.regexp_replace(text, rf" {WHITESPACE}++|(?! ){WHITESPACE}++", " ")
 
 
 def clean(text: Column, version: str = "V1") -> Column:
