@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curate.functions.vectors import SCORE_DECIMALS
 from curate.operators.metrics import classifier_metrics
 from curate.operators.sampling import hash_order
 from curate.operators.scoring import MlpScorer, to_matrix
@@ -38,6 +39,9 @@ ROWS_PER_SHARD = 65_536
 # Shards whose weights the driver averages itself; more are first averaged by Spark, in two rounds.
 DIRECT_SHARDS = 8
 
+# Largest set of models sent to executors in one piece.
+MAX_MODEL_BYTES = 128 * 1024 * 1024
+
 _RESULT = "model string, shard int, rows long, loss double, state binary"
 
 
@@ -226,10 +230,21 @@ def _averaged(results: DataFrame, shards: int) -> dict[str, tuple[np.ndarray, fl
 
 
 def score_by_model(rows: DataFrame, models: dict[str, MlpScorer], embedding: Column, by: str | None) -> Column:
-    """Each row's probability under the model of its group."""
+    """Each row's probability under the model of its group; null without one.
+
+    Models are broadcast in parts of bounded size; a row has a score in at most one of them.
+    """
     if by is None:
         (only,) = models.values()
         return only.score(embedding)
+    size = max(1, MAX_MODEL_BYTES // max(model.w1.nbytes for model in models.values()))
+    names = list(models)
+    parts = [names[at : at + size] for at in range(0, len(names), size)]
+    scores = [_score_part(rows, {n: models[n] for n in part}, embedding, by) for part in parts]
+    return F.coalesce(*scores)
+
+
+def _score_part(rows: DataFrame, models: dict[str, MlpScorer], embedding: Column, by: str) -> Column:
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -241,7 +256,7 @@ def score_by_model(rows: DataFrame, models: dict[str, MlpScorer], embedding: Col
                 pick = np.flatnonzero((names == name) & present)
                 if len(pick):
                     matrix, _ = to_matrix(vectors.take(pa.array(pick)), model.w1.shape[1])
-                    out[pick] = np.round(model.probabilities(matrix), 9)
+                    out[pick] = np.round(model.probabilities(matrix), SCORE_DECIMALS)
             yield pa.array(out, mask=np.isnan(out))
 
     return F.arrow_udf(run, "double").asNondeterministic()(F.col(by).cast("string"), embedding)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curate.session import join_lookup, settle
+from curate.session import join_lookup, join_null_safe, settle
 
 HISTOGRAM_CELLS = 4096
 
@@ -39,8 +39,11 @@ def corpus_threshold(scores: DataFrame, score: str, retention: float, by: Sequen
     nor a value shared by most of its rows meets in one task.
     """
     by = list(by)
-    valid = scores.where(F.col(score).isNotNull() & ~F.isnan(score)).select(
-        *by, F.col(score).cast("double").alias("_s")
+    # Scores are read three times: write the narrow table instead of running the model again.
+    valid = settle(
+        scores.where(F.col(score).isNotNull() & ~F.isnan(score)).select(
+            *by, F.col(score).cast("double").alias("_s")
+        )
     )
     ranges = settle(
         valid.groupBy(*by).agg(
@@ -54,9 +57,9 @@ def corpus_threshold(scores: DataFrame, score: str, retention: float, by: Sequen
     running = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
     position = (F.col("n_sample") - 1) * F.lit(1 - retention)
     # One-based ranks of the two neighbours of the quantile.
+    counted = counts.withColumn("_upto", F.sum("_n").over(running))
     wanted = (
-        counts.withColumn("_upto", F.sum("_n").over(running))
-        .join(ranges.drop("_low", "_high"), by)
+        join_null_safe(counted, ranges.drop("_low", "_high"), by)
         .withColumn("_first", F.floor(position) + 1)
         .withColumn("_second", F.ceil(position) + 1)
         .withColumn("_before", F.col("_upto") - F.col("_n"))

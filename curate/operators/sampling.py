@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curate.session import join_lookup, settle
+from curate.session import join_lookup, join_null_safe, settle
 
 PREFIX_DIGITS = 3
 _TAKE_ALL = "g"  # sorts after every hexadecimal digit
@@ -89,7 +89,7 @@ def group_cutoffs(
     upto = counts.withColumn("_upto", F.sum("_n").over(running))
     reached = F.col("_upto") >= F.col("n")
     plan = settle(
-        wanted.join(upto, by)
+        join_null_safe(wanted, upto, by)
         .groupBy(*by, "cut", "n")
         .agg(
             F.max("_upto").alias("_total"),
@@ -160,7 +160,7 @@ def cap_per_group(
 def remaining_budget(totals: DataFrame, spent: DataFrame, by: Sequence[str], budget: int) -> DataFrame:
     """Quota of the source filled last: what the others left of ``budget``, never below zero."""
     left = F.greatest(F.lit(budget) - F.coalesce(F.col("spent"), F.lit(0)), F.lit(0))
-    return totals.join(spent, list(by), "left").select(*by, left.cast("long").alias("n"))
+    return join_null_safe(totals, spent, list(by), "left").select(*by, left.cast("long").alias("n"))
 
 
 def shuffled(df: DataFrame, key: str | Sequence[str], seed: int = 42) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_null_safe(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key matches a null key, so that no group is lost."""
+    names = {column: f"_on_{column}" for column in on}
+    renamed = other.withColumnsRenamed(names)
+    condition = reduce(and_, [F.col(column).eqNullSafe(F.col(name)) for column, name in names.items()])
+    return df.join(renamed, condition, how).drop(*names.values())
+
+
 def join_lookup(
     df: DataFrame,
     lookup: DataFrame,
@@ -69,13 +79,12 @@ def join_lookup(
     how: str = "inner",
     max_rows: int = MAX_LOOKUP_ROWS,
 ) -> DataFrame:
-    """Join a large table with a table of one narrow row per group.
+    """Join a large table with a table of one narrow row per group; null is a group of its own.
 
     The lookup is computed once and counted. Up to ``max_rows`` it is broadcast, so the large side
     is not shuffled. Beyond that it is a plain shuffle join, whose hot groups adaptive execution
     splits on the large side.
     """
     lookup = settle(lookup)
-    if lookup.count() <= max_rows:
-        lookup = F.broadcast(lookup)
-    return df.join(lookup, on, how)
+    small = lookup.count() <= max_rows
+    return join_null_safe(df, F.broadcast(lookup) if small else lookup, on, how)

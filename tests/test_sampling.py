@@ -111,3 +111,23 @@ def test_extremes_break_ties(spark):
     df = spark.createDataFrame([(i, float(i % 3)) for i in range(12)], "id int, s double")
     rows = S.extremes(df, "s", "id", 3).orderBy("side", "rank").collect()
     assert [r["id"] for r in rows] == [2, 5, 8, 0, 3, 6]
+
+
+def test_a_missing_group_is_a_group(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, "a").alias("g"), (F.col("id") * 1.0).alias("s"))
+    taken = S.sample_per_group(df, ["g"], 10, "id")
+    assert {(r["g"], r["count"]) for r in taken.groupBy("g").count().collect()} == {("a", 10), (None, 10)}
+    split = S.stratified_split(df.withColumn("all", F.lit("x")), ["all"], "g", "id")
+    assert split.count() == 300
+    found = {r["g"]: r["threshold"] for r in Q.corpus_threshold(df, "s", 0.5, ["g"]).collect()}
+    ids = np.arange(300.0)
+    assert found == {None: np.quantile(ids[::3], 0.5), "a": np.quantile(ids[ids % 3 > 0], 0.5)}
+
+
+def test_large_lookups_are_not_broadcast(spark):
+    from curate.session import join_lookup
+
+    df = spark.range(100).select("id", (F.col("id") % 7).alias("g"))
+    lookup = spark.range(7).select(F.col("id").alias("g"), (F.col("id") * 2).alias("x"))
+    big = join_lookup(df, lookup, ["g"], max_rows=3)
+    assert {tuple(r) for r in big.collect()} == {tuple(r) for r in join_lookup(df, lookup, ["g"]).collect()}
