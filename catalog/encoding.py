@@ -42,7 +42,7 @@ sizes AS (
   SELECT doc_id, c AS chunk_no, least({SIZE}, len(words) - c * {SIZE}) AS n
   FROM (SELECT doc_id, words, unnest(range(0, (greatest(len(words), 1) + {SIZE - 1}) // {SIZE})) AS c FROM worded)),
 vectors AS (
-  SELECT s.doc_id, s.chunk_no, list(round(coalesce(c.total, 0) / greatest(s.n, 1e-9)::FLOAT, 4) ORDER BY d) AS vector
+  SELECT s.doc_id, s.chunk_no, list(round(coalesce(c.total, 0) / greatest(s.n, 1e-9)::DOUBLE, 4) ORDER BY d) AS vector
   FROM sizes s CROSS JOIN (SELECT unnest(range(0, {DIM})) AS d)
   LEFT JOIN cells c ON c.doc_id = s.doc_id AND c.chunk_no = s.chunk_no AND c.place = d GROUP BY ALL)
 """

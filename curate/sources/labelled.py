@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from curate.functions.text import LABEL_PREFIX, WHITESPACE, strip
 from curate.schemas import LABELLED
@@ -29,7 +30,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_labelled_jsonl(spark: SparkSession, path: str) -> Parsed:
     """(label, text) of every well-formed line. Blank lines are skipped, a missing path is empty."""
-    schema = LABELLED.add("_corrupt", "string", True) if "_corrupt" not in LABELLED.names else LABELLED
+    schema = StructType([*LABELLED.fields, StructField("_corrupt", StringType())])
     if not _exists(spark, path):
         empty = spark.createDataFrame([], "label string, text string")
         return Parsed(empty, spark.createDataFrame([], "line string, reason string"))
