@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from curate.functions.vectors import masked_mean
 from curate.operators.embedding import HashedWords, chunks, embed, mean_pool
 from curate.operators.rehydrate import WEIGHTS, upsampling_weight
-from curate.operators.tokens import shard_by_tokens, tokenize
+from curate.operators.tokens import batch_tokenizer, shard_by_tokens, tokenize, write_shards
 from curate.sources.documents import choose_files
 from curate.sources.sinks import finished, unfinished, write_documents
 from curate.session import scratch_path
@@ -85,3 +85,16 @@ def test_finished_outputs_are_skipped(spark):
     assert [r["lang"] for r in unfinished(wanted, finished(spark, root, ["fr", "de"])).collect()] == ["de"]
     with pytest.raises(Exception):
         write_documents(spark.range(3), f"{root}/fr")
+
+
+def test_library_tokenizer_and_written_shards(spark):
+    docs = spark.createDataFrame([(i, "x " * i) for i in range(20)] + [(20, None)], "id long, text string")
+    encode = batch_tokenizer(lambda: lambda texts: [[len(w) for w in t.split()] for t in texts])
+    tokens = tokenize(docs, "id", tokenizer=encode).cache()
+    assert {r["id"]: r["n_tokens"] for r in tokens.collect()} == {**{i: i for i in range(20)}, 20: 0}
+    path = scratch_path(spark, "shards")
+    write_shards(shard_by_tokens(tokens, "id", 50), path)
+    written = spark.read.parquet(path)
+    assert written.count() == 21
+    assert written.agg(F.max("shard")).first()[0] == 190 // 50
+    assert len(written.inputFiles()) == written.select("shard").distinct().count()
