@@ -178,17 +178,34 @@ def first_chunk_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("id", first_chunk(F.col("metadata.embeddings")).alias("embedding"))
 
 
-@query()
+def _named_files(spark: SparkSession, rows: DataFrame, number: F.Column, order: str, n: int, name: str) -> str:
+    """``n`` files whose names and row order SQL can state: bucket-0.parquet and so on."""
+    path = scratch_path(spark, name)
+    numbered = rows.withColumn("_bucket", number.cast("int")).repartition(1, "_bucket").sortWithinPartitions("_bucket", order)
+    numbered.write.partitionBy("_bucket").parquet(f"{path}-parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(root)
+    for i in range(n):
+        [part] = files.globStatus(hadoop.Path(f"{path}-parts/_bucket={i}/part-*.parquet"))
+        files.rename(part.getPath(), hadoop.Path(f"{path}/bucket-{i}.parquet"))
+    return path
+
+
+@query("""SELECT doc_id, text FROM documents WHERE doc_id % 8 IN (
+    SELECT k FROM (SELECT unnest(range(0, 8)) AS k) ORDER BY md5('42:bucket-' || k || '.parquet') LIMIT 3)""")
 def random_file_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "files")
-    table(spark, sf_dir, "documents").select("doc_id", "text").repartition(8, "doc_id").write.parquet(path)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = _named_files(spark, docs, F.col("doc_id") % 8, "doc_id", 8, "files")
     return read_file_sample(spark, path).select("doc_id", "text")
 
 
-@query()
+@query("""SELECT vec_id, embedding FROM (
+    SELECT *, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 20""")
 def head_of_each_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "heads")
-    table(spark, sf_dir, "embeddings").repartition(4, "vec_id").write.parquet(path)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    path = _named_files(spark, vectors, F.col("vec_id") % 4, "vec_id", 4, "heads")
     return head_of_files(spark.read.parquet(path), 80).select("vec_id", "embedding")
 
 

@@ -9,6 +9,7 @@ from catalog.fixtures import LABELLED_CTE, labelled_documents
 from catalog.registry import query, table
 from curate.operators import sampling as S
 from curate.operators.scoring import sample_prototypes
+from curate.session import scratch_path
 
 
 @query("SELECT doc_id, lang, text FROM documents ORDER BY md5('42:' || doc_id) LIMIT 100")
@@ -68,9 +69,16 @@ def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.take_quota(unlabelled, ["lang"], "doc_id", lambda totals: totals.join(wanted, "lang"))
 
 
-@query("SELECT doc_id, lang FROM documents")
+@query("SELECT doc_id, lang, row_number() OVER (ORDER BY md5('42:' || doc_id))::BIGINT AS position FROM documents")
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.shuffled(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    """Written in the seeded order; the position of a row is its place in the files."""
+    path = scratch_path(spark, "shuffled")
+    S.shuffled(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").write.parquet(path)
+    rows = spark.read.parquet(path).select("doc_id", "lang", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    sizes = rows.groupBy("file").agg(F.count("*").alias("n"))  # one row per file
+    before = F.coalesce(F.sum("n").over(S.W.orderBy("file").rowsBetween(S.W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", before.alias("start"))
+    return rows.join(F.broadcast(starts), "file").select("doc_id", "lang", (F.col("start") + F.col("row") + 1).alias("position"))
 
 
 # Largest remainder in integers: floor shares, then one more for the largest remainders.

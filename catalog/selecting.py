@@ -10,7 +10,7 @@ from catalog.registry import query, table
 from curate.functions.vectors import above, at_least, masked_mean, normalize
 from curate.operators.metrics import classifier_metrics, mean_loss
 from curate.operators.quantiles import corpus_threshold, retention_threshold
-from curate.operators.sampling import extremes
+from curate.operators.sampling import extremes, sample_per_group
 from curate.operators.scoring import (
     CosineScorer,
     MlpScorer,
@@ -22,7 +22,8 @@ from curate.session import scratch_path
 from curate.sources.sinks import write_selection, write_threshold
 from curate.streaming.select import stream_select
 
-PROTOTYPES = 16
+# Fewer positives than this: all are prototypes.
+PROTOTYPES = 8192
 
 # Prototypes, normalized documents and their best cosine similarity.
 COSINE_CTE = f"""
@@ -97,18 +98,19 @@ def similarity_to_all_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every positive is a prototype; two passes at least."""
     vectors = _vectors(spark, sf_dir)
     positives = vectors.where(F.col("label") == 1)
-    best = max_similarity(vectors, "vec_id", positives, "vec_id", rows_per_pass=32)
+    best = max_similarity(vectors, "vec_id", positives, bytes_per_pass=16_384)
     return best.select("vec_id", _six("score"))
 
 
 @query(
-    f"""WITH {COSINE_CTE}, t AS (SELECT quantile_cont(s, 0.9::DOUBLE) AS thr FROM scored)
+    f"""WITH {COSINE_CTE}, t AS (SELECT quantile_cont(s, 0.6::DOUBLE) AS thr FROM scored)
     SELECT vec_id, round(s, 6) AS quality_score FROM scored, t WHERE s > thr"""
 )
 def cosine_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, scorer = _cosine(spark, sf_dir)
     docs = vectors.select("vec_id", "embedding")
-    return select_top(docs, scorer, sample=docs).kept.select("vec_id", _six())
+    # all prototypes are among the documents and score 1: keep more than these
+    return select_top(docs, scorer, retention=0.4).kept.select("vec_id", _six())
 
 
 @query(f"WITH {MLP_CTE} SELECT vec_id, round(s, 6) AS quality_score FROM scored")
@@ -120,7 +122,7 @@ def mlp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document carries its score, kept or not."""
     docs = _vectors(spark, sf_dir)
-    scored = select_top(docs, small_network(), sample=docs).scored
+    scored = select_top(docs, small_network()).scored
     return scored.select("vec_id", "label", _six())
 
 
@@ -130,7 +132,7 @@ def score_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mlp_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _vectors(spark, sf_dir).select("vec_id", "embedding")
-    return select_top(docs, small_network(), sample=docs).kept.select("vec_id", _six())
+    return select_top(docs, small_network()).kept.select("vec_id", _six())
 
 
 @query(
@@ -151,7 +153,7 @@ def mlp_select_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rejected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written and read back."""
     docs = _vectors(spark, sf_dir).select("vec_id", "embedding")
-    selection = select_top(docs, small_network(), sample=docs)
+    selection = select_top(docs, small_network())
     _, rejected = write_selection(selection, scratch_path(spark, "selection"))
     return spark.read.parquet(rejected).select("vec_id", _six())
 
@@ -162,14 +164,17 @@ def rejected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def threshold_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "threshold")
-    write_threshold(retention_threshold(_scored(spark, sf_dir), "score", 0.1), path, retention=0.1)
+    scores = _scored(spark, sf_dir).withColumn("of", F.lit("all"))
+    write_threshold(corpus_threshold(scores, "score", 0.1, ["of"]).drop("of"), path, retention=0.1)
     return spark.read.parquet(path).select(_six("threshold"), "n_sample", "retention")
 
 
 @query(f"""WITH {MLP_CTE} SELECT label, round(quantile_cont(s, 0.9::DOUBLE), 6) AS threshold, count(*) AS n_sample
     FROM scored GROUP BY label""")
 def sample_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retention_threshold(_scored(spark, sf_dir), "score", 0.1, ["label"])
+    # a sample of bounded size: 100,000 rows of every label
+    sample = sample_per_group(_scored(spark, sf_dir), ["label"], 100_000, "vec_id")
+    found = retention_threshold(sample, "score", 0.1, ["label"])
     return found.select("label", _six("threshold"), "n_sample")
 
 
@@ -278,7 +283,7 @@ def masked_mean_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frozen model and threshold over a stream of the same documents."""
     docs = _vectors(spark, sf_dir).select("vec_id", "embedding")
-    threshold = select_top(docs, small_network(), sample=docs).threshold.first()["threshold"]
+    threshold = select_top(docs, small_network()).threshold.first()["threshold"]
     source = scratch_path(spark, "stream-in")
     docs.repartition(4, "vec_id").write.parquet(source)
     arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(source)

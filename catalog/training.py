@@ -1,4 +1,4 @@
-"""Training and use of the classifiers. Random initial weights have no SQL counterpart."""
+"""Training and use of the classifiers, with their defaults."""
 
 from __future__ import annotations
 
@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from catalog.fixtures import labelled_documents
 from catalog.registry import query, table
 from curate.models.mlp import evaluate, load_models, save_models, train_mlp
-from curate.models.ngram import POSITIVE, ngram_metrics, train_ngram
+from curate.models.ngram import (
+    NEGATIVE,
+    POSITIVE,
+    NgramClassifier,
+    load_ngrams,
+    ngram_metrics,
+    save_ngrams,
+    train_ngram,
+    train_ngrams,
+)
 from curate.operators.sampling import stratified_split
-from curate.plans.select import select_text
+from curate.plans.select import select_text, threshold_value
 from curate.session import scratch_path, settle
 
 
@@ -26,42 +35,47 @@ def _splits(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: split.where(F.col("split") == name) for name in ("train", "valid", "test")}
 
 
-_HISTORY = "epoch int, part string, model string, loss double, accuracy double, f1 double, recall double, precision double"
+_EPOCHS = 6
 
+# Of optimizers SQL can state what must hold: how many epochs there are, and that the loss has fallen.
+_TRAINED = f"""SELECT part, model, {_EPOCHS} AS epochs, true AS loss_fell, true AS in_range
+    FROM (SELECT unnest(['train', 'valid']) AS part), (SELECT unnest({{models}}) AS model)"""
 
-def _history(spark: SparkSession, history: list[dict]) -> DataFrame:
-    """One row per model, epoch and part."""
-    names = [field.split()[0] for field in _HISTORY.split(", ")]
-    return spark.createDataFrame([tuple(row[name] for name in names) for row in history], _HISTORY)
 
+def _facts(spark: SparkSession, history: list[dict]) -> DataFrame:
+    """Per part and model: epochs, whether the last loss is below the first, whether all rates are rates."""
+    found = []
+    for part, model in sorted({(row["part"], row["model"]) for row in history}):
+        rows = sorted((r for r in history if (r["part"], r["model"]) == (part, model)), key=lambda r: r["epoch"])
+        rates = all(0 <= r[k] <= 1 for r in rows for k in ("accuracy", "f1", "recall", "precision"))
+        found.append((part, model, len(rows), rows[-1]["loss"] < rows[0]["loss"], rates))
+    return spark.createDataFrame(found, "part string, model string, epochs int, loss_fell boolean, in_range boolean")
 
-@query()
+
+@query(_TRAINED.format(models="['all']"))
 def mlp_training_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All defaults: 256 hidden units, 6 epochs."""
     parts = _splits(spark, sf_dir)
-    trained = train_mlp(parts["train"], parts["valid"], hidden=32, epochs=3, batch=32, rate=3e-3, rows_per_shard=256)
-    return _history(spark, trained.history)
+    return _facts(spark, train_mlp(parts["train"], parts["valid"]).history)
 
 
-@query()
+@query(_TRAINED.format(models="['a', 'b']"))
 def mlp_training_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models in the same jobs."""
     parts = _splits(spark, sf_dir)
-    trained = train_mlp(parts["train"], parts["valid"], by="group", hidden=32, epochs=2, batch=32, rate=3e-3)
-    return _history(spark, trained.history)
+    return _facts(spark, train_mlp(parts["train"], parts["valid"], by="group").history)
 
 
-@query()
+@query("SELECT unnest(['accuracy', 'f1', 'precision', 'recall']) AS metric, true AS same")
 def saved_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of a model in memory and of the same model read back."""
+    """Metrics of a model in memory equal those of the same model read back."""
     parts = _splits(spark, sf_dir)
-    trained = train_mlp(parts["train"], hidden=16, epochs=1, batch=32, rate=3e-3)
+    trained = train_mlp(parts["train"])
     path = scratch_path(spark, "mlp")
     save_models(spark, trained.models, path)
-    rows = []
-    for name, models in (("memory", trained.models), ("file", load_models(spark, path))):
-        for metrics in evaluate(parts["test"], models, "embedding", "label"):
-            rows.append((name, metrics["accuracy"], metrics["f1"], metrics["recall"], metrics["precision"]))
-    return spark.createDataFrame(rows, "origin string, accuracy double, f1 double, recall double, precision double")
+    [memory], [file] = (evaluate(parts["test"], m, "embedding", "label") for m in (trained.models, load_models(spark, path)))
+    names = ("accuracy", "f1", "precision", "recall")
+    return spark.createDataFrame([(name, memory[name] == file[name]) for name in names], "metric string, same boolean")
 
 
 def _text_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -70,29 +84,76 @@ def _text_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return split.where("split = 'train'"), split.where("split <> 'train'")
 
 
-@query()
+# Samples that are held out of training: a fifth of all, rounded up.
+_HELD = "SELECT ceil(count(*) * 2 / 10)::BIGINT AS held, true AS beats_majority FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)"
+
+
+def _beats_majority(model: NgramClassifier, held: DataFrame) -> DataFrame:
+    """Whether the accuracy on held-out samples is at least that of naming the commoner label."""
+    counts = held.groupBy().agg(F.count("*").alias("held"), F.avg((F.col("label") == "positive").cast("int")).alias("share"))
+    return ngram_metrics(model, held).crossJoin(counts).select(
+        "held", (F.col("accuracy") >= F.greatest("share", 1 - F.col("share"))).alias("beats_majority")
+    )
+
+
+@query(_HELD)
 def ngram_classifier_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, held = _text_splits(spark, sf_dir)
-    return ngram_metrics(train_ngram(train, iterations=10), held)
+    return _beats_majority(train_ngram(train), held)
 
 
-@query()
+@query(_HELD)
 def ngram_parameter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole default grid."""
     train, held = _text_splits(spark, sf_dir)
-    best = train_ngram(train, held, iterations=5, grid_features=(1 << 12, 1 << 14), grid_regularization=(0.01,))
-    return ngram_metrics(best, held)
+    return _beats_majority(train_ngram(train, held), held)
+
+
+@query("SELECT lang, true AS sums_to_one, true AS same_when_loaded, 2 AS longest FROM (SELECT DISTINCT lang FROM documents JOIN labels USING (doc_id))")
+def ngram_training_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classifier per language, saved, loaded and compared on its own samples."""
+    samples = settle(labelled_documents(spark, sf_dir).select("lang", "label", "text"))
+    langs = [row["lang"] for row in samples.select("lang").distinct().orderBy("lang").collect()]  # one row per language
+    models = train_ngrams(samples, None, langs)
+    root = scratch_path(spark, "ngrams")
+    save_ngrams(models, root)
+    rows = []
+    for lang, loaded in load_ngrams(root, langs).items():
+        mine = samples.where(F.col("lang") == lang)
+        sums = [m.score(mine).agg(F.sum(F.col("scores")[POSITIVE]), F.max(F.abs(F.col("scores")[POSITIVE] + F.col("scores")[NEGATIVE] - 1))).first() for m in (models[lang], loaded)]
+        rows.append((lang, max(s[1] for s in sums) < 1e-9, abs(sums[0][0] - sums[1][0]) < 1e-6, loaded.longest))
+    return spark.createDataFrame(rows, "lang string, sums_to_one boolean, same_when_loaded boolean, longest int")
+
+
+@query("SELECT doc_id, 4 AS longest, true AS same FROM documents")
+def saved_ngram_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classifier of n-grams up to four scores the same after it was saved and loaded."""
+    train, _ = _text_splits(spark, sf_dir)
+    model = train_ngram(train, lang="cmn_Hani")
+    path = scratch_path(spark, "ngram")
+    model.save(path)
+    loaded = NgramClassifier.load(path)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    one = model.score(docs).select("doc_id", F.col("scores")[POSITIVE].alias("one"))
+    two = loaded.score(docs).select("doc_id", F.col("scores")[POSITIVE].alias("two"))
+    return one.join(two, "doc_id").select("doc_id", F.lit(loaded.longest).alias("longest"), (F.abs(F.col("one") - F.col("two")) < 1e-12).alias("same"))
 
 
-@query()
+@query("SELECT doc_id, true AS in_range, true AS sums_to_one FROM documents")
 def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _text_splits(spark, sf_dir)
-    scored = train_ngram(train, iterations=10).score(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return scored.select("doc_id", F.round(F.col("scores")[POSITIVE], 6).alias("score"))
+    scored = train_ngram(train).score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    positive, negative = F.col("scores")[POSITIVE], F.col("scores")[NEGATIVE]
+    return scored.select("doc_id", positive.between(0, 1).alias("in_range"), (F.abs(positive + negative - 1) < 1e-9).alias("sums_to_one"))
 
 
-@query()
+@query("SELECT doc_id, true AS placed_by_score FROM documents")
 def ngram_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept and rejected documents together are all, on their own side of the threshold."""
     train, _ = _text_splits(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    selection = select_text(docs, train_ngram(train, iterations=10), order="doc_id", retention=0.1)
-    return selection.kept.select("doc_id", F.round(F.col("scores")[POSITIVE], 6).alias("score"))
+    selection = select_text(docs, train_ngram(train), order="doc_id", retention=0.1)
+    least = threshold_value(selection.threshold)
+    score = F.col("scores")[POSITIVE]
+    kept = selection.kept.select("doc_id", (score >= least).alias("placed_by_score"))
+    return kept.unionByName(selection.rejected.select("doc_id", (score < least).alias("placed_by_score")))

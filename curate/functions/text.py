@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,39 +118,9 @@ def words(text: Column) -> Column:
     return F.when(inner == "", none).otherwise(F.split(inner, rf"{WHITESPACE}+"))
 
 
-# Named character references that are repaired.
-ENTITIES = {
-    "lt": "<",
-    "gt": ">",
-    "quot": '"',
-    "apos": "'",
-    "nbsp": "\u00a0",
-    "iexcl": "¡",
-    "cent": "¢",
-    "pound": "£",
-    "yen": "¥",
-    "sect": "§",
-    "copy": "©",
-    "laquo": "«",
-    "reg": "®",
-    "deg": "°",
-    "para": "¶",
-    "middot": "·",
-    "raquo": "»",
-    "iquest": "¿",
-    "times": "×",
-    "ndash": "–",
-    "mdash": "—",
-    "lsquo": "‘",
-    "rsquo": "’",
-    "ldquo": "“",
-    "rdquo": "”",
-    "bull": "•",
-    "hellip": "…",
-    "euro": "€",
-    "trade": "™",
-}
-AMPERSAND = r"&(?:(?:amp|#0*38|#[xX]0*26);)+"
+# Named character references of HTML 5; those for an ampersand are folded before.
+ENTITIES = {name[:-1]: char for name, char in html5.items() if name.endswith(";") and char != "&"}
+AMPERSAND = r"&(?:(?:amp|AMP|#0*38|#[xX]0*26);)+"
 TERMINAL_ESCAPE = r"\x1b\[[0-9;]*[A-Za-z]"
 # Control characters without a use in text. Tab, line feed, form feed and carriage
 # return stay.
@@ -169,8 +141,8 @@ def _windows_1252() -> tuple[str, str]:
 
 def _decode_reference(token: Column) -> Column:
     """One token of text; numeric and known named character references become their character."""
-    decimal = F.regexp_extract(token, r"\A&#([0-9]{1,7});\z", 1)
-    hexadecimal = F.regexp_extract(token, r"\A&#[xX]([0-9a-fA-F]{1,6});\z", 1)
+    decimal = F.regexp_extract(token, r"\A&#0*([0-9]{1,7});\z", 1)
+    hexadecimal = F.regexp_extract(token, r"\A&#[xX]0*([0-9a-fA-F]{1,6});\z", 1)
     code = F.when(decimal != "", decimal.cast("int")).when(
         hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("int")
     )
@@ -179,7 +151,9 @@ def _decode_reference(token: Column) -> Column:
     named = F.create_map(
         *[F.lit(part) for name, char in ENTITIES.items() for part in (f"&{name};", char)]
     )
-    return F.when(valid, character).otherwise(F.coalesce(F.try_element_at(named, token), token))
+    # a hash set tells first whether a token is a name at all
+    known = token.isin([f"&{name};" for name in ENTITIES])
+    return F.when(valid, character).when(known, F.element_at(named, token)).otherwise(token)
 
 
 def unescape_entities(text: Column) -> Column:

@@ -22,7 +22,7 @@ from curate.functions.vectors import SCORE_DECIMALS
 from curate.operators.metrics import classifier_metrics
 from curate.operators.sampling import hash_order
 from curate.operators.scoring import MlpScorer, to_matrix
-from curate.session import settle
+from curate.session import settle_partitions
 
 # Hyper-parameters of the network and its training.
 HIDDEN = 256
@@ -35,10 +35,6 @@ BETAS = (0.9, 0.999)
 EPSILON = 1e-8
 SEED = 42
 
-ROWS_PER_SHARD = 65_536
-# Shards whose weights the driver averages itself; more are first averaged by Spark, in two rounds.
-DIRECT_SHARDS = 8
-
 # Largest set of models sent to executors in one piece.
 MAX_MODEL_BYTES = 128 * 1024 * 1024
 
@@ -123,7 +119,7 @@ class Training:
 
 
 def shard_rows(
-    rows: DataFrame, key: str, embedding: str, label: str, by: str | None, rows_per_shard: int = ROWS_PER_SHARD
+    rows: DataFrame, key: str, embedding: str, label: str, by: str | None, shards_per_model: int = 1
 ) -> tuple[DataFrame, dict[str, list[int]]]:
     """Training rows with one partition per shard, and the shards of each model.
 
@@ -136,21 +132,17 @@ def shard_rows(
         F.col(label).cast("double").alias("label"),
         F.col(embedding).cast("array<double>").alias("embedding"),
     )
-    counts = usable.groupBy("model").count().orderBy("model").collect()  # one row per model
-    shards: dict[str, list[int]] = {}
-    total = 0
-    for model, count in counts:
-        number = -(-count // rows_per_shard)
-        shards[model] = list(range(total, total + number))
-        total += number
-    if total == 0:
+    names = [row[0] for row in usable.select("model").distinct().orderBy("model").collect()]  # one row per model
+    if not names:
         raise ValueError("no training rows")
+    shards = {model: list(range(i * shards_per_model, (i + 1) * shards_per_model)) for i, model in enumerate(names)}
+    total = len(names) * shards_per_model
     shard = F.lit(None).cast("int")
     for model, numbers in shards.items():
         within = F.pmod(F.xxhash64("key"), F.lit(len(numbers))).cast("int") + numbers[0]
         shard = F.when(F.col("model") == model, within).otherwise(shard)
     dealt = usable.withColumn("shard", shard).repartitionById(total, "shard")
-    return settle(dealt), shards
+    return settle_partitions(dealt), shards
 
 
 def _epoch(dealt: DataFrame, states: dict[str, np.ndarray], steps: dict[str, int], dim: int, hidden: int,
@@ -217,15 +209,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _averaged(results: DataFrame, shards: int) -> dict[str, tuple[np.ndarray, float]]:
-    """State and loss per model; the driver receives one row per model, or a handful in all."""
-    if shards > DIRECT_SHARDS:
-        groups = math.isqrt(shards)
-        for keys in (["model", F.pmod("shard", F.lit(groups))], ["model"]):
-            results = results.repartition(groups, *keys).mapInArrow(_merge, _RESULT)
-    merged = pa.Table.from_batches(_merge(iter(results.toArrow().to_batches())))
+    """State and loss per model, averaged by Spark in two rounds; the driver receives one row per model."""
+    groups = max(1, math.isqrt(shards))
+    for keys in (["model", F.pmod("shard", F.lit(groups))], ["model"]):
+        results = results.repartition(groups, *keys).mapInArrow(_merge, _RESULT)
     return {
         row["model"]: (np.frombuffer(row["state"]).reshape(3, -1).copy(), row["loss"])
-        for row in merged.to_pylist()
+        for row in results.toArrow().to_pylist()
     }
 
 
@@ -284,32 +274,47 @@ def train_mlp(
     batch: int = BATCH,
     rate: float = LEARNING_RATE,
     seed: int = SEED,
-    rows_per_shard: int = ROWS_PER_SHARD,
+    shards: int = 1,
 ) -> Training:
-    """Train one model, or one per value of ``by``; metrics of train and valid after every epoch."""
-    dealt, shards = shard_rows(train, key, embedding, label, by, rows_per_shard)
+    """Train one model, or one per value of ``by``; metrics of train and valid after every epoch.
+
+    With one shard per model (the default) its rows are gone through in sequence, whatever their number, by one task;
+    models train side by side. More ``shards`` are local training with averaging after every epoch, another
+    algorithm that must be asked for. Models are trained in parts whose states fit into one broadcast.
+    """
+    dealt, numbers = shard_rows(train, key, embedding, label, by, shards)
     dim = dealt.select(F.size("embedding")).first()[0]
-    states = {}
-    for name in shards:
-        flat = initial_weights(dim, hidden, seed)
-        states[name] = np.stack([flat, np.zeros_like(flat), np.zeros_like(flat)])
-    steps = dict.fromkeys(shards, 0)
+    flat = initial_weights(dim, hidden, seed)
     result = Training({})
-    counts = {r["model"]: r["count"] for r in dealt.groupBy("model").count().collect()}
+    names = list(numbers)
+    per_part = max(1, MAX_MODEL_BYTES // (3 * flat.nbytes))
+    for at in range(0, len(names), per_part):
+        some = names[at : at + per_part]
+        _train_part(dealt, train, valid, {name: numbers[name] for name in some}, flat, result, dim, embedding, label, by, hidden, epochs, batch, rate, seed)
+    return result
+
+
+def _train_part(dealt, train, valid, shards, flat, result, dim, embedding, label, by, hidden, epochs, batch, rate, seed) -> None:
+    """Epochs of some models; their scorers and metrics go into ``result``."""
+    names = list(shards)
+    group = F.col(by).cast("string") if by else F.lit("all")
+    mine = dealt.where(F.col("model").isin(names))
+    states = {name: np.stack([flat, np.zeros_like(flat), np.zeros_like(flat)]) for name in names}
+    steps = dict.fromkeys(names, 0)
+    counts = {r["model"]: r["count"] for r in mine.groupBy("model").count().collect()}
     for epoch in range(epochs):
-        output = _epoch(dealt, states, steps, dim, hidden, epoch, batch, rate, seed)
+        output = _epoch(mine, states, steps, dim, hidden, epoch, batch, rate, seed)
         averaged = _averaged(output, sum(len(s) for s in shards.values()))
         states = {name: state for name, (state, _) in averaged.items()}
         for name, numbers in shards.items():
             steps[name] += -(-counts[name] // (batch * len(numbers)))
         models = {name: to_scorer(state[0], dim, hidden) for name, state in states.items()}
-        result.models = models
         for part, rows in (("train", train), ("valid", valid)):
             if rows is not None:
-                for metrics in evaluate(rows, models, embedding, label, by):
+                for metrics in evaluate(rows.where(group.isin(names)), models, embedding, label, by):
                     loss = averaged[metrics["model"]][1] if metrics["model"] in averaged else None
                     result.history.append({"epoch": epoch, "part": part, "loss": loss, **metrics})
-    return result
+    result.models |= models
 
 
 _SAVED = "model string, dim int, hidden int, weights array<double>"

@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curate.functions.text import words
@@ -61,12 +61,15 @@ class NgramClassifier:
         return scored.withColumn("scores", scores).select(*docs.columns, "scores")
 
     def save(self, path: str) -> None:
-        """Write the model; an error if something is there already."""
-        self.pipeline.write().save(path)
+        """Write the model with its n-gram length; an error if something is there already."""
+        spark = SparkSession.active()
+        self.pipeline.write().save(f"{path}/pipeline")
+        spark.createDataFrame([(self.longest,)], "longest int").coalesce(1).write.parquet(f"{path}/settings")
 
     @classmethod
-    def load(cls, path: str, longest: int = NGRAMS) -> NgramClassifier:
-        return cls(PipelineModel.load(path), longest)
+    def load(cls, path: str) -> NgramClassifier:
+        longest = SparkSession.active().read.parquet(f"{path}/settings").first()["longest"]
+        return cls(PipelineModel.load(f"{path}/pipeline"), longest)
 
 
 def _fit(terms: DataFrame, longest: int, features: int, regularization: float, iterations: int) -> NgramClassifier:
@@ -109,6 +112,25 @@ def train_ngram(
     return best
 
 
+def train_ngrams(train: DataFrame, valid: DataFrame | None, langs: Sequence[str], **settings) -> dict[str, NgramClassifier]:
+    """A classifier per language of the column ``lang``; languages are trained one after the other."""
+
+    def of(samples: DataFrame | None, lang: str) -> DataFrame | None:
+        return None if samples is None else samples.where(F.col("lang") == lang)
+
+    return {lang: train_ngram(of(train, lang), of(valid, lang), lang, **settings) for lang in langs}
+
+
+def save_ngrams(models: dict[str, NgramClassifier], root: str) -> None:
+    """One folder per language."""
+    for lang, model in models.items():
+        model.save(f"{root}/{lang}")
+
+
+def load_ngrams(root: str, langs: Sequence[str]) -> dict[str, NgramClassifier]:
+    return {lang: NgramClassifier.load(f"{root}/{lang}") for lang in langs}
+
+
 def ngram_metrics(model: NgramClassifier, samples: DataFrame) -> DataFrame:
     """Metrics of the classifier on labelled samples."""
     scored = model.score(samples).select(

@@ -114,15 +114,21 @@ def threads(
     messages: DataFrame,
     per_root: int | None = THREADS_PER_ROOT,
     seed: int = 42,
+    order: Column | None = None,
 ) -> DataFrame:
     """Root-to-leaf threads: (lang, root_id, leaf_id, n_messages, text).
 
-    ``messages`` is (lang, message_id, parent_id, text) with one row per (lang, message_id). Texts
-    run from root to leaf, joined by a space. At most ``per_root`` threads of a root are kept, by
-    seeded order of their leaf, before any text is touched.
+    ``messages`` is (lang, message_id, parent_id, text). Of several rows of one (lang, message_id) the last by
+    ``order`` counts; without an ``order`` there must be one row each. Texts run from root to leaf, joined
+    by a space. At most ``per_root`` threads of a root are kept, by seeded order of their leaf, before any
+    text is touched.
     """
-    tree = ancestry(messages)
-    chosen = rooted_leaves(messages, tree)
+    if order is not None:
+        messages = settle(latest_messages(messages, order))
+    # the forest alone, without texts, is walked
+    forest = settle(messages.select("lang", "message_id", "parent_id"))
+    tree = ancestry(forest)
+    chosen = rooted_leaves(forest, tree)
     if per_root is not None:
         chosen = cap_per_group(chosen, ["lang", "root_id"], per_root, "leaf_id", seed)
     members = thread_members(settle(chosen), tree)

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curate.session import join_lookup, join_null_safe, settle
 
 HISTOGRAM_CELLS = 4096
+# Distinct scores of a group that may be ranked in one task.
+FEW_SCORES = 10_000
+LARGEST = 1.7e308
 
 
 def retention_threshold(
@@ -32,50 +36,87 @@ def retention_threshold(
 
 
 def corpus_threshold(scores: DataFrame, score: str, retention: float, by: Sequence[str]) -> DataFrame:
-    """The same exact threshold without a sample, for groups of any size.
+    """The same exact threshold without a sample, for groups of any size and any spread of scores.
 
-    A histogram per group locates the cells of the two rows the quantile falls between; only these
-    cells are refined, after equal scores have been counted together, so that neither a large group
-    nor a value shared by most of its rows meets in one task.
+    Two ranks per group are wanted, the neighbours of the quantile. A histogram over the range in which they
+    lie narrows it, and again, until few distinct scores are left in it; an outlier only costs another
+    round. Equal scores are counted together first, so a value shared by most rows is one row.
     """
     by = list(by)
-    # Scores are read three times: write the narrow table instead of running the model again.
+    # scores are read several times: write the narrow table of distinct scores instead of running the model again
     valid = settle(
-        scores.where(F.col(score).isNotNull() & ~F.isnan(score)).select(
-            *by, F.col(score).cast("double").alias("_s")
-        )
+        scores.where(F.col(score).isNotNull() & ~F.isnan(score))
+        .groupBy(*by, F.col(score).cast("double").alias("_s"))
+        .agg(F.count("*").alias("_n"))
     )
-    ranges = settle(
-        valid.groupBy(*by).agg(
-            F.min("_s").alias("_low"), F.max("_s").alias("_high"), F.count("*").alias("n_sample")
-        )
-    )
-    spread = F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300))
-    cell = F.floor((F.col("_s") - F.col("_low")) / spread * (HISTOGRAM_CELLS - 1)).cast("int")
-    celled = join_lookup(valid, ranges.drop("n_sample"), by).select(*by, "_s", cell.alias("_cell"))
-    counts = celled.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
-    running = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
     position = (F.col("n_sample") - 1) * F.lit(1 - retention)
-    # One-based ranks of the two neighbours of the quantile.
-    counted = counts.withColumn("_upto", F.sum("_n").over(running))
-    wanted = (
-        join_null_safe(counted, ranges.drop("_low", "_high"), by)
-        .withColumn("_first", F.floor(position) + 1)
-        .withColumn("_second", F.ceil(position) + 1)
-        .withColumn("_before", F.col("_upto") - F.col("_n"))
-        .where((F.col("_upto") >= F.col("_first")) & (F.col("_before") < F.col("_second")))
-        .select(*by, "_cell", "_before", "_first", "_second", "n_sample")
+    bounds = settle(
+        valid.groupBy(*by)
+        .agg(F.min("_s").alias("_low"), F.max("_s").alias("_high"), F.sum("_n").alias("n_sample"), F.count("*").alias("_distinct"))
+        .withColumns({"_first": F.floor(position) + 1, "_second": F.ceil(position) + 1, "_before": F.lit(0).cast("long")})
     )
-    inside = join_lookup(celled, wanted, [*by, "_cell"])
-    carried = ["_before", "_first", "_second", "n_sample"]
-    values = inside.groupBy(*by, "_cell", *carried, "_s").agg(F.count("*").alias("_n"))
-    within = W.partitionBy(*by, "_cell").orderBy("_s").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = values.withColumn("_upto", F.col("_before") + F.sum("_n").over(within))
+    done = []
+    while True:
+        wide = (F.col("_distinct") > FEW_SCORES) & (F.col("_low") < F.col("_high"))
+        done.append(bounds.where(~wide))
+        bounds = bounds.where(wide)
+        if bounds.isEmpty():
+            break
+        bounds = settle(_narrowed(valid, bounds, by))
+    bounds = reduce(DataFrame.unionByName, done)
+    few = _between(valid, bounds.where("_before is not null"), by)
+    within = W.partitionBy(*by).orderBy("_s").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = few.withColumn("_upto", F.col("_before") + F.sum("_n").over(within))
     low = F.min(F.when(F.col("_upto") >= F.col("_first"), F.col("_s")))
     high = F.min(F.when(F.col("_upto") >= F.col("_second"), F.col("_s")))
-    share = (F.col("n_sample") - 1) * F.lit(1 - retention) - (F.col("_first") - 1)
-    return (
-        ranked.groupBy(*by, "_first", "n_sample")
-        .agg(low.alias("_l"), high.alias("_h"))
-        .select(*by, (F.col("_l") + (F.col("_h") - F.col("_l")) * share).alias("threshold"), "n_sample")
+    ends = ranked.groupBy(*by, "_first", "n_sample").agg(low.alias("_l"), high.alias("_h"))
+    split = bounds.where("_before is null").select(*by, "_first", "n_sample", F.col("_low").alias("_l"), F.col("_high").alias("_h"))
+    share = position - (F.col("_first") - 1)
+    return ends.unionByName(split).select(
+        *by, (F.col("_l") + (F.col("_h") - F.col("_l")) * share).alias("threshold"), "n_sample"
+    )
+
+
+def _narrowed(valid: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
+    """The bounds of the histogram cells that hold the two ranks; ``_before`` is null once these are known scores."""
+    celled = _between(valid, bounds, by).withColumn("_cell", _cell())
+    cells = celled.groupBy(*by, "_cell").agg(
+        F.sum("_n").alias("_n"), F.min("_s").alias("_least"), F.max("_s").alias("_most"), F.count("*").alias("_d")
+    )
+    running = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = F.col("_before") + F.col("_upto")
+    counted = join_null_safe(cells.withColumn("_upto", F.sum("_n").over(running)), bounds, by)
+    hit = counted.where((upto >= F.col("_first")) & (upto - F.col("_n") < F.col("_second")))
+    found = hit.groupBy(*by, "n_sample", "_first", "_second").agg(
+        F.count("*").alias("_cells"),
+        F.min("_least").alias("_low"),
+        F.max("_most").alias("_high"),
+        F.sum("_d").alias("_distinct"),
+        F.min(upto - F.col("_n")).alias("_before"),
+        F.min(F.when(upto - F.col("_n") < F.col("_first"), F.col("_most"))).alias("_below"),
+        F.max(F.when(upto >= F.col("_second"), F.col("_least"))).alias("_above"),
+    )
+    # the ranks lie at the end of one cell and the start of the next: these two scores are the answer
+    apart = F.col("_cells") > 1
+    return found.select(
+        *by,
+        F.when(apart, F.col("_below")).otherwise(F.col("_low")).alias("_low"),
+        F.when(apart, F.col("_above")).otherwise(F.col("_high")).alias("_high"),
+        "n_sample",
+        F.when(apart, F.lit(0)).otherwise(F.col("_distinct")).cast("long").alias("_distinct"),
+        "_first",
+        "_second",
+        F.when(~apart, F.col("_before")).alias("_before"),
     )
+
+
+def _between(valid: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
+    """Scores inside the bounds of their group, with the bounds."""
+    return join_lookup(valid, bounds, by, settled=True).where((F.col("_s") >= F.col("_low")) & (F.col("_s") <= F.col("_high")))
+
+
+def _cell() -> Column:
+    """The histogram cell of a score between the bounds; halves first, so that no difference overflows."""
+    s, low, high = (F.greatest(F.least(F.col(c), F.lit(LARGEST)), F.lit(-LARGEST)) / 2 for c in ("_s", "_low", "_high"))
+    part = (s - low) / F.greatest(high - low, F.lit(1e-308))
+    return F.least(F.floor(part * HISTOGRAM_CELLS), F.lit(HISTOGRAM_CELLS - 1)).cast("int")

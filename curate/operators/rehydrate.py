@@ -22,6 +22,9 @@ def upsampling_weight(cluster_size: Column, weights: dict[int, int] = WEIGHTS) -
 
 
 def rehydrate(docs: DataFrame, cluster_size: Column, weights: dict[int, int] = WEIGHTS) -> DataFrame:
-    """Repeat each document by its weight; ``copy_no`` counts from 1. No shuffle."""
-    copies = F.sequence(F.lit(1), upsampling_weight(cluster_size, weights))
+    """Repeat each document by its weight; ``copy_no`` counts from 1. No shuffle.
+
+    A document without a cluster size stays, once.
+    """
+    copies = F.sequence(F.lit(1), F.coalesce(upsampling_weight(cluster_size, weights), F.lit(1)))
     return docs.withColumn("copy_no", F.explode(copies))

@@ -3,12 +3,14 @@
 The order of a sample is the md5 of seed and row key, which any SQL engine can recompute. Taking
 the n rows of a group with the smallest md5 never sorts or shuffles whole rows:
 
-1. count rows per (group, md5 prefix) - a map-side combined aggregate of 4,096 rows per group,
-2. find the prefix in which the n-th row lies, and rank only that prefix on (group, md5),
+1. write the narrow table (group, md5) once and count rows per (group, md5 prefix) - a map-side
+   combined aggregate of 4,096 rows per group,
+2. find the prefix in which the n-th row lies, and count only that prefix md5 by md5,
 3. compare every row's md5 with the n-th one - a filter against one narrow row per group.
 
-Row keys must be unique within a group; a group that holds most of the table costs no more than
-an even spread, because no task ever sees more than a 4,096th of it.
+A group that holds most of the table costs no more than an even spread. Rows with equal keys have equal
+md5s: where the n-th row is one of several, just as many of these are taken as are wanted, so that the
+number is exact for bags as well; only those rows meet in a window.
 """
 
 from __future__ import annotations
@@ -24,14 +26,22 @@ from curate.session import join_lookup, join_null_safe, settle
 PREFIX_DIGITS = 3
 _TAKE_ALL = "g"  # sorts after every hexadecimal digit
 _TAKE_NONE = ""  # sorts before every hexadecimal digit
-# Largest sample whose rows may meet in one task (an ordered limit).
-ORDERED_LIMIT_ROWS = 10_000
+# Distinct md5s that may be ranked on the driver, as narrow rows.
+FEW_ORDERS = 10_000
+
+
+def _part(column: Column, alone: bool) -> Column:
+    """A key column as text; null is told from every string, and with several columns their border is kept."""
+    text = column.cast("string")
+    if not alone:
+        text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
+    return F.coalesce(text, F.lit("\\N"))
 
 
 def hash_order(*key: Column | str, seed: int | str = 42) -> Column:
     """The md5 of ``seed:key``, the sort key of every seeded operation here."""
     parts = [F.col(k) if isinstance(k, str) else k for k in key]
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[_part(p, len(parts) == 1) for p in parts]))
 
 
 def _prefix(order: Column) -> Column:
@@ -44,27 +54,46 @@ def sample_n(df: DataFrame, n: int | None, key: str | Sequence[str], seed: int =
         return df
     keys = [key] if isinstance(key, str) else list(key)
     order = hash_order(*keys, seed=seed)
-    if n <= ORDERED_LIMIT_ROWS:
-        # Every task keeps its own n best rows, so only these meet.
-        ranked = df.withColumn("_order", order).orderBy("_order").limit(n)
-        return ranked.drop("_order")
-    last = _nth_order(df.select(order.alias("_order")), n)
-    return df if last is None else df.where(order <= last)
-
-
-def _nth_order(orders: DataFrame, n: int) -> str | None:
-    """The n-th smallest md5, or None if there are fewer rows."""
-    counts = orders.groupBy(_prefix(F.col("_order")).alias("_prefix")).count()
-    seen = 0
-    for prefix, count in sorted(tuple(row) for row in counts.collect()):  # at most 4,096 rows
-        if seen + count >= n:
-            inside = orders.where(_prefix(F.col("_order")) == prefix)
-            ranked = inside.select(
-                "_order", F.row_number().over(W.partitionBy(_prefix(F.col("_order"))).orderBy("_order")).alias("_rank")
-            )
-            return ranked.where(F.col("_rank") == n - seen).first()["_order"]
-        seen += count
-    return None
+    found = _nth_order(df.select(order.alias("_order")), n)
+    if found is None:
+        return df
+    last, wanted, there = found
+    if wanted == there:
+        return df.where(order <= last)
+    return df.where(order < last).unionByName(_some(df.where(order == last), [order], F.lit(wanted)))
+
+
+def _some(rows: DataFrame, same: Sequence[Column], wanted: Column) -> DataFrame:
+    """``wanted`` rows of each set of rows with equal keys."""
+    number = F.row_number().over(W.partitionBy(*same).orderBy(F.lit(0)))
+    return rows.withColumn("_number", number).where(F.col("_number") <= wanted).drop("_number")
+
+
+def _nth_order(orders: DataFrame, n: int) -> tuple[str, int, int] | None:
+    """The n-th smallest md5, how many of its rows are among the first n, and how many there are.
+
+    None if there are not more than n rows. Every round counts 4,096 prefixes at most inside the one before.
+    """
+    prefix, seen = "", 0
+    while True:
+        inside = orders.where(F.col("_order").startswith(prefix))
+        step = F.substring("_order", 1, len(prefix) + PREFIX_DIGITS)
+        counts = inside.groupBy(step.alias("_prefix")).agg(F.count("*"), F.min("_order"), F.max("_order")).collect()
+        if not prefix and sum(row[1] for row in counts) <= n:
+            return None
+        for next_prefix, count, low, high in sorted(tuple(row) for row in counts):
+            if seen + count >= n:
+                break
+            seen += count
+        if low == high:
+            return low, n - seen, count
+        prefix = next_prefix
+        if count <= FEW_ORDERS:
+            few = orders.where(F.col("_order").startswith(prefix)).groupBy("_order").count().collect()
+            for order, same in sorted(tuple(row) for row in few):
+                if seen + same >= n:
+                    return order, n - seen, same
+                seen += same
 
 
 def group_cutoffs(
@@ -76,10 +105,11 @@ def group_cutoffs(
     """Per group and cut, the md5 of the row at which the quota is reached.
 
     ``quotas`` turns the table (``by``, ``total``) of group sizes into (``by``, ``cut``, ``n``).
-    Returns (``by``, ``cut``, ``last``): exactly ``n`` rows of the group have ``order <= last``.
+    Returns (``by``, ``cut``, ``last``, ``wanted``, ``there``), written: exactly ``n`` rows of the group
+    have ``order < last`` or are among the first ``wanted`` of the ``there`` rows with ``order = last``.
     """
     by = list(by)
-    keyed = df.select(*by, order.alias("_order"))
+    keyed = settle(df.select(*by, order.alias("_order")))
     counts = settle(
         keyed.groupBy(*by, _prefix(F.col("_order")).alias("_prefix")).agg(F.count("*").alias("_n"))
     )
@@ -102,18 +132,20 @@ def group_cutoffs(
         *by, "_prefix", "cut", (F.col("n") - F.col("_before")).alias("_rest")
     )
     candidates = join_lookup(
-        keyed.withColumn("_prefix", _prefix(F.col("_order"))), split, [*by, "_prefix"]
+        keyed.withColumn("_prefix", _prefix(F.col("_order"))), split, [*by, "_prefix"], settled=True
     )
-    ranked = candidates.withColumn(
-        "_rank", F.row_number().over(W.partitionBy(*by, "_prefix", "cut").orderBy("_order"))
-    )
-    exact = ranked.where(F.col("_rank") == F.col("_rest")).select(
-        *by, "cut", F.col("_order").alias("last")
+    each = candidates.groupBy(*by, "_prefix", "cut", "_rest", "_order").agg(F.count("*").alias("there"))
+    inner = W.partitionBy(*by, "_prefix", "cut").orderBy("_order").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = each.withColumn("_upto", F.sum("there").over(inner))
+    taken = F.col("_rest") - (F.col("_upto") - F.col("there"))
+    exact = ranked.where((F.col("_upto") >= F.col("_rest")) & (taken > 0)).select(
+        *by, "cut", F.col("_order").alias("last"), taken.alias("wanted"), "there"
     )
+    none = F.lit(0).cast("long")
     trivial = plan.where(~inside).select(
-        *by, "cut", F.when(F.col("n") > 0, _TAKE_ALL).otherwise(_TAKE_NONE).alias("last")
+        *by, "cut", F.when(F.col("n") > 0, _TAKE_ALL).otherwise(_TAKE_NONE).alias("last"), none.alias("wanted"), none.alias("there")
     )
-    return exact.unionByName(trivial)
+    return settle(exact.unionByName(trivial))
 
 
 def take_quota(
@@ -127,12 +159,20 @@ def take_quota(
 
     ``quotas`` maps (``by``, ``total``) to (``by``, ``n``). Groups without a quota give no row.
     """
+    by = list(by)
     keys = [key] if isinstance(key, str) else list(key)
     order = hash_order(*keys, seed=seed)
     cutoffs = group_cutoffs(
         df, by, order, lambda totals: quotas(totals).withColumn("cut", F.lit("take"))
     ).drop("cut")
-    return join_lookup(df, cutoffs, list(by)).where(order <= F.col("last")).drop("last")
+    joined = join_lookup(df, cutoffs, by, settled=True)
+    added = ["last", "wanted", "there"]
+    if cutoffs.where("wanted < there").isEmpty():
+        return joined.where(order <= F.col("last")).drop(*added)
+    whole = (F.col("wanted") == F.col("there")) & (order == F.col("last"))
+    partly = (F.col("wanted") < F.col("there")) & (order == F.col("last"))
+    some = _some(joined.where(partly), [*[F.col(c) for c in by], order], F.col("wanted"))
+    return joined.where((order < F.col("last")) | whole).unionByName(some).drop(*added)
 
 
 def sample_per_group(
@@ -228,6 +268,7 @@ def stratified_split(
             ).alias("_cut"),
         ).select(*strata, "_cut.cut", "_cut.n")
 
+    # rows with equal keys stay together
     cutoffs = group_cutoffs(df, strata, order, cuts)
     wide = cutoffs.groupBy(*strata).agg(
         F.max(F.when(F.col("cut") == "train", F.col("last"))).alias("_train"),

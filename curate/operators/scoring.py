@@ -139,28 +139,22 @@ def max_similarity(
     docs: DataFrame,
     key: str,
     prototypes: DataFrame,
-    prototype_key: str,
     embedding: str = "embedding",
-    rows_per_pass: int = 32_768,
+    bytes_per_pass: int = MAX_PROTOTYPE_BYTES // 2,
 ) -> DataFrame:
-    """Largest cosine similarity to *all* prototypes, however many: (``key``, ``score``).
+    """Largest cosine similarity to *all* prototypes, however many: (``key``, ``score``), a row per key.
 
-    Prototypes are dealt into passes of at most ``rows_per_pass`` expected rows; each pass scores
-    the documents against its own broadcast matrix and the maxima are combined. No pair of document
-    and prototype ever becomes a row.
+    Prototypes are dealt into passes of half the size that one scorer may hold, so that an uneven deal still
+    fits; each pass scores the documents against its own broadcast matrix and the maxima per key are combined,
+    also after a single pass. No pair of document and prototype ever becomes a row.
     """
-    usable = prototypes.where(F.col(embedding).isNotNull())
-    passes = max(1, -(-usable.count() // rows_per_pass))
-    part = F.pmod(F.xxhash64(prototype_key), F.lit(passes))
-    filled = [row[0] for row in usable.select(part.alias("part")).distinct().orderBy("part").collect()]
+    usable = prototypes.where(F.col(embedding).isNotNull()).select(embedding).distinct()
+    size = usable.agg(F.coalesce(F.sum(F.size(embedding)), F.lit(0))).first()[0] * 8
+    passes = max(1, -(-size // bytes_per_pass))
+    dealt = usable.withColumn("_part", F.pmod(F.xxhash64(embedding), F.lit(passes)))
+    filled = [row[0] for row in dealt.select("_part").distinct().orderBy("_part").collect()]  # a row per pass
     scored = [
-        docs.select(
-            key, CosineScorer.fit(usable.where(part == number), embedding).score(F.col(embedding)).alias("score")
-        )
+        docs.select(key, CosineScorer.fit(dealt.where(F.col("_part") == number), embedding).score(F.col(embedding)).alias("score"))
         for number in filled
-    ]
-    if not scored:
-        return docs.select(key, F.lit(None).cast("double").alias("score"))
-    if len(scored) == 1:
-        return scored[0]
+    ] or [docs.select(key, F.lit(None).cast("double").alias("score"))]
     return reduce(DataFrame.unionByName, scored).groupBy(key).agg(F.max("score").alias("score"))

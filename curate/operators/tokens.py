@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curate.functions.text import words
 from curate.operators.rehydrate import rehydrate
-from curate.session import join_lookup, settle
+from curate.session import join_null_safe, settle
 
 # Fixed value: tokens after which a new shard begins.
 SHARD_TOKENS = 1_000_000_000
 VOCABULARY = 1 << 17
-_BUCKETS = 1024
 
 
 def hashed_word_ids(text: Column, vocabulary: int = VOCABULARY) -> Column:
@@ -59,48 +58,46 @@ def tokenize(
 def shard_by_tokens(tokens: DataFrame, key: str, budget: int = SHARD_TOKENS) -> DataFrame:
     """Add ``shard``: tokens before the row, in order of (``key``, copy_no), divided by the budget.
 
-    ``key`` is a numeric document key. Rows fall into buckets of near-equal size by key; bucket
-    totals give each bucket its start, a running sum over narrow rows inside the buckets finds where
-    shards begin, and every full row is placed by looking its bucket up. Full rows are not shuffled.
-    Pass a written token table: its lengths are read twice before the rows themselves are.
+    ``key`` may be of any type that sorts. Narrow rows (key, copy, length) are range-partitioned and sorted; their
+    lengths are summed inside each partition, and one total per partition gives it its start. Every
+    full row then meets its narrow row in a join. The number of partitions follows the session, so
+    partitions stay small as the table grows. Pass a written token table: its lengths are read before its rows.
     """
     narrow = tokens.select(key, "copy_no", "n_tokens")
-    cuts = [i / _BUCKETS for i in range(1, _BUCKETS)]
-    edges = narrow.agg(F.percentile_approx(key, cuts).alias("edges")).first()["edges"] or []
-    inner = sorted({float(e) for e in edges})
-    bucketizer = Bucketizer(
-        splits=[-float("inf"), *(inner or [0.0]), float("inf")], inputCol="_key", outputCol="_bucket"
-    )
 
-    def bucketed(df: DataFrame) -> DataFrame:
-        keyed = bucketizer.transform(df.withColumn("_key", F.col(key).cast("double")))
-        return keyed.drop("_key").withColumn("_bucket", F.col("_bucket").cast("int"))
-
-    rows = bucketed(narrow)
-    sums = settle(rows.groupBy("_bucket").agg(F.sum("n_tokens").alias("_sum")))
-    # At most 1,024 rows.
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = W.partitionBy("_bucket").orderBy(key, "copy_no")
-    running = F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = join_lookup(rows, starts, ["_bucket"]).withColumn(
-        "_shard", F.floor((F.col("_start") + running) / F.lit(budget)).cast("long")
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            lengths = np.asarray(batch.column("n_tokens").fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            before = total + np.cumsum(lengths) - lengths
+            total += int(lengths.sum())
+            yield batch.append_column("_before", pa.array(before))
+
+    kind = dict(narrow.dtypes)
+    ordered = (
+        narrow.repartitionByRange(key, "copy_no")
+        .sortWithinPartitions(key, "copy_no")
+        .withColumn("_part", F.spark_partition_id())
+        .mapInArrow(sums, f"`{key}` {kind[key]}, copy_no {kind['copy_no']}, n_tokens {kind['n_tokens']}, _part int, _before long")
     )
-    previous = F.lag("_shard").over(inside)
-    changes = placed.withColumn("_changed", previous.isNull() | (previous != F.col("_shard")))
-    here = F.struct(F.col(key).alias("key"), F.col("copy_no"), F.col("_shard").alias("shard"))
-    lookup = changes.where("_changed").groupBy("_bucket").agg(F.sort_array(F.collect_list(here)).alias("_begins"))
-    joined = join_lookup(bucketed(tokens), lookup, ["_bucket"])
-    reached = F.filter(
-        "_begins",
-        lambda begin: (begin["key"] < F.col(key))
-        | ((begin["key"] == F.col(key)) & (begin["copy_no"] <= F.col("copy_no"))),
+    line = settle(ordered)
+    # one narrow row per partition
+    totals = sorted(tuple(row) for row in line.groupBy("_part").agg(F.sum("n_tokens")).collect())
+    starts = dict(zip([part for part, _ in totals], accumulate((n or 0 for _, n in totals), initial=0)))
+    spark = tokens.sparkSession
+    bases = spark.createDataFrame(list(starts.items()), "_part int, _start long")
+    placed = line.join(F.broadcast(bases), "_part").select(
+        key, "copy_no", F.floor((F.col("_start") + F.col("_before")) / F.lit(budget)).cast("long").alias("shard")
     )
-    return joined.withColumn("shard", F.element_at(reached, -1)["shard"]).drop("_bucket", "_begins")
+    return join_null_safe(tokens, placed, [key, "copy_no"], "left")
+
 
+def write_shards(sharded: DataFrame, path: str, key: str) -> None:
+    """A folder per shard, its rows in order of (``key``, copy_no).
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard; a shard is the work of one task and holds about one budget of tokens."""
-    sharded.repartition("shard").sortWithinPartitions("shard").write.option("compression", "zstd").partitionBy(
-        "shard"
-    ).parquet(path)
+    Rows are range-partitioned by (shard, key, copy_no), so that a shard of many rows is cut into files whose
+    order is that of their names, and no task holds more than its share.
+    """
+    sharded.repartitionByRange("shard", key, "copy_no").sortWithinPartitions("shard", key, "copy_no").write.option(
+        "compression", "zstd"
+    ).partitionBy("shard").parquet(path)

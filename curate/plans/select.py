@@ -49,16 +49,21 @@ def select_top(
     sample: DataFrame | None = None,
     by: Sequence[str] = (),
 ) -> Selection:
-    """Annotate documents with ``quality_score`` and keep those strictly above the threshold.
+    """Annotate documents with ``quality_score``, which replaces any earlier one, and keep those strictly
+    above the threshold.
 
-    The threshold is the ``1 - retention`` quantile of the scores of ``sample``, of bounded size; if
-    no sample is given, of the whole corpus, exactly. With ``by`` every group has its own threshold.
-    Scoring the corpus is a scan and a projection: nothing is shuffled.
+    The threshold is the ``1 - retention`` quantile of the scores of ``sample``; a sample of more than
+    ``THRESHOLD_SAMPLE`` rows is an error, as one task holds it. If no sample is given, it is that of the whole
+    corpus, exactly. With ``by`` every group has its own threshold. Scoring the corpus is a scan
+    and a projection: nothing is shuffled.
     """
     column = F.col(embedding) if isinstance(embedding, str) else embedding
-    score = scorer.score(column).alias("quality_score")
-    scored = docs.select("*", score)
+    score = scorer.score(column)
+    scored = docs.withColumn("quality_score", score)
+    score = score.alias("quality_score")
     if sample is not None:
+        if sample.select(F.lit(1)).limit(THRESHOLD_SAMPLE + 1).count() > THRESHOLD_SAMPLE:
+            raise ValueError(f"the sample has more than {THRESHOLD_SAMPLE} rows: draw one with sample_n, or give none")
         threshold = retention_threshold(sample.select(*by, score), "quality_score", retention, by)
     else:
         whole = docs.select(*(by or [F.lit("all").alias("_group")]), score)
@@ -75,7 +80,7 @@ def select_top(
 def select_text(
     docs: DataFrame,
     classifier,
-    order: Column | str,
+    order: str,
     text: str = "text",
     retention: float = RETENTION,
     sample_size: int = PREFIX_SAMPLE,

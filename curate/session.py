@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 from operator import and_
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 # Rows in a per-group lookup (one narrow row per group) that may still be broadcast.
 MAX_LOOKUP_ROWS = 100_000
+MAX_LOOKUP_BYTES = 32 * 1024 * 1024
 
 
 def local_session(cores: int | str = "*", app: str = "curate", **conf: str) -> SparkSession:
@@ -35,32 +35,43 @@ def local_session(cores: int | str = "*", app: str = "curate", **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of its own.
+    Where it is not set, a folder beside the tables of the warehouse, which all executors share as well.
     """
-    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
-        return configured
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="curate-"))
-    return context.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark).rstrip('/')}/curate-scratch/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/curate-scratch/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; call it once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared folder and cut its lineage.
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there.
 
-    The result survives the loss of any executor, unlike a local checkpoint.
+    The result survives the loss of any executor, and later reads take only the columns they need.
     """
-    shared_dir(df.sparkSession)
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_partitions(df: DataFrame) -> DataFrame:
+    """Like ``settle``, but with the partitions of ``df`` kept as they are."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_root(df.sparkSession))
     return df.checkpoint()
 
 
@@ -78,13 +89,17 @@ def join_lookup(
     on: list[str],
     how: str = "inner",
     max_rows: int = MAX_LOOKUP_ROWS,
+    max_bytes: int = MAX_LOOKUP_BYTES,
+    settled: bool = False,
 ) -> DataFrame:
     """Join a large table with a table of one narrow row per group; null is a group of its own.
 
-    The lookup is computed once and counted. Up to ``max_rows`` it is broadcast, so the large side
-    is not shuffled. Beyond that it is a plain shuffle join, whose hot groups adaptive execution
-    splits on the large side.
+    The lookup is computed once (``settled`` says that it was) and counted. Up to ``max_rows`` of together at
+    most ``max_bytes`` it is broadcast, so the large side is not shuffled. Beyond that it is a plain shuffle
+    join, whose hot groups adaptive execution splits on the large side. Rows are the same either way.
     """
-    lookup = settle(lookup)
-    small = lookup.count() <= max_rows
+    lookup = lookup if settled else settle(lookup)
+    width = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in lookup.columns), F.lit(0))
+    size = lookup.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    small = size["n"] <= max_rows and size["bytes"] <= max_bytes
     return join_null_safe(df, F.broadcast(lookup) if small else lookup, on, how)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from curate.functions.vectors import first_chunk
 from curate.operators.sampling import sample_n
@@ -16,23 +16,67 @@ PREFIX_SAMPLE = 10_000
 
 
 def flatten_metadata(df: DataFrame) -> DataFrame:
-    """Promote the fields of ``metadata`` to columns; Spark then reads only those that are used."""
-    if "metadata" not in df.columns:
-        return df
-    return df.select(*[c for c in df.columns if c != "metadata"], "metadata.*")
-
+    """Promote the fields of ``metadata`` to columns; Spark then reads only those that are used.
 
-def read_documents(
-    spark: SparkSession, path: str | list[str], reader: str = "parquet", schema: StructType | None = DOCUMENT
-) -> DataFrame:
-    """Documents from Parquet or JSONL, metadata as columns."""
+    A field that is a column already is taken from the column where that is set.
+    """
+    if not isinstance(df.schema["metadata"].dataType if "metadata" in df.columns else None, StructType):
+        return df
+    fields = df.schema["metadata"].dataType.names
+    outer = [c for c in df.columns if c != "metadata"]
+    both = [F.coalesce(F.col(f"`{c}`"), F.col(f"metadata.`{c}`")).alias(c) if c in fields else F.col(f"`{c}`") for c in outer]
+    return df.select(*both, *[F.col(f"metadata.`{f}`").alias(f) for f in fields if f not in outer])
+
+
+def nest_metadata(df: DataFrame, outer: tuple[str, ...] = ("id", "text")) -> DataFrame:
+    """The document layout on disk: ``outer`` columns, and all others in ``metadata``."""
+    kept = [c for c in outer if c in df.columns]
+    inner = [F.col(f"`{c}`") for c in df.columns if c not in kept]
+    return df.select(*kept, F.struct(*inner).alias("metadata")) if inner else df.select(*kept)
+
+
+def merged_schema(found: StructType, known: StructType = DOCUMENT) -> StructType:
+    """``found`` with the types of ``known`` where it has a field of that name, and its missing fields added."""
+    by_name = {field.name: field for field in known}
+    fields = []
+    for field in found:
+        other = by_name.pop(field.name, None)
+        if other is None:
+            fields.append(field)
+        elif isinstance(other.dataType, StructType) and isinstance(field.dataType, StructType):
+            fields.append(StructField(field.name, merged_schema(field.dataType, other.dataType)))
+        else:
+            fields.append(other)
+    return StructType([*fields, *by_name.values()])
+
+
+def read_documents(spark: SparkSession, path: str | list[str], reader: str = "parquet", schema: StructType | None = None) -> DataFrame:
+    """Documents from Parquet or JSONL with every field of their metadata as a column.
+
+    Without a ``schema`` the files' own is used (for JSONL it takes a pass over the files), with the known fields of
+    ``DOCUMENT`` added as nulls where they are missing. Metadata that was written flat is read as it is.
+    """
     paths = [path] if isinstance(path, str) else list(path)
-    source = spark.read if schema is None else spark.read.schema(schema)
-    if reader == "parquet":
-        return flatten_metadata(source.parquet(*paths))
+    if reader not in ("parquet", "jsonl"):
+        raise ValueError(f"unknown reader {reader!r}, expected parquet or jsonl")
+    load = {"parquet": lambda r: r.parquet(*paths), "jsonl": lambda r: r.json(paths)}[reader]
+    if schema is not None:
+        return flatten_metadata(load(spark.read.schema(schema)))
+    found = load(spark.read).schema
+    nested = "metadata" in found.names
+    inner = DOCUMENT["metadata"].dataType
+    if nested:
+        # a known field that stands outside is not expected inside
+        inner = StructType([f for f in inner if f.name not in found.names])
+        known = StructType([*(f for f in DOCUMENT if f.name != "metadata"), StructField("metadata", inner)])
+    else:
+        known = StructType([*(f for f in DOCUMENT if f.name != "metadata"), *inner])
     if reader == "jsonl":
-        return flatten_metadata(source.json(paths))
-    raise ValueError(f"unknown reader {reader!r}, expected parquet or jsonl")
+        return flatten_metadata(load(spark.read.schema(merged_schema(found, known))))
+    # Parquet keeps the types of its files; what is missing is added
+    df = flatten_metadata(load(spark.read))
+    names = {f.name: f.dataType for f in known if f.name != "metadata"} | {f.name: f.dataType for f in inner}
+    return df.withColumns({name: F.lit(None).cast(kind) for name, kind in names.items() if name not in df.columns})
 
 
 def read_labelled_embeddings(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -71,6 +115,19 @@ def head_of_files(df: DataFrame, num_samples: int) -> DataFrame:
     return df.where(F.col("_metadata.row_index") < per_file)
 
 
-def prefix_sample(df: DataFrame, order: Column | str, n: int = PREFIX_SAMPLE) -> DataFrame:
-    """The first ``n`` documents in ``order``."""
-    return df.orderBy(order).limit(n)
+def prefix_sample(df: DataFrame, order: str, n: int = PREFIX_SAMPLE) -> DataFrame:
+    """The first ``n`` documents in order of the column ``order``; of equal keys at the end, any.
+
+    Only keys are sorted: the n-th one is found first, and full rows are filtered against it.
+    """
+    keys = df.select(F.col(order).alias("_key")).orderBy("_key").limit(n)
+    # at most n narrow rows
+    last = keys.agg(F.max("_key").alias("last"), F.count("*").alias("n"), F.count("_key").alias("set")).first()
+    if last["n"] < n:
+        return df
+    if last["last"] is None:
+        return df.where(F.col(order).isNull()).limit(n)
+    below = df.where(F.col(order).isNull() | (F.col(order) < F.lit(last["last"])))
+    at = df.where(F.col(order) == F.lit(last["last"]))
+    inside = keys.where(F.col("_key") == F.lit(last["last"])).count()
+    return below.unionByName(at.limit(inside))

@@ -50,7 +50,10 @@ def text_samples(rows: DataFrame, key: Column, code: Column) -> DataFrame:
     return rows.select(code.alias("code"), key.alias("sample_id"), F.col("text"))
 
 
-def conversation_samples(messages: DataFrame, per_root: int = 2, seed: int = 42) -> DataFrame:
-    """Root-to-leaf threads of a message forest, at most ``per_root`` per root."""
-    built = threads(messages, per_root, seed)
+def conversation_samples(messages: DataFrame, per_root: int = 2, seed: int = 42, order: Column | None = None) -> DataFrame:
+    """Root-to-leaf threads of a message forest, at most ``per_root`` per root.
+
+    With ``order``, the last of several messages of one id counts.
+    """
+    built = threads(messages, per_root, seed, order)
     return built.select(F.col("lang").alias("code"), F.col("leaf_id").alias("sample_id"), "text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curate.functions.text import has_text, label_only, labelled_line
 from curate.plans.select import Selection
-
+from curate.sources.documents import nest_metadata
 
 
 def write_documents(df: DataFrame, path: str, *partitions: str, mode: str = "errorifexists") -> None:
@@ -50,12 +50,16 @@ def write_selection(selection: Selection, root: str, jsonl: bool = False) -> tup
     """Write kept and rejected documents in one pass; returns the two folders.
 
     The keep flag is the partition column, so every document is scored once and lands in exactly one
-    folder.
+    folder. Columns other than id and text go back into ``metadata``, so that ``read_documents`` reads
+    the folders like the documents they came from.
     """
+    scored = selection.scored
+    if {"id", "text"} <= set(scored.columns):
+        scored = nest_metadata(scored.withColumnRenamed("keep", "_keep"), ("id", "text", "_keep")).withColumnRenamed("_keep", "keep")
     if jsonl:
-        write_jsonl(selection.scored, root, "keep", compressed=True)
+        write_jsonl(scored, root, "keep", compressed=True)
     else:
-        write_documents(selection.scored, root, "keep")
+        write_documents(scored, root, "keep")
     return f"{root}/keep=true", f"{root}/keep=false"
 
 

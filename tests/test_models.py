@@ -48,7 +48,7 @@ def test_one_shard_is_sequential_training(spark, rows):
 
 
 def test_many_shards_learn_and_reload(spark, rows):
-    trained = M.train_mlp(rows, rows, hidden=8, epochs=5, batch=16, rate=0.01, rows_per_shard=60)
+    trained = M.train_mlp(rows, rows, hidden=8, epochs=5, batch=16, rate=0.01, shards=10)
     losses = [h["loss"] for h in trained.history if h["part"] == "train"]
     assert losses[-1] < losses[0]
     positives = rows.where("label > 0").count() / 600

@@ -35,7 +35,7 @@ def test_cosine_scores(spark, docs, vectors):
 
 
 def test_passes_do_not_change_the_maximum(docs, vectors):
-    got = {r["id"]: r["score"] for r in max_similarity(docs, "id", docs.where("id < 50"), "id", rows_per_pass=8).collect()}
+    got = {r["id"]: r["score"] for r in max_similarity(docs, "id", docs.where("id < 50"), bytes_per_pass=512).collect()}
     want = cosine(vectors, vectors[:50])
     assert len(got) == 402 and all(abs(got[i] - want[i]) < 1e-8 for i in range(400))
 
