@@ -1,0 +1,116 @@
+"""Secrets and main text."""
+
+import hashlib
+
+import pytest
+
+from curate.llm import html_text, secret_scan
+from curate.llm.secret_scan import KINDS, Automaton, FormatModel, all_spans, base_spans, mask
+
+HEX = "0641917ea4e9feb9cda83477b57ac2654884f485"
+
+
+def named(text):
+    return [(KINDS[k], s, e) for s, k, e, _ in base_spans(text)]
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("", []),
+        ('token = "%s"' % HEX, [("assign", 0, 49), ("hex", 9, 49)]),
+        ("é PassWord:abcdef", [("assign", 2, 17)]),
+        ("password=abcde", []),
+        ("api_key = 'x.y-z_1' apikey=123456", [("assign", 0, 18), ("assign", 20, 33)]),
+        ("paſſword=abcdefg", []),
+        ("AKIA" + "A" * 15, []),
+        ("xAKIA" + "B2" * 8, [("access", 1, 21)]),
+        ("f" * 23 + "g" + "0" * 24, [("hex", 24, 48)]),
+        ("secret=token=abcdef", [("assign", 0, 19)]),
+    ],
+)
+def test_base_spans(text, spans):
+    assert named(text) == spans
+
+
+def test_automaton_is_a_distribution_of_its_examples():
+    examples = ["ab" * n for n in range(1, 30)] * 4
+    automaton = Automaton(examples)
+    assert len(automaton.states) < 12
+    assert automaton.score("abababab") > automaton.score("babababa") + 2
+    for end, steps in automaton.states:
+        assert 0.9 < 2**end + sum(2**p for p, _ in steps.values()) < 1.2
+
+
+def model():
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(200)]
+    automaton = Automaton(keys[:160])
+    return FormatModel([("hex", automaton, sorted(automaton.score(k) for k in keys[160:])[2], 40, 40)])
+
+
+def test_candidates_of_a_known_format_are_added_and_others_left():
+    known = model()
+    other = "0641917EA4E9FEB9CDA83477B57AC2654884F485"
+    text = f"see {HEX} and {other} and the-very-long-hyphenated-word-2 here"
+    assert [(k, s) for s, k, _ in all_spans(text, known)] == [(2, 4)]
+    # the same signs where the pattern doesn't reach: a run that is wider than the pattern's own match
+    assert all_spans("nothing of the kind", known) == []
+    assert mask(f"a {HEX} b token={HEX} c", known) == "a [SECRET] b [SECRET] c"
+    assert mask(None, known) is None and mask("", known) == ""
+
+
+def test_formats_are_learned_and_rows_kept(spark):
+    rows = [(i, f"key {hashlib.sha1(str(i).encode()).hexdigest()} end", "x") for i in range(60)] + [(None, None, "x"), (3, "", "x"), (4, "word " * 50000 + "password=hunter22", "x"), (4, "AKIA" + "Q" * 16, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, secrets string")
+    learned = secret_scan.learn_formats(docs)
+    assert [f[0] for f in learned.formats] == ["hex"]
+    got = secret_scan.digest(docs, learned).collect()
+    assert len(got) == len(rows)
+    assert sum(r.n_hex for r in got) == 60 and sum(r.n_assign for r in got) == 1 and sum(r.n_access for r in got) == 1
+    blank = next(r for r in got if r.doc_id is None)
+    assert (blank.spans, blank.base_sha256) == ("", hashlib.sha256(b"").hexdigest())
+    span = next(r for r in got if r.doc_id == 0)
+    assert span.spans == "hex:4:44" and span.base_sha256 == hashlib.sha256(b"hex:4:44").hexdigest()
+    none = spark.createDataFrame([], docs.schema)
+    assert secret_scan.digest(none, secret_scan.learn_formats(none)).count() == 0
+
+
+ARTICLE = "<article><h1>A  title</h1><p><b>First &amp; best<br>line.<p>Second &lt;b&gt;.</p>%s</article>"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (None, ""),
+        ("", ""),
+        ("<p></p><script>var t='<p>x</p>'</script>", ""),
+        ("plain words only", "plain words only"),
+        (
+            "<html><head><title>no</title><style>p{}</style></head><body><nav><ul><li><a href='/'>Menu</a></li></ul></nav><!-- x --><div class='ad'>Buy this now, it is good.</div>"
+            + ARTICLE % ""
+            + "<aside>More of it</aside><footer>&copy; x</footer></body></html>",
+            "A title\n\nFirst & best line.\n\nSecond <b>.",
+        ),
+        (ARTICLE % "<div class='notice'>Cookies!</div><form><p>Name</p></form><section class='comments'><p>Nice one</p></section>", "A title\n\nFirst & best line.\n\nSecond <b>."),
+        (ARTICLE % "<div><p>Short.</p></div>", "A title\n\nFirst & best line.\n\nSecond <b>.\n\nShort."),
+        (
+            "<body><div id='top'><a href='/a'>Home</a> <a href='/b'>News</a></div><div id='content'><p>" + "Many words of content stand here. " * 9 + "</p><div><p>" + "And more of them follow. " * 9 + "</p></div><p>End.</p></div><div id='x'><a href='/c'>Other things to read</a></div></body>",
+            ("Many words of content stand here. " * 9).strip() + "\n\n" + ("And more of them follow. " * 9).strip() + "\n\nEnd.",
+        ),
+    ],
+)
+def test_main_text(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_smoothing_and_threshold():
+    assert html_text.smooth([1.0, 1.0, 1.0]) == pytest.approx([1, 1, 1])
+    assert 2 < html_text.threshold([1, 1.5, 1, 9, 10, 9.5]) < 9
+
+
+def test_pages_keep_their_rows(spark):
+    rows = [(1, "u", ARTICLE % "", "x"), (None, None, None, "x"), (1, "u", ARTICLE % "", "x"), (2, "v", "<p>" + "long text " * 100000, "x")]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert len(got) == 4 and all(len(r.text) == r.n_chars for r in got)
+    assert max(r.n_chars for r in got) == len("long text " * 100000) - 1
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
