@@ -6,13 +6,12 @@ import json
 import os
 import re
 
-import numpy as np
 import regex
 
 from curate.llm.bytes import byte_letters
 
 # Words whose ids a worker remembers; when there are more, it starts anew.
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 1_000_000
 LONG_WORD = 64
 # Python's split() also cuts at these separators, which the tokenizers' white space doesn't hold.
 _CONTROLS = re.compile("[\x1c-\x1f]")
@@ -22,28 +21,34 @@ _GAPS = re.compile("[ \n\t\r]+")
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Composed Latin letters whose lower case is one letter: normalization leaves them as they are.
 _LATIN = re.compile("[!-~\xa1-\u012f\u0132-\u0148\u014a-\u017e]+")
+_OTHER = re.compile("[^\t\n\r -~\xa1-\u012f\u0132-\u0148\u014a-\u017e]")
+
+# Signs that are neither letters nor digits.
+MARKS = ".,;:!?%*#$&"
 
 _open: dict[str, WordEncoder] = {}
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Encodes with a tokenizer that drops white space and never joins across it.
 
     For such a tokenizer the ids of a text are those of its words in a row, so every distinct word is
-    encoded once and remembered. Words of Latin letters are cut into their pieces first, as the tokenizer
-    would, since far fewer pieces are new than words; other words go through the whole tokenizer.
-    ``bytes_of`` gives little-endian ids of ``dtype``.
+    encoded once and remembered: the encoder is the dictionary of what it knows. Words of Latin letters are cut
+    into their pieces first, as the tokenizer would, since far fewer pieces are new than words; other words go
+    through the whole tokenizer. ``bytes_of`` gives little-endian ids of ``dtype``.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.dtype = id_type(self.library.get_vocab_size(with_added_tokens=True))
-        self.memory: dict[str, bytes] = {}
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.dtype = id_type(size)
+        self.raw = [i.to_bytes(int(self.dtype[-1]), "little") for i in range(size)]
         self.pieces: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -61,34 +66,39 @@ class WordEncoder:
         return _open[path]
 
     def bytes_of(self, texts: list[str]) -> list[bytes]:
-        split = [_GAPS.split(text) if _CONTROLS.search(text) else text.split() for text in texts]
-        memory = self.memory
-        if len(memory) > MEMORY_WORDS:
-            memory.clear()
-        missing = [*set().union(*split).difference(memory)]
-        rare = []
-        for word in missing:
-            if self.cut and _LATIN.fullmatch(word) and not ("|" in word and any(t in word for t in self.special)):
-                memory[word] = b"".join(map(self._piece, self.cut.findall(word.lower())))
-            else:
-                rare.append(word)
-        for at in range(0, len(rare), 4096):
-            part = rare[at : at + 4096]
-            found = self.library.encode_batch_fast(part, add_special_tokens=False)
-            memory.update(zip(part, [np.array(e.ids, self.dtype).tobytes() for e in found], strict=True))
-        get = memory.__getitem__
-        ids = [b"".join(map(get, words)) for words in split]
-        for word in missing:
-            if len(word) > LONG_WORD:
-                del memory[word]
+        ids = []
+        for text in texts:
+            if len(self) > MEMORY_WORDS:
+                self.clear()
+            if self.cut and (text.isascii() or not _OTHER.search(text)) and not ("<|" in text and any(t in text for t in self.special)):
+                # of such letters the lower case is taken one by one: fewer words are new
+                text = text.lower()
+            words = _GAPS.split(text) if _CONTROLS.search(text) else text.split()
+            ids.append(b"".join(map(self.__getitem__, words)))
         return ids
 
+    def __missing__(self, word: str) -> bytes:
+        if self.cut and _LATIN.fullmatch(word) and not ("|" in word and any(t in word for t in self.special)):
+            # mostly letters, and marks after them that are one piece
+            core = word.rstrip(MARKS)
+            if core.isalpha():
+                found = self._piece(core.lower())
+                if len(core) < len(word):
+                    found += self._piece(word[len(core) :])
+            else:
+                found = b"".join(map(self._piece, self.cut.findall(word.lower())))
+        else:
+            ids = self.library.encode(word, add_special_tokens=False).ids
+            found = b"".join([self.raw[i] for i in ids])
+        if len(word) <= LONG_WORD:
+            self[word] = found
+        return found
+
     def _piece(self, piece: str) -> bytes:
         known = self.pieces.get(piece)
         if known is None:
             letters = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            width = int(self.dtype[-1])
-            known = b"".join([t.id.to_bytes(width, "little") for t in self.model.tokenize(letters)])
+            known = b"".join([self.raw[t.id] for t in self.model.tokenize(letters)])
             if len(piece) <= LONG_WORD:
                 if len(self.pieces) > MEMORY_WORDS:
                     self.pieces.clear()
