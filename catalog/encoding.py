@@ -14,14 +14,16 @@ from curate.functions.vectors import first_chunk
 from curate.operators.embedding import HashedWords, chunk_rows, collect_chunks, embed
 from curate.operators.rehydrate import rehydrate, upsampling_weight
 from curate.operators.tokens import shard_by_tokens, tokenize
-from curate.session import settle
+from curate.session import join_lookup, settle
 
 WORDS_CTE = f"""
 worded AS (
   SELECT *, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS words FROM documents)
 """
-SIZE = 100
-DIM = 8
+SIZE = 510
+DIM = 64
+# Vectors are single floats: decides ties of rounding, and is less than what lies between two sums over 510 words.
+_UP = 6e-8
 
 
 @query(f"""WITH {WORDS_CTE}, starts AS (
@@ -42,7 +44,7 @@ sizes AS (
   SELECT doc_id, c AS chunk_no, least({SIZE}, len(words) - c * {SIZE}) AS n
   FROM (SELECT doc_id, words, unnest(range(0, (greatest(len(words), 1) + {SIZE - 1}) // {SIZE})) AS c FROM worded)),
 vectors AS (
-  SELECT s.doc_id, s.chunk_no, list(round(coalesce(c.total, 0) / greatest(s.n, 1e-9)::DOUBLE, 4) ORDER BY d) AS vector
+  SELECT s.doc_id, s.chunk_no, list(round(coalesce(c.total, 0) / greatest(s.n, 1e-9)::DOUBLE + {_UP}, 4) ORDER BY d) AS vector
   FROM sizes s CROSS JOIN (SELECT unnest(range(0, {DIM})) AS d)
   LEFT JOIN cells c ON c.doc_id = s.doc_id AND c.chunk_no = s.chunk_no AND c.place = d GROUP BY ALL)
 """
@@ -50,7 +52,7 @@ vectors AS (
 
 def _rounded(embeddings):
     return F.transform(
-        embeddings, lambda vector: F.transform(vector, lambda x: F.round(x.cast("double"), 4))
+        embeddings, lambda vector: F.transform(vector, lambda x: F.round(x.cast("double") + _UP, 4))
     )
 
 
@@ -102,13 +104,14 @@ def upsampling_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rehydrated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents repeated by the size of their cluster of equal texts.
 
-    Cluster sizes are counted on digests and joined back; copies of one text are counted before
-    they meet, so a text that fills a third of the table is no hot group.
+    Cluster sizes are counted on digests; only those of more than one copy are joined back, and a text that
+    fills a third of the table is one row among them. All other documents have size one.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    digest = F.md5(F.lower(F.trim("text")))
-    sizes = docs.groupBy(digest.alias("digest")).agg(F.count("*").alias("size"))
-    sized = docs.withColumn("digest", digest).join(sizes, "digest").drop("digest")
+    digest = F.md5(F.lower(F.trim("text"))).alias("digest")
+    sizes = docs.select(digest).groupBy("digest").agg(F.count("*").alias("size")).where("size > 1")
+    sized = join_lookup(docs.select("doc_id", "text", digest), sizes, ["digest"], "left").drop("digest")
+    sized = sized.withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
     return rehydrate(sized, F.col("size")).select("doc_id", "text", "size", "copy_no")
 
 

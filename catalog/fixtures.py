@@ -46,7 +46,7 @@ pairs AS (
 CHOICES_CTE = """
 choices AS (
   SELECT item_id, text AS question,
-         [substr(text, 1, 12), substr(text, 13, 12), substr(text, 25, 12), substr(text, 37, 12)] AS choices,
+         [substr(text, 1 + k * ((length(text) + 3) // 4), (length(text) + 3) // 4) for k in range(0, 4)] AS choices,
          item_id % 5 AS answer,
          CASE item_id % 4 WHEN 0 THEN 'fra' WHEN 1 THEN 'deu' WHEN 2 THEN 'spa' ELSE 'eng' END AS language
   FROM benchmark)
@@ -56,8 +56,10 @@ LETTERED_CTE = """
 lettered AS (
   SELECT item_id, '  ' || text || ' ' AS "Question",
          CASE WHEN item_id % 11 = 0 THEN NULL ELSE ' ' || substr('ABCDE', (item_id % 5 + 1)::INT, 1) END AS "Answer",
-         substr(text, 1, 12) AS "A", substr(text, 13, 12) AS "B", substr(text, 25, 12) AS "C",
-         substr(text, 37, 12) AS "D", language
+         substr(text, 1 + 0 * ((length(text) + 3) // 4), (length(text) + 3) // 4) AS "A",
+         substr(text, 1 + 1 * ((length(text) + 3) // 4), (length(text) + 3) // 4) AS "B",
+         substr(text, 1 + 2 * ((length(text) + 3) // 4), (length(text) + 3) // 4) AS "C",
+         substr(text, 1 + 3 * ((length(text) + 3) // 4), (length(text) + 3) // 4) AS "D", language
   FROM choices_lang)
 """
 
@@ -139,9 +141,10 @@ def instruction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def choice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions with four choices and a one-based answer; 0 stands for the last choice."""
+    """Questions with four choices, the quarters of their text, and a one-based answer; 0 stands for the last choice."""
     items = table(spark, sf_dir, "benchmark")
-    choices = F.array(*[F.substring("text", start, 12) for start in (1, 13, 25, 37)])
+    quarter = F.ceil(F.length("text") / 4).cast("int")
+    choices = F.array(*[F.substring(F.col("text"), F.lit(1) + F.lit(k) * quarter, quarter) for k in range(4)])
     return items.select(
         "item_id",
         F.col("text").alias("question"),
