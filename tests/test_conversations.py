@@ -3,6 +3,8 @@ from functools import reduce
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from curate.operators import conversations as C
 
 
@@ -65,3 +67,10 @@ def test_hot_root_is_capped(spark):
     messages = [("a", "hub", None, "hub")] + [("a", str(i), "hub", str(i)) for i in range(500)]
     got = run(spark, messages, per_root=2)
     assert len(got) == 2 and got <= expected(messages)
+
+
+def test_the_last_of_several_messages_counts(spark):
+    messages = [("a", "r", None, "old", 1), ("a", "r", None, "new", 2), ("a", "l", "r", "x", 1)]
+    df = spark.createDataFrame(messages, "lang string, message_id string, parent_id string, text string, version int")
+    [row] = C.threads(df, order=F.col("version")).collect()
+    assert (row["text"], row["n_messages"]) == ("new x", 2)

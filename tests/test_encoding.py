@@ -9,6 +9,7 @@ from curate.operators.rehydrate import WEIGHTS, upsampling_weight
 from curate.operators.tokens import batch_tokenizer, shard_by_tokens, tokenize, write_shards
 from curate.sources.documents import choose_files
 from curate.sources.sinks import finished, unfinished, write_documents
+from curate.operators.rehydrate import rehydrate
 from curate.session import scratch_path
 
 
@@ -93,8 +94,17 @@ def test_library_tokenizer_and_written_shards(spark):
     tokens = tokenize(docs, "id", tokenizer=encode).cache()
     assert {r["id"]: r["n_tokens"] for r in tokens.collect()} == {**{i: i for i in range(20)}, 20: 0}
     path = scratch_path(spark, "shards")
-    write_shards(shard_by_tokens(tokens, "id", 50), path)
+    write_shards(shard_by_tokens(tokens, "id", 50), path, "id")
     written = spark.read.parquet(path)
     assert written.count() == 21
     assert written.agg(F.max("shard")).first()[0] == 190 // 50
-    assert len(written.inputFiles()) == written.select("shard").distinct().count()
+    # files in order of their names hold the rows of a shard in order of the key
+    rows = written.select("shard", "id", "_metadata.file_name", "_metadata.row_index").collect()
+    placed = [(r["shard"], r["id"]) for r in sorted(rows, key=lambda r: (r["shard"], r["file_name"], r["row_index"]))]
+    assert placed == sorted(placed)
+
+
+def test_a_document_without_a_size_stays(spark):
+    docs = spark.createDataFrame([(1, 3), (2, None), (3, 1)], "id int, size int")
+    got = sorted((r["id"], r["copy_no"]) for r in rehydrate(docs, F.col("size")).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)]

@@ -76,3 +76,13 @@ def test_ngram_classifier_learns_and_reloads(spark):
     model.save(path)
     again = NgramClassifier.load(path).score(samples).collect()
     assert again == model.score(samples).collect()
+
+
+def test_a_long_ngram_model_keeps_its_length(spark):
+    data = [("positive" if i % 2 else "negative", " ".join("ab"[(i + k) % 2] for k in range(6)) + f" {i % 5}") for i in range(40)]
+    samples = spark.createDataFrame(data, "label string, text string")
+    model = train_ngram(samples, lang="cmn_Hani", iterations=5)
+    path = scratch_path(spark, "long")
+    model.save(path)
+    loaded = NgramClassifier.load(path)
+    assert loaded.longest == 4 and loaded.score(samples).collect() == model.score(samples).collect()

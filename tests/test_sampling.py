@@ -131,3 +131,77 @@ def test_large_lookups_are_not_broadcast(spark):
     lookup = spark.range(7).select(F.col("id").alias("g"), (F.col("id") * 2).alias("x"))
     big = join_lookup(df, lookup, ["g"], max_rows=3)
     assert {tuple(r) for r in big.collect()} == {tuple(r) for r in join_lookup(df, lookup, ["g"]).collect()}
+
+
+@pytest.mark.parametrize("n", [1, 9_999, 10_000, 10_001, 59_999, 60_000, 70_000])
+def test_exact_n_of_a_bag(spark, n):
+    bag = spark.range(60_000).select((F.col("id") % 6_000).alias("key"))
+    assert S.sample_n(bag, n, "key").count() == min(n, 60_000)
+
+
+def test_a_quota_is_exact_for_bags_and_hot_keys(spark):
+    rows = spark.range(9_000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50).alias("key"), (F.col("id") % 2).alias("g")
+    )
+    for n in (7, 100, 2_000):
+        got = {r["g"]: r["count"] for r in S.sample_per_group(rows, ["g"], n, "key").groupBy("g").count().collect()}
+        assert got == {0: n, 1: n}
+
+
+def test_key_columns_keep_their_borders_and_nulls(spark):
+    rows = [("a:b", "c"), ("a", "b:c"), (None, "c"), ("c", None), ("\\N", "c"), (None, None)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(S.hash_order("x", "y").alias("h")).distinct().count() == len(rows)
+
+
+def test_outliers_and_infinities_do_not_blur_a_threshold(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=25_000), [1e15, -1e300, 1e300, 5e-324]])
+    df = spark.createDataFrame([("g", float(v)) for v in values], "g string, s double").repartition(8)
+    got = Q.corpus_threshold(df, "s", 0.1, ["g"]).first()
+    assert got["threshold"] == pytest.approx(np.quantile(values, 0.9), abs=1e-12) and got["n_sample"] == len(values)
+    more = df.unionByName(spark.createDataFrame([("g", float("inf")), ("g", float("-inf"))], df.schema))
+    assert Q.corpus_threshold(more, "s", 0.5, ["g"]).first()["threshold"] == pytest.approx(np.quantile(values, 0.5))
+
+
+def test_ranks_on_either_side_of_a_gap(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FEW_SCORES", 4)
+    values = [float(v) for v in [*range(10), *range(1000, 1010)]]
+    df = spark.createDataFrame([(g, v) for g in "ab" for v in values] + [("c", 3.0)] * 50, "g string, s double")
+    got = {r["g"]: r["threshold"] for r in Q.corpus_threshold(df, "s", 0.5, ["g"]).collect()}
+    assert got == {"a": 504.5, "b": 504.5, "c": 3.0}
+
+
+def test_prefix_sample_takes_the_first_keys(spark):
+    from curate.sources.documents import prefix_sample
+
+    df = spark.createDataFrame([(i % 10, "x") for i in range(30)] + [(None, "y")], "k int, t string")
+    got = sorted((r["k"] if r["k"] is not None else -1) for r in prefix_sample(df, "k", 8).collect())
+    assert got == [-1, 0, 0, 0, 1, 1, 1, 2]
+    assert prefix_sample(df, "k", 100).count() == 31
+
+
+def test_the_side_with_a_hot_group_is_split(spark):
+    from curate.session import join_lookup
+
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = spark.range(200_000, numPartitions=8).select(
+            F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1000).alias("g"), F.md5(F.col("id").cast("string")).alias("text")
+        )
+        lookup = spark.range(1000).select(F.col("id").alias("g"), F.lit(1).alias("x"))
+        joined = join_lookup(rows, lookup, ["g"], max_rows=1)
+        assert joined.agg(F.sum("x")).first()[0] == 200_000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

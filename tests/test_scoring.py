@@ -62,3 +62,20 @@ def test_scoring_runs_once_without_a_shuffle(docs):
     plan = select_top(docs, model, sample=docs).kept._jdf.queryExecution().executedPlan().toString()
     assert plan.split("InMemoryRelation")[0].count("ArrowEvalPython") == 1
     assert "Exchange" not in plan.split("InMemoryRelation")[0]
+
+
+def test_one_and_many_passes_give_a_row_per_key(spark):
+    rng = np.random.default_rng(4)
+    wide = spark.createDataFrame([(i % 5, rng.normal(size=1024).tolist()) for i in range(40)], "id int, embedding array<double>")
+    one = {r["id"]: r["score"] for r in max_similarity(wide, "id", wide.limit(30)).collect()}
+    many = {r["id"]: r["score"] for r in max_similarity(wide, "id", wide.limit(30), bytes_per_pass=32 * 1024).collect()}
+    assert len(one) == 5 and one == pytest.approx(many)
+
+
+def test_a_score_column_is_replaced_and_a_sample_bounded(spark, docs, monkeypatch):
+    model = MlpScorer(np.eye(6), np.zeros(6), np.ones(6), -2.0)
+    again = select_top(docs.withColumn("quality_score", F.lit(9.0)), model).scored
+    assert again.columns.count("quality_score") == 1 and again.where("quality_score > 1").isEmpty()
+    monkeypatch.setattr("curate.plans.select.THRESHOLD_SAMPLE", 100)
+    with pytest.raises(ValueError, match="sample"):
+        select_top(docs, model, sample=docs)
