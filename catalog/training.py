@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.fixtures import labelled_documents
 from catalog.registry import query, table
+from catalog.selecting import DIM, HIDDEN, small_network
 from curate.models.mlp import evaluate, load_models, save_models, train_mlp
 from curate.models.ngram import (
     NEGATIVE,
@@ -52,6 +54,41 @@ def _facts(spark: SparkSession, history: list[dict]) -> DataFrame:
     return spark.createDataFrame(found, "part string, model string, epochs int, loss_fell boolean, in_range boolean")
 
 
+# One full-batch step from closed-form weights, without dropout: the gradient of the mean cross-entropy by hand, and
+# the first AdamW update, in which the moments cancel to the sign of the gradient.
+_RATE = 0.01
+_ONE_STEP = f"""WITH units AS (
+  SELECT vec_id, embedding, CASE WHEN label < 5 THEN 1.0::DOUBLE ELSE 0 END AS y, j, (j * 5 % 7 - 3) / 2.0::DOUBLE AS w2,
+    list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * ((((i - 1) * 7 + j * 3) % 11 - 5) / 5.0::DOUBLE))) + (j - 1) / 10.0::DOUBLE AS a
+  FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS j)),
+errors AS (
+  SELECT vec_id, (1 / (1 + exp(-(sum(greatest(a, 0) * w2) + 0.05))) - any_value(y)) / (SELECT count(*) FROM embeddings) AS e FROM units GROUP BY vec_id),
+backward AS (
+  SELECT u.*, e, CASE WHEN a > 0 THEN e * w2 ELSE 0 END AS b FROM units u JOIN errors USING (vec_id)),
+spread AS (
+  SELECT j, b, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM backward),
+gradients AS (
+  SELECT 'w1' AS part, j, k::INT AS k, ((k * 7 + j * 3) % 11 - 5) / 5.0::DOUBLE AS w, sum(b * x) AS g FROM spread GROUP BY j, k
+  UNION ALL SELECT 'b1', j, 0, (j - 1) / 10.0::DOUBLE, sum(b) FROM backward GROUP BY j
+  UNION ALL SELECT 'w2', j, 0, w2, sum(e * greatest(a, 0)) FROM backward GROUP BY j, w2
+  UNION ALL SELECT 'b2', 0, 0, 0.05, sum(e) FROM errors)
+SELECT part, j, k, round(w * (1 - {_RATE} * 0.01) - {_RATE} * g / (abs(g) + 1e-8), 6) AS weight FROM gradients"""
+
+
+@query(_ONE_STEP)
+def mlp_one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every weight after one step over all rows, from given weights."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), "embedding", (F.col("label") < 5).cast("double").alias("label")
+    )
+    start = small_network()
+    flat = np.concatenate([start.w1.ravel(), start.b1, start.w2, [start.b2]])
+    trained = train_mlp(rows, hidden=HIDDEN, epochs=1, batch=rows.count(), rate=_RATE, initial=flat, dropout=0.0).model
+    found = [("w1", j, k, float(trained.w1[j, k])) for j in range(HIDDEN) for k in range(DIM)]
+    found += [(part, j, 0, float(w)) for part, ws in (("b1", trained.b1), ("w2", trained.w2), ("b2", [trained.b2])) for j, w in enumerate(ws)]
+    return spark.createDataFrame(found, "part string, j int, k int, weight double").withColumn("weight", F.round("weight", 6))
+
+
 @query(_TRAINED.format(models="['all']"))
 def mlp_training_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All defaults: 256 hidden units, 6 epochs."""

@@ -146,7 +146,7 @@ def shard_rows(
 
 
 def _epoch(dealt: DataFrame, states: dict[str, np.ndarray], steps: dict[str, int], dim: int, hidden: int,
-           epoch: int, batch: int, rate: float, seed: int) -> DataFrame:
+           epoch: int, batch: int, rate: float, seed: int, dropout: float = DROPOUT) -> DataFrame:
     """One row of new state per shard."""
     shared = dealt.sparkSession.sparkContext.broadcast((states, steps))
 
@@ -168,7 +168,7 @@ def _epoch(dealt: DataFrame, states: dict[str, np.ndarray], steps: dict[str, int
         seen, losses = 0, 0.0
         for rows, labels in _minibatches(every(), dim, batch):
             step += 1
-            keep = (rng.random((len(rows), hidden)) >= DROPOUT) / (1 - DROPOUT)
+            keep = (rng.random((len(rows), hidden)) >= dropout) / (1 - dropout)
             loss, grad = gradient(state[0], rows, labels, hidden, keep)
             adamw_step(state, grad, step, rate)
             seen += len(rows)
@@ -275,26 +275,30 @@ def train_mlp(
     rate: float = LEARNING_RATE,
     seed: int = SEED,
     shards: int = 1,
+    initial: np.ndarray | None = None,
+    dropout: float = DROPOUT,
 ) -> Training:
     """Train one model, or one per value of ``by``; metrics of train and valid after every epoch.
 
     With one shard per model (the default) its rows are gone through in sequence, whatever their number, by one task;
     models train side by side. More ``shards`` are local training with averaging after every epoch, another
     algorithm that must be asked for. Models are trained in parts whose states fit into one broadcast.
+    ``initial`` are flat weights to start from (first layer by hidden unit, its biases, second layer, its
+    bias) instead of seeded ones.
     """
     dealt, numbers = shard_rows(train, key, embedding, label, by, shards)
     dim = dealt.select(F.size("embedding")).first()[0]
-    flat = initial_weights(dim, hidden, seed)
+    flat = initial_weights(dim, hidden, seed) if initial is None else np.asarray(initial, float)
     result = Training({})
     names = list(numbers)
     per_part = max(1, MAX_MODEL_BYTES // (3 * flat.nbytes))
     for at in range(0, len(names), per_part):
         some = names[at : at + per_part]
-        _train_part(dealt, train, valid, {name: numbers[name] for name in some}, flat, result, dim, embedding, label, by, hidden, epochs, batch, rate, seed)
+        _train_part(dealt, train, valid, {name: numbers[name] for name in some}, flat, result, dim, embedding, label, by, hidden, epochs, batch, rate, seed, dropout)
     return result
 
 
-def _train_part(dealt, train, valid, shards, flat, result, dim, embedding, label, by, hidden, epochs, batch, rate, seed) -> None:
+def _train_part(dealt, train, valid, shards, flat, result, dim, embedding, label, by, hidden, epochs, batch, rate, seed, dropout) -> None:
     """Epochs of some models; their scorers and metrics go into ``result``."""
     names = list(shards)
     group = F.col(by).cast("string") if by else F.lit("all")
@@ -303,7 +307,7 @@ def _train_part(dealt, train, valid, shards, flat, result, dim, embedding, label
     steps = dict.fromkeys(names, 0)
     counts = {r["model"]: r["count"] for r in mine.groupBy("model").count().collect()}
     for epoch in range(epochs):
-        output = _epoch(mine, states, steps, dim, hidden, epoch, batch, rate, seed)
+        output = _epoch(mine, states, steps, dim, hidden, epoch, batch, rate, seed, dropout)
         averaged = _averaged(output, sum(len(s) for s in shards.values()))
         states = {name: state for name, (state, _) in averaged.items()}
         for name, numbers in shards.items():
