@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from curate.session import scratch_path
 
 # Bytes of text that are held as arrays at a time; one longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -78,16 +78,22 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         first = end
 
 
-def word_hashes(
-    data: np.ndarray, bounds: np.ndarray, table: np.ndarray, kinds: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Hash every run of bytes of one kind above 0; runs end at rows. Returns hashes and their bounds per row."""
+def run_hashes(
+    data: np.ndarray, bounds: np.ndarray, table: np.ndarray, kinds: np.ndarray, single: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash every run of bytes of one kind above 0; runs end at rows, and bytes of kind ``single`` stand alone.
+
+    Returns hashes, begins and ends of the runs, and the bounds of rows among them.
+    """
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none, none, np.zeros(len(bounds), np.int64)
     kind = kinds[data]
     begins = np.empty(len(kind), bool)
     begins[0] = True
     np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    if single:
+        begins |= kind == single
     heads = bounds[:-1][bounds[:-1] < len(data)]
     begins[heads] = True
     starts = np.flatnonzero(begins)
@@ -95,10 +101,17 @@ def word_hashes(
     values *= powers(_PRIME, len(data))
     sums = np.add.reduceat(values, starts)
     del values
-    real = kind[starts] > 0
+    real = np.flatnonzero(kind[starts] > 0)
+    ends = np.append(starts[1:], len(data))[real]
     starts, sums = starts[real], sums[real]
     hashes = mix(sums * powers(_INVERSE, len(data))[starts])
-    return hashes, np.searchsorted(starts, bounds)
+    return hashes, starts, ends, np.searchsorted(starts, bounds)
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``run_hashes``, and the bounds of rows among them."""
+    hashes, _, _, rows = run_hashes(data, bounds, table, kinds)
+    return hashes, rows
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ follow-the-regularised-leader with an elastic net, and calibrated by a temperatu
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -224,20 +225,15 @@ def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, lang_score double")
-    def predict(texts):
-        import pandas as pd
-
-        model = shared.value
-        p, known = model.probabilities(pa.Array.from_pandas(texts, type=pa.string()))
-        if not model.languages:
-            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "lang_score": [0.0] * len(texts)})
-        best = p.argmax(axis=1)
-        return pd.DataFrame(
-            {
-                "lang_pred": [model.languages[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), known.tolist(), strict=True)],
-                "lang_score": np.where(known, p[np.arange(len(p)), best], 0.0),
-            }
-        )
-
-    return docs.withColumn("_language", predict(F.col("text").cast("string"))).withColumns({"lang_pred": F.col("_language.lang_pred"), "lang_score": F.col("_language.lang_score")}).drop("_language")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            p, known = shared.value.probabilities(texts)
+            names = [*shared.value.languages, UNKNOWN]
+            known &= len(names) > 1
+            best = np.where(known, p.argmax(axis=1) if len(names) > 1 else 0, len(names) - 1)
+            scores = np.where(known, p[np.arange(len(p)), np.minimum(best, len(names) - 2)] if len(names) > 1 else 0.0, 0.0)
+            found = pa.array([names[i] for i in best.tolist()], pa.string())
+            yield pa.StructArray.from_arrays([found, pa.array(scores)], ["lang_pred", "lang_score"])
+
+    language = F.arrow_udf(predict, "lang_pred string, lang_score double").asNondeterministic()
+    return docs.withColumn("_language", language(F.col("text").cast("string"))).withColumns({"lang_pred": F.col("_language.lang_pred"), "lang_score": F.col("_language.lang_score")}).drop("_language")

@@ -125,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096)
 
     def cut(batches):
         width = int(dtype[-1])
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             out: list[tuple] = []
             for doc, raw, part, local in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "part", "local")), strict=True):
                 ids = np.frombuffer(raw, dtype).astype("<u4")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,13 +146,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_R
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """``docs`` with ``quality_score``; one pass, no shuffle. A null or empty text gets the model's bias alone."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(shared.value.scores(texts))
 
-        return pd.Series(shared.value.scores(pa.Array.from_pandas(texts, type=pa.string())))
-
-    return docs.withColumn("quality_score", score(F.col("text").cast("string")))
+    return docs.withColumn("quality_score", F.arrow_udf(score, "double").asNondeterministic()(F.col("text").cast("string")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curate.llm.common import keep_schema, stored
+from curate.llm.words import text_batches
 
 # The kinds, in their order, and their patterns.
 KINDS = ("assign", "access", "hex", "format")
@@ -154,7 +156,7 @@ def learn_formats(docs: DataFrame, per_kind: int = CREDENTIALS) -> FormatModel:
 
     def find(batches):
         for batch in batches:
-            seen = {(k, value) for text in batch.column(0).to_pylist() if text for _, k, _, value in base_spans(text)}
+            seen = {(k, value) for _, _, some in text_batches(batch.column(0)) for text in some for _, k, _, value in base_spans(text)}
             yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in seen], pa.int64()), "value": pa.array([v for _, v in seen], pa.string())})
 
     values = docs.select(F.col("`text`").cast("string").alias("text")).mapInArrow(find, "kind long, value string").distinct()
@@ -201,13 +203,17 @@ def scan_secrets(docs: DataFrame, model: FormatModel) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<struct<kind:string,start:long,end:long>>")
-    def scan(texts):
-        import pandas as pd
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-        return pd.Series([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in all_spans(text, shared.value)] if text else [] for text in texts])
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = []
+            for _, _, some in text_batches(texts):
+                found += [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in all_spans(text, shared.value)] for text in some]
+            yield pa.array(found, kind)
 
-    return docs.withColumn("secrets", scan(F.col("text").cast("string")))
+    spans = F.arrow_udf(scan, "array<struct<kind:string,start:long,end:long>>").asNondeterministic()
+    return docs.withColumn("secrets", spans(F.col("text").cast("string")))
 
 
 def mask(text: str | None, model: FormatModel) -> str | None:
@@ -226,13 +232,15 @@ def mask_secrets(docs: DataFrame, model: FormatModel) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced; one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def masked(texts):
-        import pandas as pd
+    def masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = []
+            for first, end, some in text_batches(texts):
+                there = texts.slice(first, end - first).is_valid().to_pylist()
+                out += [mask(text, shared.value) if ok else None for text, ok in zip(some, there, strict=True)]
+            yield pa.array(out, pa.string())
 
-        return pd.Series([mask(text, shared.value) for text in texts], dtype=object)
-
-    return docs.withColumn("text", masked(F.col("text").cast("string")))
+    return docs.withColumn("text", F.arrow_udf(masked, "string").asNondeterministic()(F.col("text").cast("string")))
 
 
 def digest(docs: DataFrame, model: FormatModel) -> DataFrame:

@@ -39,11 +39,16 @@ def test_decoding_replaces_broken_bytes_as_the_library_does():
 
 
 def test_words_one_by_one_are_the_whole_text(monkeypatch):
-    library, own = Tokenizer.from_file(WORD), words.WordEncoder(WORD)
-    monkeypatch.setattr(words, "MEMORY_WORDS", 50)  # starts anew all the time
+    library = Tokenizer.from_file(WORD)
+    # few places and a short memory: pieces push each other out, and all is forgotten again and again
+    monkeypatch.setattr(words, "PLACE_BITS", 4)
+    monkeypatch.setattr(words, "KEPT_IDS", 200)
+    own = words.WordEncoder(WORD)
     for text in ODD + noise():
         got = np.frombuffer(own.bytes_of([text])[0], own.dtype).tolist()
         assert got == library.encode(text, add_special_tokens=False).ids
+    together = own.bytes_of(ODD + noise())
+    assert [np.frombuffer(x, own.dtype).tolist() for x in together] == [e.ids for e in library.encode_batch(ODD + noise(), add_special_tokens=False)]
 
 
 def table(spark, rows, more=""):
