@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import query
+from curate.llm.common import stored
 from curate.llm.language import MIN_SCORE, UNKNOWN, identify_language, train_language
 from curate.llm.near_dups import near_duplicates
 from curate.llm.packing import pack
@@ -34,9 +35,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates; those without an id stay."""
-    dropped = near_duplicates(docs, percent=85).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Keep the document with the smallest id of each group of near-duplicates, and of rows with one id a single one.
+
+    Documents without an id stay.
+    """
+    found = stored(near_duplicates(docs, percent=85), "pipeline-groups")
+    dropped = found.where("not kept").select("doc_id").distinct()
+    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    single = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,10 @@ MARKED = re.compile(
     re.IGNORECASE,
 )
 REPLIES = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies|respond)(?:$|[\s_-])", re.IGNORECASE)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+# A heading or the page itself is no boilerplate, whatever its class.
+NEVER_MARKED = frozenset("html body h1 h2 h3 h4 h5 h6".split())
 SIGMA = 1.0
 # A content region is the smallest that holds this share of the text in lines above the threshold.
 SHARE = 0.6
@@ -72,15 +76,23 @@ class Lines(HTMLParser):
             self.words.append("\n")
         if tag in VOID:
             return
-        if tag == "p" and any(o[0] == "p" for o in self.open[-3:]):
+        if tag in BLOCKS:
+            # a block ends the paragraph before it, whether that was closed or not
             self._close("p")
         if tag == "a":
             self.in_link += 1
         hidden, region, content = self._state()
         values = dict(attrs)
-        names = f"{values.get('class') or ''} {values.get('id') or ''}"
-        left_out = tag in HIDDEN or (tag in BOILERPLATE) or "hidden" in values or values.get("aria-hidden") == "true" or (values.get("role") or "") in ROLES
-        if tag in BLOCKS and tag not in ("body", "html"):
+        names = CAMEL.sub("-", f"{values.get('class') or ''} {values.get('id') or ''}")
+        left_out = (
+            tag in HIDDEN
+            or tag in BOILERPLATE
+            or "hidden" in values
+            or values.get("aria-hidden") == "true"
+            or (values.get("role") or "") in ROLES
+            or bool(UNSEEN.search(values.get("style") or ""))
+        )
+        if names != " " and tag not in NEVER_MARKED:
             left_out |= bool((REPLIES if tag in CONTENT else MARKED).search(names))
         # an article is one region, whatever stands in it
         if tag in REGIONS and content < 2:

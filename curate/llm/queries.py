@@ -28,7 +28,21 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+# All pairs by cosine, and everything that links lead to.
+LINKED_VECTORS = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n as (select vec_id, e, sqrt(list_dot_product(e, e)) as n from v),
+l as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id and list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+r as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from r join l on r.b = l.a)
+select e.vec_id, (select count(*) from l where l.a = e.vec_id) as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join (select a, min(b) as component_id from r group by a) c on c.a = e.vec_id
+"""
+
+
+@query(LINKED_VECTORS)
 def op2_vector_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dups.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
@@ -58,12 +72,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Integer components and products, all pairs of a query and a row, and the five best by score and id.
 TOP_K = """
-with v as (select distinct vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e
+with v as (select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
            from embeddings
            where vec_id is not null and embedding is not null
-             and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+             and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
      s as (select q.vec_id as query_id, c.vec_id,
-                  cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+                  cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
            from v q, v c
            where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
      r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s)
@@ -88,7 +102,25 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
-@query()
+# Sets of shingles as texts, pairs that share one, their Jaccard similarity, and everything that links lead to.
+LINKED_DOCUMENTS = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+s as (
+  select doc_id, case when len(words) >= 5 then list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+    when len(words) > 0 then [array_to_string(words, ' ')] else [] end as shingles from w),
+u as (select doc_id, len(shingles) as n, unnest(shingles) as shingle from s),
+p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as shared from u a join u b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+      group by a.doc_id, b.doc_id, a.n, b.n),
+l as (select a, b from p where 100 * shared >= 85 * (na + nb - shared)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on r.b = l.a)
+select s.doc_id, cast(len(s.shingles) as bigint) as n_shingles, c.component_id, s.doc_id = c.component_id as kept
+from s join (select a, min(b) as component_id from r group by a) c on c.a = s.doc_id
+"""
+
+
+@query(LINKED_DOCUMENTS)
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 

@@ -43,3 +43,13 @@ def test_stages_without_rows(spark):
         work = stage(spark, work, SF_DIR)
     assert work.count() == 0
     assert (language.UNKNOWN, quality.THRESHOLD, near_dups.WORDS) == ("und", 0.7, 5)
+
+
+def test_rows_of_one_id_become_one(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    some = docs.where("doc_id < 20")
+    nameless = some.limit(1).selectExpr("cast(null as bigint) as doc_id", "text", "lang", "source", "n_chars")
+    work = some.union(some.where("doc_id < 3")).union(nameless).union(nameless)
+    alone = {r.doc_id for r in corpus_pipeline.one_of_each(spark, some, SF_DIR).collect()}
+    got = [r.doc_id for r in corpus_pipeline.one_of_each(spark, work, SF_DIR).collect()]
+    assert sorted(i for i in got if i is not None) == sorted(alone) and got.count(None) == 2

@@ -92,6 +92,8 @@ ARTICLE = "<article><h1>A  title</h1><p><b>First &amp; best<br>line.<p>Second &l
             "A title\n\nFirst & best line.\n\nSecond <b>.",
         ),
         (ARTICLE % "<div class='notice'>Cookies!</div><form><p>Name</p></form><section class='comments'><p>Nice one</p></section>", "A title\n\nFirst & best line.\n\nSecond <b>."),
+        (ARTICLE % "<p class='notice'>Read this!<div>Unclosed.</div><div id='commentList'>I agree.</div><span style='display: none'>x</span>", "A title\n\nFirst & best line.\n\nSecond <b>.\n\nUnclosed."),
+        (ARTICLE % "<h2 class='header'>More</h2><p>It <i>goes</i> on<sup>2</sup>.<ul><li>one<li>two</ul>", "A title\n\nFirst & best line.\n\nSecond <b>.\n\nMore\n\nIt goes on2.\n\none\n\ntwo"),
         (ARTICLE % "<div><p>Short.</p></div>", "A title\n\nFirst & best line.\n\nSecond <b>.\n\nShort."),
         (
             "<body><div id='top'><a href='/a'>Home</a> <a href='/b'>News</a></div><div id='content'><p>" + "Many words of content stand here. " * 9 + "</p><div><p>" + "And more of them follow. " * 9 + "</p></div><p>End.</p></div><div id='x'><a href='/c'>Other things to read</a></div></body>",
