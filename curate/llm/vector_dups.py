@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curate.llm.common import components, keep_schema, smallest_reachable, stored
+from curate.session import join_lookup
 
 # Vectors that a cell should hold, the pivots there may be at most, and the rows of one block of a larger cell.
-CELL_ROWS = 2000
+CELL_ROWS = 20_000
 MAX_PIVOTS = 512
-BLOCK = 2000
+BLOCK = 8000
 _SLACK = 1e-7
 
 
@@ -61,12 +62,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, cell_rows: int = CELL
         raise ValueError("cosine must be between 0.5 and 1")
     reach = math.sqrt(2 - 2 * cosine) + _SLACK
     spark = vectors.sparkSession
-    rows = keep_schema(vectors, "vec_id", "embedding").select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
-    )
+    rows = keep_schema(vectors, "vec_id", "embedding")
+    # single floats travel as such, all else as doubles; the work is in doubles
+    kind = "array<float>" if dict(rows.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     rows = rows.withColumn("ok", usable("embedding"))
-    # 0.0 and -0.0 are equal
-    clean = rows.where("ok").withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
+    clean = rows.where("ok")
     classes = stored(
         clean.groupBy("embedding")
         .agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
@@ -111,18 +112,27 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, cell_rows: int = CELL
 
     placed = stored(
         classes.select("node", "copies", "dim", "embedding").mapInArrow(
-            deal, "node long, copies long, dim int, embedding array<double>, cell long, home boolean"
+            deal, f"node long, copies long, dim int, embedding {kind}, cell long, home boolean"
         ),
         "vector-cells",
     )
     # large cells are cut: blocks of own vectors meet blocks of all vectors
-    sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    seats = placed.join(F.broadcast(sizes) if wanted > 1 else sizes, ["dim", "cell"]).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    count_blocks = lambda n: F.ceil(F.greatest(n, F.lit(1)) / BLOCK).cast("int")
+    sizes = placed.groupBy("dim", "cell").agg(
+        count_blocks(F.count("*")).alias("n_with"), count_blocks(F.count(F.when(F.col("home"), 1))).alias("n_own")
     )
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    own = seats.where("home").withColumn("to", every).select("dim", "cell", F.col("block").alias("own"), F.col("to").alias("with"), F.lit(True).alias("asks"), "node", "copies", "embedding")
-    others = seats.withColumn("to", every).select("dim", "cell", F.col("to").alias("own"), F.col("block").alias("with"), F.lit(False).alias("asks"), "node", "copies", "embedding")
+    # a row per pivot and length
+    seats = join_lookup(placed, sizes, ["dim", "cell"])
+
+    def block(many: str) -> F.Column:
+        return F.pmod(F.xxhash64("node"), F.col(many).cast("long")).cast("int")
+
+    def every(many: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+
+    vector = ["node", "copies", "embedding"]
+    own = seats.where("home").withColumn("to", every("n_with")).select("dim", "cell", block("n_own").alias("own"), F.col("to").alias("with"), F.lit(True).alias("asks"), *vector)
+    others = seats.withColumn("to", every("n_own")).select("dim", "cell", F.col("to").alias("own"), block("n_with").alias("with"), F.lit(False).alias("asks"), *vector)
 
     def join(key, table):
         asks = table.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
@@ -135,13 +145,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, cell_rows: int = CELL
         dense = np.array([number[n] for n in nodes.tolist()])
         label = np.arange(len(number))
         found = np.zeros(len(a), np.int64)
+        # single precision finds all pairs that may be linked, double precision decides
+        rough = points.astype(np.float32)
         for at in range(0, len(a), 500):
-            some = a[at : at + 500]
-            hit = points[some] @ points[b].T >= cosine
-            hit &= nodes[some][:, None] != nodes[b][None, :]
-            found[at : at + 500] = hit @ copies[b]
-            i, j = np.nonzero(hit)
-            label = components(len(label), np.concatenate([np.arange(len(label)), dense[some[i]]]), np.concatenate([label, dense[b[j]]]))
+            i, j = np.nonzero(rough[a[at : at + 500]] @ rough[b].T >= cosine - 1e-4)
+            apart = nodes[a[at + i]] != nodes[b[j]]
+            i, j = a[at + i[apart]], b[j[apart]]
+            for first in range(0, len(i), 100_000):
+                x, y = i[first : first + 100_000], j[first : first + 100_000]
+                hit = np.einsum("ij,ij->i", points[x], points[y]) >= cosine
+                x, y = x[hit], y[hit]
+                np.add.at(found, np.searchsorted(a, x), copies[y])
+                label = components(len(label), np.concatenate([np.arange(len(label)), dense[x]]), np.concatenate([label, dense[y]]))
         back = np.array(sorted(number), np.int64)
         tied = np.flatnonzero(label != np.arange(len(label)))
         ends = [np.concatenate([nodes[a], back[tied]]), np.concatenate([nodes[a], back[label[tied]]]), np.concatenate([found, np.zeros(len(tied), np.int64)])]
