@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curate.llm.bytes import byte_letters
+from curate.llm.common import whole_texts
 from curate.llm.words import id_type, text_batches
 
 # The pre-token pattern of byte-level BPE.
@@ -195,5 +196,5 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
                     }
                 )
 
-    work = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
+    work = whole_texts(docs).select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
     return work.mapInArrow(encode, "doc_id long, ids binary, n_tokens long, decoded string")

@@ -13,6 +13,8 @@ from curate.session import scratch_path
 
 # Bytes of text that are held as arrays at a time; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 18
+# Rows with whole texts that travel between Spark and Python at a time.
+ARROW_ROWS = 1000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,6 +30,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_texts(df: DataFrame) -> DataFrame:
+    """``df`` itself; from now on the session hands at most ``ARROW_ROWS`` rows to Python at once.
+
+    Rows of the operators hold whole texts, or their ids, of which Spark's default of 10,000 would be
+    held several times over in every executor.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, ARROW_ROWS)
+    return df
+
+
 def crc32_of_id(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 

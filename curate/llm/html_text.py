@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curate.llm.common import whole_texts
 from curate.llm.words import text_batches
 
 # Elements by what they do.
@@ -212,5 +213,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
                     }
                 )
 
-    work = pages.select(F.col("`page_id`").cast("long").alias("page_id"), F.col("`url`").cast("string").alias("url"), F.col("`html`").cast("string").alias("html"))
+    work = whole_texts(pages).select(F.col("`page_id`").cast("long").alias("page_id"), F.col("`url`").cast("string").alias("url"), F.col("`html`").cast("string").alias("html"))
     return work.mapInArrow(extract, "page_id long, url string, text string, n_chars long")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curate.llm.common import crc32_of_id, keep_schema, mix, slices, stored
+from curate.llm.common import crc32_of_id, keep_schema, mix, slices, stored, whole_texts
 
 BITS = 15
 LONGEST = 3
@@ -147,7 +147,7 @@ def train_language(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE)
     knows none. Languages (distinct values of lang) and buckets bound what comes back to the driver.
     """
     learn = (
-        keep_schema(docs, "doc_id", "text", "lang")
+        keep_schema(whole_texts(docs), "doc_id", "text", "lang")
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
         .where("lang is not null and text is not null")
         .where(F.coalesce(F.pmod(crc32_of_id("doc_id"), F.lit(5)) != 0, F.lit(False)))
@@ -236,4 +236,4 @@ def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.StructArray.from_arrays([found, pa.array(scores)], ["lang_pred", "lang_score"])
 
     language = F.arrow_udf(predict, "lang_pred string, lang_score double").asNondeterministic()
-    return docs.withColumn("_language", language(F.col("text").cast("string"))).withColumns({"lang_pred": F.col("_language.lang_pred"), "lang_score": F.col("_language.lang_score")}).drop("_language")
+    return whole_texts(docs).withColumn("_language", language(F.col("text").cast("string"))).withColumns({"lang_pred": F.col("_language.lang_pred"), "lang_score": F.col("_language.lang_score")}).drop("_language")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from curate.llm.common import SPACE, byte_table, components, keep_schema, mix, slices, smallest_reachable, stored, word_hashes
+from curate.llm.common import SPACE, byte_table, components, keep_schema, mix, slices, smallest_reachable, stored, whole_texts, word_hashes
 
 SKETCH = 32
 SHARED = 12
@@ -101,7 +101,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_shingles", "f1", "f2", "sketch"],
             )
 
-    work = keep_schema(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    work = keep_schema(whole_texts(docs), "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return work.mapInArrow(sketch, "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>")
 
 

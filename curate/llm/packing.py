@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curate.llm.common import keep_schema, mix, stored
+from curate.llm.common import keep_schema, mix, stored, whole_texts
 from curate.llm.words import WordEncoder, text_batches
 
 DIMENSIONS = 3
@@ -76,7 +76,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096)
     document before it), length, ids_crc32, doc_tokens, sequence_id, offset. Rows with equal or null
     doc_id are documents of their own. No rows give no pieces.
     """
-    work = keep_schema(docs, "doc_id", "text").select(
+    work = keep_schema(whole_texts(docs), "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")
     )
 

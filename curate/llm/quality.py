@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curate.llm.common import byte_table, crc32_of_id, keep_schema, mix, slices, stored, word_hashes
+from curate.llm.common import byte_table, crc32_of_id, keep_schema, mix, slices, stored, whole_texts, word_hashes
 
 BITS = 18
 # Labelled documents to fit on: all, if there are fewer; else about so many, chosen by a hash of their id.
@@ -116,7 +116,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_R
     if total > max_rows:
         share = int(max_rows / total * (1 << 32))
         chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share)
-    texts = keep_schema(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = keep_schema(whole_texts(docs), "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = 1 << BITS
 
     def fit(batches):
@@ -152,4 +152,4 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
         for texts in batches:
             yield pa.array(shared.value.scores(texts))
 
-    return docs.withColumn("quality_score", F.arrow_udf(score, "double").asNondeterministic()(F.col("text").cast("string")))
+    return whole_texts(docs).withColumn("quality_score", F.arrow_udf(score, "double").asNondeterministic()(F.col("text").cast("string")))

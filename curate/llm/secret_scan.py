@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from curate.llm.common import keep_schema, stored
+from curate.llm.common import keep_schema, stored, whole_texts
 from curate.llm.words import text_batches
 
 # The kinds, in their order, and their patterns.
@@ -159,7 +159,7 @@ def learn_formats(docs: DataFrame, per_kind: int = CREDENTIALS) -> FormatModel:
             seen = {(k, value) for _, _, some in text_batches(batch.column(0)) for text in some for _, k, _, value in base_spans(text)}
             yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in seen], pa.int64()), "value": pa.array([v for _, v in seen], pa.string())})
 
-    values = docs.select(F.col("`text`").cast("string").alias("text")).mapInArrow(find, "kind long, value string").distinct()
+    values = whole_texts(docs).select(F.col("`text`").cast("string").alias("text")).mapInArrow(find, "kind long, value string").distinct()
     values = stored(values, "credentials")
     best = Window.partitionBy("kind").orderBy("hash", "value")
     few = (
@@ -213,7 +213,7 @@ def scan_secrets(docs: DataFrame, model: FormatModel) -> DataFrame:
             yield pa.array(found, kind)
 
     spans = F.arrow_udf(scan, "array<struct<kind:string,start:long,end:long>>").asNondeterministic()
-    return docs.withColumn("secrets", spans(F.col("text").cast("string")))
+    return whole_texts(docs).withColumn("secrets", spans(F.col("text").cast("string")))
 
 
 def mask(text: str | None, model: FormatModel) -> str | None:
@@ -240,7 +240,7 @@ def mask_secrets(docs: DataFrame, model: FormatModel) -> DataFrame:
                 out += [mask(text, shared.value) if ok else None for text, ok in zip(some, there, strict=True)]
             yield pa.array(out, pa.string())
 
-    return docs.withColumn("text", F.arrow_udf(masked, "string").asNondeterministic()(F.col("text").cast("string")))
+    return whole_texts(docs).withColumn("text", F.arrow_udf(masked, "string").asNondeterministic()(F.col("text").cast("string")))
 
 
 def digest(docs: DataFrame, model: FormatModel) -> DataFrame:

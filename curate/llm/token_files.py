@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curate.llm.common import keep_schema, stored
+from curate.llm.common import keep_schema, stored, whole_texts
 from curate.llm.words import WordEncoder, text_batches
 
 SHARD = "shard long, n_docs long, n_null long, n_ids long"
@@ -61,7 +61,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
     place, path = _place(folder)
     place.create_dir(path, recursive=True)
     ordered = (
-        keep_schema(docs, "doc_id", "text")
+        keep_schema(whole_texts(docs), "doc_id", "text")
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
         .repartitionByRange("doc_id", "_hash", "_row")
