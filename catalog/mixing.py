@@ -16,7 +16,7 @@ from catalog.fixtures import (
     sql_strip,
 )
 from catalog.registry import query, table
-from catalog.sampling import SPLIT_CTE
+from catalog.sampling import SPLIT_CTE, with_positions
 from catalog.texts import _PAIR_TEXT, _PICK
 from catalog.threads import CAPPED_CTE
 from curate.operators.metrics import dataset_counts, dataset_totals
@@ -135,9 +135,11 @@ def union_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped_sources(mapping_table(spark, sf_dir), source_tables(spark, sf_dir))
 
 
-@query(f"{_MIXTURE_CTE} SELECT * FROM mixture")
+@query(f"""{_MIXTURE_CTE} SELECT *,
+    row_number() OVER (ORDER BY lang, md5('42:' || source || ':' || sample_id))::BIGINT AS position FROM mixture""")
 def training_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shuffle_mixture(_mixture(spark, sf_dir))
+    """The mixture in its seeded order, written; the position of a row is its place in the files."""
+    return with_positions(spark, shuffle_mixture(_mixture(spark, sf_dir)), "mixture")
 
 
 @query(f"""{_MIXTURE_CTE}, {SPLIT_CTE.format(by='lang', rows='mixture')}

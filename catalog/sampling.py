@@ -69,16 +69,21 @@ def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.take_quota(unlabelled, ["lang"], "doc_id", lambda totals: totals.join(wanted, "lang"))
 
 
+def with_positions(spark: SparkSession, ordered: DataFrame, name: str) -> DataFrame:
+    """Write ``ordered`` and read it back with ``position``, a row's place in the files from 1 on."""
+    path = scratch_path(spark, name)
+    ordered.write.parquet(path)
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))  # one row per file
+    before = F.coalesce(F.sum("_n").over(S.W.orderBy("_file").rowsBetween(S.W.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(F.broadcast(sizes.select("_file", before.alias("_start"))), "_file")
+    return placed.withColumn("position", F.col("_start") + F.col("_row") + 1).drop("_file", "_row", "_start")
+
+
 @query("SELECT doc_id, lang, row_number() OVER (ORDER BY md5('42:' || doc_id))::BIGINT AS position FROM documents")
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written in the seeded order; the position of a row is its place in the files."""
-    path = scratch_path(spark, "shuffled")
-    S.shuffled(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").write.parquet(path)
-    rows = spark.read.parquet(path).select("doc_id", "lang", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    sizes = rows.groupBy("file").agg(F.count("*").alias("n"))  # one row per file
-    before = F.coalesce(F.sum("n").over(S.W.orderBy("file").rowsBetween(S.W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("file", before.alias("start"))
-    return rows.join(F.broadcast(starts), "file").select("doc_id", "lang", (F.col("start") + F.col("row") + 1).alias("position"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return with_positions(spark, S.shuffled(docs, "doc_id"), "shuffled")
 
 
 # Largest remainder in integers: floor shares, then one more for the largest remainders.
