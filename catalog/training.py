@@ -186,11 +186,9 @@ def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, true AS placed_by_score FROM documents")
 def ngram_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept and rejected documents together are all, on their own side of the threshold."""
+    """Every document is kept or rejected, on its own side of the threshold; scored in one pass."""
     train, _ = _text_splits(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     selection = select_text(docs, train_ngram(train), order="doc_id", retention=0.1)
     least = threshold_value(selection.threshold)
-    score = F.col("scores")[POSITIVE]
-    kept = selection.kept.select("doc_id", (score >= least).alias("placed_by_score"))
-    return kept.unionByName(selection.rejected.select("doc_id", (score < least).alias("placed_by_score")))
+    return selection.scored.select("doc_id", (F.col("keep") == (F.col("scores")[POSITIVE] >= least)).alias("placed_by_score"))
