@@ -1,10 +1,11 @@
 """Main text of web pages: parser events make lines, text-to-tag ratios tell content from the rest.
 
 The standard library's parser streams events. Every block is a line with its text, its number of tags, the share of
-its text inside links, and its region (the nearest sectioning element). Regions that say what they are by their
-element or their class (menus, headers, footers, sidebars, notices, adverts, forms, comments) are left out. The
-text-to-tag ratios of the remaining lines are smoothed by a Gaussian in page order and split by a threshold; a
-region with a line above it is content, and all its lines belong to the text.
+its text inside links, and its region (the nearest sectioning element; an article is one region). Regions that say
+what they are by their element or their class (menus, headers, footers, sidebars, notices, adverts, forms, comments)
+are left out. The text-to-tag ratios of the remaining lines are smoothed by a Gaussian in page order and split into two
+clusters, on all pages alike: an article or a main part only ends the smoothing at its borders. Content is what
+the smallest region with 60 % of the text above the threshold holds.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,26 +49,29 @@ SHARE = 0.6
 
 
 class Lines(HTMLParser):
-    """Collects blocks as (text, tags, linked characters, region, content); content is 2 in an article, 1 in the main part."""
+    """Collects blocks as (text, tags, linked characters, region, content, part).
+
+    Content is 2 in an article, 1 in the main part. The part is the region of the outermost of these elements, or 0.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, int]] = []  # name, left out, region, content
+        self.open: list[tuple[str, bool, int, int, int]] = []  # name, left out, region, content, part
         self.parents = [0]
-        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int, int]] = []
         self.words: list[str] = []
         self.tags = 0
         self.linked = 0
         self.in_link = 0
 
-    def _state(self) -> tuple[bool, int, int]:
-        return self.open[-1][1:] if self.open else (False, 0, 0)
+    def _state(self) -> tuple[bool, int, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, 0, 0)
 
     def end_line(self) -> None:
         text = " ".join("".join(self.words).split())
-        hidden, region, content = self._state()
+        hidden, region, content, part = self._state()
         if text and not hidden:
-            self.lines.append((text, self.tags, min(self.linked, len(text)), region, content))
+            self.lines.append((text, self.tags, min(self.linked, len(text)), region, content, part))
         self.words, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -82,7 +87,7 @@ class Lines(HTMLParser):
             self._close("p")
         if tag == "a":
             self.in_link += 1
-        hidden, region, content = self._state()
+        hidden, region, content, part = self._state()
         values = dict(attrs)
         names = CAMEL.sub("-", f"{values.get('class') or ''} {values.get('id') or ''}")
         left_out = (
@@ -99,7 +104,9 @@ class Lines(HTMLParser):
         if tag in REGIONS and content < 2:
             self.parents.append(region)
             region = len(self.parents) - 1
-        self.open.append((tag, hidden or left_out, region, max(content, CONTENT.get(tag, 0))))
+        if tag in CONTENT and not part:
+            part = region
+        self.open.append((tag, hidden or left_out, region, max(content, CONTENT.get(tag, 0)), part))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -145,14 +152,14 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
 
 
 def threshold(values: list[float]) -> float:
-    """The border between two clusters of values: half way between their means, until it stays."""
-    low, high = min(values), max(values)
-    cut = (low + high) / 2
+    """The border between two clusters of values: half way between zero, where lines without text lie, and the mean above.
+
+    The lower cluster stays at zero, so that a page of content alone isn't split in two.
+    """
+    cut = max(values) / 2
     for _ in range(30):
-        below, above = [v for v in values if v < cut], [v for v in values if v >= cut]
-        if not below or not above:
-            return cut
-        after = (sum(below) / len(below) + sum(above) / len(above)) / 2
+        above = [v for v in values if v >= cut]
+        after = sum(above) / len(above) / 2
         if after == cut:
             break
         cut = after
@@ -168,23 +175,20 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    # in a page that marks its article or its main part, only what stands there can be content
-    marked = max(line[4] for line in lines)
-    lines = [line for line in lines if line[4] == marked]
-    ratios = smooth([math.sqrt((len(text) - linked) / max(1, tags)) for text, tags, linked, _, _ in lines])
+    ratios = []
+    for _, together in groupby(lines, key=lambda line: line[5]):
+        ratios += smooth([math.sqrt((len(text) - linked) / max(1, tags)) for text, tags, linked, _, _, _ in together])
     cut = threshold(ratios)
     above = [line for line, ratio in zip(lines, ratios, strict=True) if ratio >= cut and 2 * line[2] <= len(line[0])]
-    if marked == 2:
-        chosen = {line[3] for line in above} or {line[3] for line in lines}
-        return "\n\n".join(line[0] for line in lines if line[3] in chosen)
+    if not above:
+        # links only: what the page marks as its article
+        return "\n\n".join(line[0] for line in lines if line[4] == 2)
     # how much of the text above the threshold each region holds, with the regions inside it
     weights = [0] * len(parser.parents)
-    for text, _, _, region, _ in above:
+    for text, _, _, region, _, _ in above:
         weights[region] += len(text)
     for region in range(len(weights) - 1, 0, -1):
         weights[parser.parents[region]] += weights[region]
-    if not weights[0]:
-        return ""
     # regions are numbered as they open, so the last that holds enough is the smallest
     best = max(region for region, weight in enumerate(weights) if weight >= SHARE * weights[0])
     inside = [region == best for region in range(len(weights))]

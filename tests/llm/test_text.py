@@ -105,6 +105,21 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+FIRST, SECOND = ("The first part holds its words. " * 13).strip(), ("A second has fewer. " * 11).strip()
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<main><p>{FIRST}</p><p>{SECOND}</p></main><article><h2>Teaser</h2><p><a href='/x'>Read on</a></p></article>",
+        f"<body><div><p>{FIRST}</p><p>{SECOND}</p></div><article><p>Teaser</p></article></body>",
+        f"<body><article><p>Teaser</p></article><div><p>{FIRST}</p><p>{SECOND}</p></div></body>",
+    ],
+)
+def test_ratios_decide_on_pages_with_an_article(html):
+    assert html_text.main_text(html) == f"{FIRST}\n\n{SECOND}"
+
+
 def test_smoothing_and_threshold():
     assert html_text.smooth([1.0, 1.0, 1.0]) == pytest.approx([1, 1, 1])
     assert 2 < html_text.threshold([1, 1.5, 1, 9, 10, 9.5]) < 9
