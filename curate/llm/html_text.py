@@ -5,7 +5,8 @@ its text inside links, and its region (the nearest sectioning element; an articl
 what they are by their element or their class (menus, headers, footers, sidebars, notices, adverts, forms, comments)
 are left out. The text-to-tag ratios of the remaining lines are smoothed by a Gaussian in page order and split into two
 clusters, on all pages alike: an article or a main part only ends the smoothing at its borders. Content is what
-the smallest region with 60 % of the text above the threshold holds.
+the regions with a line above the threshold hold, with the regions inside them; where content regions nest, those
+inside without such a line are left out if most of their text is links.
 """
 
 from __future__ import annotations
@@ -44,8 +45,6 @@ UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 # A heading or the page itself is no boilerplate, whatever its class.
 NEVER_MARKED = frozenset("html body h1 h2 h3 h4 h5 h6".split())
 SIGMA = 1.0
-# A content region is the smallest that holds this share of the text in lines above the threshold.
-SHARE = 0.6
 
 
 class Lines(HTMLParser):
@@ -183,17 +182,24 @@ def main_text(html: str | None) -> str:
     if not above:
         # links only: what the page marks as its article
         return "\n\n".join(line[0] for line in lines if line[4] == 2)
-    # how much of the text above the threshold each region holds, with the regions inside it
-    weights = [0] * len(parser.parents)
-    for text, _, _, region, _, _ in above:
-        weights[region] += len(text)
-    for region in range(len(weights) - 1, 0, -1):
-        weights[parser.parents[region]] += weights[region]
-    # regions are numbered as they open, so the last that holds enough is the smallest
-    best = max(region for region, weight in enumerate(weights) if weight >= SHARE * weights[0])
-    inside = [region == best for region in range(len(weights))]
-    for region in range(best + 1, len(weights)):
-        inside[region] = inside[parser.parents[region]]
+    parents = parser.parents
+    holds = [False] * len(parents)
+    for line in above:
+        holds[line[3]] = True
+    text_of, linked_of = [0] * len(parents), [0] * len(parents)
+    for text, _, linked, region, _, _ in lines:
+        text_of[region] += len(text)
+        linked_of[region] += linked
+    # regions are numbered as they open: those inside come after
+    nests = [False] * len(parents)
+    for region in range(len(parents) - 1, 0, -1):
+        nests[parents[region]] |= holds[region] or nests[region]
+    # whether a region is content, and whether the content region around it holds others
+    inside, wide = list(holds), [own and nest for own, nest in zip(holds, nests, strict=True)]
+    for region in range(1, len(parents)):
+        around = parents[region]
+        if not holds[region] and inside[around]:
+            inside[region], wide[region] = not wide[around] or 2 * linked_of[region] <= text_of[region], wide[around]
     return "\n\n".join(line[0] for line in lines if inside[line[3]])
 
 

@@ -120,6 +120,19 @@ def test_ratios_decide_on_pages_with_an_article(html):
     assert html_text.main_text(html) == f"{FIRST}\n\n{SECOND}"
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<main><section><p>{FIRST}</p></section><section><p>{SECOND}</p></section></main>",
+        f"<body><div><a href='/a'>Home page</a> <a href='/b'>News</a></div><div><div><p>{FIRST}</p></div><div><p>{SECOND}</p></div></div></body>",
+        f"<main><p>{FIRST}</p><article><p>{SECOND}</p></article></main>",
+    ],
+)
+def test_all_content_regions_are_returned(html):
+    assert 0.6 < len(FIRST) / len(FIRST + SECOND) < 0.67
+    assert html_text.main_text(html) == f"{FIRST}\n\n{SECOND}"
+
+
 def test_smoothing_and_threshold():
     assert html_text.smooth([1.0, 1.0, 1.0]) == pytest.approx([1, 1, 1])
     assert 2 < html_text.threshold([1, 1.5, 1, 9, 10, 9.5]) < 9
