@@ -19,6 +19,8 @@ from curate.llm.quality import THRESHOLD, score_quality, train_quality
 from curate.llm.secret_scan import learn_formats, mask_secrets
 from curate.session import scratch_path
 
+# Documents of at least this similarity are near-duplicates.
+PERCENT = 80
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -39,7 +41,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without an id stay.
     """
-    found = stored(near_duplicates(docs, percent=85), "pipeline-groups")
+    found = stored(near_duplicates(docs, percent=PERCENT), "pipeline-groups")
     dropped = found.where("not kept").select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")

@@ -27,7 +27,9 @@ from pyspark.sql.window import Window
 from curate.llm.common import SPACE, byte_table, components, keep_schema, mix, slices, smallest_reachable, stored, whole_texts, word_hashes
 
 SKETCH = 32
+# Retained values of a full sketch that must be shared: from 85 percent on, and below.
 SHARED = 12
+SHARED_BELOW = 10
 SHORT_LIST = 32
 BLOCK = 256
 # Narrow rows (four longs) that may be broadcast, counted first.
@@ -41,11 +43,11 @@ def shared_bound(n: int, percent: int, k: int = SKETCH) -> int:
 
     If no similar set can have more than k members, both sketches are whole sets, and the bound is exact.
     Otherwise each of the k smallest values of the union lies in both with chance 0.85; fewer than 12 of 32
-    do with a chance of 1e-10.
+    do with a chance of 1.2e-10. At 0.8, fewer than 10 of 32 do with a chance of 3.5e-10.
     """
     if n * 100 <= percent * k:
         return max(1, math.ceil(percent * n / 100))
-    return max(1, SHARED * k // SKETCH * min(n, k) // k)
+    return max(1, (SHARED if percent >= 85 else SHARED_BELOW) * k // SKETCH * min(n, k) // k)
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS):
@@ -171,7 +173,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     # inverted lists of the sketches: who shares enough retained values with anybody?
     bound = F.when(F.col("n") * 100 <= percent * SKETCH, F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100))).otherwise(
-        F.greatest(F.lit(1), F.floor(F.lit(SHARED) * F.least("n", F.lit(SKETCH)) / SKETCH))
+        F.greatest(F.lit(1), F.floor(F.lit(SHARED if percent >= 85 else SHARED_BELOW) * F.least("n", F.lit(SKETCH)) / SKETCH))
     )
     retained = classes.select("f1", "f2", F.explode("sketch").alias("value"))
     common = stored(retained.groupBy("value").count().where("count > 1").select("value"), "near-common")

@@ -1,8 +1,12 @@
 """The pipeline's stages, one after the other, against what each must do alone."""
 
+import random
+
 import corpus_pipeline
 from curate.llm import language, near_dups, quality
 
+from test_near import expected, shingles
+
 SF_DIR = "/root/testdata/sf0.001"
 
 
@@ -53,3 +57,21 @@ def test_rows_of_one_id_become_one(spark):
     alone = {r.doc_id for r in corpus_pipeline.one_of_each(spark, some, SF_DIR).collect()}
     got = [r.doc_id for r in corpus_pipeline.one_of_each(spark, work, SF_DIR).collect()]
     assert sorted(i for i in got if i is not None) == sorted(alone) and got.count(None) == 2
+
+
+def test_near_duplicates_are_those_of_brute_force_at_80_percent(spark):
+    draw = random.Random(4)
+    rows = []
+    for base in range(12):
+        words = [f"w{base}x{draw.randrange(10**6)}" for _ in range(300)]
+        other = list(words)
+        # every word changed apart from the others costs five shingles of 296
+        for at in draw.sample(range(10, 290, 8), 4 + base % 4):
+            other[at] = "new"
+        rows += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(other))]
+    sets = [shingles(t) for _, t in rows]
+    shares = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(0.8 <= s < 0.85 for s in shares) >= 3 and min(shares) < 0.8
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SF_DIR).collect())
+    assert got == sorted(i for i, _, _, kept in expected(rows, 80) if kept)
