@@ -29,8 +29,12 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 MASK = "[SECRET]"
 
-# Distinct credentials of a kind to infer its automaton from: all, if there are fewer; else so many by hash.
+# Distinct credentials of a kind to infer its automaton from, four in five of so many by hash, and the signs of each
+# that it is fitted on. Thresholds and lengths come from all credentials with all their signs.
 CREDENTIALS = 400
+FIT_SIGNS = 256
+# Scores are counted in cells of this width; a threshold is the lower end of its cell.
+CELL = 1e-4
 FEWEST = 20
 CONFIDENCE = 0.05
 _FLOOR = math.log2(1e-4)
@@ -45,14 +49,17 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 class Automaton:
-    """A deterministic probabilistic automaton: per state, the log probability of its end and of each sign."""
+    """A deterministic probabilistic automaton: per state, the log probability of its end and of each sign.
 
-    def __init__(self, examples: list[str], confidence: float = CONFIDENCE):
+    Of a longer example the first ``signs`` signs count, and no end.
+    """
+
+    def __init__(self, examples: list[str], confidence: float = CONFIDENCE, signs: int = FIT_SIGNS):
         passes, ends, steps = [0], [0], [{}]
         for text in examples:
             state = 0
             passes[0] += 1
-            for sign in text:
+            for sign in text[:signs]:
                 after = steps[state].get(sign)
                 if after is None:
                     after = len(passes)
@@ -62,7 +69,7 @@ class Automaton:
                     steps.append({})
                 state = after
                 passes[state] += 1
-            ends[state] += 1
+            ends[state] += len(text) <= signs
         width = math.sqrt(0.5 * math.log(2 / confidence))
 
         def agree(one: int, two: int) -> bool:
@@ -113,10 +120,10 @@ class Automaton:
         used, ended = [dict.fromkeys(moves, 0) for moves in after], [0] * len(kept)
         for text in examples:
             state = 0
-            for sign in text:
+            for sign in text[:signs]:
                 used[state][sign] += 1
                 state = after[state][sign]
-            ended[state] += 1
+            ended[state] += len(text) <= signs
         self.states = []
         for moves, counts, end in zip(after, used, ended, strict=True):
             total = max(1, end + sum(counts.values()))
@@ -149,9 +156,10 @@ class FormatModel:
 def learn_formats(docs: DataFrame, per_kind: int = CREDENTIALS) -> FormatModel:
     """Infer an automaton per kind from the credentials that the patterns find in ``text`` of all ``docs``.
 
-    Distinct credentials are counted by Spark; at most ``per_kind`` of a kind, by hash, come to the driver, one in five
-    of which is held out: the score that 95 percent of these reach is the threshold. A kind with fewer
-    than 20 credentials has no automaton.
+    Of the distinct credentials at most ``per_kind`` of a kind, by hash, come to the driver, and an automaton is fitted
+    on four in five of them. Spark then scores all others: what 95 percent of these reach is the threshold. Lengths are
+    those of all credentials, from the fifth percentile to the longest. A kind with fewer than 20 credentials has no
+    automaton.
     """
 
     def find(batches):
@@ -164,24 +172,45 @@ def learn_formats(docs: DataFrame, per_kind: int = CREDENTIALS) -> FormatModel:
     best = Window.partitionBy("kind").orderBy("hash", "value")
     few = (
         values.withColumn("hash", F.xxhash64("value"))
-        .where(F.length("value") <= 256)
         .withColumn("nth", F.row_number().over(best))
         .where(F.col("nth") <= per_kind)
-        .select("kind", "value")
+        .select("kind", F.substring("value", 1, FIT_SIGNS + 1).alias("value"), "hash")
         .collect()
     )
-    formats = []
+    automata, fitted = {}, set()
     for kind in sorted({row[0] for row in few}):
-        known = sorted(row[1] for row in few if row[0] == kind)
-        held, rest = known[4::5], [v for i, v in enumerate(known) if i % 5 != 4]
-        if len(known) < FEWEST:
-            continue
-        automaton = Automaton(rest)
-        scores = sorted(automaton.score(v) for v in held)
-        sizes = sorted(map(len, known))
-        cut = int(0.05 * (len(scores) - 1))
-        formats.append((KINDS[kind], automaton, scores[cut], sizes[int(0.05 * (len(sizes) - 1))], sizes[-1]))
-    return FormatModel(formats)
+        known = sorted((row[1], row[2]) for row in few if row[0] == kind)
+        if len(known) >= FEWEST:
+            rest = [one for i, one in enumerate(known) if i % 5 != 4]
+            automata[kind] = Automaton([value for value, _ in rest])
+            fitted |= {(kind, hash_) for _, hash_ in rest}
+    if not automata:
+        return FormatModel([])
+    shared = docs.sparkSession.sparkContext.broadcast((automata, fitted))
+
+    def measure(batches):
+        automata, fitted = shared.value
+        for batch in batches:
+            kinds, texts, hashes = (column.to_pylist() for column in batch.columns)
+            # those fitted on have a length but no score
+            cells = [None if (k, h) in fitted else math.floor(automata[k].score(v) / CELL) for k, v, h in zip(kinds, texts, hashes, strict=True)]
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.int64()), "size": pa.array([len(v) for v in texts], pa.int64()), "cell": pa.array(cells, pa.int64())})
+
+    measured = values.where(F.col("kind").isin(list(automata))).withColumn("hash", F.xxhash64("value")).mapInArrow(measure, "kind long, size long, cell long")
+    measured = stored(measured, "credential-scores")
+    sizes = _ranked(measured, "size")
+    cells = _ranked(measured.where("cell is not null"), "cell")
+    return FormatModel([(KINDS[k], automaton, cells[k][0] * CELL, *sizes[k]) for k, automaton in automata.items()])
+
+
+def _ranked(rows: DataFrame, value: str) -> dict[int, tuple[int, int]]:
+    """The fifth percentile and the maximum of whole numbers per kind; one narrow row per distinct number and kind."""
+    counts = stored(rows.groupBy("kind", value).agg(F.count("*").alias("n")), f"credential-{value}s")
+    upto = F.sum("n").over(Window.partitionBy("kind").orderBy(value))
+    total = F.sum("n").over(Window.partitionBy("kind"))
+    ranked = counts.withColumn("upto", upto).withColumn("total", total)
+    found = ranked.where(F.col("upto") > F.floor((F.col("total") - 1) * 0.05)).groupBy("kind").agg(F.min(value), F.max(value))
+    return {kind: (low, high) for kind, low, high in found.collect()}
 
 
 def all_spans(text: str, model: FormatModel) -> list[tuple[int, int, int]]:

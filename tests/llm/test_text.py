@@ -75,6 +75,28 @@ def test_formats_are_learned_and_rows_kept(spark):
     assert secret_scan.digest(none, secret_scan.learn_formats(none)).count() == 0
 
 
+def test_thresholds_and_lengths_come_from_all_credentials(spark):
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(120)]
+    long = "".join(keys[:8])
+    texts = [f"key {key} end" for key in keys] + [f"key {long} end"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    [(kind, automaton, least, low, high)] = secret_scan.learn_formats(docs, per_kind=25).formats
+    assert (kind, low, high) == ("hex", 40, 320)
+    # by 95 percent of all hundred that it wasn't fitted on, not of five
+    scores = sorted(automaton.score(v) for v in [*keys, long])
+    assert scores[0] - 1e-4 <= least <= scores[12]
+    assert 0.93 <= sum(s >= least for s in scores) / len(scores) <= 0.98
+    # a candidate of more than 256 signs has the format too
+    assert FormatModel([("hex", automaton, least, low, high)]).matches("".join(keys[30:37]))
+
+
+def test_a_kind_of_long_credentials_is_learned(spark):
+    longs = ["".join(hashlib.sha1(f"{i}-{j}".encode()).hexdigest() for j in range(8)) for i in range(30)]
+    docs = spark.createDataFrame([(i, f"key {v} end") for i, v in enumerate(longs)], "doc_id long, text string")
+    [(kind, automaton, least, low, high)] = secret_scan.learn_formats(docs).formats
+    assert (kind, low, high) == ("hex", 320, 320) and sum(automaton.score(v) >= least for v in longs) >= 28
+
+
 ARTICLE = "<article><h1>A  title</h1><p><b>First &amp; best<br>line.<p>Second &lt;b&gt;.</p>%s</article>"
 
 
