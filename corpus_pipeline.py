@@ -37,18 +37,24 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates, and of rows with one id a single one.
+    """Keep the row with the smallest id of each group of near-duplicates, of several with that id the one with the smallest hash.
 
-    Documents without an id stay.
+    Rows are compared one by one, whatever their ids; equal rows become one. Rows without an id stay.
     """
-    found = stored(near_duplicates(docs, percent=PERCENT), "pipeline-groups")
-    dropped = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    # rows go by the hash of all they hold; without an id, by none
+    keyed = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.xxhash64(*docs.columns)))
+    found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), percent=PERCENT).where("doc_id is not null")
+    found = found.select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    ids = keyed.where("_row is not null").select("_row", "doc_id").distinct()
+    groups = stored(found.join(ids, "_row"), "pipeline-groups")
+    kept = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row"))
+    dropped = stored(groups.select("_row").join(kept, "_row", "left_anti"), "pipeline-dropped")
+    left = keyed.join(dropped, "_row", "left_anti")
+    repeated = stored(keyed.where("_row is not null").groupBy("_row").count().where("count > 1").select("_row"), "pipeline-repeated")
     if repeated.isEmpty():
-        return left
-    single = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+        return left.select(*docs.columns)
+    single = left.join(repeated, "_row", "left_anti").select(*docs.columns)
+    return single.unionByName(left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

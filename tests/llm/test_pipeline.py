@@ -75,3 +75,11 @@ def test_near_duplicates_are_those_of_brute_force_at_80_percent(spark):
     docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SF_DIR).collect())
     assert got == sorted(i for i, _, _, kept in expected(rows, 80) if kept)
+
+
+def test_rows_with_one_id_and_other_texts_stay(spark):
+    one, two = (" ".join(f"{letter}{i}" for i in range(100)) for letter in "ab")
+    rows = [(7, one, "en", "x", 1), (7, two, "en", "x", 2), (7, one + " more", "en", "x", 3), (8, two + " end", "en", "x", 4), (8, "c d e", "en", "x", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text.split()[0]) for r in corpus_pipeline.one_of_each(spark, docs, SF_DIR).collect())
+    assert got == [(7, "a0"), (7, "b0"), (8, "c")]
