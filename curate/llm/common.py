@@ -42,6 +42,11 @@ def whole_texts(df: DataFrame) -> DataFrame:
     return df
 
 
+def field_names(schema: str) -> list[str]:
+    """The names in a schema of plain columns, also where there is no session."""
+    return [field.split()[0] for field in schema.split(", ")]
+
+
 def crc32_of_id(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
