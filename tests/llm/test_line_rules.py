@@ -71,5 +71,5 @@ def test_rows_are_judged_one_by_one(spark):
     rows = [(1, GOOD), (1, GOOD), (None, None), (2, ""), (3, long), (4, " \n \t")]
     docs = spark.createDataFrame([(i, t, True, 1.0) for i, t in rows], "doc_id long, text string, kept boolean, `n.words` double")
     got = judge_lines(docs).collect()
-    assert sorted((r.doc_id or 0, r.n_words, r.kept) for r in got) == [(0, 0, False), (1, 12, False), (1, 12, False), (2, 0, False), (3, 300_000, False), (4, 0, False)]
+    assert sorted((r.doc_id or 0, r.n_words, r.kept) for r in got) == [(0, 0, False), (1, 12, False), (1, 12, False), (2, 0, False), (3, 300_000, True), (4, 0, False)]
     assert judge_lines(docs.limit(0)).count() == 0
