@@ -1,33 +1,67 @@
-"""N-gram text classifier: hashed word n-grams and logistic regression in Spark ML."""
+"""N-gram text classifier: a dictionary of words, hashed n-grams, averaged vectors and a softmax over two labels.
+
+Features are computed once and written, with every sample dealt to one of ``ROUNDS`` mini-batches. A round is one Spark job
+for all languages and all settings: tasks sum gradients over their samples, Spark adds up the sums by model and block
+of features, and the driver updates the models. As the output layer is linear in a sample's averaged vector, a task
+needs only one number per feature, its vector's product with the output weights, and the gradient is one number per
+feature as well: the vectors themselves (features x dim) never travel.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-from itertools import product
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curate.functions.text import words
 from curate.operators.metrics import classifier_metrics
-from curate.session import settle
+from curate.session import scratch_path, settle
 
 # Longest n-gram, and the language whose setting differs and which is not tuned.
 NGRAMS = 2
 NGRAMS_BY_LANGUAGE = {"cmn_Hani": 4}
 UNTUNED_LANGUAGES = ("cmn_Hani",)
-UNTUNED_ITERATIONS = 30
+UNTUNED_EPOCHS = 30
 POSITIVE = "__label__positive"
 NEGATIVE = "__label__negative"
 
-FEATURES = 1 << 16
-GRID_FEATURES = (1 << 14, 1 << 16)
-GRID_REGULARIZATION = (0.0001, 0.01)
+# Every text ends with this word.
+END = "</s>"
+# White space between words: the ASCII signs, and the zero byte.
+BLANK = np.zeros(33, bool)
+BLANK[[0, *range(9, 14), 32]] = True
+# Words have two hashes, sums of code points times powers of these; n-grams go on with the first hash of each word.
+MODULUS = (1 << 31) - 1
+BASES = (1_000_003, 92_821)
+STEP = 48_271
+
+ROUNDS = 8
+# Features whose gradients are added up in one piece.
+BLOCK = 1 << 18
+# Words of all dictionaries together that may be held, 16 bytes each on executors and 8 * dim more on the driver.
+MAX_WORDS = 50_000_000
+# Characters that are hashed at a time.
+SLICE = 1 << 18
+
+_SUMS = "model int, block int, n long, places binary, sums binary"
+
+
+@dataclass(frozen=True)
+class Setting:
+    """One point of the search: vector length, first rate, epochs, places for n-grams, least count of a word."""
+
+    dim: int = 8
+    rate: float = 50.0
+    epochs: int = 5
+    buckets: int = 1 << 17
+    min_count: int = 1
+
+
+GRID = (Setting(), Setting(rate=150.0), Setting(buckets=1 << 14), Setting(rate=150.0, min_count=5))
+UNTUNED = Setting(epochs=UNTUNED_EPOCHS, min_count=0)
 
 
 def ngrams_for(lang: str | None) -> int:
@@ -35,90 +69,387 @@ def ngrams_for(lang: str | None) -> int:
     return NGRAMS_BY_LANGUAGE.get(lang, NGRAMS)
 
 
-def with_terms(docs: DataFrame, text: str, longest: int) -> DataFrame:
-    """Add ``_terms``: all word n-grams of length 1 to ``longest``; none for a missing text."""
-    terms = docs.withColumn("_1", words(F.coalesce(F.col(text), F.lit(""))))
-    names = ["_1"]
+def _word_hash(word: str, base: int) -> int:
+    return sum(ord(c) * pow(base, i, MODULUS) for i, c in enumerate(word)) % MODULUS
+
+
+def _hashes(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, inside: np.ndarray, base: int) -> np.ndarray:
+    table = np.ones(int(lengths.max()), np.int64)
+    done = 1
+    while done < len(table):
+        step = min(done, len(table) - done)
+        table[done : done + step] = table[:step] * pow(base, done, MODULUS) % MODULUS
+        done += step
+    values = points[inside].astype(np.int64) * table[inside - np.repeat(starts, lengths)] % MODULUS
+    return np.add.reduceat(values, np.cumsum(lengths) - lengths) % MODULUS
+
+
+def text_features(texts: Sequence[str], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the words of every text and their bounds; hashes of its n-grams of 2 to ``longest`` words and their bounds."""
+    raw = np.frombuffer("".join(f"{t} {END} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = np.zeros(len(raw), bool)
+    low = raw < len(BLANK)
+    blank[low] = BLANK[raw[low]]
+    inside = np.flatnonzero(~blank)
+    if not len(inside):
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(len(texts) + 1, np.int64), none, np.zeros(len(texts) + 1, np.int64)
+    first = np.concatenate([[True], np.diff(inside) > 1])
+    starts = inside[first]
+    lengths = np.diff(np.append(np.flatnonzero(first), len(inside)))
+    one, two = (_hashes(raw, starts, lengths, inside, base) for base in BASES)
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + len(END) + 2 for t in texts)]))
+    row = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    grams, rows, running = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], one
     for n in range(2, longest + 1):
-        terms = NGram(n=n, inputCol="_1", outputCol=f"_{n}").transform(terms)
-        names.append(f"_{n}")
-    return terms.withColumn("_terms", F.concat(*names)).drop(*names)
+        if len(one) < n:
+            break
+        running = (running[: len(one) - n + 1] * STEP + one[n - 1 :]) % MODULUS
+        same = row[: len(row) - n + 1] == row[n - 1 :]
+        grams.append(running[same])
+        rows.append(row[: len(row) - n + 1][same])
+    gram, owner = np.concatenate(grams), np.concatenate(rows)
+    order = np.argsort(owner, kind="stable")
+    return one << 31 | two, bounds, gram[order], np.searchsorted(owner[order], np.arange(len(texts) + 1))
+
+
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts in runs of about ``SLICE`` characters; null is empty."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text.as_py() or "")
+        size += len(run[-1])
+        if size >= SLICE:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def initial_vectors(first: int, n: int, dim: int) -> np.ndarray:
+    """Start vectors of ``n`` features from the place ``first`` on: spread evenly within one over ``dim``, by a formula that SQL can state."""
+    place = np.arange(first, first + n, dtype=np.int64)[:, None] + 1
+    spread = (place * 7919 % 65_521) * (np.arange(dim, dtype=np.int64) * 104_729 + 1) % 2003
+    return (spread / 1001.0 - 1) / dim
 
 
 @dataclass
 class NgramClassifier:
-    """A fitted classifier."""
+    """A fitted classifier.
+
+    Places 0 to ``buckets - 1`` are those of n-grams, then come the words of the sorted dictionary. The output weights of
+    the two labels differ by their sign only, as they start from zero.
+    """
 
-    pipeline: PipelineModel
     longest: int
+    setting: Setting
+    words: np.ndarray  # sorted keys
+    vectors: np.ndarray  # places x dim
+    output: np.ndarray  # dim, of the positive label
+
+    def margins(self) -> np.ndarray:
+        """What each feature adds to the log-odds of the positive label before the average."""
+        return self.vectors @ (2 * self.output)
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """Add ``scores``, the probability of each label; 0.0 for a label the model does not know."""
-        terms = with_terms(docs, text, self.longest)
-        positive = F.coalesce(F.get(vector_to_array("_probability"), F.lit(1)), F.lit(0.0))
-        scored = self.pipeline.transform(terms).withColumn("_p", positive)
+        """Add ``scores``, the probability of each label; one column function, no shuffle.
+
+        A text without any known feature has the probability one half of each.
+        """
+        p = score_with(docs, [self])(F.col(text))[0]
+        scored = docs.withColumn("_p", p)
         scores = F.create_map(F.lit(POSITIVE), F.col("_p"), F.lit(NEGATIVE), 1 - F.col("_p"))
-        return scored.withColumn("scores", scores).select(*docs.columns, "scores")
+        return scored.withColumn("scores", scores).select(*(F.col(f"`{c}`") for c in docs.columns if c != "scores"), "scores")
 
     def save(self, path: str) -> None:
-        """Write the model with its n-gram length; an error if something is there already."""
+        """Write the model; an error if something is there already."""
         spark = SparkSession.active()
-        self.pipeline.write().save(f"{path}/pipeline")
-        spark.createDataFrame([(self.longest,)], "longest int").coalesce(1).write.parquet(f"{path}/settings")
+        parts = [("words", at, self.words[at : at + BLOCK].astype("<i8").tobytes()) for at in range(0, len(self.words), BLOCK)]
+        parts += [("vectors", at, self.vectors[at : at + BLOCK].astype("<f8").tobytes()) for at in range(0, len(self.vectors), BLOCK)]
+        parts += [("output", 0, self.output.astype("<f8").tobytes())]
+        s = self.setting
+        spark.createDataFrame([(self.longest, s.dim, float(s.rate), s.epochs, s.buckets, s.min_count)], _SETTINGS).coalesce(1).write.parquet(f"{path}/settings")
+        spark.createDataFrame(parts, "part string, at long, data binary").write.parquet(f"{path}/parts")
 
     @classmethod
     def load(cls, path: str) -> NgramClassifier:
-        longest = SparkSession.active().read.parquet(f"{path}/settings").first()["longest"]
-        return cls(PipelineModel.load(f"{path}/pipeline"), longest)
-
-
-def _fit(terms: DataFrame, longest: int, features: int, regularization: float, iterations: int) -> NgramClassifier:
-    hashing = HashingTF(inputCol="_terms", outputCol="_features", numFeatures=features)
-    regression = LogisticRegression(
-        featuresCol="_features",
-        labelCol="_label",
-        probabilityCol="_probability",
-        rawPredictionCol="_raw",
-        predictionCol="_prediction",
-        regParam=regularization,
-        maxIter=iterations,
-        aggregationDepth=2,
-    )
-    return NgramClassifier(
-        PipelineModel(stages=[hashing, regression.fit(hashing.transform(terms))]), longest
+        spark = SparkSession.active()
+        longest, *rest = spark.read.parquet(f"{path}/settings").first()
+        setting = Setting(*rest)
+        parts: dict[str, list[bytes]] = {"words": [], "vectors": [], "output": []}
+        for row in spark.read.parquet(f"{path}/parts").orderBy("part", "at").collect():  # one model
+            parts[row["part"]].append(bytes(row["data"]))
+        words, vectors, output = (np.frombuffer(b"".join(parts[k]), t).copy() for k, t in (("words", "<i8"), ("vectors", "<f8"), ("output", "<f8")))
+        return cls(longest, setting, words, vectors.reshape(-1, setting.dim), output)
+
+
+_SETTINGS = "longest int, dim int, rate double, epochs int, buckets int, min_count int"
+
+
+def score_with(docs: DataFrame, models: Sequence[NgramClassifier]):
+    """A function from a text column to an array with the positive probability under each model; texts are hashed once.
+
+    All models must have the same longest n-gram. A feature is one number to each of them.
+    """
+    [longest] = {m.longest for m in models}
+    shared = docs.sparkSession.sparkContext.broadcast([(m.words, m.margins(), m.setting.buckets) for m in models])
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [np.zeros((0, len(shared.value)))]
+            for some in _slices(texts):
+                features = text_features(some, longest)
+                found.append(np.stack([probabilities(*features, *m) for m in shared.value], axis=1))
+            flat = np.concatenate(found)
+            yield pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), flat.shape[1]).cast(pa.list_(pa.float64()))
+
+    return F.arrow_udf(run, "array<double>").asNondeterministic()
+
+
+def _places(words: np.ndarray, word_bounds: np.ndarray, grams: np.ndarray, gram_bounds: np.ndarray, known: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all features of the rows, and the row of each; words outside the dictionary have none."""
+    at = np.searchsorted(known, words)
+    at[at == len(known)] = 0
+    real = known[at] == words if len(known) else np.zeros(len(words), bool)
+    word_row = np.repeat(np.arange(len(word_bounds) - 1), np.diff(word_bounds))[real]
+    gram_row = np.repeat(np.arange(len(gram_bounds) - 1), np.diff(gram_bounds))
+    return np.concatenate([at[real] + buckets, grams % buckets]), np.concatenate([word_row, gram_row])
+
+
+def _log_odds(places: np.ndarray, rows: np.ndarray, n: int, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.bincount(rows, minlength=n)
+    return np.bincount(rows, margins[places], n) / np.maximum(counts, 1), counts
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    small = np.exp(-np.abs(x))
+    return np.where(x >= 0, 1.0, small) / (1.0 + small)
+
+
+def probabilities(words, word_bounds, grams, gram_bounds, known: np.ndarray, margins: np.ndarray, buckets: int) -> np.ndarray:
+    """The positive probability of every row of features."""
+    places, rows = _places(words, word_bounds, grams, gram_bounds, known, buckets)
+    return _sigmoid(_log_odds(places, rows, len(word_bounds) - 1, margins)[0])
+
+
+def _feature_table(samples: DataFrame, names: list[str], longest: dict[str, int], rounds: int) -> DataFrame:
+    """Rows (model, part, label, words, grams), written once; a sample's part follows its text."""
+    number = {name: i for i, name in enumerate(names)}
+    lengths = [longest[name] for name in names]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text")
+            models = batch.column("model").to_numpy(zero_copy_only=False)
+            at = 0
+            for some in _slices(texts):
+                mine = models[at : at + len(some)]
+                words, grams = [None] * len(some), [None] * len(some)
+                for n in {lengths[m] for m in mine}:
+                    pick = [i for i, m in enumerate(mine) if lengths[m] == n]
+                    w, wb, g, gb = text_features([some[i] for i in pick], n)
+                    for k, i in enumerate(pick):
+                        words[i], grams[i] = w[wb[k] : wb[k + 1]], g[gb[k] : gb[k + 1]]
+                part = batch.slice(at, len(some))
+                columns = [part.column("model"), part.column("part"), part.column("label")]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(words, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))], names=["model", "part", "label", "words", "grams"]
+                )
+                at += len(some)
+
+    model = F.element_at(F.create_map(*(x for n, i in number.items() for x in (F.lit(n), F.lit(i)))), F.col("_name"))
+    part = F.pmod(F.xxhash64("text"), F.lit(rounds)).cast("int").alias("part")
+    label = (F.col("label") == "positive").cast("int").alias("label")
+    known = samples.where(F.col("_name").isin(names)).select(model.cast("int").alias("model"), part, label, "text")
+    # texts are dealt evenly, whatever files they came from
+    dealt = known.repartition(known.sparkSession.sparkContext.defaultParallelism)
+    path = scratch_path(samples.sparkSession, "features")
+    dealt.mapInArrow(run, "model int, part int, label int, words array<long>, grams array<long>").write.partitionBy("part").parquet(path)
+    return samples.sparkSession.read.parquet(path)
+
+
+def _dictionaries(table: DataFrame, models: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per model, sorted word keys and their counts; an error if there are too many."""
+    counts = table.select("model", F.explode("words").alias("word")).groupBy("model", "word").agg(F.count("*").alias("n"))
+    counts = settle(counts.where(F.col("n") >= least))
+    if counts.count() > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} words: raise min_count")
+    found = counts.toArrow()
+    model, word, n = (found[c].to_numpy() for c in ("model", "word", "n"))
+    order = np.lexsort((word, model))
+    bounds = np.searchsorted(model[order], np.arange(models + 1))
+    return [(word[order[s:e]], n[order[s:e]]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+class _Job:
+    """One model in training: a language and a setting."""
+
+    def __init__(self, model: int, setting: Setting, dictionary: tuple[np.ndarray, np.ndarray]):
+        words, counts = dictionary
+        self.model, self.setting = model, setting
+        self.words = words[counts >= setting.min_count]
+        self.size = setting.buckets + len(self.words)
+        self.vectors = initial_vectors(0, self.size, setting.dim)
+        self.output = np.zeros(setting.dim)
+        self.margins = np.zeros(self.size)
+        self.step = 0
+
+    def update(self, sums: dict[int, np.ndarray], n: int, rounds: int) -> None:
+        """One step against the summed gradient of ``n`` samples; the rate falls to zero over all rounds."""
+        rate = self.setting.rate * (1 - self.step / (self.setting.epochs * rounds)) / max(n, 1)
+        self.step += 1
+        if not n:
+            return
+        slope = np.zeros(self.setting.dim)
+        for block, c in sums.items():
+            mine = self.vectors[block * BLOCK : block * BLOCK + len(c)]
+            slope += c @ mine
+            mine -= np.outer(rate * c, 2 * self.output)
+        self.output = self.output - rate * slope
+        self.margins = self.vectors @ (2 * self.output)
+
+
+def _round(table: DataFrame, jobs: list[_Job], dictionaries) -> dict[int, tuple[int, dict[int, np.ndarray]]]:
+    """Samples and summed gradients of every model over one mini-batch of the written features."""
+    of_model: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    for i, job in enumerate(jobs):
+        of_model.setdefault(job.model, []).append((i, job.setting.buckets, job.setting.min_count, job.margins))
+    shared = table.sparkSession.sparkContext.broadcast(of_model)
+
+    def run(batches):
+        totals: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            models = batch.column("model").to_numpy(zero_copy_only=False)
+            for model in np.unique(models):
+                mine = batch.take(pa.array(np.flatnonzero(models == model)))
+                labels = mine.column("label").to_numpy(zero_copy_only=False)
+                features = []
+                for name in ("words", "grams"):
+                    lists = mine.column(name)
+                    features += [lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])]
+                all_words, counts = dictionaries.value[int(model)]
+                for job, buckets, least, margins in shared.value.get(int(model), ()):
+                    known = all_words[counts >= least]
+                    places, rows = _places(*features, known, buckets)
+                    odds, n = _log_odds(places, rows, len(labels), margins)
+                    share = (_sigmoid(odds) - labels) / np.maximum(n, 1)
+                    seen, total = totals.setdefault(job, (0, np.zeros(len(margins))))
+                    total += np.bincount(places, share[rows], len(total))
+                    totals[job] = seen + len(labels), total
+        for job, (seen, total) in totals.items():
+            yield from _pieces(job, seen, total, True)
+
+    def add(batches):
+        sums: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                entry = sums.setdefault((row["model"], row["block"]), [0, np.zeros(BLOCK)])
+                entry[0] += row["n"]
+                entry[1][np.frombuffer(row["places"], "<i4")] += np.frombuffer(row["sums"])
+        for (job, block), (seen, total) in sums.items():
+            yield _piece(job, block, seen, total)
+
+    parts = table.mapInArrow(run, _SUMS).repartition("model", "block").mapInArrow(add, _SUMS)
+    found: dict[int, tuple[int, dict[int, np.ndarray]]] = {}
+    for row in parts.toArrow().to_pylist():  # one row per model and block
+        job = jobs[row["model"]]
+        seen, blocks = found.setdefault(row["model"], (0, {}))
+        dense = np.zeros(min(BLOCK, job.size - row["block"] * BLOCK))
+        dense[np.frombuffer(row["places"], "<i4")] = np.frombuffer(row["sums"])
+        blocks[row["block"]] = dense
+        # the first block of every model is always there and counts its samples
+        found[row["model"]] = (row["n"] if row["block"] == 0 else seen, blocks)
+    shared.unpersist()
+    return found
+
+
+def _piece(job: int, block: int, seen: int, total: np.ndarray) -> pa.RecordBatch:
+    places = np.flatnonzero(total)
+    return pa.RecordBatch.from_pydict(
+        {
+            "model": pa.array([job], pa.int32()),
+            "block": pa.array([block], pa.int32()),
+            "n": [seen],
+            "places": [places.astype("<i4").tobytes()],
+            "sums": [total[places].tobytes()],
+        }
     )
 
 
+def _pieces(job: int, seen: int, total: np.ndarray, first: bool) -> Iterator[pa.RecordBatch]:
+    for block in range(-(-len(total) // BLOCK)):
+        part = total[block * BLOCK : (block + 1) * BLOCK]
+        if block == 0 or part.any():
+            yield _piece(job, block, seen if block == 0 else 0, part)
+
+
+def fit_all(
+    train: DataFrame, settings: dict[str | None, Sequence[Setting]], by: str | None = None, rounds: int = ROUNDS
+) -> dict[str | None, list[NgramClassifier]]:
+    """For every value of ``by`` (or None), a classifier for each of its settings, on samples (label, text).
+
+    All of them train in the same jobs: one to write features, one to count words, and one for each round of each epoch,
+    whatever the number of models. A model is the same whichever others are trained beside it, as its mini-batches follow
+    its texts alone. Samples with a null text count as empty.
+    """
+    names = sorted(settings, key=str)
+    group = F.col(by).cast("string") if by else F.lit("None")
+    samples = train.select(group.alias("_name"), "label", F.coalesce("text", F.lit("")).alias("text"))
+    longest = {str(name): ngrams_for(name) for name in names}
+    table = _feature_table(samples, [str(n) for n in names], longest, rounds)
+    least = min(s.min_count for some in settings.values() for s in some)
+    found = _dictionaries(table, len(names), least)
+    dictionaries = table.sparkSession.sparkContext.broadcast(found)
+    jobs = [_Job(i, setting, found[i]) for i, name in enumerate(names) for setting in settings[name]]
+    for epoch in range(max(job.setting.epochs for job in jobs)):
+        for part in np.random.default_rng(epoch).permutation(rounds):
+            active = [job for job in jobs if epoch < job.setting.epochs]
+            sums = _round(table.where(F.col("part") == int(part)).drop("part"), active, dictionaries)
+            for i, job in enumerate(active):
+                seen, blocks = sums.get(i, (0, {}))
+                job.update(blocks, seen, rounds)
+    dictionaries.unpersist()
+    models: dict[str | None, list[NgramClassifier]] = {name: [] for name in names}
+    for job in jobs:
+        name = names[job.model]
+        models[name].append(NgramClassifier(ngrams_for(name), job.setting, job.words, job.vectors, job.output))
+    return models
+
+
+def _best(valid: DataFrame, models: dict[str | None, list[NgramClassifier]], by: str | None) -> dict[str | None, NgramClassifier]:
+    """Per value of ``by`` the model with the best F1 on its samples; all are scored in one job."""
+    group = F.col(by).cast("string") if by else F.lit("None")
+    samples = valid.select(group.alias("_name"), (F.col("label") == "positive").cast("double").alias("label"), "text")
+    scored = None
+    for name, some in models.items():
+        rows = samples.where(F.col("_name") == str(name))
+        rows = rows.select("_name", "label", F.posexplode(score_with(valid, some)(F.col("text"))).alias("_which", "score"))
+        scored = rows if scored is None else scored.unionByName(rows)
+    f1 = {(r["_name"], r["_which"]): r["f1"] for r in classifier_metrics(scored, "score", "label", ["_name", "_which"]).collect()}  # one row per model
+    return {name: some[max(range(len(some)), key=lambda i: f1.get((str(name), i), 0.0))] for name, some in models.items()}
+
+
+def train_ngrams(
+    train: DataFrame, valid: DataFrame | None, langs: Sequence[str | None], grid: Sequence[Setting] = GRID, by: str | None = "lang", rounds: int = ROUNDS
+) -> dict[str | None, NgramClassifier]:
+    """A classifier per language of the column ``by``, trained side by side on (label, text).
+
+    With a validation set the point of ``grid`` with the best F1 is taken; all points of all languages train in the same
+    jobs. Without one, and for languages that are not tuned, there is a single setting.
+    """
+    settings = {lang: (UNTUNED,) if lang in UNTUNED_LANGUAGES else tuple(grid) if valid is not None else (grid[0],) for lang in langs}
+    models = fit_all(train, settings, by, rounds)
+    several = {lang: some for lang, some in models.items() if len(some) > 1}
+    return {lang: some[0] for lang, some in models.items()} | (_best(valid, several, by) if several else {})
+
+
 def train_ngram(
-    train: DataFrame,
-    valid: DataFrame | None = None,
-    lang: str | None = None,
-    iterations: int = UNTUNED_ITERATIONS,
-    grid_features: Sequence[int] = GRID_FEATURES,
-    grid_regularization: Sequence[float] = GRID_REGULARIZATION,
+    train: DataFrame, valid: DataFrame | None = None, lang: str | None = None, grid: Sequence[Setting] = GRID, rounds: int = ROUNDS
 ) -> NgramClassifier:
-    """Fit on (label, text). With a validation set, pick the grid point of the best F1."""
-    longest = ngrams_for(lang)
-    label = F.when(F.col("label") == "positive", 1.0).otherwise(0.0)
-    terms = settle(with_terms(train.select(label.alias("_label"), "text"), "text", longest).drop("text"))
-    if valid is None or lang in UNTUNED_LANGUAGES:
-        return _fit(terms, longest, FEATURES, 0.0, iterations)
-    best, best_f1 = None, -1.0
-    for features, regularization in product(grid_features, grid_regularization):
-        model = _fit(terms, longest, features, regularization, iterations)
-        f1 = ngram_metrics(model, valid).first()["f1"]
-        if f1 > best_f1:
-            best, best_f1 = model, f1
-    return best
-
-
-def train_ngrams(train: DataFrame, valid: DataFrame | None, langs: Sequence[str], **settings) -> dict[str, NgramClassifier]:
-    """A classifier per language of the column ``lang``; languages are trained one after the other."""
-
-    def of(samples: DataFrame | None, lang: str) -> DataFrame | None:
-        return None if samples is None else samples.where(F.col("lang") == lang)
-
-    return {lang: train_ngram(of(train, lang), of(valid, lang), lang, **settings) for lang in langs}
+    """One classifier, for the language ``lang``."""
+    name = F.lit("None" if lang is None else lang)
+    named = [None if df is None else df.withColumn("_lang", name) for df in (train, valid)]
+    return train_ngrams(*named, [lang], grid, "_lang", rounds)[lang]
 
 
 def save_ngrams(models: dict[str, NgramClassifier], root: str) -> None:

@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from curate.models import mlp as M
-from curate.models.ngram import NgramClassifier, ngram_metrics, train_ngram, with_terms
+from curate.models import ngram as G
+from curate.models.ngram import NgramClassifier, Setting, ngram_metrics, train_ngram, train_ngrams
 from curate.operators.sampling import hash_order
 from curate.session import scratch_path
 
@@ -61,28 +62,139 @@ def test_many_shards_learn_and_reload(spark, rows):
         M.save_models(spark, trained.models, path)
 
 
-def test_ngram_terms(spark):
-    df = spark.createDataFrame([("a b c",), ("a",), ("",), (None,)], "text string")
-    got = [r["_terms"] for r in with_terms(df, "text", 3).collect()]
-    assert got == [["a", "b", "c", "a b", "b c", "a b c"], ["a"], [], []]
+def plain_features(text, longest):
+    """Keys and hashes word by word."""
+    import re
+
+    words = [w for w in re.split("[\0\t-\r ]+", text) if w] + [G.END]
+    one, two = ([G._word_hash(w, b) for w in words] for b in G.BASES)
+    grams = []
+    for n in range(2, longest + 1):
+        for i in range(len(words) - n + 1):
+            h = one[i]
+            for k in range(1, n):
+                h = (h * G.STEP + one[i + k]) % G.MODULUS
+            grams.append(h)
+    return [a << 31 | b for a, b in zip(one, two, strict=True)], grams
+
+
+@pytest.mark.parametrize("longest", [1, 2, 4])
+def test_features_are_those_of_words_one_by_one(longest):
+    texts = ["a b c", "", "a", " é\x00日本🙂\n\x0b x\x85y ", "w" * 5000 + " z", "\x1c\x1f"]
+    words, wb, grams, gb = G.text_features(texts, longest)
+    for i, text in enumerate(texts):
+        want_words, want_grams = plain_features(text, longest)
+        assert words[wb[i] : wb[i + 1]].tolist() == want_words
+        assert sorted(grams[gb[i] : gb[i + 1]].tolist()) == sorted(want_grams)
+    assert [len(x) for x in G.text_features([], longest)] == [0, 1, 0, 1]
+
+
+def sentences(n, seed=1):
+    rng = np.random.default_rng(seed)
+    good, bad, other = ([f"{k}{i}" for i in range(30)] for k in "gbo")
+    rows = []
+    for i in range(n):
+        some = rng.choice(good if i % 2 else bad, 3).tolist() + rng.choice(other, 12).tolist()
+        rng.shuffle(some)
+        rows.append(("xy"[i % 3 == 0], "positive" if i % 2 else "negative", " ".join(some)))
+    return rows
+
+
+def plain_training(rows, setting, longest, rounds, part_of):
+    """The same training with every gradient of every vector, sample by sample."""
+    from collections import Counter
+
+    features = [plain_features(text, longest) for _, _, text in rows]
+    counts = Counter(w for words, _ in features for w in words)
+    known = {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= setting.min_count))}
+    places = [[setting.buckets + known[w] for w in words if w in known] + [g % setting.buckets for g in grams] for words, grams in features]
+    vectors = G.initial_vectors(0, setting.buckets + len(known), setting.dim)
+    weights = np.zeros((2, setting.dim))
+    step = 0
+    for epoch in range(setting.epochs):
+        for part in np.random.default_rng(epoch).permutation(rounds):
+            mine = [i for i, row in enumerate(rows) if part_of[row[2]] == part]
+            rate = setting.rate * (1 - step / (setting.epochs * rounds))
+            step += 1
+            to_vectors, to_weights = np.zeros_like(vectors), np.zeros_like(weights)
+            for i in mine:
+                hidden = vectors[places[i]].mean(axis=0)
+                raw = np.exp(weights @ hidden - (weights @ hidden).max())
+                error = raw / raw.sum() - np.eye(2)[int(rows[i][1] == "positive")]
+                to_weights += np.outer(error, hidden) / len(mine)
+                for place in places[i]:
+                    to_vectors[place] += error @ weights / len(places[i]) / len(mine)
+            vectors -= rate * to_vectors
+            weights -= rate * to_weights
+    return vectors, weights
+
+
+def test_training_is_plain_softmax_by_mini_batches(spark):
+    rows = sentences(90)
+    samples = spark.createDataFrame(rows, "lang string, label string, text string")
+    part_of = {r["text"]: r["part"] for r in samples.select("text", F.pmod(F.xxhash64("text"), F.lit(3)).alias("part")).collect()}
+    setting = Setting(dim=4, rate=5.0, epochs=2, buckets=50, min_count=3)
+    [model] = G.fit_all(samples, {None: [setting]}, rounds=3)[None]
+    vectors, weights = plain_training(rows, setting, 2, 3, part_of)
+    assert np.allclose(model.vectors, vectors, atol=1e-9)
+    assert np.allclose(model.output, weights[1], atol=1e-9) and np.allclose(weights[0], -weights[1])
+
+
+def test_a_model_is_the_same_beside_others(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK", 64)
+    samples = spark.createDataFrame(sentences(200), "lang string, label string, text string")
+    settings = (Setting(epochs=2, buckets=128), Setting(epochs=1, buckets=64, min_count=2))
+    together = G.fit_all(samples, {"x": settings, "y": settings[:1]}, by="lang", rounds=2)
+    alone = G.fit_all(samples.where("lang = 'y'"), {"y": settings[:1]}, by="lang", rounds=2)
+    [one], [two] = together["y"], alone["y"]
+    assert np.allclose(one.vectors, two.vectors, atol=1e-12) and (one.words == two.words).all()
+    assert [m.setting for m in together["x"]] == list(settings)
+
+
+def jobs_of(spark, run):
+    """How many Spark jobs a function starts."""
+    group = f"jobs-{id(run)}"
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_do_not_grow_with_languages_and_settings(spark):
+    rows = [(f"l{i % 5}", *row[1:]) for i, row in enumerate(sentences(200))]
+    samples = spark.createDataFrame(rows, "lang string, label string, text string").cache()
+    samples.count()
+    few = jobs_of(spark, lambda: G.fit_all(samples, {"l0": [Setting(epochs=1)]}, by="lang", rounds=2))
+    many = jobs_of(spark, lambda: G.fit_all(samples, {f"l{i}": [Setting(epochs=1), Setting(epochs=1, rate=9.0)] for i in range(5)}, by="lang", rounds=2))
+    assert many == few
+
+
+def test_held_out_samples_are_told_apart(spark):
+    samples = spark.createDataFrame(sentences(600), "lang string, label string, text string")
+    held = spark.createDataFrame(sentences(300, seed=9), "lang string, label string, text string")
+    models = train_ngrams(samples, held, ["x", "y"])
+    for lang, model in models.items():
+        assert ngram_metrics(model, held.where(F.col("lang") == lang)).first()["f1"] > 0.95
 
 
 def test_ngram_classifier_learns_and_reloads(spark):
     data = [("positive" if i % 2 else "negative", f"{'good day' if i % 2 else 'bad night'} {i % 7}") for i in range(60)]
-    samples = spark.createDataFrame(data, "label string, text string")
-    model = train_ngram(samples, iterations=10)
-    assert ngram_metrics(model, samples).first()["accuracy"] == 1.0
+    samples = spark.createDataFrame([*data, ("negative", None)], "label string, text string")
+    model = train_ngram(samples)
+    assert ngram_metrics(model, samples).first()["f1"] == 1.0
     path = scratch_path(spark, "ngram")
     model.save(path)
     again = NgramClassifier.load(path).score(samples).collect()
     assert again == model.score(samples).collect()
+    with pytest.raises(Exception):
+        model.save(path)
 
 
 def test_a_long_ngram_model_keeps_its_length(spark):
     data = [("positive" if i % 2 else "negative", " ".join("ab"[(i + k) % 2] for k in range(6)) + f" {i % 5}") for i in range(40)]
     samples = spark.createDataFrame(data, "label string, text string")
-    model = train_ngram(samples, lang="cmn_Hani", iterations=5)
+    model = train_ngram(samples, lang="cmn_Hani", rounds=1)
     path = scratch_path(spark, "long")
     model.save(path)
     loaded = NgramClassifier.load(path)
-    assert loaded.longest == 4 and loaded.score(samples).collect() == model.score(samples).collect()
+    assert loaded.longest == 4 and loaded.setting.epochs == 30 and loaded.score(samples).collect() == model.score(samples).collect()
