@@ -6,14 +6,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.fixtures import labelled_documents
+from catalog.fixtures import LABELLED_CTE, labelled_documents
 from catalog.registry import query, table
 from catalog.selecting import DIM, HIDDEN, small_network
 from curate.models.mlp import evaluate, load_models, save_models, train_mlp
+from curate.models import ngram as G
 from curate.models.ngram import (
     NEGATIVE,
     POSITIVE,
     NgramClassifier,
+    Setting,
+    fit_all,
     load_ngrams,
     ngram_metrics,
     save_ngrams,
@@ -21,7 +24,7 @@ from curate.models.ngram import (
     train_ngrams,
 )
 from curate.operators.sampling import stratified_split
-from curate.plans.select import select_text, threshold_value
+from curate.plans.select import select_text
 from curate.session import scratch_path, settle
 
 
@@ -121,16 +124,123 @@ def _text_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return split.where("split = 'train'"), split.where("split <> 'train'")
 
 
+def _features_sql(texts: str) -> str:
+    """Hashes of the words of ``texts`` (doc_id, text), word by word: ``tokens`` (doc_id, i, one, key) and ``grams`` (doc_id, gram)."""
+
+    def hashed(base: int) -> str:
+        points = "list_reverse(list_transform(regexp_extract_all(word, '(?s).'), lambda c: unicode(c)::BIGINT))"
+        return f"list_reduce(list_prepend(0::BIGINT, {points}), lambda h, c: (h * {base} + c) % {G.MODULUS})"
+
+    return f"""
+split AS (
+  SELECT doc_id, list_append(list_filter(regexp_split_to_array(text, '[\\x09-\\x0D\\x20]+'), lambda x: x <> ''), '{G.END}') AS words FROM {texts}),
+placed AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split),
+hashed AS (
+  SELECT word, {hashed(G.BASES[0])} AS one, {hashed(G.BASES[1])} AS two FROM (SELECT DISTINCT word FROM placed)),
+tokens AS (
+  SELECT doc_id, i, one, one * {1 << 31} + two AS key FROM placed JOIN hashed USING (word)),
+grams AS (
+  SELECT doc_id, (one * {G.STEP} + lead(one) OVER (PARTITION BY doc_id ORDER BY i)) % {G.MODULUS} AS gram FROM tokens)"""
+
+
+def _start_sql(place: str, j: str, dim: int) -> str:
+    """Element j of the start vector of a place."""
+    return f"((({place} + 1) * 7919 % 65521 * ({j} * 104729 + 1) % 2003) / 1001.0::DOUBLE - 1) / {dim}"
+
+
+# Two steps over all labelled documents: at first every document has the probability one half and only the output
+# weights move; then vectors and output weights move by the errors under these.
+_STEPS = Setting(dim=3, rate=40.0, epochs=2, buckets=32, min_count=40)
+_TWO_STEPS = f"""WITH {LABELLED_CTE}, {_features_sql("labelled")},
+dictionary AS (
+  SELECT key, {_STEPS.buckets} + row_number() OVER (ORDER BY key) - 1 AS place FROM tokens GROUP BY key HAVING count(*) >= {_STEPS.min_count}),
+features AS (
+  SELECT doc_id, place FROM tokens JOIN dictionary USING (key)
+  UNION ALL SELECT doc_id, gram % {_STEPS.buckets} FROM grams WHERE gram IS NOT NULL),
+counted AS (
+  SELECT doc_id, place, count(*) AS times, sum(count(*)) OVER (PARTITION BY doc_id) AS n FROM features GROUP BY doc_id, place),
+dims AS (SELECT unnest(range(0, {_STEPS.dim})) AS j),
+places AS (
+  SELECT place, j, {_start_sql("place", "j", _STEPS.dim)} AS v
+  FROM (SELECT place FROM dictionary UNION ALL SELECT unnest(range(0, {_STEPS.buckets}))), dims),
+classes AS (SELECT doc_id, CASE WHEN label = 'positive' THEN 1 ELSE 0 END AS y, count(*) OVER () AS total FROM labelled),
+hidden AS (
+  SELECT doc_id, j, sum(times * v / n) AS h FROM counted JOIN places USING (place) GROUP BY doc_id, j),
+first AS (
+  SELECT j, -{_STEPS.rate} * sum((0.5 - y) * h) / any_value(total) AS w FROM hidden JOIN classes USING (doc_id) GROUP BY j),
+errors AS (
+  SELECT doc_id, 1 / (1 + exp(-sum(2 * h * w))) - any_value(y) AS e, any_value(total) AS total
+  FROM hidden JOIN first USING (j) JOIN classes USING (doc_id) GROUP BY doc_id),
+second AS (
+  SELECT j, any_value(w) - {_STEPS.rate / 2} * sum(e * h) / any_value(total) AS w FROM hidden JOIN errors USING (doc_id) JOIN first USING (j) GROUP BY j),
+slopes AS (
+  SELECT place, sum(e * times / n) / any_value(total) AS c FROM counted JOIN errors USING (doc_id) GROUP BY place)
+SELECT 'output' AS part, 0::BIGINT AS place, j::INT AS j, round(w, 6) AS weight FROM second
+UNION ALL
+SELECT 'vector', place, j::INT, round(v - {_STEPS.rate / 2} * coalesce(c, 0) * 2 * w, 6) FROM places LEFT JOIN slopes USING (place) JOIN first USING (j)"""
+
+
+@query(_TWO_STEPS)
+def ngram_two_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every weight after two steps over all labelled documents, from the start weights."""
+    [model] = fit_all(labelled_documents(spark, sf_dir), {None: [_STEPS]}, rounds=1)[None]
+    found = [("output", 0, j, float(w)) for j, w in enumerate(model.output)]
+    found += [("vector", i, j, float(w)) for i, row in enumerate(model.vectors) for j, w in enumerate(row)]
+    return spark.createDataFrame(found, "part string, place long, j int, weight double").withColumn("weight", F.round("weight", 6))
+
+
+# A model with given weights: a few words, and places for n-grams.
+_GIVEN = Setting(dim=4, buckets=256)
+_GIVEN_WORDS = ("the", "of", "and", "die", "der", "und", "que", "de", "la", "et", "|", G.END)
+_GIVEN_KEYS = sorted(G._word_hash(w, G.BASES[0]) << 31 | G._word_hash(w, G.BASES[1]) for w in _GIVEN_WORDS)
+_GIVEN_OUTPUT = [40.0, -25.0, 30.0, -35.0]
+
+
+def given_classifier() -> NgramClassifier:
+    vectors = G.initial_vectors(0, _GIVEN.buckets + len(_GIVEN_KEYS), _GIVEN.dim)
+    return NgramClassifier(2, _GIVEN, np.array(_GIVEN_KEYS, np.int64), vectors, np.array(_GIVEN_OUTPUT))
+
+
+def _given_sql(texts: str) -> str:
+    margin = " + ".join(f"2 * ({w}) * ({_start_sql('place', str(j), _GIVEN.dim)})" for j, w in enumerate(_GIVEN_OUTPUT))
+    return f"""{_features_sql(texts)},
+dictionary AS (
+  SELECT unnest({_GIVEN_KEYS}) AS key, {_GIVEN.buckets} + unnest(range(0, {len(_GIVEN_KEYS)})) AS place),
+features AS (
+  SELECT doc_id, place FROM tokens JOIN dictionary USING (key)
+  UNION ALL SELECT doc_id, gram % {_GIVEN.buckets} FROM grams WHERE gram IS NOT NULL),
+scored AS (
+  SELECT doc_id, round(1 / (1 + exp(-avg({margin}))), 12) AS p FROM features GROUP BY doc_id)"""
+
+
+@query(f"WITH {_given_sql('documents')} SELECT doc_id, round(p, 6) AS positive, round(1 - p, 6) AS negative FROM scored")
+def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probabilities of every document under given weights."""
+    scored = given_classifier().score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", F.round(F.col("scores")[POSITIVE], 6).alias("positive"), F.round(F.col("scores")[NEGATIVE], 6).alias("negative"))
+
+
+@query(f"""WITH {_given_sql('documents')},
+    prefix AS (SELECT p FROM scored ORDER BY doc_id LIMIT 10000),
+    t AS (SELECT quantile_cont(p, 0.9::DOUBLE) AS least FROM prefix)
+    SELECT doc_id, round(p, 6) AS positive, p >= least - 1e-13 AS keep FROM scored, t""")
+def ngram_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability under given weights, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = select_text(docs, given_classifier(), order="doc_id", retention=0.1).scored
+    return scored.select("doc_id", F.round(F.col("scores")[POSITIVE], 6).alias("positive"), "keep")
+
+
 # Samples that are held out of training: a fifth of all, rounded up.
 _HELD = "SELECT ceil(count(*) * 2 / 10)::BIGINT AS held, true AS beats_majority FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)"
 
 
 def _beats_majority(model: NgramClassifier, held: DataFrame) -> DataFrame:
     """Whether the accuracy on held-out samples is at least that of naming the commoner label."""
-    counts = held.groupBy().agg(F.count("*").alias("held"), F.avg((F.col("label") == "positive").cast("int")).alias("share"))
-    return ngram_metrics(model, held).crossJoin(counts).select(
-        "held", (F.col("accuracy") >= F.greatest("share", 1 - F.col("share"))).alias("beats_majority")
-    )
+    scored = model.score(held).select((F.col("label") == "positive").alias("actual"), (F.col("scores")[POSITIVE] > 0.5).alias("predicted"))
+    right, share = F.avg((F.col("actual") == F.col("predicted")).cast("int")), F.avg(F.col("actual").cast("int"))
+    return scored.agg(F.count("*").alias("held"), (right >= F.greatest(share, 1 - share)).alias("beats_majority"))
 
 
 @query(_HELD)
@@ -146,9 +256,10 @@ def ngram_parameter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _beats_majority(train_ngram(train, held), held)
 
 
-@query("SELECT lang, true AS sums_to_one, true AS same_when_loaded, 2 AS longest FROM (SELECT DISTINCT lang FROM documents JOIN labels USING (doc_id))")
+@query(f"""WITH {LABELLED_CTE}, {_features_sql("labelled")}
+    SELECT lang, count(DISTINCT key) AS words, true AS same_when_loaded, 2 AS longest FROM tokens JOIN labelled USING (doc_id) GROUP BY lang""")
 def ngram_training_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A classifier per language, saved, loaded and compared on its own samples."""
+    """Classifiers of all languages at once, saved, loaded and compared on their own samples."""
     samples = settle(labelled_documents(spark, sf_dir).select("lang", "label", "text"))
     langs = [row["lang"] for row in samples.select("lang").distinct().orderBy("lang").collect()]  # one row per language
     models = train_ngrams(samples, None, langs)
@@ -157,38 +268,20 @@ def ngram_training_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for lang, loaded in load_ngrams(root, langs).items():
         mine = samples.where(F.col("lang") == lang)
-        sums = [m.score(mine).agg(F.sum(F.col("scores")[POSITIVE]), F.max(F.abs(F.col("scores")[POSITIVE] + F.col("scores")[NEGATIVE] - 1))).first() for m in (models[lang], loaded)]
-        rows.append((lang, max(s[1] for s in sums) < 1e-9, abs(sums[0][0] - sums[1][0]) < 1e-6, loaded.longest))
-    return spark.createDataFrame(rows, "lang string, sums_to_one boolean, same_when_loaded boolean, longest int")
+        both = G.score_with(mine, [models[lang], loaded])(F.col("text"))
+        apart = mine.select(F.abs(both[0] - both[1]).alias("d")).agg(F.max("d")).first()[0]
+        rows.append((lang, len(loaded.words), apart == 0, loaded.longest))
+    return spark.createDataFrame(rows, "lang string, words long, same_when_loaded boolean, longest int")
 
 
 @query("SELECT doc_id, 4 AS longest, true AS same FROM documents")
 def saved_ngram_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A classifier of n-grams up to four scores the same after it was saved and loaded."""
     train, _ = _text_splits(spark, sf_dir)
-    model = train_ngram(train, lang="cmn_Hani")
+    model = train_ngram(train, lang="cmn_Hani", rounds=2)
     path = scratch_path(spark, "ngram")
     model.save(path)
     loaded = NgramClassifier.load(path)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    one = model.score(docs).select("doc_id", F.col("scores")[POSITIVE].alias("one"))
-    two = loaded.score(docs).select("doc_id", F.col("scores")[POSITIVE].alias("two"))
-    return one.join(two, "doc_id").select("doc_id", F.lit(loaded.longest).alias("longest"), (F.abs(F.col("one") - F.col("two")) < 1e-12).alias("same"))
-
-
-@query("SELECT doc_id, true AS in_range, true AS sums_to_one FROM documents")
-def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = _text_splits(spark, sf_dir)
-    scored = train_ngram(train).score(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    positive, negative = F.col("scores")[POSITIVE], F.col("scores")[NEGATIVE]
-    return scored.select("doc_id", positive.between(0, 1).alias("in_range"), (F.abs(positive + negative - 1) < 1e-9).alias("sums_to_one"))
-
-
-@query("SELECT doc_id, true AS placed_by_score FROM documents")
-def ngram_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is kept or rejected, on its own side of the threshold; scored in one pass."""
-    train, _ = _text_splits(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    selection = select_text(docs, train_ngram(train), order="doc_id", retention=0.1)
-    least = threshold_value(selection.threshold)
-    return selection.scored.select("doc_id", (F.col("keep") == (F.col("scores")[POSITIVE] >= least)).alias("placed_by_score"))
+    both = G.score_with(docs, [model, loaded])(F.col("text"))
+    return docs.select("doc_id", F.lit(loaded.longest).alias("longest"), (F.abs(both[0] - both[1]) < 1e-12).alias("same"))

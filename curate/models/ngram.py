@@ -43,6 +43,8 @@ ROUNDS = 8
 BLOCK = 1 << 18
 # Words of all dictionaries together that may be held, 16 bytes each on executors and 8 * dim more on the driver.
 MAX_WORDS = 50_000_000
+# Decimals of probabilities, beyond which they depend on the order of additions.
+PROBABILITY_DECIMALS = 12
 # Characters that are hashed at a time.
 SLICE = 1 << 18
 
@@ -156,7 +158,7 @@ class NgramClassifier:
 
         A text without any known feature has the probability one half of each.
         """
-        p = score_with(docs, [self])(F.col(text))[0]
+        p = F.round(score_with(docs, [self])(F.col(text))[0], PROBABILITY_DECIMALS)
         scored = docs.withColumn("_p", p)
         scores = F.create_map(F.lit(POSITIVE), F.col("_p"), F.lit(NEGATIVE), 1 - F.col("_p"))
         return scored.withColumn("scores", scores).select(*(F.col(f"`{c}`") for c in docs.columns if c != "scores"), "scores")

@@ -49,12 +49,50 @@ def corpus_threshold(scores: DataFrame, score: str, retention: float, by: Sequen
         .groupBy(*by, F.col(score).cast("double").alias("_s"))
         .agg(F.count("*").alias("_n"))
     )
-    position = (F.col("n_sample") - 1) * F.lit(1 - retention)
     bounds = settle(
         valid.groupBy(*by)
         .agg(F.min("_s").alias("_low"), F.max("_s").alias("_high"), F.sum("_n").alias("n_sample"), F.count("*").alias("_distinct"))
-        .withColumns({"_first": F.floor(position) + 1, "_second": F.ceil(position) + 1, "_before": F.lit(0).cast("long")})
+        .withColumns({**_ranks(retention), "_before": F.lit(0).cast("long")})
     )
+    return _refined(valid, bounds, by, retention)
+
+
+def _ranks(retention: float) -> dict[str, Column]:
+    """The ranks, from 1, of the two neighbours of the quantile."""
+    position = (F.col("n_sample") - 1) * F.lit(1 - retention)
+    return {"_first": F.floor(position) + 1, "_second": F.ceil(position) + 1}
+
+
+def banded_threshold(scores: DataFrame, score: str, band: str, retention: float, by: Sequence[str]) -> DataFrame:
+    """The same exact threshold of scores that are stored in ascending bands, one folder each; null bands don't count.
+
+    Rows are counted by band, which takes no more than the footers of the files where there are no groups; then
+    only scores of the bands in which a group's two ranks lie are read.
+    """
+    grouped = bool(by)
+    by = list(by) or ["_group"]
+    known = scores.where(F.col(band).isNotNull())
+    known = known if grouped else known.withColumn("_group", F.lit("all"))
+    counts = known.groupBy(*by, band).agg(F.count("*").alias("_n"))
+    # a few dozen rows per group
+    upto = F.sum("_n").over(W.partitionBy(*by).orderBy(band).rowsBetween(W.unboundedPreceding, W.currentRow))
+    counts = counts.withColumns({"_upto": upto, "n_sample": F.sum("_n").over(W.partitionBy(*by))}).withColumns(_ranks(retention))
+    hit = (F.col("_upto") >= F.col("_first")) & (F.col("_upto") - F.col("_n") < F.col("_second"))
+    hits = settle(counts.where(hit).select(*by, band, "n_sample", "_first", "_second", (F.col("_upto") - F.col("_n")).alias("_before")))
+    ends = hits.agg(F.min(band).alias("low"), F.max(band).alias("high")).first()
+    near = known.where(F.col(band).between(ends["low"], ends["high"]) if ends["low"] is not None else F.lit(False)).select(*by, band, score)
+    if grouped:
+        near = join_lookup(near, hits.select(*by, band), [*by, band], "left_semi", settled=True)
+    valid = settle(near.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(F.count("*").alias("_n")))
+    ranges = valid.groupBy(*by).agg(F.min("_s").alias("_low"), F.max("_s").alias("_high"), F.count("*").alias("_distinct"))
+    before = hits.groupBy(*by, "n_sample", "_first", "_second").agg(F.min("_before").alias("_before"))
+    found = _refined(valid, settle(join_null_safe(before, ranges, by)), by, retention)
+    return found if grouped else found.drop("_group")
+
+
+def _refined(valid: DataFrame, bounds: DataFrame, by: list[str], retention: float) -> DataFrame:
+    """The threshold of each group from its distinct scores and the bounds between which its two ranks lie."""
+    position = (F.col("n_sample") - 1) * F.lit(1 - retention)
     done = []
     while True:
         wide = (F.col("_distinct") > FEW_SCORES) & (F.col("_low") < F.col("_high"))

@@ -1,9 +1,12 @@
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from curate.operators.scoring import CosineScorer, MlpScorer, max_similarity
-from curate.plans.select import select_top
+from curate.plans.select import select_text, select_top
 from curate.sources.sinks import write_selection
 from curate.session import scratch_path
 
@@ -79,3 +82,73 @@ def test_a_score_column_is_replaced_and_a_sample_bounded(spark, docs, monkeypatc
     monkeypatch.setattr("curate.plans.select.THRESHOLD_SAMPLE", 100)
     with pytest.raises(ValueError, match="sample"):
         select_top(docs, model, sample=docs)
+
+
+class CountingScorer:
+    """The column itself as the score, counting the rows it is asked for."""
+
+    def __init__(self, spark):
+        self.seen = spark.sparkContext.accumulator(0)
+
+    def score(self, column):
+        seen = self.seen
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        return F.arrow_udf(run, "double").asNondeterministic()(column)
+
+
+def selection_rows():
+    rng = np.random.default_rng(8)
+    values = [*rng.uniform(-3, 3, 200).round(2).tolist(), *[0.25] * 120, *rng.uniform(0.24, 0.26, 200).tolist()]
+    rows = [(i, v, "abc"[i % 3]) for i, v in enumerate(values)]
+    return [*rows, (900, None, "a"), (901, float("nan"), "b"), (902, None, "none"), (903, 0.5, None)]
+
+
+@pytest.mark.parametrize("retention", [0.02, 0.1, 0.5, 0.9, 1.0])
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_documents_are_scored_once_and_split_exactly(spark, retention, by):
+    rows = selection_rows()
+    docs = spark.createDataFrame(rows, "id long, v double, g string").repartition(5)
+    scorer = CountingScorer(spark)
+    selection = select_top(docs, scorer, "v", retention, by=by)
+    kept, rejected = {r["id"] for r in selection.kept.collect()}, {r["id"] for r in selection.rejected.collect()}
+    assert scorer.seen.value == len(rows)
+    want = set()
+    for group in {g if by else "all" for _, _, g in rows}:
+        mine = [(i, v) for i, v, g in rows if (g == group or not by) and v is not None and v == v]
+        if mine:
+            limit = np.quantile([v for _, v in mine], 1 - retention)
+            want |= {i for i, v in mine if v > limit}
+    assert kept == want and rejected == {r[0] for r in rows} - want
+    flagged = {r["id"]: r["keep"] for r in selection.scored.collect()}
+    assert {i for i, k in flagged.items() if k} == want and "_band" not in selection.scored.columns
+
+
+def test_only_bands_near_the_threshold_are_read_again(spark):
+    docs = spark.createDataFrame([(i, i / 1000) for i in range(1000)], "id long, v double")
+    selection = select_top(docs, CountingScorer(spark), "v", 0.1)
+    plan = selection.kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "PartitionFilters" in plan and "_band" in plan
+    assert selection.bands == (30, 30)
+
+
+def test_a_corpus_without_scores_is_rejected(spark):
+    docs = spark.createDataFrame([(1, None), (2, float("nan"))], "id long, v double")
+    for rows in (docs, docs.limit(0)):
+        selection = select_top(rows, CountingScorer(spark), "v")
+        assert selection.kept.count() == 0 and selection.rejected.count() == rows.count()
+
+
+def test_texts_are_scored_once(spark):
+    from catalog.training import given_classifier
+
+    docs = spark.createDataFrame([(i, "the of and " * (i % 9) + "x") for i in range(200)], "id long, text string")
+    selection = select_text(docs, given_classifier(), "id", retention=0.25, sample_size=50)
+    scores = {r["id"]: r["scores"]["__label__positive"] for r in given_classifier().score(docs).collect()}
+    limit = np.quantile([scores[i] for i in range(50)], 0.75)
+    assert {r["id"] for r in selection.kept.collect()} == {i for i, s in scores.items() if s >= limit}
+    assert selection.rejected.count() == 200 - selection.kept.count()
