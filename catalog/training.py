@@ -81,12 +81,22 @@ SELECT part, j, k, round(w * (1 - {_RATE} * 0.01) - {_RATE} * g / (abs(g) + 1e-8
 @query(_ONE_STEP)
 def mlp_one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every weight after one step over all rows, from given weights."""
+    return _one_step(spark, sf_dir, tasks=1)
+
+
+@query(_ONE_STEP)
+def mlp_one_step_of_four_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same step with the rows of the one mini-batch dealt to four tasks, which exchange their gradients."""
+    return _one_step(spark, sf_dir, tasks=4)
+
+
+def _one_step(spark: SparkSession, sf_dir: str, tasks: int) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), "embedding", (F.col("label") < 5).cast("double").alias("label")
     )
     start = small_network()
     flat = np.concatenate([start.w1.ravel(), start.b1, start.w2, [start.b2]])
-    trained = train_mlp(rows, hidden=HIDDEN, epochs=1, batch=rows.count(), rate=_RATE, initial=flat, dropout=0.0).model
+    trained = train_mlp(rows, hidden=HIDDEN, epochs=1, batch=rows.count(), rate=_RATE, initial=flat, dropout=0.0, tasks=tasks).model
     found = [("w1", j, k, float(trained.w1[j, k])) for j in range(HIDDEN) for k in range(DIM)]
     found += [(part, j, 0, float(w)) for part, ws in (("b1", trained.b1), ("w2", trained.w2), ("b2", [trained.b2])) for j, w in enumerate(ws)]
     return spark.createDataFrame(found, "part string, j int, k int, weight double").withColumn("weight", F.round("weight", 6))

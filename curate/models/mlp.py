@@ -1,28 +1,34 @@
 """Training of the embedding classifier as Spark jobs.
 
-Rows are dealt to shards by key hash and written once. Every epoch is one job: each shard is sorted
-into the epoch's order, streams its mini-batches through AdamW from the same starting weights, and
-yields one row of weights; the next epoch starts from their average, weighted by rows. A single
-shard is the plain sequential algorithm. Several models (one per language, say) train in the same
-jobs.
+An epoch goes through all rows in an order of its own, in mini-batches. One task does so in sequence, or several share
+each mini-batch: they are a barrier stage, every task computes the gradient of its part, all exchange their sums, and all
+take the same step, so the weights are those of one task up to rounding. An exchange of Spark's takes a second whatever
+its size, as its tasks look for the answer once a second; so tasks are worth sharing where a mini-batch takes longer.
+
+With ``shards`` rows are instead dealt by key hash: each shard streams its own mini-batches through AdamW from the same
+starting weights, and the next epoch starts from their average, weighted by rows; another algorithm. Several models
+(one per language, say) train in the same jobs.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curate.functions.vectors import SCORE_DECIMALS
 from curate.operators.metrics import classifier_metrics
 from curate.operators.sampling import hash_order
 from curate.operators.scoring import MlpScorer, to_matrix
-from curate.session import settle_partitions
+from curate.session import join_lookup, settle, settle_partitions
 
 # Hyper-parameters of the network and its training.
 HIDDEN = 256
@@ -187,6 +193,76 @@ def _epoch(dealt: DataFrame, states: dict[str, np.ndarray], steps: dict[str, int
     return ordered.mapInArrow(run, _RESULT)
 
 
+def ranked_rows(dealt: DataFrame, epoch: int) -> DataFrame:
+    """Training rows with their place ``rank`` (from 0) in the epoch's order of their model.
+
+    Rows are sorted by range, so that a model's rows lie in many tasks; a partition's first row of a model has as many
+    before it as the partitions before hold. One narrow row per partition and model is joined back.
+    """
+    order = [F.col("model"), hash_order("key", seed=epoch), F.xxhash64("embedding", "label")]
+    spread = dealt.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
+    placed = settle(spread.select("model", "label", "embedding", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")))
+    parts = placed.groupBy("model", "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    earlier = W.partitionBy("model").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long"))).drop("_n")
+    found = join_lookup(placed, parts, ["model", "_part"])
+    return found.select("model", "label", "embedding", (F.col("_before") + F.col("_id") - F.col("_first")).alias("rank"))
+
+
+def _shared_epoch(dealt: DataFrame, states: dict[str, np.ndarray], steps: dict[str, int], shards: dict[str, list[int]], counts: dict[str, int], tasks: int, dim: int, hidden: int,
+                  epoch: int, batch: int, rate: float, seed: int, dropout: float) -> DataFrame:
+    """One row of new state per model, after an epoch whose mini-batches ``tasks`` tasks share."""
+    names = list(states)
+    number = F.element_at(F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i)))), F.col("model"))
+    shared = dealt.sparkSession.sparkContext.broadcast((states, steps, counts))
+    longest = max(-(-counts[name] // batch) for name in names)
+    number_of = {name: shards[name][0] for name in names}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        states, steps, counts = shared.value
+        name = names[context.partitionId() // tasks]
+        first = context.partitionId() // tasks * tasks
+        state, step, n = states[name].copy(), steps[name], counts[name]
+        rows, labels, ranks = np.empty((0, dim)), np.empty(0), np.empty(0, np.int64)
+        rng, losses = None, 0.0
+        for at in range(0, longest * batch, batch):
+            # this task's rows of the mini-batch, read as they are needed
+            while not len(ranks) or ranks[-1] < at + batch:
+                more = next(batches, None)
+                if more is None:
+                    break
+                matrix, _ = to_matrix(more.column("embedding"), dim)
+                rows = np.concatenate([rows, matrix])
+                labels = np.concatenate([labels, more.column("label").to_numpy(zero_copy_only=False)])
+                ranks = np.concatenate([ranks, more.column("rank").to_numpy(zero_copy_only=False)])
+            size = min(batch, n - at)
+            message = ""
+            if size > 0:
+                rng = rng or np.random.default_rng([seed, epoch, number_of[name]])
+                mask = (rng.random((size, hidden)) >= dropout) / (1 - dropout)
+                mine = int(np.searchsorted(ranks, at + size))
+                part = np.zeros(state.shape[1] + 1)
+                if mine:
+                    loss, grad = gradient(state[0], rows[:mine], labels[:mine], hidden, mask[ranks[:mine] - at])
+                    part[0], part[1:] = loss * mine, grad * (mine / size)
+                rows, labels, ranks = rows[mine:], labels[mine:], ranks[mine:]
+                message = base64.b64encode(part.tobytes()).decode()
+            every = context.allGather(message)[first : first + tasks]
+            if size > 0:
+                # all tasks of a model add in the same order, so that their states stay the same
+                total = sum(np.frombuffer(base64.b64decode(x)) for x in every)
+                step += 1
+                losses += total[0]
+                adamw_step(state, total[1:], step, rate)
+        if context.partitionId() == first:
+            yield pa.RecordBatch.from_pydict({"model": [name], "shard": pa.array([0], pa.int32()), "rows": [n], "loss": [losses / n], "state": [state.tobytes()]})
+
+    ranked = ranked_rows(dealt, epoch).withColumn("_task", number * tasks + F.pmod(F.col("rank") % batch, F.lit(tasks)).cast("int"))
+    dealt_out = ranked.repartitionById(len(names) * tasks, "_task").sortWithinPartitions("rank")
+    return dealt_out.mapInArrow(run, _RESULT, barrier=True)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Row-weighted average per model of the shards in a partition."""
     sums: dict[str, list] = {}
@@ -277,11 +353,13 @@ def train_mlp(
     shards: int = 1,
     initial: np.ndarray | None = None,
     dropout: float = DROPOUT,
+    tasks: int = 1,
 ) -> Training:
     """Train one model, or one per value of ``by``; metrics of train and valid after every epoch.
 
-    With one shard per model (the default) its rows are gone through in sequence, whatever their number, by one task;
-    models train side by side. More ``shards`` are local training with averaging after every epoch, another
+    Rows are gone through in the epoch's order; ``tasks`` tasks share every mini-batch of a model and exchange its gradients,
+    so that weights don't depend on their number beyond rounding. A barrier stage needs a core for each of its tasks:
+    models take turns where there are too many. More ``shards`` are local training with averaging after every epoch, another
     algorithm that must be asked for. Models are trained in parts whose states fit into one broadcast.
     ``initial`` are flat weights to start from (first layer by hidden unit, its biases, second layer, its
     bias) instead of seeded ones.
@@ -291,14 +369,19 @@ def train_mlp(
     flat = initial_weights(dim, hidden, seed) if initial is None else np.asarray(initial, float)
     result = Training({})
     names = list(numbers)
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    if tasks > cores:
+        raise ValueError(f"{tasks} tasks at a time need as many cores, there are {cores}")
     per_part = max(1, MAX_MODEL_BYTES // (3 * flat.nbytes))
+    if shards == 1 and tasks > 1:
+        per_part = min(per_part, max(1, cores // tasks))
     for at in range(0, len(names), per_part):
         some = names[at : at + per_part]
-        _train_part(dealt, train, valid, {name: numbers[name] for name in some}, flat, result, dim, embedding, label, by, hidden, epochs, batch, rate, seed, dropout)
+        _train_part(dealt, train, valid, {name: numbers[name] for name in some}, flat, result, dim, embedding, label, by, hidden, epochs, batch, rate, seed, dropout, tasks)
     return result
 
 
-def _train_part(dealt, train, valid, shards, flat, result, dim, embedding, label, by, hidden, epochs, batch, rate, seed, dropout) -> None:
+def _train_part(dealt, train, valid, shards, flat, result, dim, embedding, label, by, hidden, epochs, batch, rate, seed, dropout, tasks) -> None:
     """Epochs of some models; their scorers and metrics go into ``result``."""
     names = list(shards)
     group = F.col(by).cast("string") if by else F.lit("all")
@@ -307,7 +390,10 @@ def _train_part(dealt, train, valid, shards, flat, result, dim, embedding, label
     steps = dict.fromkeys(names, 0)
     counts = {r["model"]: r["count"] for r in mine.groupBy("model").count().collect()}
     for epoch in range(epochs):
-        output = _epoch(mine, states, steps, dim, hidden, epoch, batch, rate, seed, dropout)
+        if tasks > 1 and all(len(numbers) == 1 for numbers in shards.values()):
+            output = _shared_epoch(mine, states, steps, shards, counts, tasks, dim, hidden, epoch, batch, rate, seed, dropout)
+        else:
+            output = _epoch(mine, states, steps, dim, hidden, epoch, batch, rate, seed, dropout)
         averaged = _averaged(output, sum(len(s) for s in shards.values()))
         states = {name: state for name, (state, _) in averaged.items()}
         for name, numbers in shards.items():

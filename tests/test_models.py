@@ -48,6 +48,32 @@ def test_one_shard_is_sequential_training(spark, rows):
     assert np.allclose(trained.w1, want.w1) and np.allclose(trained.w2, want.w2)
 
 
+def weights(model):
+    return np.concatenate([model.w1.ravel(), model.b1, model.w2, [model.b2]])
+
+
+def test_tasks_that_share_mini_batches_give_the_weights_of_one(spark, rows):
+    more = rows.unionByName(rows.where("id < 40")).withColumn("lang", F.when(F.col("id") % 7 == 0, "small").otherwise("large"))
+    settings = dict(hidden=6, epochs=2, batch=230, rate=0.01)
+    one = M.train_mlp(more, tasks=1, **settings)
+    for tasks in (2, 4):
+        several = M.train_mlp(more, tasks=tasks, **settings)
+        assert np.abs(weights(several.model) - weights(one.model)).max() < 1e-9
+        assert [h["loss"] for h in several.history] == pytest.approx([h["loss"] for h in one.history], abs=1e-9)
+    by_language = [M.train_mlp(more, by="lang", tasks=tasks, **settings).models for tasks in (1, 3)]
+    for name in ("small", "large"):
+        assert np.abs(weights(by_language[0][name]) - weights(by_language[1][name])).max() < 1e-9
+    with pytest.raises(ValueError):
+        M.train_mlp(more, tasks=10_000)
+
+
+def test_ranks_are_the_order_of_an_epoch(spark, rows):
+    dealt, _ = M.shard_rows(rows, "id", "embedding", "label", None)
+    ranked = M.ranked_rows(dealt, 3).orderBy("rank").collect()
+    assert [r["rank"] for r in ranked] == list(range(600))
+    assert [r["embedding"] for r in ranked] == [r["embedding"] for r in rows.orderBy(hash_order("id", seed=3)).collect()]
+
+
 def test_many_shards_learn_and_reload(spark, rows):
     trained = M.train_mlp(rows, rows, hidden=8, epochs=5, batch=16, rate=0.01, shards=10)
     losses = [h["loss"] for h in trained.history if h["part"] == "train"]
