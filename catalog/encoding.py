@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalog.encoder_file import DIM as ENCODER_DIM
+from catalog.encoder_file import encoder_bytes
 from catalog.fixtures import WS
 from catalog.registry import query, table
 from curate.functions.text import words
 from curate.functions.vectors import first_chunk
+from curate.models.encoder import ship
 from curate.operators.embedding import HashedWords, chunk_rows, collect_chunks, embed
 from curate.operators.rehydrate import rehydrate, upsampling_weight
 from curate.operators.tokens import shard_by_tokens, tokenize
@@ -66,6 +70,32 @@ def document_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A begin and an end sign around every chunk, and all its token vectors averaged.
+_ENCODED = f"""WITH {WORDS_CTE}, cut AS (
+  SELECT doc_id, words, unnest(range(0, (greatest(len(words), 1) + {SIZE - 1}) // {SIZE})) AS chunk_no FROM worded),
+ids AS (
+  SELECT doc_id, chunk_no, unnest(list_concat([1, 2], list_transform(words[chunk_no * {SIZE} + 1 : (chunk_no + 1) * {SIZE}],
+    lambda w: 3 + (length(w) * 31 + ascii(w)) % 61))) AS id FROM cut),
+vectors AS (
+  SELECT doc_id, chunk_no, list(v ORDER BY d) AS vector FROM (
+    SELECT doc_id, chunk_no, d, round(avg(((id * 7 + d * 3) % 11 - 5) / 5.0::DOUBLE) + {_UP}, 4) AS v
+    FROM ids, (SELECT unnest(range(0, {ENCODER_DIM})) AS d) GROUP BY ALL) GROUP BY ALL)
+SELECT doc_id, list(vector ORDER BY chunk_no) AS embeddings FROM vectors GROUP BY doc_id"""
+
+
+@query(_ENCODED)
+def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents in windows through a model file, batched by length."""
+    folder = tempfile.mkdtemp(prefix="encoder-")
+    path = f"{folder}/tiny-encoder.onnx"
+    with open(path, "wb") as file:
+        file.write(encoder_bytes())
+    encoder = ship(spark, path, begin=[1], end=[2])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = F.transform(words(F.col("text")), lambda w: (3 + (F.length(w) * 31 + F.ascii(w)) % 61).cast("long"))
+    return docs.select("doc_id", _rounded(embed(ids, encoder, SIZE)).alias("embeddings"))
+
+
 @query(f"""WITH {_VECTORS_CTE} SELECT doc_id, list(vector ORDER BY chunk_no) AS embeddings FROM vectors GROUP BY doc_id""")
 def chunk_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks embedded one per row, then gathered per document."""

@@ -108,3 +108,51 @@ def test_a_document_without_a_size_stays(spark):
     docs = spark.createDataFrame([(1, 3), (2, None), (3, 1)], "id int, size int")
     got = sorted((r["id"], r["copy_no"]) for r in rehydrate(docs, F.col("size")).collect())
     assert got == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)]
+
+
+def plain_vectors(lists, begin, end):
+    from catalog.encoder_file import weights
+
+    return np.array([weights()[[*begin, *ids, *end]].astype(float).mean(axis=0) if [*begin, *ids, *end] else np.zeros(4) for ids in lists])
+
+
+def test_an_encoder_file_in_batches_by_length(tmp_path):
+    import pyarrow as pa
+
+    from catalog.encoder_file import encoder_bytes
+    from curate.models.encoder import OnnxEncoder
+
+    path = tmp_path / "tiny.onnx"
+    path.write_bytes(encoder_bytes())
+    draw = np.random.default_rng(3)
+    lists = [draw.integers(0, 64, n).tolist() for n in (*draw.integers(0, 60, 200), 500, 500, 0)]
+    windows = pa.array([None, *lists], pa.list_(pa.int64())).slice(1)
+    for begin, end in (((1,), (2,)), ((), ())):
+        encoder = OnnxEncoder(str(path), begin, end, budget=600)
+        assert np.allclose(encoder(windows), plain_vectors(lists, begin, end), atol=1e-6)
+        # no call is larger than the budget, and little of it is padding
+        assert max(rows * width for rows, width in encoder.calls) <= 600
+        used = sum(len(x) + len(begin) + len(end) for x in lists)
+        assert sum(rows * width for rows, width in encoder.calls) < 1.2 * used + 64
+    assert OnnxEncoder(str(path))(windows.slice(0, 0)).shape == (0, 1)
+
+
+def test_one_very_long_document_stays_within_the_budget(spark, tmp_path):
+    import pyarrow as pa
+
+    from catalog.encoder_file import encoder_bytes
+    from curate.models.encoder import OnnxEncoder, ship
+    from curate.operators.embedding import _windows
+
+    path = tmp_path / "shipped.onnx"
+    path.write_bytes(encoder_bytes())
+    long = [i % 64 for i in range(300_000)]
+    docs = spark.createDataFrame([(1, long), (2, [5]), (3, []), (4, None)], "id long, ids array<long>")
+    got = {r["id"]: r["v"] for r in docs.select("id", embed(F.col("ids"), ship(spark, f"file://{path}", begin=[1], end=[2], budget=4096), 510).alias("v")).collect()}
+    assert [len(got[i]) for i in (1, 2, 3, 4)] == [589, 1, 1, 1]
+    cuts = [long[at : at + 510] for at in range(0, len(long), 510)]
+    assert np.allclose(got[1], plain_vectors(cuts, [1], [2]), atol=1e-6) and np.allclose(got[4], plain_vectors([[]], [1], [2]), atol=1e-6)
+    encoder = OnnxEncoder(str(path), [1], [2], budget=4096)
+    windows, _ = _windows(pa.array([long], pa.list_(pa.int64())), 510)
+    encoder(windows)
+    assert max(rows * width for rows, width in encoder.calls) <= 4096
