@@ -163,7 +163,8 @@ def labelled_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four outputs of every language that was not finished before; one of them was."""
     root = scratch_path(spark, "dataset")
     docs = table(spark, sf_dir, "documents")
-    write_documents(docs.where("false").select(F.lit("de").alias("lang")), f"{root}/de/test")
+    for part in ("all", "train", "valid", "test"):
+        write_documents(docs.where("false").select(F.lit("de").alias("lang")), f"{root}/de/{part}")
     web = docs.select("lang", F.col("doc_id").alias("sample_id"), "text")
     todo = build_dataset(spark, root, mapping_table(spark, sf_dir), source_tables(spark, sf_dir), web, NUM_SAMPLES)
     paths = [(part, f"{root}/{lang}/{part}") for lang in todo for part in ("all", "train", "valid", "test")]

@@ -20,7 +20,7 @@ from curate.operators.scoring import (
 from curate.plans.select import select_top
 from curate.session import scratch_path
 from curate.sources.sinks import write_selection, write_threshold
-from curate.streaming.select import stream_select
+from curate.streaming.select import read_split, stream_select, stream_split
 
 # Fewer positives than this: all are prototypes.
 PROTOTYPES = 8192
@@ -290,3 +290,19 @@ def streaming_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "stream-out")
     stream_select(arriving, small_network(), threshold, path, scratch_path(spark, "stream-log"))
     return spark.read.parquet(path).select("vec_id", _six())
+
+
+@query(
+    f"""WITH {MLP_CTE}, t AS (SELECT quantile_cont(s, 0.9::DOUBLE) AS thr FROM scored)
+    SELECT vec_id, round(s, 6) AS quality_score, s > thr AS keep FROM scored, t"""
+)
+def streaming_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept and rejected documents of a stream, scored once."""
+    docs = _vectors(spark, sf_dir).select("vec_id", "embedding")
+    threshold = select_top(docs, small_network()).threshold.first()["threshold"]
+    source, root = scratch_path(spark, "split-in"), scratch_path(spark, "split-out")
+    docs.repartition(4, "vec_id").write.parquet(source)
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    stream_split(arriving, small_network(), threshold, root, scratch_path(spark, "split-log"))
+    kept, rejected = (rows.withColumn("keep", F.lit(flag)) for rows, flag in zip(read_split(spark, root, docs.schema), (True, False), strict=True))
+    return kept.unionByName(rejected).select("vec_id", _six(), "keep")

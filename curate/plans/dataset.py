@@ -14,6 +14,7 @@ from curate.plans.mixture import SAMPLES_PER_SOURCE, Source, build_mixture, spli
 from curate.session import settle
 from curate.sources.labelled import read_labelled_jsonl
 from curate.sources.sinks import finished, write_documents, write_fasttext_lines
+from curate.sources.staged import resume, write_outputs
 
 PARTS = ("all", "train", "valid", "test")
 
@@ -29,23 +30,27 @@ def build_dataset(
 ) -> list[str]:
     """Write ``root/<lang>/{all,train,valid,test}`` for the languages of ``mapping`` that are not finished.
 
-    Returns these languages. The mixture of all of them is computed once; the part that is written last marks a
-    language as finished, so a run that was broken off goes on with the rest.
+    Returns these languages. The mixture of all of them is computed once and all parts are written by one job, aside, and
+    then moved into place; a run that was broken off while they were moved is finished first.
     """
+    resume(spark, root)
     # one row per language
     langs = sorted(row["lang"] for row in mapping.select("lang").distinct().collect())
-    done = {row["lang"].split("/")[0] for row in finished(spark, root, [f"{lang}/test" for lang in langs]).collect()}
-    todo = [lang for lang in langs if lang not in done]
+    done = {row["lang"] for row in finished(spark, root, [f"{lang}/{part}" for lang in langs for part in PARTS]).collect()}
+    todo = [lang for lang in langs if not all(f"{lang}/{part}" in done for part in PARTS)]
     if not todo:
         return []
     wanted = mapping.where(F.col("lang").isin(todo))
     mixture = settle(build_mixture(wanted, sources, web.where(F.col("lang").isin(todo)), num_samples, seed))
     split = settle(split_mixture(mixture, seed))
+    parts = split.withColumn("_part", F.explode(F.array(F.lit("all"), F.col("split"))))
+    # a part without rows has a folder all the same; at most four rows per language
+    filled = {(r["lang"], r["_part"]) for r in parts.select("lang", "_part").distinct().collect()}
     for lang in todo:
-        mine = split.where(F.col("lang") == lang)
         for part in PARTS:
-            rows = mine if part == "all" else mine.where(F.col("split") == part)
-            write_documents(rows, f"{root}/{lang}/{part}", mode="overwrite")
+            if (lang, part) not in filled:
+                write_documents(split.limit(0), f"{root}/{lang}/{part}", mode="overwrite")
+    write_outputs(parts, root, ["lang", "_part"], leave_out=["_part"])
     return todo
 
 
