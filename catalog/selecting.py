@@ -95,10 +95,10 @@ def cosine_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {COSINE_CTE.replace(f"LIMIT {PROTOTYPES}", "")} SELECT vec_id, round(s, 6) AS score FROM scored""")
 def similarity_to_all_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every positive is a prototype; two passes at least."""
+    """Every positive is a prototype, streamed past the documents seven at a time."""
     vectors = _vectors(spark, sf_dir)
     positives = vectors.where(F.col("label") == 1)
-    best = max_similarity(vectors, "vec_id", positives, bytes_per_pass=16_384)
+    best = max_similarity(vectors, "vec_id", positives, block=7)
     return best.select("vec_id", _six("score"))
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +17,16 @@ from pyspark.sql import functions as F
 
 from curate.functions.vectors import SCORE_DECIMALS
 from curate.operators.sampling import sample_n
+from curate.session import scratch_path
 
 # Largest prototype matrix sent to executors in one piece.
 MAX_PROTOTYPE_BYTES = 256 * 1024 * 1024
 # Rows and prototypes multiplied at a time, bounding a worker's scratch matrix to 64 MiB.
 _ROW_BLOCK = 2048
 _PROTOTYPE_BLOCK = 4096
+# Documents that a task holds while prototypes are streamed past them, and prototypes that are read at a time.
+_RESIDENT = 16_384
+STREAMED_BLOCK = 4096
 
 
 def to_matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,26 +138,57 @@ def _column_function(run):
     return F.arrow_udf(run, "double").asNondeterministic()
 
 
-def max_similarity(
-    docs: DataFrame,
-    key: str,
-    prototypes: DataFrame,
-    embedding: str = "embedding",
-    bytes_per_pass: int = MAX_PROTOTYPE_BYTES // 2,
-) -> DataFrame:
+def max_similarity(docs: DataFrame, key: str, prototypes: DataFrame, embedding: str = "embedding", block: int = STREAMED_BLOCK) -> DataFrame:
     """Largest cosine similarity to *all* prototypes, however many: (``key``, ``score``), a row per key.
 
-    Prototypes are dealt into passes of half the size that one scorer may hold, so that an uneven deal still
-    fits; each pass scores the documents against its own broadcast matrix and the maxima per key are combined,
-    also after a single pass. No pair of document and prototype ever becomes a row.
+    Distinct unit prototypes are written once to the shared folder. Documents are scanned once: a task holds a few thousand of them and
+    streams the prototypes past them, ``block`` at a time, so that its memory depends on neither number. No pair of document and
+    prototype becomes a row. The shared folder must be one that Arrow's file systems reach. A null or zero vector has no score.
     """
-    usable = prototypes.where(F.col(embedding).isNotNull()).select(embedding).distinct()
-    size = usable.agg(F.coalesce(F.sum(F.size(embedding)), F.lit(0))).first()[0] * 8
-    passes = max(1, -(-size // bytes_per_pass))
-    dealt = usable.withColumn("_part", F.pmod(F.xxhash64(embedding), F.lit(passes)))
-    filled = [row[0] for row in dealt.select("_part").distinct().orderBy("_part").collect()]  # a row per pass
-    scored = [
-        docs.select(key, CosineScorer.fit(dealt.where(F.col("_part") == number), embedding).score(F.col(embedding)).alias("score"))
-        for number in filled
-    ] or [docs.select(key, F.lit(None).cast("double").alias("score"))]
-    return reduce(DataFrame.unionByName, scored).groupBy(key).agg(F.max("score").alias("score"))
+    usable = prototypes.where(F.col(f"`{embedding}`").isNotNull()).select(F.col(f"`{embedding}`").cast("array<double>").alias("v")).distinct()
+    path = scratch_path(docs.sparkSession, "prototypes")
+    usable.write.parquet(path)
+    files = sorted(docs.sparkSession.read.schema("v array<double>").parquet(path).inputFiles())
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{embedding}`").cast("array<double>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, vectors in _runs(batches, _RESIDENT):
+            dims = pc.unique(pc.list_value_length(vectors.drop_null())).to_pylist()
+            matrix, valid = to_matrix(vectors, dims[0] if dims else 1)
+            unit = unit_rows(matrix)
+            best = np.full(len(unit), -np.inf)
+            for part in _stored_vectors(files, block) if len(unit) else ():
+                some = unit_rows(to_matrix(part, unit.shape[1])[0])
+                np.maximum(best, max_dot(unit, some[~np.isnan(some).any(axis=1)]), out=best)
+            best[np.isinf(best)] = np.nan
+            yield pa.RecordBatch.from_arrays([keys, _as_column(best, valid)], names=["key", "score"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    scored = rows.mapInArrow(run, f"key {kind}, score double")
+    return scored.groupBy(F.col("key").alias(key)).agg(F.max("score").alias("score"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Both columns of some batches together, about ``rows`` rows at a time."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= rows:
+            whole = pa.Table.from_batches(waiting).combine_chunks()
+            yield tuple(whole.column(i).chunk(0) for i in range(2))
+            waiting = []
+    if sum(b.num_rows for b in waiting):
+        whole = pa.Table.from_batches(waiting).combine_chunks()
+        yield tuple(whole.column(i).chunk(0) for i in range(2))
+
+
+def _stored_vectors(files: list[str], block: int) -> Iterator[pa.Array]:
+    """The vectors of Parquet files, ``block`` at a time."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for uri in files:
+        place, path = fs.FileSystem.from_uri(uri)
+        with place.open_input_file(path) as file:
+            for batch in pq.ParquetFile(file).iter_batches(batch_size=block, columns=["v"]):
+                yield batch.column(0)

@@ -38,7 +38,7 @@ def test_cosine_scores(spark, docs, vectors):
 
 
 def test_passes_do_not_change_the_maximum(docs, vectors):
-    got = {r["id"]: r["score"] for r in max_similarity(docs, "id", docs.where("id < 50"), bytes_per_pass=512).collect()}
+    got = {r["id"]: r["score"] for r in max_similarity(docs, "id", docs.where("id < 50"), block=7).collect()}
     want = cosine(vectors, vectors[:50])
     assert len(got) == 402 and all(abs(got[i] - want[i]) < 1e-8 for i in range(400))
 
@@ -71,7 +71,7 @@ def test_one_and_many_passes_give_a_row_per_key(spark):
     rng = np.random.default_rng(4)
     wide = spark.createDataFrame([(i % 5, rng.normal(size=1024).tolist()) for i in range(40)], "id int, embedding array<double>")
     one = {r["id"]: r["score"] for r in max_similarity(wide, "id", wide.limit(30)).collect()}
-    many = {r["id"]: r["score"] for r in max_similarity(wide, "id", wide.limit(30), bytes_per_pass=32 * 1024).collect()}
+    many = {r["id"]: r["score"] for r in max_similarity(wide, "id", wide.limit(30), block=3).collect()}
     assert len(one) == 5 and one == pytest.approx(many)
 
 
@@ -152,3 +152,14 @@ def test_texts_are_scored_once(spark):
     limit = np.quantile([scores[i] for i in range(50)], 0.75)
     assert {r["id"] for r in selection.kept.collect()} == {i for i, s in scores.items() if s >= limit}
     assert selection.rejected.count() == 200 - selection.kept.count()
+
+
+def test_all_prototypes_take_one_scan(spark, docs, vectors):
+    for n, block in ((10, 4096), (400, 3)):
+        found = max_similarity(docs, "id", docs.where(f"id < {n}"), block=block)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        want = cosine(vectors, vectors[:n])
+        got = {r["id"]: r["score"] for r in found.collect()}
+        assert all(abs(got[i] - want[i]) < 1e-8 for i in range(400)) and got[400] is None and got[401] is None
+    nothing = {r["score"] for r in max_similarity(docs, "id", docs.limit(0)).collect()}
+    assert nothing == {None} and max_similarity(docs.limit(0), "id", docs).count() == 0
