@@ -155,6 +155,80 @@ def test_all_content_regions_are_returned(html):
     assert html_text.main_text(html) == f"{FIRST}\n\n{SECOND}"
 
 
+WRAPPED = f"<article><h1>A title</h1><p>{FIRST}</p><p>{SECOND}</p></article>"
+WHOLE = f"A title\n\n{FIRST}\n\n{SECOND}"
+MENU = "<nav><ul><li><a href='/'>Menu</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<div class="content has-sidebar">{WRAPPED}</div>',
+        f'<div id="page" class="no-sidebar">{WRAPPED}</div>',
+        f'<div class="sidebar-right menu-open">{WRAPPED}<div class="sidebar"><p>Other things.</p></div></div>',
+        f'<section id="social-science">{WRAPPED}</section>',
+        WRAPPED.replace("<article>", '<article class="post has-comments">'),
+        WRAPPED.replace("<h1>A title</h1>", "<header><h1>A title</h1><p>By somebody</p></header>"),
+        f"{MENU}<main>{WRAPPED}</main>",
+        f"<form action='/post'><input name='state'>{WRAPPED}</form>",
+        f"<body>{WRAPPED}<div class='post-comments'><article class='comment'><p>{FIRST}</p></article></div></body>",
+    ],
+)
+def test_wrappers_do_not_take_the_article_with_them(html):
+    assert html_text.main_text(html) == WHOLE
+
+
+def test_most_of_the_text_is_no_sidebar_and_comments_are_none_of_it():
+    assert html_text.main_text(f"<body><div class='main-banner'><h1>A title</h1><p>{FIRST}</p><p>{SECOND}</p></div></body>") == WHOLE
+    assert html_text.main_text(f"<body><div><p>{SECOND}</p></div><div id='comments'><p>{FIRST}</p><p>{FIRST}</p></div></body>") == SECOND
+
+
+def test_a_short_section_stays_beside_a_long_one():
+    html = f"<main><section><p>{FIRST}</p><p>{SECOND}</p></section><section><h2>End</h2><p>Short end.</p></section></main>"
+    assert html_text.main_text(html) == f"{FIRST}\n\n{SECOND}\n\nEnd\n\nShort end."
+
+
+def test_clusters_tell_unmarked_boilerplate_from_content(monkeypatch):
+    links = " ".join(f"<a href='/{i}'>Page {i}</a>" for i in range(9))
+    html = f"<body><div>{links}</div><div><p>{FIRST}</p><p>{SECOND}</p></div>"
+    html += "".join(f"<div><span>Short</span> <b>words</b> <i>{i}</i></div>" for i in range(6)) + "</body>"
+    assert "words 5" not in html_text.main_text(html) and html_text.main_text(html).startswith(f"{FIRST}\n\n{SECOND}")
+    monkeypatch.setattr(html_text, "threshold", lambda values: 0.0)
+    assert html_text.main_text(html).endswith("Short words 5")
+
+
+def plain_choice(blocks):
+    """Ratios, smoothing and two clusters one by one: the blocks (text, tags, linked) above the border."""
+    import math
+
+    ratios = [math.sqrt((len(t) - linked) / max(1, tags)) for t, tags, linked in blocks]
+    soft = []
+    for i in range(len(ratios)):
+        weights = {j: math.exp(-((i - j) ** 2) / 2) for j in range(len(ratios)) if abs(i - j) <= 3}
+        soft.append(sum(w * ratios[j] for j, w in weights.items()) / sum(weights.values()))
+    centre = max(soft)
+    for _ in range(31):
+        near = [v for v in soft if abs(v - centre) <= abs(v)]
+        centre = sum(near) / len(near)
+    return [t for (t, _, linked), v in zip(blocks, soft, strict=True) if abs(v - centre) <= abs(v) and 2 * linked <= len(t)]
+
+
+def test_pages_of_loose_blocks_against_plain_clusters():
+    import random
+
+    draw = random.Random(6)
+    for _ in range(200):
+        blocks, html = [], ""
+        for k in range(draw.randint(1, 12)):
+            words = " ".join(f"w{draw.randint(0, 99)}" for _ in range(draw.choice([1, 2, 30, 60])))
+            linked, bold = draw.random() < 0.3, draw.randint(0, 4)
+            inner = f"<a href='/'>{words}</a>" if linked else words
+            html += f"<div>{'<b></b>' * bold}{inner}</div>"
+            # a block's own two tags, and those inside
+            blocks.append((words, 2 + 2 * bold + (2 if linked else 0), len(words) if linked else 0))
+        assert html_text.main_text(html).split("\n\n") == (plain_choice(blocks) or [""])
+
+
 def test_smoothing_and_threshold():
     assert html_text.smooth([1.0, 1.0, 1.0]) == pytest.approx([1, 1, 1])
     assert 2 < html_text.threshold([1, 1.5, 1, 9, 10, 9.5]) < 9
