@@ -18,6 +18,11 @@ QUERY_BLOCK = 5_000
 LEAF = 256
 
 
+# Length from which on products may leave the integers that double precision holds, and the largest score.
+LARGE = float(1 << 26)
+BEYOND = (1 << 63) - 1
+
+
 class BallTree:
     """Balls around integer vectors; a node's rows lie together in ``points``."""
 
@@ -84,11 +89,23 @@ class BallTree:
         return [(int(best_scores[i]), int(best_ids[i])) for i in top]
 
 
+def exact_products(query: np.ndarray, points: np.ndarray, ids: np.ndarray, own: int, floor: int | None) -> list[tuple[int, int]]:
+    """(score, id) of all rows but those of the id ``own``, with integers of any size; none below ``floor``."""
+    q = [int(x) for x in query]
+    found = []
+    for point, i in zip(points.tolist(), ids.tolist(), strict=True):
+        score = sum(a * int(b) for a, b in zip(q, point, strict=True))
+        if i != own and (floor is None or min(max(score, -BEYOND), BEYOND) >= floor):
+            found.append((score, i))
+    return found
+
+
 def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for every vec_id divisible by ``every``, the k best other rows.
 
-    Components become floor(scale * x). The score is the integer inner product, exact while the sums stay below
-    2**53. Ties go to the smaller vec_id. Null vec_ids and vectors that are null, empty or hold null or
+    Components become floor(scale * x), or the nearest 64-bit integer where that is beyond them. The score is the integer
+    inner product, exact for all finite components; one beyond 64 bits is the nearest of ``BEYOND`` and its negative. Products of
+    vectors as long as ``LARGE`` are worked out one by one, in integers of any size. Ties go to the smaller vec_id. Null vec_ids and vectors that are null, empty or hold null or
     non-finite components take no part; vectors of different lengths have no product. Equal rows count
     once; different vectors of one query id are queries of their own.
 
@@ -117,17 +134,24 @@ def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: i
     def search(key, asked, held):
         out: list[tuple[int, int, int, int]] = []
         if asked.num_rows and held.num_rows:
-            tree = BallTree(matrix(held.column("v").combine_chunks()), held.column("vec_id").to_numpy())
+            points, ids = matrix(held.column("v").combine_chunks()), held.column("vec_id").to_numpy()
+            large = np.sqrt((points * points).sum(axis=1)) >= LARGE
+            tree = BallTree(points[~large], ids[~large]) if not large.all() else None
             wanted = matrix(asked.column("v").combine_chunks())
             for q, own, name, floor in zip(wanted, *(asked.column(c).to_pylist() for c in ("vec_id", "key", "floor")), strict=True):
-                out += [(name, own, i, s) for s, i in tree.search(q, own, k, -np.inf if floor is None else floor)]
+                wide = np.sqrt(q @ q) >= LARGE
+                best = tree.search(q, own, k, -np.inf if floor is None else floor) if tree and not wide else []
+                if wide or large.any():
+                    some = slice(None) if wide else large
+                    best = sorted(best + exact_products(q, points[some], ids[some], own, floor), key=lambda x: (-x[0], x[1]))[:k]
+                out += [(name, own, i, min(max(s, -BEYOND), BEYOND)) for s, i in best]
         return pa.table([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4)], ["key", "query_id", "vec_id", "score"])
 
     every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
     held = shards.select("dim", "shard", every_block.alias("block"), "vec_id", "v")
-    home = queries.select("dim", "shard", "block", "vec_id", "key", "v", F.lit(None).cast("double").alias("floor"))
+    home = queries.select("dim", "shard", "block", "vec_id", "key", "v", F.lit(None).cast("long").alias("floor"))
     first = stored(home.groupBy("dim", "shard", "block").cogroup(held.groupBy("dim", "shard", "block")).applyInArrow(search, found), "top-k-home")
-    floors = first.groupBy("key").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("key", F.when(F.col("n") >= k, F.col("least")).cast("double").alias("floor"))
+    floors = first.groupBy("key").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("key", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long")))
     away = (
         queries.join(floors, "key", "left")

@@ -83,3 +83,23 @@ def test_rows_with_one_id_and_other_texts_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r.doc_id, r.text.split()[0]) for r in corpus_pipeline.one_of_each(spark, docs, SF_DIR).collect())
     assert got == [(7, "a0"), (7, "b0"), (8, "c")]
+
+
+def test_columns_of_any_name_and_type_pass_all_stages(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    names = ("lang_pred", "lang_score", "quality_score", "_row", "row", "hash", "secrets", "_language", "component_id", "n_tokens")
+    work = docs.select("*", *(F.lit(name).alias(name) for name in names), F.lit(1).alias("a.b"), F.lit(2).alias("tick`s"))
+    work = work.withColumns({"map": F.create_map(F.lit("k"), F.col("doc_id")), "list": F.array(F.lit("x"))})
+    work = work.union(work.limit(3)).union(work.limit(2).withColumn("text", F.lit(None).cast("string")))
+    plain, columns = docs.union(docs.limit(3)).union(docs.limit(2).withColumn("text", F.lit(None).cast("string"))), work.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        work, plain = stage(spark, work, SF_DIR), stage(spark, plain, SF_DIR)
+        assert work.columns == columns
+        rows = work.collect()
+        assert rows and all(r[c] == c for r in rows for c in names) and all(r["a.b"] == 1 and r["tick`s"] == 2 and r["map"] == {"k": r.doc_id} for r in rows)
+        if name != "near_duplicates":
+            assert sorted((r.doc_id, r.text or "", r.n_chars) for r in rows) == sorted((r.doc_id, r.text or "", r.n_chars) for r in plain.collect())
+        work, plain = (spark.createDataFrame(x.collect(), x.schema) for x in (work, plain))
+    assert corpus_pipeline.STAGES[-1][1](spark, work, SF_DIR).count() > 0
