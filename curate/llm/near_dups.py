@@ -5,12 +5,13 @@
 2. Inverted lists of retained values tell which values two or more representatives share. A document that is
    at least 0.85 similar to another shares most of its sketch with it; whoever shares less than a bound is done
    (see ``shared_bound``: certain for small sets, missed with a chance below 1e-9 for larger ones).
-3. The sketches of those that remain are extended to their whole sets, and values are ordered from rare to common.
-   Similar sets must then share one of the first ``n - ceil(0.85 n) + 1`` values (prefix filter, exact), so only
-   these form lists. Pairs are generated in short lists; from places in the order an upper bound of the overlap
-   follows. A list that is long is cut into blocks, blocks meet in pairs of tasks, and only a spanning
-   forest of confirmed links leaves a task: no list emits all its pairs.
-4. Sketch estimates over the union filter pairs, and exact Jaccard on full sets confirms them.
+3. Those that remain retain more, their 128 smallest values, and these make the lists that pairs come from. A pair that
+   passes the estimate of step 4 shares at least ``overlap_bound`` retained values; ordered from rare to common,
+   the two sketches then share one of the first ``size - bound + 1``, so only these form lists, and no pair is lost
+   that the estimate would pass. From places in the order an upper bound of the overlap follows.
+4. In lists of every length, the estimate on the sketch of the union filters pairs, and exact Jaccard on full sets
+   confirms them. Short lists emit their pairs. A long one is cut into blocks, blocks meet in pairs of tasks, and only
+   a spanning forest of confirmed links leaves a task: no list emits all its pairs.
 5. Components are found by pointer jumping; classes take their representative's component.
 """
 
@@ -30,6 +31,8 @@ SKETCH = 32
 # Retained values of a full sketch that must be shared: from 85 percent on, and below.
 SHARED = 12
 SHARED_BELOW = 10
+# Retained values of those that share enough: their lists give pairs, and the estimate looks at as many of the union.
+RETAINED = 128
 SHORT_LIST = 32
 BLOCK = 256
 # Narrow rows (four longs) that may be broadcast, counted first.
@@ -50,6 +53,21 @@ def shared_bound(n: int, percent: int, k: int = SKETCH) -> int:
     return max(1, (SHARED if percent >= 85 else SHARED_BELOW) * k // SKETCH * min(n, k) // k)
 
 
+def estimate_bound(percent: int, k: int = RETAINED) -> int:
+    """Values that both sets must hold of the k smallest of their union: six standard deviations are allowed for."""
+    share = percent / 100
+    return math.ceil(k * share - 6 * math.sqrt(k * share * (1 - share)) - 1)
+
+
+def overlap_bound(n: int, percent: int, k: int = RETAINED) -> int:
+    """Values that the k smallest of a set of n share with those of a set that passes the estimate.
+
+    What both sets hold of the k smallest values of their union is among the k smallest of either. If no similar set
+    can have more than k members, whole sets are compared and the bound is exact.
+    """
+    return max(1, -(-percent * n // 100)) if n * 100 <= percent * k else estimate_bound(percent, k)
+
+
 def shingle_sets(texts: pa.Array, words: int = WORDS):
     """Sorted arrays of distinct 64-bit shingle hashes, one per text of an Arrow column."""
     table = byte_table(True, np.flatnonzero(SPACE))
@@ -117,23 +135,24 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both * 100 >= percent * (len(a) + len(b) - both)
 
 
-def _estimate_passes(a: np.ndarray, b: np.ndarray, percent: int, k: int = 128) -> bool:
-    """Estimate similarity on the k smallest values of the union; six standard deviations are allowed for."""
+def _estimate_passes(a: np.ndarray, b: np.ndarray, percent: int, k: int = RETAINED) -> bool:
+    """Estimate similarity on the k smallest values of the union; smaller unions are left to the exact comparison."""
     a, b = a[:k], b[:k]
     union = np.union1d(a, b)[:k]
     if len(union) < k:
         return True
     top = union[-1]
-    both = len(np.intersect1d(a[a <= top], b[b <= top], assume_unique=True))
-    share = percent / 100
-    return both >= k * share - 6 * math.sqrt(k * share * (1 - share)) - 1
+    return len(np.intersect1d(a[a <= top], b[b <= top], assume_unique=True)) >= estimate_bound(percent, k)
 
 
 def _block_links(ids: np.ndarray, sets: list[np.ndarray], cut: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ids, and, if cut > 0, only of links between [:cut] and [cut:]."""
-    sizes = np.array([len(s) for s in sets])
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
+    """A spanning forest of the links among ids, and, if cut > 0, only of links between [:cut] and [cut:].
+
+    Overlaps of the retained values choose pairs; of these, those not yet connected are estimated and compared.
+    """
+    retained = [s[:RETAINED] for s in sets]
+    values, column = np.unique(np.concatenate(retained), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in retained])
     both = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
@@ -142,14 +161,20 @@ def _block_links(ids: np.ndarray, sets: list[np.ndarray], cut: int, percent: int
         part = np.zeros((len(sets), min(4096, len(values) - first)), np.float32)
         part[row[begin:end], column[begin:end] - first] = 1
         both += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - both
-    linked = np.triu(both * 100 >= percent * union, 1)
+    sizes = np.array([len(s) for s in sets])
+    least = np.array([overlap_bound(len(s), percent) for s in sets])
+    near = np.minimum(sizes[:, None], sizes) * 100 >= np.maximum(sizes[:, None], sizes) * percent
+    may = np.triu(near & (both >= np.maximum(least[:, None], least)), 1)
     if cut:
-        linked[:cut, :cut] = False
-        linked[cut:, cut:] = False
-    a, b = np.nonzero(linked)
-    label = components(len(sets), a, b)
-    return [(int(ids[i]), int(ids[j])) for i, j in enumerate(label) if i != j]
+        may[:cut, :cut] = False
+        may[cut:, cut:] = False
+    label, links = np.arange(len(sets)), []
+    for i in range(len(sets)):
+        for j in np.flatnonzero(may[i] & (label != label[i])).tolist():
+            if label[i] != label[j] and _estimate_passes(sets[i], sets[j], percent) and _similar(sets[i], sets[j], percent):
+                label[label == label[j]] = label[i]
+                links.append((int(ids[i]), int(ids[j])))
+    return links
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -214,26 +239,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "near-sets",
     )
 
-    postings = sets.select("node", F.size("values").alias("n"), F.explode("values").alias("value"))
+    # the lists of retained values, from rare to common; values of one document only come first, uncounted here
+    least = F.when(F.col("n") * 100 <= percent * RETAINED, F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100))).otherwise(estimate_bound(percent)).cast("int")
+    postings = sets.select("node", F.size("values").alias("n"), F.explode(F.slice("values", 1, RETAINED)).alias("value"))
     frequent = stored(postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "near-frequent")
-    # places in the order from rare to common; values of one document only come first, uncounted here
     shared = postings.join(frequent, "value")
     order = Window.partitionBy("node").orderBy("df", "value")
     placed = shared.withColumn("nth", F.row_number().over(order)).withColumn("of", F.count("*").over(Window.partitionBy("node")))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    place = F.col("n") - F.col("of") + F.col("nth") - 1
-    prefixes = stored(placed.withColumn("place", place.cast("int")).where(F.col("place") < prefix).select("value", "node", "n", "place"), "near-prefixes")
+    # values left from this one on, and as many as must be shared
+    rest = (F.col("of") - F.col("nth") + 1).cast("int")
+    prefixes = stored(
+        placed.select("value", "node", "n", rest.alias("rest"), least.alias("least")).where("rest >= least"), "near-prefixes"
+    )
     sizes = stored(prefixes.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "near-lists")
 
     # short lists: pairs by a self-join on the value, at most SHORT_LIST rows on either side
     listed = prefixes.join(sizes.where(F.col("size") <= SHORT_LIST).select("value"), "value")
-    other = listed.select("value", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
-    overlap = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
+    other = listed.select("value", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("least").alias("least2"))
     pairs = (
         listed.join(other, "value")
         .where("node < node2")
         .where((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent))
-        .where(1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) - 1 >= overlap)
+        .where(F.least("rest", "rest2") >= F.greatest("least", "least2"))
         .select("node", "node2")
         .distinct()
     )

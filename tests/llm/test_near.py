@@ -69,6 +69,39 @@ def test_components_are_those_of_brute_force(spark, monkeypatch, seed, short, bl
     assert run(spark, rows) == expected(rows)
 
 
+def test_lists_of_any_length_give_the_links_of_the_plain_rule():
+    from itertools import combinations
+
+    texts = pa.array([t for _, t in corpus(5, n_bases=4, copies=14, near=9)])
+    sets = [s for s in near_dups.shingle_sets(texts) if len(s)]
+    for percent in (80, 85):
+        def linked(some, percent=percent):
+            return [(a, b) for a, b in some if near_dups._similar(sets[a], sets[b], percent)]
+
+        def labels(links):
+            return components(len(sets), *(np.array([x[k] for x in links], np.int64) for k in (0, 1))).tolist()
+
+        whole = linked(combinations(range(len(sets)), 2))
+        assert any(len(sets[a]) > 200 for a, _ in whole)
+        got = near_dups._block_links(np.arange(len(sets)), sets, 0, percent)
+        assert set(got) <= set(whole) and labels(got) == labels(whole) and len(got) < len(whole)
+        cut = len(sets) // 3
+        across = [(a, b) for a, b in whole if a < cut <= b]
+        assert labels(near_dups._block_links(np.arange(len(sets)), sets, cut, percent)) == labels(across)
+        for a, b in whole:
+            assert near_dups._estimate_passes(sets[a], sets[b], percent)
+            both = len(np.intersect1d(sets[a][: near_dups.RETAINED], sets[b][: near_dups.RETAINED]))
+            assert both >= max(near_dups.overlap_bound(len(s), percent) for s in (sets[a], sets[b]))
+
+
+def test_texts_of_80_percent_at_every_list_length(spark, monkeypatch):
+    rows = corpus(7, near=10)
+    want = expected(rows, 80)
+    assert run(spark, rows, percent=80) == want
+    monkeypatch.setattr(near_dups, "SHORT_LIST", 1)
+    assert run(spark, rows, percent=80) == want
+
+
 def test_edges_of_the_table(spark):
     long = "w%d " * 30000 % tuple(range(30000))
     rows = [(5, None), (6, ""), (7, " \n "), (8, "A b"), (9, "a B"), (None, "a b"), (4, long), (3, long + "x"), (8, "A b"), (10, "x y z"), (10, "q r s"), (12, "q r s")]
