@@ -3,12 +3,15 @@
 For unit vectors a cosine of at least c is a distance of at most e = sqrt(2 - 2c). Pivots cut the space into
 cells of the nearest pivot. If u lies within e of v, then d(u, p) <= d(u, q) + 2e for v's pivot p and u's own q,
 by the triangle inequality; on the sphere the bisector gives the sharper d(u, p)^2 - d(u, q)^2 <= 2 e d(p, q). So u
-is replicated to every cell for which both hold, and each cell finds all links of its own vectors alone.
+is replicated to every cell for which both hold, and each cell finds all links of its own vectors alone. Inside a
+cell, angles to a few pivots differ by no more than the angle of a link, so tiles of vectors meet only those within
+their range of angles to each of them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +21,13 @@ from pyspark.sql import functions as F
 from curate.llm.common import components, keep_schema, smallest_reachable, stored
 from curate.session import join_lookup
 
-# Vectors that a cell should hold, the pivots there may be at most, and the rows of one block of a larger cell.
+# Vectors that a cell should hold, the pivots there are at least and at most, and the rows of one block of a larger cell.
 CELL_ROWS = 20_000
+LEAST_PIVOTS = 4
 MAX_PIVOTS = 512
+# Pivots that angles are taken to inside a cell, its own first, and the vectors of a tile.
+MARKS = 8
+TILE = 200
 BLOCK = 8000
 _SLACK = 1e-7
 
@@ -43,6 +50,33 @@ def units(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def angles(points: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The angle of every unit vector to every mark."""
+    return np.arccos(np.clip(points @ marks.T, -1, 1))
+
+
+def tiles(ours: np.ndarray, theirs: np.ndarray, reach: float, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of index arrays that hold all pairs of vectors with an angle of at most ``reach`` between them.
+
+    ``ours`` and ``theirs`` have a row per vector and a column per mark: its angle to that mark. Vectors are halved at
+    the mark to which their angles differ most until a half is a tile; whoever is farther than ``reach`` from a tile's
+    range of angles to any mark is left out, by the triangle inequality.
+    """
+    todo = [np.arange(len(ours))]
+    while todo:
+        here = todo.pop()
+        if len(here) > tile:
+            widest = np.ptp(ours[here], axis=0).argmax() if ours.shape[1] else None
+            order = np.arange(len(here)) if widest is None else np.argpartition(ours[here, widest], len(here) // 2)
+            todo += [here[order[: len(here) // 2]], here[order[len(here) // 2 :]]]
+            continue
+        some = np.arange(len(theirs))
+        for mark in range(ours.shape[1]):
+            low, high = ours[here, mark].min() - reach, ours[here, mark].max() + reach
+            some = some[(theirs[some, mark] >= low) & (theirs[some, mark] <= high)]
+        yield here, some
+
+
 def _rows(frame: list, names: list[str]) -> pa.Table:
     return pa.table([pa.array(x, pa.int64()) for x in frame], names)
 
@@ -78,12 +112,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, cell_rows: int = CELL
 
     # pivots: a bounded sample per length, by hash
     count = classes.count()
-    wanted = min(MAX_PIVOTS, -(-count // cell_rows))
+    wanted = min(MAX_PIVOTS, max(LEAST_PIVOTS, -(-count // cell_rows)))
     by_dim: dict[int, np.ndarray] = {}
-    if wanted > 1:
-        picked = classes.orderBy(F.xxhash64("embedding"), "node").limit(wanted).select("dim", "embedding").collect()
-        for dim in {row[0] for row in picked}:
-            by_dim[dim] = units(np.array([row[1] for row in picked if row[0] == dim]))
+    picked = classes.orderBy(F.xxhash64("embedding"), "node").limit(wanted).select("dim", "embedding").collect()
+    for dim in {row[0] for row in picked}:
+        by_dim[dim] = units(np.array([row[1] for row in picked if row[0] == dim]))
     pivots = spark.sparkContext.broadcast(by_dim)
 
     def deal(batches):
@@ -145,18 +178,22 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, cell_rows: int = CELL
         dense = np.array([number[n] for n in nodes.tolist()])
         label = np.arange(len(number))
         found = np.zeros(len(a), np.int64)
+        # the cell's own pivot, and others
+        marks = pivots.value.get(points.shape[1], points[:0])
+        at_marks = angles(points, np.roll(marks, -key[1].as_py(), axis=0)[:MARKS])
         # single precision finds all pairs that may be linked, double precision decides
         rough = points.astype(np.float32)
-        for at in range(0, len(a), 500):
-            i, j = np.nonzero(rough[a[at : at + 500]] @ rough[b].T >= cosine - 1e-4)
-            apart = nodes[a[at + i]] != nodes[b[j]]
-            i, j = a[at + i[apart]], b[j[apart]]
+        for here, some in tiles(at_marks[a], at_marks[b], math.acos(cosine) + 1e-6):
+            i, j = np.nonzero(rough[a[here]] @ rough[b[some]].T >= cosine - 1e-4)
+            i, j = here[i], b[some[j]]
+            apart = nodes[a[i]] != nodes[j]
+            i, j = i[apart], j[apart]
             for first in range(0, len(i), 100_000):
                 x, y = i[first : first + 100_000], j[first : first + 100_000]
-                hit = np.einsum("ij,ij->i", points[x], points[y]) >= cosine
+                hit = np.einsum("ij,ij->i", points[a[x]], points[y]) >= cosine
                 x, y = x[hit], y[hit]
-                np.add.at(found, np.searchsorted(a, x), copies[y])
-                label = components(len(label), np.concatenate([np.arange(len(label)), dense[x]]), np.concatenate([label, dense[y]]))
+                np.add.at(found, x, copies[y])
+                label = components(len(label), np.concatenate([np.arange(len(label)), dense[a[x]]]), np.concatenate([label, dense[y]]))
         back = np.array(sorted(number), np.int64)
         tied = np.flatnonzero(label != np.arange(len(label)))
         ends = [np.concatenate([nodes[a], back[tied]]), np.concatenate([nodes[a], back[label[tied]]]), np.concatenate([found, np.zeros(len(tied), np.int64)])]

@@ -177,6 +177,26 @@ def test_links_are_those_of_brute_force(spark, monkeypatch, cell, block):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == links(rows)
 
 
+def test_tiles_hold_all_links_and_leave_out_what_is_far():
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(40, 24))
+    points = vector_dups.units(centres[draw.integers(0, 40, 3000)] + 0.15 * draw.normal(size=(3000, 24)))
+    reach = np.arccos(0.95) + 1e-6
+    for marks in (points[:8], points[:1], points[:0]):
+        at = vector_dups.angles(points, marks)
+        seen, compared = np.zeros((1500, 1500), bool), 0
+        for here, some in vector_dups.tiles(at[:1500], at[1500:], reach, tile=50):
+            assert not seen[here].any()
+            seen[np.ix_(here, some)] = True
+            compared += len(here) * len(some)
+        linked = points[:1500] @ points[1500:].T >= 0.95
+        assert linked.sum() > 10_000 and not (linked & ~seen).any()
+        if len(marks) == 8:
+            assert compared < seen.size / 2
+        elif not len(marks):
+            assert seen.all()
+
+
 def test_no_vectors(spark):
     assert vector_dups.near_vectors(vectors(spark, [])).count() == 0
     assert top_k.top_inner_products(vectors(spark, [])).count() == 0
