@@ -2,7 +2,8 @@
 
 The automata come from state merging (ALERGIA): the credentials of a kind form a prefix tree with counts, and states
 whose outgoing frequencies agree within Hoeffding bounds, as do all states below, are merged. A candidate's
-score is its mean log probability per sign; what scores as the known credentials of a kind do has their format.
+score is its mean log probability per sign, that of its length among the known credentials as its end; what scores as
+these do has their format.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,21 +26,25 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-# A run of signs of credentials with a letter and a digit.
+# A candidate: a run of 20 signs of credentials or more with a letter and a digit. Shorter ones are too like words.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 MASK = "[SECRET]"
 
 # Distinct credentials of a kind to infer its automaton from, four in five of so many by hash, and the signs of each
-# that it is fitted on. Thresholds and lengths come from all credentials with all their signs.
+# that it is fitted on. Thresholds and the shares of lengths come from all credentials with all their signs.
 CREDENTIALS = 400
 FIT_SIGNS = 256
 # Scores are counted in cells of this width; a threshold is the lower end of its cell.
 CELL = 1e-4
-FEWEST = 20
 CONFIDENCE = 0.05
 _FLOOR = math.log2(1e-4)
 
 
+def length_cell(n: int) -> int:
+    """Eight cells for each doubling of a length."""
+    return math.ceil(8 * math.log2(n))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind, end, credential) of the three patterns, leftmost and non-overlapping per kind, sorted."""
     found = [(m.start(), 0, m.end(), m.group(2)) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
@@ -130,8 +135,11 @@ class Automaton:
             log = lambda n, total=total: math.log2(max(n / total, 1e-4))
             self.states.append((log(end), {sign: (log(counts[sign]), moves[sign]) for sign in moves}))
 
-    def score(self, text: str) -> float:
-        """Mean log2 probability per sign, the end included; an unknown sign costs a fixed price and stays."""
+    def score(self, text: str, end: float | None = None) -> float:
+        """Mean log2 probability per sign and of the end; an unknown sign costs a fixed price and stays.
+
+        ``end`` is the log probability of ending here, that of the last state if there is none.
+        """
         state, total = 0, 0.0
         for sign in text:
             step = self.states[state][1].get(sign)
@@ -140,34 +148,53 @@ class Automaton:
             else:
                 total += step[0]
                 state = step[1]
-        return (total + self.states[state][0]) / (len(text) + 1)
+        return (total + (self.states[state][0] if end is None else end)) / (len(text) + 1)
 
 
 @dataclass(frozen=True)
-class FormatModel:
-    """Per kind: its automaton, the score that known credentials reach, and their range of lengths."""
+class Format:
+    """A kind of credentials: its automaton, the log probabilities of their lengths, by cell, and the score they reach."""
+
+    kind: str
+    automaton: Automaton
+    lengths: dict[int, float]
+    least: float = 0.0
+
+    def score(self, text: str) -> float:
+        """The likelihood of a run: its signs by the automaton, its end by its length.
+
+        A length between known ones costs a fixed price; a run shorter or longer than all of them has the least score.
+        """
+        cell = length_cell(len(text))
+        if not min(self.lengths) <= cell <= max(self.lengths):
+            return _FLOOR
+        return self.automaton.score(text, self.lengths.get(cell, _FLOOR))
 
-    formats: list[tuple[str, Automaton, float, int, int]]
+
+@dataclass(frozen=True)
+class FormatModel:
+    formats: list[Format]
 
     def matches(self, text: str) -> bool:
-        return any(low <= len(text) <= high and automaton.score(text) >= least for _, automaton, least, low, high in self.formats)
+        return any(known.score(text) >= known.least for known in self.formats)
 
 
 def learn_formats(docs: DataFrame, per_kind: int = CREDENTIALS) -> FormatModel:
     """Infer an automaton per kind from the credentials that the patterns find in ``text`` of all ``docs``.
 
     Of the distinct credentials at most ``per_kind`` of a kind, by hash, come to the driver, and an automaton is fitted
-    on four in five of them. Spark then scores all others: what 95 percent of these reach is the threshold. Lengths are
-    those of all credentials, from the fifth percentile to the longest. A kind with fewer than 20 credentials has no
-    automaton.
+    on four in five of them, however few there are. Spark counts the lengths of all and scores all others: what 95 percent
+    of these reach is the threshold. Of a kind with fewer than five credentials, all are fitted on and scored.
+    A kind without credentials has no automaton.
     """
 
     def find(batches):
         for batch in batches:
             seen = {(k, value) for _, _, some in text_batches(batch.column(0)) for text in some for _, k, _, value in base_spans(text)}
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in seen], pa.int64()), "value": pa.array([v for _, v in seen], pa.string())})
+            cells = pa.array([length_cell(len(v)) for _, v in seen], pa.int64())
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in seen], pa.int64()), "value": pa.array([v for _, v in seen], pa.string()), "size": cells})
 
-    values = whole_texts(docs).select(F.col("`text`").cast("string").alias("text")).mapInArrow(find, "kind long, value string").distinct()
+    values = whole_texts(docs).select(F.col("`text`").cast("string").alias("text")).mapInArrow(find, "kind long, value string, size long").distinct()
     values = stored(values, "credentials")
     best = Window.partitionBy("kind").orderBy("hash", "value")
     few = (
@@ -177,50 +204,56 @@ def learn_formats(docs: DataFrame, per_kind: int = CREDENTIALS) -> FormatModel:
         .select("kind", F.substring("value", 1, FIT_SIGNS + 1).alias("value"), "hash")
         .collect()
     )
-    automata, fitted = {}, set()
+    if not few:
+        return FormatModel([])
+    # a row per kind and cell of lengths
+    sizes = values.groupBy("kind", "size").agg(F.count("*").alias("n")).collect()
+    formats, fitted = {}, set()
     for kind in sorted({row[0] for row in few}):
         known = sorted((row[1], row[2]) for row in few if row[0] == kind)
-        if len(known) >= FEWEST:
-            rest = [one for i, one in enumerate(known) if i % 5 != 4]
-            automata[kind] = Automaton([value for value, _ in rest])
+        rest = [one for i, one in enumerate(known) if i % 5 != 4]
+        total = sum(n for k, _, n in sizes if k == kind)
+        lengths = {cell: math.log2(max(n / total, 1e-4)) for k, cell, n in sizes if k == kind}
+        formats[kind] = Format(KINDS[kind], Automaton([value for value, _ in rest]), lengths)
+        if len(rest) < len(known):
             fitted |= {(kind, hash_) for _, hash_ in rest}
-    if not automata:
-        return FormatModel([])
-    shared = docs.sparkSession.sparkContext.broadcast((automata, fitted))
+    shared = docs.sparkSession.sparkContext.broadcast((formats, fitted))
 
     def measure(batches):
-        automata, fitted = shared.value
+        formats, fitted = shared.value
         for batch in batches:
-            kinds, texts, hashes = (column.to_pylist() for column in batch.columns)
-            # those fitted on have a length but no score
-            cells = [None if (k, h) in fitted else math.floor(automata[k].score(v) / CELL) for k, v, h in zip(kinds, texts, hashes, strict=True)]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.int64()), "size": pa.array([len(v) for v in texts], pa.int64()), "cell": pa.array(cells, pa.int64())})
-
-    measured = values.where(F.col("kind").isin(list(automata))).withColumn("hash", F.xxhash64("value")).mapInArrow(measure, "kind long, size long, cell long")
-    measured = stored(measured, "credential-scores")
-    sizes = _ranked(measured, "size")
-    cells = _ranked(measured.where("cell is not null"), "cell")
-    return FormatModel([(KINDS[k], automaton, cells[k][0] * CELL, *sizes[k]) for k, automaton in automata.items()])
-
-
-def _ranked(rows: DataFrame, value: str) -> dict[int, tuple[int, int]]:
-    """The fifth percentile and the maximum of whole numbers per kind; one narrow row per distinct number and kind."""
-    counts = stored(rows.groupBy("kind", value).agg(F.count("*").alias("n")), f"credential-{value}s")
-    upto = F.sum("n").over(Window.partitionBy("kind").orderBy(value))
+            rows = [(k, v) for k, v, h in zip(*(column.to_pylist() for column in batch.columns), strict=True) if (k, h) not in fitted]
+            cells = [math.floor(formats[k].score(v) / CELL) for k, v in rows]
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in rows], pa.int64()), "cell": pa.array(cells, pa.int64())})
+
+    measured = values.select("kind", "value", F.xxhash64("value").alias("hash")).mapInArrow(measure, "kind long, cell long")
+    least = _fifth_percentiles(measured)
+    return FormatModel([replace(known, least=least[k] * CELL) for k, known in formats.items()])
+
+
+def _fifth_percentiles(rows: DataFrame) -> dict[int, int]:
+    """The fifth percentile of ``cell`` per kind; one narrow row per distinct number and kind."""
+    counts = stored(rows.groupBy("kind", "cell").agg(F.count("*").alias("n")), "credential-scores")
+    upto = F.sum("n").over(Window.partitionBy("kind").orderBy("cell"))
     total = F.sum("n").over(Window.partitionBy("kind"))
     ranked = counts.withColumn("upto", upto).withColumn("total", total)
-    found = ranked.where(F.col("upto") > F.floor((F.col("total") - 1) * 0.05)).groupBy("kind").agg(F.min(value), F.max(value))
-    return {kind: (low, high) for kind, low, high in found.collect()}
+    found = ranked.where(F.col("upto") > F.floor((F.col("total") - 1) * 0.05)).groupBy("kind").agg(F.min("cell"))
+    return dict(found.collect())
 
 
 def all_spans(text: str, model: FormatModel) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all secrets: the patterns' and, outside of these, candidates of a known format."""
     found = [(start, kind, end) for start, kind, end, _ in base_spans(text)]
     if model.formats:
-        taken = list(found)
+        # both come in the order of their starts: the farthest end of all that begin before a candidate ends
+        taken, nth, upto = found, 0, 0
+        found = list(taken)
         for m in CANDIDATE.finditer(text):
+            while nth < len(taken) and taken[nth][0] < m.end():
+                upto = max(upto, taken[nth][2])
+                nth += 1
             run = m.group()
-            if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s < m.end() and m.start() < e for s, _, e in taken) and model.matches(run):
+            if upto <= m.start() and any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and model.matches(run):
                 found.append((m.start(), 3, m.end()))
     return sorted(found)
 

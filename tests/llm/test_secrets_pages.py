@@ -1,11 +1,16 @@
 """Secrets and main text."""
 
 import hashlib
+import math
+import random
+import re
+import string
+import time
 
 import pytest
 
 from curate.llm import html_text, secret_scan
-from curate.llm.secret_scan import KINDS, Automaton, FormatModel, all_spans, base_spans, mask
+from curate.llm.secret_scan import KINDS, Automaton, Format, FormatModel, all_spans, base_spans, mask
 
 HEX = "0641917ea4e9feb9cda83477b57ac2654884f485"
 
@@ -45,7 +50,9 @@ def test_automaton_is_a_distribution_of_its_examples():
 def model():
     keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(200)]
     automaton = Automaton(keys[:160])
-    return FormatModel([("hex", automaton, sorted(automaton.score(k) for k in keys[160:])[2], 40, 40)])
+    lengths = {secret_scan.length_cell(40): 0.0}
+    known = Format("hex", automaton, lengths)
+    return FormatModel([Format("hex", automaton, lengths, sorted(known.score(k) for k in keys[160:])[2])])
 
 
 def test_candidates_of_a_known_format_are_added_and_others_left():
@@ -63,7 +70,7 @@ def test_formats_are_learned_and_rows_kept(spark):
     rows = [(i, f"key {hashlib.sha1(str(i).encode()).hexdigest()} end", "x") for i in range(60)] + [(None, None, "x"), (3, "", "x"), (4, "word " * 50000 + "password=hunter22", "x"), (4, "AKIA" + "Q" * 16, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, secrets string")
     learned = secret_scan.learn_formats(docs)
-    assert [f[0] for f in learned.formats] == ["hex"]
+    assert sorted(f.kind for f in learned.formats) == ["access", "assign", "hex"]
     got = secret_scan.digest(docs, learned).collect()
     assert len(got) == len(rows)
     assert sum(r.n_hex for r in got) == 60 and sum(r.n_assign for r in got) == 1 and sum(r.n_access for r in got) == 1
@@ -80,21 +87,64 @@ def test_thresholds_and_lengths_come_from_all_credentials(spark):
     long = "".join(keys[:8])
     texts = [f"key {key} end" for key in keys] + [f"key {long} end"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    [(kind, automaton, least, low, high)] = secret_scan.learn_formats(docs, per_kind=25).formats
-    assert (kind, low, high) == ("hex", 40, 320)
+    [known] = secret_scan.learn_formats(docs, per_kind=25).formats
+    assert known.kind == "hex" and set(known.lengths) == {secret_scan.length_cell(n) for n in (40, 320)}
+    assert known.lengths[secret_scan.length_cell(40)] == pytest.approx(math.log2(120 / 121))
     # by 95 percent of all hundred that it wasn't fitted on, not of five
-    scores = sorted(automaton.score(v) for v in [*keys, long])
-    assert scores[0] - 1e-4 <= least <= scores[12]
-    assert 0.93 <= sum(s >= least for s in scores) / len(scores) <= 0.98
+    scores = sorted(known.score(v) for v in [*keys, long])
+    assert scores[0] - 1e-4 <= known.least <= scores[12]
+    assert 0.93 <= sum(s >= known.least for s in scores) / len(scores) <= 0.98
     # a candidate of more than 256 signs has the format too
-    assert FormatModel([("hex", automaton, least, low, high)]).matches("".join(keys[30:37]))
+    assert FormatModel([known]).matches("".join(keys[30:37]))
 
 
 def test_a_kind_of_long_credentials_is_learned(spark):
     longs = ["".join(hashlib.sha1(f"{i}-{j}".encode()).hexdigest() for j in range(8)) for i in range(30)]
     docs = spark.createDataFrame([(i, f"key {v} end") for i, v in enumerate(longs)], "doc_id long, text string")
-    [(kind, automaton, least, low, high)] = secret_scan.learn_formats(docs).formats
-    assert (kind, low, high) == ("hex", 320, 320) and sum(automaton.score(v) >= least for v in longs) >= 28
+    [known] = secret_scan.learn_formats(docs).formats
+    assert known.kind == "hex" and set(known.lengths) == {secret_scan.length_cell(320)} and sum(known.score(v) >= known.least for v in longs) >= 28
+
+
+def credential(i, prefix="ghp_", n=36):
+    draw = random.Random(i)
+    return prefix + "".join(draw.choice(string.ascii_letters + string.digits) for _ in range(n))
+
+
+@pytest.mark.parametrize("n_known", [8, 15, 600])
+def test_planted_credentials_outside_of_the_patterns_are_found(spark, n_known):
+    known = [(i, f"see token={credential(i)} here") for i in range(n_known)]
+    planted = [(10_000 + i, f"a line with {credential(10_000 + i)} in it") for i in range(200)]
+    decoys = ["550e8400-e29b-41d4-a716-446655440000", "how-to-install-python-3-on-a-server", "com/example/project/v2/src/main", "ABCDEFGHIJKLMNOPQRST1234", "2024-01-01-release-notes-of-all", "x" * 30 + "1", "images/photos/2024/summer/img_20240612_a"]
+    clean = [(20_000 + i, f"{d} and so on") for i, d in enumerate(decoys)]
+    docs = spark.createDataFrame(known + planted + clean, "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in secret_scan.digest(docs, secret_scan.learn_formats(docs)).collect()}
+    hits = [i for i, text in planted if rows[i] == f"format:12:{12 + 40}"]
+    assert len(hits) >= 0.9 * len(planted) * (1 if n_known > 20 else 0.5)
+    assert [rows[i] for i, _ in clean] == [""] * len(clean)
+    assert all(rows[i].startswith("assign:4:50") for i, _ in known)
+
+
+def test_spans_of_a_text_of_keys_are_those_of_plain_loops():
+    known = model()
+    draw = random.Random(4)
+    parts = [hashlib.sha1(b"%d" % i).hexdigest() for i in range(300)]
+    shapes = ["{0}", "token={0}", "x {0}G{1}", "AKIA{2}", "{0}/{1}", "password: short", "secret='{0}' {1}-", "plain words"]
+    text = "\n".join(draw.choice(shapes).format(p, draw.choice(parts), "Q" * 20) for p in parts)
+    base = [(s, k, e) for s, k, e, _ in base_spans(text)]
+    want = list(base)
+    for m in secret_scan.CANDIDATE.finditer(text):
+        apart = all(e <= m.start() or m.end() <= s for s, _, e in base)
+        if apart and re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()) and known.matches(m.group()):
+            want.append((m.start(), 3, m.end()))
+    assert all_spans(text, known) == sorted(want)
+
+
+def test_a_long_dump_of_keys_takes_time_in_proportion():
+    known, line = model(), "token=%s and 0641917EA4E9FEB9CDA83477B57AC2654884F485\n"
+    text = "".join(line % hashlib.sha1(b"%d" % i).hexdigest() for i in range(20_000))
+    start = time.perf_counter()
+    assert len(all_spans(text, known)) == 40_000
+    assert time.perf_counter() - start < 20
 
 
 ARTICLE = "<article><h1>A  title</h1><p><b>First &amp; best<br>line.<p>Second &lt;b&gt;.</p>%s</article>"
