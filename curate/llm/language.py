@@ -142,8 +142,8 @@ def train_language(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE)
     """Fit on text and non-null lang of documents whose crc32(doc_id) mod 5 is not 0.
 
     Document frequencies cover all of these documents (a vector per partition, summed by Spark); weights are fitted
-    on about ``rows_per_language`` documents of each language, chosen by a hash, by one task; every fifth of them is
-    kept for the temperature. Null texts and texts without a letter teach nothing. Without any language, the model
+    on about ``rows_per_language`` documents of each language, chosen by a hash of id and text, by one task; equal ones
+    count once, and every fifth is kept for the temperature. Null texts and texts without a letter teach nothing. Without any language, the model
     knows none. Languages (distinct values of lang) and buckets bound what comes back to the driver.
     """
     learn = (
@@ -186,8 +186,10 @@ def train_language(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE)
     idf = np.log((1 + sum(langs.values())) / (1 + df)) + 1
 
     share = F.create_map(*[F.lit(x) for name in names for x in (name, min(1.0, rows_per_language / langs[name]))])
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = learn.where(drawn < share[F.col("lang")])
+    # by id and text, so that an id of many rows is drawn from like any other rows
+    hashed = learn.withColumn("hash", F.xxhash64("doc_id", "text"))
+    drawn = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
+    sample = hashed.where(drawn < share[F.col("lang")]).dropDuplicates(["doc_id", "lang", "hash"]).drop("hash")
     number = {name: i for i, name in enumerate(names)}
 
     def fit(batches):
@@ -200,7 +202,7 @@ def train_language(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE)
                     buckets = np.concatenate([b[c[i] : c[i + 1]] for b, c in zip(parts, cuts, strict=True)])
                     at, counts = np.unique(buckets, return_counts=True)
                     found.append((ids[first + i], len(at), np.append(at, size), np.append(counts / len(buckets) * idf[at], 1.0), number[marks[first + i]]))
-        found.sort(key=lambda row: row[:2])
+        found.sort(key=lambda row: (*row[:2], row[2].tobytes(), row[4]))
         held = [row for i, row in enumerate(found) if i % 5 == 4]
         rest = [row for i, row in enumerate(found) if i % 5 != 4]
         w, b = fit_ftrl([row[2:4] for row in rest], np.array([row[4] for row in rest], int), size, len(names))

@@ -100,7 +100,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_R
     """Fit on documents with a label, except those whose crc32(doc_id) mod 4 is 2.
 
     About ``max_rows`` labelled ids at most are used, chosen by a hash; the chosen narrow rows are broadcast (so many
-    at most) and meet their texts without a shuffle of the texts. One task trains, and a sparse table of
+    at most) and meet their texts without a shuffle of all texts. Of several rows of one id the text with the smallest
+    hash is learned from, so that the bound holds for rows too. One task trains, and a sparse table of
     weights comes back. Null labels and ids are left out; of several labels of one id the smallest
     counts. Without both labels, the model gives the share of label 1, or 0.5 if there is no label.
     """
@@ -125,7 +126,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_R
             for first, end, buckets, rows in features(batch.column("text")):
                 ids, marks = (batch.column(c).slice(first, end - first).to_pylist() for c in ("doc_id", "quality"))
                 found += [(i, _example(buckets[a:b], size), q) for i, q, a, b in zip(ids, marks, rows[:-1], rows[1:], strict=True)]
-        found.sort(key=lambda row: (row[0], len(row[1][0])))
+        found.sort(key=lambda row: row[0])
         marks = np.array([row[2] for row in found], float)
         if 0 < marks.sum() < len(marks):
             weights, bias = fit_ftrl([row[1] for row in found], marks, size)
@@ -135,7 +136,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_R
         at = np.flatnonzero(weights)
         yield pa.RecordBatch.from_pydict({"at": pa.array([-1, *at.tolist()], pa.int64()), "weight": pa.array([bias, *weights[at].tolist()], pa.float64())})
 
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").repartition(1).mapInArrow(fit, "at long, weight double")
+    one_each = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one_each.select("doc_id", "text", "quality").repartition(1).mapInArrow(fit, "at long, weight double")
     # at most 2**BITS + 1 narrow rows
     table = stored(rows, "quality-weights").toPandas()
     weights, at = np.zeros(size, np.float32), table["at"].to_numpy()
