@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ SHARED_BELOW = 10
 RETAINED = 128
 SHORT_LIST = 32
 BLOCK = 256
+# Sets up to which the pairs that share a value are counted one by one.
+FEW = 32
 # Narrow rows (four longs) that may be broadcast, counted first.
 BROADCAST_ROWS = 200_000
 WORDS = 5
@@ -145,38 +148,111 @@ def _estimate_passes(a: np.ndarray, b: np.ndarray, percent: int, k: int = RETAIN
     return len(np.intersect1d(a[a <= top], b[b <= top], assume_unique=True)) >= estimate_bound(percent, k)
 
 
+def _overlaps(ranks: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """How many values any two of n sets have in common, from the sets' (value, row); the diagonal is of no use.
+
+    Values of one set only are left out. Those of few sets are counted pair by pair, those of many as products of
+    rows of marks, so that the work follows the values that are shared.
+    """
+    row = row[np.argsort(ranks, kind="stable")]
+    counts = np.bincount(ranks)
+    starts = np.cumsum(counts) - counts
+    both = np.zeros(n * n, np.float32)
+    for many in range(2, FEW + 1):
+        here = starts[counts == many]
+        step = max(1, 2_000_000 // many**2)
+        for first in range(0, len(here), step):
+            members = row[here[first : first + step, None] + np.arange(many)]
+            both += np.bincount((members[:, :, None] * n + members[:, None, :]).ravel(), minlength=n * n)
+    both = both.reshape(n, n)
+    frequent = np.flatnonzero(counts > FEW)
+    for first in range(0, len(frequent), 4096):
+        here = frequent[first : first + 4096]
+        marks, spans = np.zeros((n, len(here)), np.float32), counts[here]
+        at = np.repeat(starts[here] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+        marks[row[at], np.repeat(np.arange(len(here)), spans)] = 1
+        both += marks @ marks.T
+    return both
+
+
+def _ranks(sets: list[np.ndarray]) -> np.ndarray:
+    """The place of each value of some sets, one after the other, among all their values."""
+    return np.unique(np.concatenate(sets), return_inverse=True)[1]
+
+
+class _Estimates:
+    """``_estimate_passes`` of one set with many others at a time.
+
+    A value that two sorted sets share, at places p and q of them, is number p + q less the shared ones before it
+    in their union, so that nothing need be merged.
+    """
+
+    def __init__(self, ranks: np.ndarray, row: np.ndarray, sizes: np.ndarray, percent: int) -> None:
+        self.sizes, self.least = np.minimum(sizes, RETAINED), estimate_bound(percent)
+        none = ranks.max(initial=-1) + 1
+        self.table = np.full((len(sizes), RETAINED), none)
+        self.table[row, np.arange(len(row)) - (np.cumsum(self.sizes) - self.sizes)[row]] = ranks
+        self.place = np.full(none + 1, -1)
+
+    def passing(self, i: int, others: np.ndarray) -> np.ndarray:
+        own = self.table[i, : self.sizes[i]]
+        self.place[own] = np.arange(len(own))
+        at = self.place[self.table[others]]
+        self.place[own] = -1
+        shared = at >= 0
+        before = np.cumsum(shared, axis=1) - shared
+        held = (shared & (at + np.arange(RETAINED) - before < RETAINED)).sum(axis=1)
+        union = len(own) + self.sizes[others] - shared.sum(axis=1)
+        return others[(union < RETAINED) | (held >= self.least)]
+
+
 def _block_links(ids: np.ndarray, sets: list[np.ndarray], cut: int, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among ids, and, if cut > 0, only of links between [:cut] and [cut:].
 
-    Overlaps of the retained values choose pairs; of these, those not yet connected are estimated and compared.
+    Overlaps of the retained values choose pairs; of these, those not yet connected are estimated and compared, one
+    set with many others at a time.
     """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
     retained = [s[:RETAINED] for s in sets]
-    values, column = np.unique(np.concatenate(retained), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in retained])
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for first in range(0, len(values), 4096):
-        begin, end = np.searchsorted(column, [first, first + 4096])
-        part = np.zeros((len(sets), min(4096, len(values) - first)), np.float32)
-        part[row[begin:end], column[begin:end] - first] = 1
-        both += part @ part.T
-    sizes = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(n), np.minimum(sizes, RETAINED))
+    ranks = _ranks(retained)
+    both = _overlaps(ranks, row, n)
     least = np.array([overlap_bound(len(s), percent) for s in sets])
     near = np.minimum(sizes[:, None], sizes) * 100 >= np.maximum(sizes[:, None], sizes) * percent
     may = np.triu(near & (both >= np.maximum(least[:, None], least)), 1)
     if cut:
         may[:cut, :cut] = False
         may[cut:, cut:] = False
-    label, links = np.arange(len(sets)), []
-    for i in range(len(sets)):
-        for j in np.flatnonzero(may[i] & (label != label[i])).tolist():
-            if label[i] != label[j] and _estimate_passes(sets[i], sets[j], percent) and _similar(sets[i], sets[j], percent):
+    estimates = _Estimates(ranks, row, sizes, percent)
+    label, links = np.arange(n), []
+    for i in range(n):
+        others = np.flatnonzero(may[i] & (label != label[i]))
+        for j in _similar_ones(sets, i, estimates.passing(i, others), percent) if len(others) else []:
+            if label[i] != label[j]:
                 label[label == label[j]] = label[i]
                 links.append((int(ids[i]), int(ids[j])))
     return links
 
 
+def _similar_ones(sets: list[np.ndarray], i: int, others: np.ndarray, percent: int) -> Iterator[int]:
+    """Those of ``others`` whose whole set is similar to that of i; at most some million values are laid side by side."""
+    own = sets[i]
+    step = max(1, 2_000_000 // max(1, len(own)))
+    for first in range(0, len(others), step):
+        some = others[first : first + step]
+        values, sizes = np.concatenate([sets[j] for j in some]), np.array([len(sets[j]) for j in some])
+        # equal values meet in a table of the lowest bits first; few are left for the search
+        bits = max(10, int(len(own)).bit_length() + 4)
+        low = np.uint64((1 << bits) - 1)
+        marked = np.zeros(1 << bits, bool)
+        marked[own & low] = True
+        left = np.flatnonzero(marked[values & low])
+        at = np.minimum(np.searchsorted(own, values[left]), len(own) - 1)
+        hits = left[own[at] == values[left]]
+        shared = np.bincount(np.searchsorted(np.cumsum(sizes), hits, side="right"), minlength=len(some))
+        yield from some[shared * 100 >= percent * (len(own) + sizes - shared)].tolist()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one per row of ``docs``.
 

@@ -236,3 +236,25 @@ def test_products_are_exact_for_all_finite_components(spark, size, more):
     if not more:
         assert max(abs(w[3]) for w in want) > 1 << 53
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize(("n", "common", "cut"), [(90, 20, 0), (90, 118, 40), (60, 300, 0), (2, 5, 1), (1, 5, 0)])
+def test_block_links_connect_what_pairs_one_by_one_connect(n, common, cut):
+    draw = np.random.default_rng(n + common)
+    make = lambda size: draw.integers(0, 1 << 63, size).astype(np.uint64)
+    # low values are in every sketch, as of a passage that all share; every other set is a copy with changes
+    passage, bases = make(common) // np.uint64(1000), [make(300) for _ in range(4)]
+    own = [make(draw.integers(1, 300)) if i % 2 else (b := bases[draw.integers(4)])[draw.random(300) < 0.93] for i in range(n)]
+    sets = [np.unique(np.concatenate([passage, x])) for x in own]
+
+    def groups(links):
+        label = list(range(n))
+        for a, b in links:
+            label = [label[a] if x == label[b] else x for x in label]
+        return [label.index(x) for x in label]
+
+    sides = [(i, j) for i in range(n) for j in range(i + 1, n) if not cut or (i < cut <= j)]
+    both = [(i, j) for i, j in sides if near_dups._estimate_passes(sets[i], sets[j], 85) and near_dups._similar(sets[i], sets[j], 85)]
+    links = near_dups._block_links(np.arange(n), sets, cut, 85)
+    assert set(links) <= set(both) and groups(links) == groups(both)
+    assert n < 60 or both
