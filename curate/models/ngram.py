@@ -1,24 +1,26 @@
 """N-gram text classifier: a dictionary of words, hashed n-grams, averaged vectors and a softmax over two labels.
 
-Features are computed once and written, with every sample dealt to one of ``ROUNDS`` mini-batches. A round is one Spark job
-for all languages and all settings: tasks sum gradients over their samples, Spark adds up the sums by model and block
-of features, and the driver updates the models. As the output layer is linear in a sample's averaged vector, a task
-needs only one number per feature, its vector's product with the output weights, and the gradient is one number per
-feature as well: the vectors themselves (features x dim) never travel.
+Features are computed once and written, with every sample dealt to one of ``ROUNDS`` mini-batches. They are cut into blocks by
+feature: a block of words or places for n-grams lies on one executor with its dictionary, its vectors and its part of all
+samples. A round is two Spark jobs for all languages and all settings. In the first one every block sums the products of its
+vectors with the output weights by sample, and Spark adds up the sums of blocks; in the second one the errors of the samples
+are sent to the blocks, which move their vectors. What travels is one number per sample of the mini-batch: dictionaries,
+vectors and gradients (features x dim) never reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curate.operators.metrics import classifier_metrics
-from curate.session import scratch_path, settle
+from curate.session import cut_lineage, scratch_path
 
 # Longest n-gram, and the language whose setting differs and which is not tuned.
 NGRAMS = 2
@@ -39,17 +41,23 @@ BASES = (1_000_003, 92_821)
 STEP = 48_271
 
 ROUNDS = 8
-# Features whose gradients are added up in one piece.
+# Values that are sent, stored or added up in one piece.
 BLOCK = 1 << 18
-# Words of all dictionaries together that may be held, 16 bytes each on executors and 8 * dim more on the driver.
+# Words of all dictionaries together; scoring holds 16 bytes a word on executors.
 MAX_WORDS = 50_000_000
+# Characters of text whose features make a block, and blocks per core at most; cut texts that tell where blocks of words end.
+BLOCK_TEXT = 1 << 23
+BLOCKS_PER_CORE = 4
+CUT_ROWS, CUT_TEXT = 400, 2000
+# Features that a task holds before it writes them by blocks.
+HELD_FEATURES = 1 << 21
+# Rounds after which the state is written to the shared folder.
+CUT_ROUNDS = 20
 # Decimals of probabilities, beyond which they depend on the order of additions.
 PROBABILITY_DECIMALS = 12
 # Characters that are hashed at a time.
 SLICE = 1 << 18
 
-_SUMS = "model int, block int, n long, places binary, sums binary"
-
 
 @dataclass(frozen=True)
 class Setting:
@@ -135,23 +143,56 @@ def initial_vectors(first: int, n: int, dim: int) -> np.ndarray:
     return (spread / 1001.0 - 1) / dim
 
 
-@dataclass
 class NgramClassifier:
     """A fitted classifier.
 
     Places 0 to ``buckets - 1`` are those of n-grams, then come the words of the sorted dictionary. The output weights of
-    the two labels differ by their sign only, as they start from zero.
+    the two labels differ by their sign only, as they start from zero. Words and vectors are arrays, or lie in slices in the
+    folder ``stored``, from where they are read when asked for; scoring reads words and one number per place.
     """
 
-    longest: int
-    setting: Setting
-    words: np.ndarray  # sorted keys
-    vectors: np.ndarray  # places x dim
-    output: np.ndarray  # dim, of the positive label
+    def __init__(
+        self, longest: int, setting: Setting, words: np.ndarray | None = None, vectors: np.ndarray | None = None, output: np.ndarray | None = None, stored: str | None = None
+    ) -> None:
+        self.longest, self.setting, self.output, self.stored = longest, setting, output, stored
+        self._words, self._vectors, self._margins = words, vectors, None
+
+    @property
+    def words(self) -> np.ndarray:  # sorted keys
+        if self._words is None:
+            self._words = _joined(self.slices().where("part = 'words'"), "<i8")
+        return self._words
+
+    @property
+    def vectors(self) -> np.ndarray:  # places x dim
+        if self._vectors is None:
+            self._vectors = _joined(self.slices().where("part = 'vectors'"), "<f8").reshape(-1, self.setting.dim)
+        return self._vectors
+
+    def slices(self) -> DataFrame:
+        """Rows (part, at, data): sorted words and vectors, each from a place on, and the output weights."""
+        spark = SparkSession.active()
+        if self.stored:
+            return spark.read.schema(_PARTS).parquet(self.stored)
+        parts = [("words", at, self.words[at : at + BLOCK].astype("<i8").tobytes()) for at in range(0, len(self.words), BLOCK)]
+        parts += [("vectors", at, self.vectors[at : at + BLOCK].astype("<f8").tobytes()) for at in range(0, len(self.vectors), BLOCK)]
+        return spark.createDataFrame(parts, _PARTS)
 
     def margins(self) -> np.ndarray:
         """What each feature adds to the log-odds of the positive label before the average."""
-        return self.vectors @ (2 * self.output)
+        if self._margins is None:
+            weights, dim = 2 * self.output, self.setting.dim
+
+            def run(batches):
+                for batch in batches:
+                    found = [(np.frombuffer(data.as_py(), "<f8").reshape(-1, dim) @ weights).astype("<f8").tobytes() for data in batch.column("data")]
+                    yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(found, pa.binary())], names=["at", "data"])
+
+            if self.stored:
+                self._margins = _joined(self.slices().where("part = 'vectors'").select("at", "data").mapInArrow(run, "at long, data binary"), "<f8")
+            else:
+                self._margins = self.vectors @ weights
+        return self._margins
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Add ``scores``, the probability of each label; one column function, no shuffle.
@@ -166,25 +207,27 @@ class NgramClassifier:
     def save(self, path: str) -> None:
         """Write the model; an error if something is there already."""
         spark = SparkSession.active()
-        parts = [("words", at, self.words[at : at + BLOCK].astype("<i8").tobytes()) for at in range(0, len(self.words), BLOCK)]
-        parts += [("vectors", at, self.vectors[at : at + BLOCK].astype("<f8").tobytes()) for at in range(0, len(self.vectors), BLOCK)]
-        parts += [("output", 0, self.output.astype("<f8").tobytes())]
         s = self.setting
         spark.createDataFrame([(self.longest, s.dim, float(s.rate), s.epochs, s.buckets, s.min_count)], _SETTINGS).coalesce(1).write.parquet(f"{path}/settings")
-        spark.createDataFrame(parts, "part string, at long, data binary").write.parquet(f"{path}/parts")
+        output = spark.createDataFrame([("output", 0, self.output.astype("<f8").tobytes())], _PARTS)
+        self.slices().where("part <> 'output'").unionByName(output).write.parquet(f"{path}/parts")
 
     @classmethod
     def load(cls, path: str) -> NgramClassifier:
         spark = SparkSession.active()
         longest, *rest = spark.read.parquet(f"{path}/settings").first()
-        setting = Setting(*rest)
-        parts: dict[str, list[bytes]] = {"words": [], "vectors": [], "output": []}
-        for row in spark.read.parquet(f"{path}/parts").orderBy("part", "at").collect():  # one model
-            parts[row["part"]].append(bytes(row["data"]))
-        words, vectors, output = (np.frombuffer(b"".join(parts[k]), t).copy() for k, t in (("words", "<i8"), ("vectors", "<f8"), ("output", "<f8")))
-        return cls(longest, setting, words, vectors.reshape(-1, setting.dim), output)
+        stored = f"{path}/parts"
+        output = _joined(spark.read.parquet(stored).where("part = 'output'"), "<f8")
+        return cls(longest, Setting(*rest), output=output, stored=stored)
 
 
+def _joined(slices: DataFrame, kind: str) -> np.ndarray:
+    """The values of slices (at, data) in order, of one model."""
+    rows = slices.select("at", "data").toArrow().sort_by("at")
+    return np.frombuffer(b"".join(data.as_py() for data in rows.column("data")), kind).copy()
+
+
+_PARTS = "part string, at long, data binary"
 _SETTINGS = "longest int, dim int, rate double, epochs int, buckets int, min_count int"
 
 
@@ -234,155 +277,305 @@ def probabilities(words, word_bounds, grams, gram_bounds, known: np.ndarray, mar
     return _sigmoid(_log_odds(places, rows, len(word_bounds) - 1, margins)[0])
 
 
-def _feature_table(samples: DataFrame, names: list[str], longest: dict[str, int], rounds: int) -> DataFrame:
-    """Rows (model, part, label, words, grams), written once; a sample's part follows its text."""
-    number = {name: i for i, name in enumerate(names)}
+def _own(block: int) -> int:
+    """Where a block of features lives; the same for features and models, so that they meet without a shuffle."""
+    return block
+
+
+def _sliced(values: np.ndarray) -> Iterator[slice]:
+    return (slice(at, at + BLOCK) for at in range(0, len(values), BLOCK))
+
+
+class _Layout:
+    """How the features of some models are cut into blocks: words by ranges of their keys, n-grams by ranges of their places."""
+
+    def __init__(self, bounds: np.ndarray, buckets: list[list[int]]):
+        self.bounds, self.buckets, self.blocks = bounds, buckets, len(bounds) + 1
+
+    def of_words(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, keys, side="right")
+
+    def of_places(self, places: np.ndarray, buckets: int) -> np.ndarray:
+        return places * self.blocks // buckets
+
+    def places(self, block: int, buckets: int) -> tuple[int, int]:
+        return -(-block * buckets // self.blocks), -(-(block + 1) * buckets // self.blocks)
+
+
+def _layout(samples: DataFrame, buckets: list[list[int]]) -> _Layout:
+    """Blocks of about ``BLOCK_TEXT`` characters of text; some texts tell where to cut keys, which changes no model."""
+    cores = samples.sparkSession.sparkContext.defaultParallelism
+    size = samples.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = int(min(max(cores, size // BLOCK_TEXT), BLOCKS_PER_CORE * cores))
+    some = samples.select(F.substring("text", 1, CUT_TEXT).alias("text"), F.xxhash64("text").alias("_hash")).orderBy("_hash").limit(CUT_ROWS)
+    keys = np.sort(text_features([row["text"] for row in some.collect()], 1)[0])  # at most CUT_ROWS cut texts
+    at = np.arange(1, blocks) * len(keys) // blocks
+    return _Layout(keys[at] if len(keys) else np.arange(1, blocks, dtype=np.int64), buckets)
+
+
+_PIECE = "model int, part int, kind int, block int, chunk int, samples binary, data binary"
+# Kinds of rows: labels of samples (``block`` is the number of the first one), words, and n-grams by the number of their places.
+_LABELS, _WORDS = 0, -1
+
+
+def _feature_table(samples: DataFrame, names: list[str], longest: dict[str, int], rounds: int, layout: _Layout) -> DataFrame:
+    """Labels, words and n-grams by model, part and block, written once; a sample's part follows its text.
+
+    Samples of a model and part are numbered within the task (``chunk``) that reads them.
+    """
     lengths = [longest[name] for name in names]
 
+    def pieces(pending: dict, seen: dict) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId()
+        rows: list[tuple] = []
+        for (model, part), runs in pending.items():
+            labels, *lists = (np.concatenate(x) for x in zip(*runs, strict=True))
+            rows.append((model, part, _LABELS, seen[model, part] - len(labels), chunk, b"", labels.astype("<f4").tobytes()))
+            word_rows, words, gram_rows, grams = lists
+            kinds = [(_WORDS, layout.of_words(words), word_rows, words)]
+            for buckets in layout.buckets[model]:
+                places = grams % buckets
+                kinds.append((buckets, layout.of_places(places, buckets), gram_rows, places))
+            for kind, block, numbers, values in kinds:
+                order = np.argsort(block, kind="stable")
+                cuts = np.searchsorted(block[order], np.arange(layout.blocks + 1))
+                for b in np.flatnonzero(np.diff(cuts)):
+                    pick = order[cuts[b] : cuts[b + 1]]
+                    rows.append((model, part, kind, int(b), chunk, numbers[pick].astype("<i4").tobytes(), values[pick].astype("<i8").tobytes()))
+        pending.clear()
+        columns = [field.split()[0] for field in _PIECE.split(", ")]
+        types = [pa.int32()] * 5 + [pa.binary()] * 2
+        for at in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 256], strict=True), types, strict=True)], names=columns)
+
     def run(batches):
+        pending: dict[tuple[int, int], list] = {}
+        seen: dict[tuple[int, int], int] = {}
+        held = 0
         for batch in batches:
-            texts = batch.column("text")
-            models = batch.column("model").to_numpy(zero_copy_only=False)
+            models, parts, labels = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("model", "part", "label"))
             at = 0
-            for some in _slices(texts):
-                mine = models[at : at + len(some)]
-                words, grams = [None] * len(some), [None] * len(some)
-                for n in {lengths[m] for m in mine}:
-                    pick = [i for i, m in enumerate(mine) if lengths[m] == n]
-                    w, wb, g, gb = text_features([some[i] for i in pick], n)
-                    for k, i in enumerate(pick):
-                        words[i], grams[i] = w[wb[k] : wb[k + 1]], g[gb[k] : gb[k + 1]]
-                part = batch.slice(at, len(some))
-                columns = [part.column("model"), part.column("part"), part.column("label")]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(words, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))], names=["model", "part", "label", "words", "grams"]
-                )
+            for some in _slices(batch.column("text")):
+                here = slice(at, at + len(some))
                 at += len(some)
+                for model, part in sorted(set(zip(models[here].tolist(), parts[here].tolist(), strict=True))):
+                    pick = np.flatnonzero((models[here] == model) & (parts[here] == part))
+                    words, word_bounds, grams, gram_bounds = text_features([some[i] for i in pick], lengths[model])
+                    first = seen.get((model, part), 0)
+                    seen[model, part] = first + len(pick)
+                    numbers = np.arange(first, first + len(pick), dtype=np.int32)
+                    run = (labels[here][pick].astype(float), np.repeat(numbers, np.diff(word_bounds)), words, np.repeat(numbers, np.diff(gram_bounds)), grams)
+                    pending.setdefault((model, part), []).append(run)
+                    held += len(words) + len(grams)
+                if held >= HELD_FEATURES:
+                    yield from pieces(pending, seen)
+                    held = 0
+        yield from pieces(pending, seen)
 
-    model = F.element_at(F.create_map(*(x for n, i in number.items() for x in (F.lit(n), F.lit(i)))), F.col("_name"))
-    part = F.pmod(F.xxhash64("text"), F.lit(rounds)).cast("int").alias("part")
-    label = (F.col("label") == "positive").cast("int").alias("label")
-    known = samples.where(F.col("_name").isin(names)).select(model.cast("int").alias("model"), part, label, "text")
     # texts are dealt evenly, whatever files they came from
-    dealt = known.repartition(known.sparkSession.sparkContext.defaultParallelism)
+    dealt = samples.repartition(samples.sparkSession.sparkContext.defaultParallelism)
     path = scratch_path(samples.sparkSession, "features")
-    dealt.mapInArrow(run, "model int, part int, label int, words array<long>, grams array<long>").write.partitionBy("part").parquet(path)
+    dealt.mapInArrow(run, _PIECE).write.partitionBy("part").parquet(path)
     return samples.sparkSession.read.parquet(path)
 
 
-def _dictionaries(table: DataFrame, models: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per model, sorted word keys and their counts; an error if there are too many."""
-    counts = table.select("model", F.explode("words").alias("word")).groupBy("model", "word").agg(F.count("*").alias("n"))
-    counts = settle(counts.where(F.col("n") >= least))
-    if counts.count() > MAX_WORDS:
-        raise ValueError(f"more than {MAX_WORDS} words: raise min_count")
-    found = counts.toArrow()
-    model, word, n = (found[c].to_numpy() for c in ("model", "word", "n"))
-    order = np.lexsort((word, model))
-    bounds = np.searchsorted(model[order], np.arange(models + 1))
-    return [(word[order[s:e]], n[order[s:e]]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+def _add_counts(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their summed counts."""
+    keys, at = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in some]), len(keys)).astype(np.int64)
+
+
+def _dictionaries(table: DataFrame, layout: _Layout, least: list[int]) -> RDD:
+    """Per block one element: for every model the sorted keys that come often enough, and their counts."""
+
+    def count(rows):
+        found: dict[int, list] = {}
+        fresh = 0
+        for _, (model, data) in rows:
+            words = np.frombuffer(data, "<i8")
+            found.setdefault(model, []).append((words, np.ones(len(words), np.int64)))
+            fresh += len(words)
+            if fresh >= HELD_FEATURES:
+                found, fresh = {m: [_add_counts(some)] for m, some in found.items()}, 0
+        counted = {m: _add_counts(some) for m, some in found.items()}
+        yield "words", {m: (keys[n >= least[m]], n[n >= least[m]]) for m, (keys, n) in counted.items()}
+
+    rows = table.where(F.col("kind") == _WORDS).select("block", "model", "data").rdd.map(lambda r: (r[0], (r[1], bytes(r[2]))))
+    return rows.partitionBy(layout.blocks, _own).mapPartitions(count, True).persist(StorageLevel.DISK_ONLY)
+
+
+def _part_features(table: DataFrame, part: int, layout: _Layout, words: RDD, starts: dict[tuple[int, int, int], int]) -> RDD:
+    """The features of a mini-batch beside their blocks: model, kind, numbers of samples, places within the block."""
+
+    def place(block, elements):
+        dictionary: dict = {}
+        held: dict[tuple[int, int], list] = {}
+        sizes: dict[tuple[int, int], int] = {}
+        for name, value in elements:
+            if name == "words":
+                dictionary = value
+                continue
+            model, kind, chunk, samples, data = value
+            numbers = np.frombuffer(samples, "<i4") + np.int32(starts[model, part, chunk])
+            values = np.frombuffer(data, "<i8")
+            if kind == _WORDS:
+                keys = dictionary.get(model, (np.zeros(0, np.int64),))[0]
+                at = np.searchsorted(keys, values)
+                real = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == values) if len(keys) else np.zeros(0, np.int64)
+                numbers, at = numbers[real], at[real]
+            else:
+                at = values - layout.places(block, kind)[0]
+            key = (model, kind)
+            held.setdefault(key, []).append((numbers, at.astype(np.int32)))
+            sizes[key] = sizes.get(key, 0) + len(at)
+            if sizes[key] >= BLOCK:
+                yield "part", (*key, *(np.concatenate(x) for x in zip(*held.pop(key), strict=True)))
+                del sizes[key]
+        for key, some in held.items():
+            yield "part", (*key, *(np.concatenate(x) for x in zip(*some, strict=True)))
+
+    rows = table.where((F.col("part") == part) & (F.col("kind") != _LABELS)).select("block", "model", "kind", "chunk", "samples", "data").rdd
+    dealt = rows.map(lambda r: (r[0], (r[1], r[2], r[3], bytes(r[4]), bytes(r[5])))).partitionBy(layout.blocks, _own)
+    both = words.union(dealt)
+    return both.mapPartitionsWithIndex(place, True).persist(StorageLevel.DISK_ONLY)
 
 
+@dataclass
 class _Job:
-    """One model in training: a language and a setting."""
-
-    def __init__(self, model: int, setting: Setting, dictionary: tuple[np.ndarray, np.ndarray]):
-        words, counts = dictionary
-        self.model, self.setting = model, setting
-        self.words = words[counts >= setting.min_count]
-        self.size = setting.buckets + len(self.words)
-        self.vectors = initial_vectors(0, self.size, setting.dim)
-        self.output = np.zeros(setting.dim)
-        self.margins = np.zeros(self.size)
-        self.step = 0
-
-    def update(self, sums: dict[int, np.ndarray], n: int, rounds: int) -> None:
-        """One step against the summed gradient of ``n`` samples; the rate falls to zero over all rounds."""
-        rate = self.setting.rate * (1 - self.step / (self.setting.epochs * rounds)) / max(n, 1)
-        self.step += 1
-        if not n:
-            return
-        slope = np.zeros(self.setting.dim)
-        for block, c in sums.items():
-            mine = self.vectors[block * BLOCK : block * BLOCK + len(c)]
-            slope += c @ mine
-            mine -= np.outer(rate * c, 2 * self.output)
-        self.output = self.output - rate * slope
-        self.margins = self.vectors @ (2 * self.output)
-
-
-def _round(table: DataFrame, jobs: list[_Job], dictionaries) -> dict[int, tuple[int, dict[int, np.ndarray]]]:
-    """Samples and summed gradients of every model over one mini-batch of the written features."""
-    of_model: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-    for i, job in enumerate(jobs):
-        of_model.setdefault(job.model, []).append((i, job.setting.buckets, job.setting.min_count, job.margins))
-    shared = table.sparkSession.sparkContext.broadcast(of_model)
+    """One model in training: a language and a setting. Its vectors are on executors, by blocks of features."""
 
-    def run(batches):
-        totals: dict[int, tuple[int, np.ndarray]] = {}
-        for batch in batches:
-            models = batch.column("model").to_numpy(zero_copy_only=False)
-            for model in np.unique(models):
-                mine = batch.take(pa.array(np.flatnonzero(models == model)))
-                labels = mine.column("label").to_numpy(zero_copy_only=False)
-                features = []
-                for name in ("words", "grams"):
-                    lists = mine.column(name)
-                    features += [lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])]
-                all_words, counts = dictionaries.value[int(model)]
-                for job, buckets, least, margins in shared.value.get(int(model), ()):
-                    known = all_words[counts >= least]
-                    places, rows = _places(*features, known, buckets)
-                    odds, n = _log_odds(places, rows, len(labels), margins)
-                    share = (_sigmoid(odds) - labels) / np.maximum(n, 1)
-                    seen, total = totals.setdefault(job, (0, np.zeros(len(margins))))
-                    total += np.bincount(places, share[rows], len(total))
-                    totals[job] = seen + len(labels), total
-        for job, (seen, total) in totals.items():
-            yield from _pieces(job, seen, total, True)
-
-    def add(batches):
-        sums: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                entry = sums.setdefault((row["model"], row["block"]), [0, np.zeros(BLOCK)])
-                entry[0] += row["n"]
-                entry[1][np.frombuffer(row["places"], "<i4")] += np.frombuffer(row["sums"])
-        for (job, block), (seen, total) in sums.items():
-            yield _piece(job, block, seen, total)
-
-    parts = table.mapInArrow(run, _SUMS).repartition("model", "block").mapInArrow(add, _SUMS)
-    found: dict[int, tuple[int, dict[int, np.ndarray]]] = {}
-    for row in parts.toArrow().to_pylist():  # one row per model and block
-        job = jobs[row["model"]]
-        seen, blocks = found.setdefault(row["model"], (0, {}))
-        dense = np.zeros(min(BLOCK, job.size - row["block"] * BLOCK))
-        dense[np.frombuffer(row["places"], "<i4")] = np.frombuffer(row["sums"])
-        blocks[row["block"]] = dense
-        # the first block of every model is always there and counts its samples
-        found[row["model"]] = (row["n"] if row["block"] == 0 else seen, blocks)
-    shared.unpersist()
-    return found
+    model: int
+    setting: Setting
+    output: np.ndarray
+    step: int = 0
 
 
-def _piece(job: int, block: int, seen: int, total: np.ndarray) -> pa.RecordBatch:
-    places = np.flatnonzero(total)
-    return pa.RecordBatch.from_pydict(
-        {
-            "model": pa.array([job], pa.int32()),
-            "block": pa.array([block], pa.int32()),
-            "n": [seen],
-            "places": [places.astype("<i4").tobytes()],
-            "sums": [total[places].tobytes()],
-        }
-    )
+def _start(words: RDD, jobs: list[_Job], layout: _Layout, firsts: np.ndarray) -> RDD:
+    """Per block one element with the start vectors of every job: those of its words, and of its places for n-grams.
+
+    ``firsts`` has how many words each job knows before each block.
+    """
+    plans = [(job.model, job.setting) for job in jobs]
+
+    def begin(block, elements):
+        [(_, dictionary)] = elements
+        state = []
+        for i, (model, s) in enumerate(plans):
+            counts = dictionary.get(model, (None, np.zeros(0, np.int64)))[1]
+            known = counts >= s.min_count
+            vectors = np.zeros((len(counts), s.dim))
+            vectors[known] = initial_vectors(s.buckets + int(firsts[block][i]), int(known.sum()), s.dim)
+            low, high = layout.places(block, s.buckets)
+            state.append((known, vectors, initial_vectors(low, high - low, s.dim)))
+        yield "state", state
+
+    return words.mapPartitionsWithIndex(begin, True).persist(StorageLevel.DISK_ONLY)
+
+
+def _sums_of_samples(state: RDD, features: RDD, jobs: dict[int, _Job], sizes: dict[int, int], counted: bool) -> dict[int, np.ndarray]:
+    """Per job the summed margins of every sample of a mini-batch and, if asked for, how many features it has."""
+    weights = {i: (job.model, job.setting.buckets, 2 * job.output, sizes.get(job.model, 0)) for i, job in jobs.items()}
+    rows = 2 if counted else 1
+
+    def add(elements):
+        totals = {i: np.zeros((rows, n)) for i, (_, _, _, n) in weights.items()}
+        margins, known = {}, {}
+        for name, value in elements:
+            if name == "state":
+                for i, (model, buckets, w, _) in weights.items():
+                    known[i, _WORDS], margins[i, _WORDS] = value[i][0], value[i][1] @ w
+                    margins[i, buckets] = value[i][2] @ w
+                continue
+            if name == "slopes":
+                continue
+            model, kind, numbers, at = value
+            for i, (of, buckets, _, n) in weights.items():
+                if of != model or kind not in (_WORDS, buckets):
+                    continue
+                totals[i][0] += np.bincount(numbers, margins[i, kind][at], n)
+                if counted:
+                    totals[i][1] += np.bincount(numbers, known[i, kind][at] if kind == _WORDS else None, n)
+        for i, total in totals.items():
+            for here in _sliced(total[0]):
+                yield (i, here.start), total[:, here]
+
+    summed = state.union(features).mapPartitions(add).reduceByKey(np.add, state.getNumPartitions())
+    found = {i: np.zeros((rows, n)) for i, (_, _, _, n) in weights.items()}
+    for (i, first), total in summed.collect():  # a number per sample of one mini-batch
+        found[i][:, first : first + total.shape[1]] = total
+    return found
 
 
-def _pieces(job: int, seen: int, total: np.ndarray, first: bool) -> Iterator[pa.RecordBatch]:
-    for block in range(-(-len(total) // BLOCK)):
-        part = total[block * BLOCK : (block + 1) * BLOCK]
-        if block == 0 or part.any():
-            yield _piece(job, block, seen if block == 0 else 0, part)
+def _step(state: RDD, features: RDD, moves: dict[int, tuple[int, int, float, np.ndarray, np.ndarray]], cut: bool) -> tuple[RDD, dict[int, np.ndarray]]:
+    """The next state, and per job the gradient of its output weights.
+
+    ``moves`` has per job its model, places for n-grams, rate, output weights and the shared-out error of every sample.
+    """
+    shared = state.context.broadcast(moves)
+
+    def move(elements):
+        gradients: dict[tuple[int, int], np.ndarray] = {}
+        current = None
+        for name, value in elements:
+            if name == "state":
+                current = value
+                continue
+            if name == "slopes":
+                continue
+            model, kind, numbers, at = value
+            for i, (of, buckets, _, _, errors) in shared.value.items():
+                if of != model or kind not in (_WORDS, buckets):
+                    continue
+                vectors = current[i][1 if kind == _WORDS else 2]
+                total = gradients.setdefault((i, kind), np.zeros(len(vectors)))
+                total += np.bincount(at, errors[numbers], len(vectors))
+        slopes = {}
+        for (i, kind), c in gradients.items():
+            _, _, rate, output, _ = shared.value[i]
+            known, words, grams = current[i]
+            if kind == _WORDS:
+                c = np.where(known, c, 0.0)
+            vectors = words if kind == _WORDS else grams
+            slopes[i] = slopes.get(i, 0) + c @ vectors
+            moved = vectors - np.outer(rate * c, 2 * output)
+            current[i] = (known, moved, grams) if kind == _WORDS else (known, words, moved)
+        yield "state", current
+        yield "slopes", slopes
+
+    both = state.union(features).mapPartitions(move, True).persist(StorageLevel.DISK_ONLY)
+    if cut:
+        cut_lineage(both)
+    slopes: dict[int, np.ndarray] = {}
+    for _, some in both.filter(lambda element: element[0] == "slopes").collect():  # dim numbers per block and job
+        for i, slope in some.items():
+            slopes[i] = slopes.get(i, 0) + slope
+    shared.unpersist()
+    return both, slopes
+
+
+def _stored(state: RDD, words: RDD, jobs: list[_Job], layout: _Layout, firsts: np.ndarray) -> str:
+    """A folder with a part ``job=i`` for every job: slices of its sorted words and of its vectors, by their places."""
+    plans = [(job.model, job.setting.buckets) for job in jobs]
+
+    def rows(block, elements):
+        found = dict(elements)
+        for i, (model, buckets) in enumerate(plans):
+            known, of_words, of_grams = found["state"][i]
+            keys = found["words"].get(model, (np.zeros(0, np.int64),))[0][known]
+            first = int(firsts[block][i])
+            for part, start, values, kind in (
+                ("words", first, keys, "<i8"),
+                ("vectors", buckets + first, of_words[known], "<f8"),
+                ("vectors", layout.places(block, buckets)[0], of_grams, "<f8"),
+            ):
+                for here in _sliced(values):
+                    yield i, part, start + here.start, values[here].astype(kind).tobytes()
+
+    spark = SparkSession.active()
+    path = scratch_path(spark, "ngrams-trained")
+    table = spark.createDataFrame(words.union(state).mapPartitionsWithIndex(rows), f"job int, {_PARTS}", verifySchema=False)
+    table.write.partitionBy("job").parquet(path)
+    return path
 
 
 def fit_all(
@@ -390,31 +583,74 @@ def fit_all(
 ) -> dict[str | None, list[NgramClassifier]]:
     """For every value of ``by`` (or None), a classifier for each of its settings, on samples (label, text).
 
-    All of them train in the same jobs: one to write features, one to count words, and one for each round of each epoch,
+    All of them train in the same jobs: some to write features and count words, and two for each round of each epoch,
     whatever the number of models. A model is the same whichever others are trained beside it, as its mini-batches follow
     its texts alone. Samples with a null text count as empty.
     """
     names = sorted(settings, key=str)
+    known = [str(name) for name in names]
+    number = F.element_at(F.create_map(*(x for i, n in enumerate(known) for x in (F.lit(n), F.lit(i)))), F.col("_name"))
     group = F.col(by).cast("string") if by else F.lit("None")
-    samples = train.select(group.alias("_name"), "label", F.coalesce("text", F.lit("")).alias("text"))
-    longest = {str(name): ngrams_for(name) for name in names}
-    table = _feature_table(samples, [str(n) for n in names], longest, rounds)
-    least = min(s.min_count for some in settings.values() for s in some)
-    found = _dictionaries(table, len(names), least)
-    dictionaries = table.sparkSession.sparkContext.broadcast(found)
-    jobs = [_Job(i, setting, found[i]) for i, name in enumerate(names) for setting in settings[name]]
+    named = train.select(group.alias("_name"), "label", F.coalesce("text", F.lit("")).alias("text")).where(F.col("_name").isin(known))
+    part = F.pmod(F.xxhash64("text"), F.lit(rounds)).cast("int").alias("part")
+    samples = named.select(number.cast("int").alias("model"), part, (F.col("label") == "positive").cast("int").alias("label"), "text")
+    layout = _layout(samples, [sorted({s.buckets for s in settings[name]}) for name in names])
+    table = _feature_table(samples, known, {str(name): ngrams_for(name) for name in names}, rounds, layout)
+
+    # labels of all samples, a number each, and where the samples of each task begin in their mini-batch
+    labels: dict[tuple[int, int], list[np.ndarray]] = {}
+    starts: dict[tuple[int, int, int], int] = {}
+    for row in sorted(table.where(F.col("kind") == _LABELS).select("model", "part", "chunk", "block", "data").collect()):
+        here = labels.setdefault((row["model"], row["part"]), [])
+        starts.setdefault((row["model"], row["part"], row["chunk"]), sum(map(len, here)))
+        here.append(np.frombuffer(row["data"], "<f4").astype(float))
+    actual = {key: np.concatenate(some) for key, some in labels.items()}
+
+    jobs = [_Job(i, setting, np.zeros(setting.dim)) for i, name in enumerate(names) for setting in settings[name]]
+    words = _dictionaries(table, layout, [min(s.min_count for some in settings.values() for s in some)] * len(names))
+    plans = [(job.model, job.setting.min_count) for job in jobs]
+
+    def count(element):
+        sizes = {model: n for model, (_, n) in element[1].items()}
+        return sum(map(len, sizes.values())), [int((sizes[m] >= least).sum()) if m in sizes else 0 for m, least in plans]
+
+    sizes = words.map(count).collect()  # as many numbers as there are jobs for each block
+    if sum(n for n, _ in sizes) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} words: raise min_count")
+    firsts = np.cumsum([[0] * len(jobs), *(of for _, of in sizes)], axis=0)
+    state = _start(words, jobs, layout, firsts)
+    batches = [_part_features(table, i, layout, words, starts) for i in range(rounds)]
+    counts: dict[tuple[int, int], np.ndarray] = {}
+    turn = 0
     for epoch in range(max(job.setting.epochs for job in jobs)):
-        for part in np.random.default_rng(epoch).permutation(rounds):
-            active = [job for job in jobs if epoch < job.setting.epochs]
-            sums = _round(table.where(F.col("part") == int(part)).drop("part"), active, dictionaries)
-            for i, job in enumerate(active):
-                seen, blocks = sums.get(i, (0, {}))
-                job.update(blocks, seen, rounds)
-    dictionaries.unpersist()
+        for part in np.random.default_rng(epoch).permutation(rounds).tolist():
+            active = {i: job for i, job in enumerate(jobs) if epoch < job.setting.epochs}
+            samples_of = {model: len(mine) for (model, of), mine in actual.items() if of == part}
+            sums = _sums_of_samples(state, batches[part], active, samples_of, epoch == 0)
+            moves = {}
+            for i, job in active.items():
+                if epoch == 0:
+                    counts[i, part] = sums[i][1].astype(np.int32)
+                s, n = job.setting, samples_of.get(job.model, 0)
+                rate = s.rate * (1 - job.step / (s.epochs * rounds)) / max(n, 1)
+                job.step += 1
+                if n:
+                    seen = np.maximum(counts[i, part], 1)
+                    errors = (_sigmoid(sums[i][0] / seen) - actual[job.model, part]) / seen
+                    moves[i] = (job.model, s.buckets, rate, job.output, errors)
+            turn += 1
+            following, slopes = _step(state, batches[part], moves, turn % CUT_ROUNDS == 0)
+            state.unpersist()
+            state = following
+            for i, (_, _, rate, output, _) in moves.items():
+                jobs[i].output = output - rate * slopes.get(i, 0)
+    path = _stored(state, words, jobs, layout, firsts)
+    for rdd in (state, words, *batches):
+        rdd.unpersist()
     models: dict[str | None, list[NgramClassifier]] = {name: [] for name in names}
-    for job in jobs:
+    for i, job in enumerate(jobs):
         name = names[job.model]
-        models[name].append(NgramClassifier(ngrams_for(name), job.setting, job.words, job.vectors, job.output))
+        models[name].append(NgramClassifier(ngrams_for(name), job.setting, output=job.output, stored=f"{path}/job={i}"))
     return models
 
 

@@ -6,6 +6,7 @@ import uuid
 from functools import reduce
 from operator import and_
 
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,12 +70,21 @@ def settle(df: DataFrame) -> DataFrame:
 
 def settle_partitions(df: DataFrame) -> DataFrame:
     """Like ``settle``, but with the partitions of ``df`` kept as they are."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_root(df.sparkSession))
+    _with_checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
+def cut_lineage(rdd: RDD) -> None:
+    """Have the first job on a persisted ``rdd`` write it to the shared folder as well; lineage ends there."""
+    _with_checkpoints(SparkSession.active())
+    rdd.checkpoint()
+
+
+def _with_checkpoints(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_root(spark))
+
+
 def join_null_safe(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a null key matches a null key, so that no group is lost."""
     names = {column: f"_on_{column}" for column in on}

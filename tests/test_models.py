@@ -224,3 +224,25 @@ def test_a_long_ngram_model_keeps_its_length(spark):
     model.save(path)
     loaded = NgramClassifier.load(path)
     assert loaded.longest == 4 and loaded.setting.epochs == 30 and loaded.score(samples).collect() == model.score(samples).collect()
+
+
+def test_a_model_is_the_same_in_any_number_of_blocks_and_stays_on_executors(spark, monkeypatch):
+    samples = spark.createDataFrame(sentences(200), "lang string, label string, text string")
+    settings = [Setting(dim=3, epochs=2, buckets=7), Setting(dim=3, epochs=1, buckets=64, min_count=30)]
+    few = G.fit_all(samples, {None: settings}, rounds=2)[None]
+    monkeypatch.setattr(G, "BLOCK_TEXT", 100)
+    many = G.fit_all(samples, {None: settings}, rounds=2)[None]
+    for one, two in zip(few, many, strict=True):
+        # neither dictionary nor vectors came to the driver, until they are asked for
+        assert two._words is None and two._vectors is None
+        assert np.allclose(one.output, two.output, atol=1e-12) and (one.words == two.words).all()
+        assert np.allclose(one.vectors, two.vectors, atol=1e-12) and len(two.vectors) == two.setting.buckets + len(two.words)
+    assert len(many[1].words) < len(many[0].words)
+
+
+def test_a_model_of_no_samples_has_no_words(spark):
+    samples = spark.createDataFrame([*sentences(20), (None, "positive", "lost"), ("x", "positive", None)], "lang string, label string, text string")
+    models = G.fit_all(samples, {"x": [Setting(epochs=1)], "z": [Setting(epochs=1, buckets=16)]}, by="lang", rounds=3)
+    [model] = models["z"]
+    assert len(model.words) == 0 and np.allclose(model.vectors, G.initial_vectors(0, 16, 8)) and not model.output.any()
+    assert len(models["x"][0].words) > 1
