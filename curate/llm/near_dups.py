@@ -10,8 +10,9 @@
    the two sketches then share one of the first ``size - bound + 1``, so only these form lists, and no pair is lost
    that the estimate would pass. From places in the order an upper bound of the overlap follows.
 4. In lists of every length, the estimate on the sketch of the union filters pairs, and exact Jaccard on full sets
-   confirms them. Short lists emit their pairs. A long one is cut into blocks, blocks meet in pairs of tasks, and only
-   a spanning forest of confirmed links leaves a task: no list emits all its pairs.
+   confirms them. Every document first meets one block of one list, twice, which joins groups of near copies in as many
+   rows as they have members. What is then left are pairs of different components: short lists emit theirs, blocks
+   of long lists meet in pairs of tasks. Only a spanning forest of confirmed links leaves a task.
 5. Components are found by pointer jumping; classes take their representative's component.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ SHARED_BELOW = 10
 RETAINED = 128
 SHORT_LIST = 32
 BLOCK = 256
+# Times that every document meets one block of a list before all members of different components do.
+TURNS = 2
 # Sets up to which the pairs that share a value are counted one by one.
 FEW = 32
 # Narrow rows (four longs) that may be broadcast, counted first.
@@ -253,6 +257,48 @@ def _similar_ones(sets: list[np.ndarray], i: int, others: np.ndarray, percent: i
         yield from some[shared * 100 >= percent * (len(own) + sizes - shared)].tolist()
 
 
+def _of_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members (value, node, label) of the lists that hold more than one component; without ``labels`` each node is one."""
+    label = F.col("node")
+    if labels is not None:
+        members, label = members.join(labels, "node", "left"), F.coalesce("label", "node")
+    marked = members.select("value", "node", label.alias("label"))
+    mixed = marked.groupBy("value").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least < _most")
+    return marked.join(mixed.select("value"), "value")
+
+
+def _one_seat_each(members: DataFrame, turn: int) -> DataFrame:
+    """One list for every node, the same for most nodes of a group, and one block of it: at most as many seats as nodes."""
+    picked = members.groupBy("node").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "value").alias("hash"), "value")).alias("_at"))
+    picked = picked.select("node", F.col("_at.value").alias("value"))
+    blocks = picked.groupBy(F.col("value").alias("_value")).agg(F.count("*").alias("_n")).where("_n > 1").select("_value", F.ceil(F.col("_n") / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("blocks"))
+    seats = picked.join(blocks, F.col("value") == F.col("_value")).select("value", "node", block.alias("block"))
+    return seats.select("value", "node", "block", F.col("block").alias("low"), F.col("block").alias("high"))
+
+
+def _seats_across(members: DataFrame) -> DataFrame:
+    """Seats for all pairs of members of a list in different components.
+
+    Members of a large component have blocks of their own, which needn't meet each other; small components share blocks
+    and aren't cut.
+    """
+    per = members.groupBy("value", "label").agg(F.count("*").alias("n"))
+    small = per.where(F.col("n") <= BLOCK).groupBy("value").agg(F.sum("n").alias("small"))
+    per = per.join(small, "value", "left")
+    large = F.col("n") > BLOCK
+    of = F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / BLOCK).cast("long")
+    per = per.select("value", "label", F.when(large, F.col("label")).alias("own"), of.alias("of"))
+    number = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("label")).otherwise(F.col("node"))), F.col("of"))
+    placed = members.join(per, ["value", "label"]).select("value", "node", "own", F.xxhash64("own", number).alias("block"))
+    placed = stored(placed, "near-placed")
+    blocks = placed.groupBy("value", "block").agg(F.min("own").alias("own"))
+    other = blocks.select("value", F.col("block").alias("high"), F.col("own").alias("own2"))
+    pairs = blocks.withColumnRenamed("block", "low").join(other, "value").where("low <= high and not (own <=> own2 and own is not null)")
+    either = F.explode(F.array_distinct(F.array("low", "high"))).alias("block")
+    return placed.drop("own").join(pairs.select("value", "low", "high", either), ["value", "block"]).select("value", "node", "block", "low", "high")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one per row of ``docs``.
 
@@ -329,12 +375,34 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     sizes = stored(prefixes.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "near-lists")
 
-    # short lists: pairs by a self-join on the value, at most SHORT_LIST rows on either side
-    listed = prefixes.join(sizes.where(F.col("size") <= SHORT_LIST).select("value"), "value")
-    other = listed.select("value", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("least").alias("least2"))
+    # every document meets one block of one list a turn, which joins the groups
+    members = stored(prefixes.join(sizes, "value").select("value", "node"), "near-members")
+
+    def meet(key, table):
+        ids, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+        low = key[1].as_py()
+        first = np.argsort(block != low, kind="stable")
+        found = [v.values.to_numpy().view(np.uint64) for v in table.column("values").combine_chunks()]
+        links = _block_links(ids[first], [found[i] for i in first], int((block == low).sum()) if key[1] != key[2] else 0, percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    def met(seats: DataFrame, name: str) -> DataFrame:
+        seated = seats.join(sets.select("node", "values"), "node")
+        return stored(seated.groupBy("value", "low", "high").applyInArrow(meet, "a long, b long"), name)
+
+    linked, open_lists = [], _of_components(members, None)
+    for turn in range(TURNS):
+        if open_lists.isEmpty():
+            break
+        linked.append(met(_one_seat_each(open_lists, turn), f"near-met-{turn}"))
+        open_lists = stored(_of_components(members, smallest_reachable(reduce(DataFrame.union, linked), f"near-turn-{turn}")), f"near-open-{turn}")
+
+    # short lists: pairs of different components by a self-join on the value, at most SHORT_LIST rows on either side
+    listed = prefixes.join(sizes.where(F.col("size") <= SHORT_LIST).select("value"), "value").join(open_lists, ["value", "node"])
+    other = listed.select("value", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "rest", "least", "label")))
     pairs = (
         listed.join(other, "value")
-        .where("node < node2")
+        .where("node < node2 and label <> label2")
         .where((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent))
         .where(F.least("rest", "rest2") >= F.greatest("least", "least2"))
         .select("node", "node2")
@@ -356,26 +424,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         pairs.join(sets.select("node", "values"), "node").join(second, "node2").select("node", "node2", "values", "values2").mapInArrow(confirm, "a long, b long")
     )
 
-    # long lists: blocks of the list meet in pairs, each pair of blocks is a task's group
-    long_lists = sizes.where(F.col("size") > SHORT_LIST).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    seats = (
-        prefixes.join(long_lists, "value")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-        .withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("value", "node", "block", F.least("block", "against").alias("low"), F.greatest("block", "against").alias("high"))
-        .join(sets.select("node", "values"), "node")
-    )
-
-    def meet(key, table):
-        ids, block = table.column("node").to_numpy(), table.column("block").to_numpy()
-        low = key[1].as_py()
-        first = np.argsort(block != low, kind="stable")
-        found = [v.values.to_numpy().view(np.uint64) for v in table.column("values").combine_chunks()]
-        links = _block_links(ids[first], [found[i] for i in first], int((block == low).sum()) if key[1] != key[2] else 0, percent)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    met = seats.groupBy("value", "low", "high").applyInArrow(meet, "a long, b long")
-    edges = stored(links.union(met).distinct(), "near-links")
+    # long lists: those blocks of a list meet that hold different components
+    across = open_lists.join(sizes.where(F.col("size") > SHORT_LIST).select("value"), "value")
+    edges = stored(reduce(DataFrame.union, [links, met(_seats_across(across), "near-met"), *linked]).distinct(), "near-links")
 
     # rows of one doc_id with several sets
     named = known.select("doc_id", F.xxhash64("f1", "f2").alias("node"))

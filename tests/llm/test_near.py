@@ -258,3 +258,23 @@ def test_block_links_connect_what_pairs_one_by_one_connect(n, common, cut):
     links = near_dups._block_links(np.arange(n), sets, cut, 85)
     assert set(links) <= set(both) and groups(links) == groups(both)
     assert n < 60 or both
+
+
+def test_seats_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    for n in (200, 800):
+        rows = [(v, i, i if i % 100 == 7 else -1) for v in range(3) for i in range(n)]
+        members = spark.createDataFrame(rows, "value long, node long, label long")
+        first = near_dups._one_seat_each(members, 0).collect()
+        assert sorted(r["node"] for r in first) == list(range(n))
+        seats = near_dups._seats_across(members).collect()
+        assert len(seats) <= 3 * (n + (n // 100) * (n // 16 + 20) * 2)
+        # all pairs of different components meet, in some pair of blocks of every list
+        met = {}
+        for r in seats:
+            met.setdefault((r["value"], r["low"], r["high"]), []).append(r)
+        pairs = set()
+        for (value, low, high), some in met.items():
+            pairs |= {(value, *sorted((a["node"], b["node"]))) for a in some for b in some if a["node"] != b["node"] and {a["block"], b["block"]} == {low, high}}
+        strays = [i for i in range(n) if i % 100 == 7]
+        assert all((v, *sorted((i, j))) in pairs for v in range(3) for i in strays for j in range(n) if i != j)
