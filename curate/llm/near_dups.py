@@ -11,8 +11,9 @@
    that the estimate would pass. From places in the order an upper bound of the overlap follows.
 4. In lists of every length, the estimate on the sketch of the union filters pairs, and exact Jaccard on full sets
    confirms them. Every document first meets one block of one list, twice, which joins groups of near copies in as many
-   rows as they have members. What is then left are pairs of different components: short lists emit theirs, blocks
-   of long lists meet in pairs of tasks. Only a spanning forest of confirmed links leaves a task.
+   rows as they have members. What is then left are pairs of different components: short lists emit theirs; long lists
+   of nearly the same documents become one, whose blocks meet in pairs of tasks. Only a spanning forest of confirmed links
+   leaves a task.
 5. Components are found by pointer jumping; classes take their representative's component.
 """
 
@@ -40,6 +41,8 @@ SHORT_LIST = 32
 BLOCK = 256
 # Times that every document meets one block of a list before all members of different components do.
 TURNS = 2
+# Times that long lists of nearly the same documents become one.
+MERGES = 3
 # Sets up to which the pairs that share a value are counted one by one.
 FEW = 32
 # Narrow rows (four longs) that may be broadcast, counted first.
@@ -277,6 +280,25 @@ def _one_seat_each(members: DataFrame, turn: int) -> DataFrame:
     return seats.select("value", "node", "block", F.col("block").alias("low"), F.col("block").alias("high"))
 
 
+def _merged_lists(members: DataFrame, name: str) -> DataFrame:
+    """The same members (value, node, label) in fewer lists, so that members of many common lists needn't meet in each of them.
+
+    Lists with the same smallest node, by a hash, become one, as long as that has at most twice the members of its longest;
+    two lists are the more likely to have the same the more members they share. No pair of members is lost.
+    """
+    for turn in range(MERGES):
+        firsts = members.groupBy("value").agg(F.min(F.xxhash64(F.lit(turn), "node")).alias("first"), F.count("*").alias("n"))
+        firsts = stored(firsts, f"{name}-firsts-{turn}")
+        several = firsts.groupBy("first").agg(F.count("*").alias("lists"), F.max("n").alias("most")).where("lists > 1")
+        joint = members.join(firsts.join(several, "first").select("value", "first", "most"), "value")
+        joint = stored(joint.select("first", "node", "label", "most").distinct(), f"{name}-joint-{turn}")
+        good = joint.groupBy("first", "most").agg(F.count("*").alias("all")).where("all <= 2 * most").select("first")
+        merged = joint.join(good, "first").select(F.col("first").alias("value"), "node", "label")
+        gone = firsts.join(good, "first").select("value")
+        members = stored(members.join(gone, "value", "left_anti").select("value", "node", "label").union(merged), f"{name}-{turn}")
+    return members
+
+
 def _seats_across(members: DataFrame) -> DataFrame:
     """Seats for all pairs of members of a list in different components.
 
@@ -425,7 +447,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
     # long lists: those blocks of a list meet that hold different components
-    across = open_lists.join(sizes.where(F.col("size") > SHORT_LIST).select("value"), "value")
+    across = _merged_lists(open_lists.join(sizes.where(F.col("size") > SHORT_LIST).select("value"), "value"), "near-merged")
     edges = stored(reduce(DataFrame.union, [links, met(_seats_across(across), "near-met"), *linked]).distinct(), "near-links")
 
     # rows of one doc_id with several sets

@@ -278,3 +278,45 @@ def test_seats_of_a_large_group_grow_with_its_members(spark, monkeypatch):
             pairs |= {(value, *sorted((a["node"], b["node"]))) for a in some for b in some if a["node"] != b["node"] and {a["block"], b["block"]} == {low, high}}
         strays = [i for i in range(n) if i % 100 == 7]
         assert all((v, *sorted((i, j))) in pairs for v in range(3) for i in strays for j in range(n) if i != j)
+
+
+def test_a_group_in_many_lists_meets_about_once(spark, monkeypatch):
+    for name, value in (("SHORT_LIST", 8), ("BLOCK", 16)):
+        monkeypatch.setattr(near_dups, name, value)
+    seats, across = [], near_dups._seats_across
+    monkeypatch.setattr(near_dups, "_seats_across", lambda members: seats.append(across(members).cache()) or seats[-1])
+    # all share most of a long text, and few are near enough to be linked
+    draw = random.Random(4)
+    text = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(96):
+        own = list(text)
+        for at in draw.sample(range(0, 400, 8), 9):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    rows += [(i, " ".join([f"z{i % 2}w{k}" for k in range(100)] + ["end"] * (i // 2))) for i in range(96, 120)]
+    assert run(spark, rows) == expected(rows)
+    [seated] = seats
+    blocks = -(-120 // 16)
+    assert 96 < seated.count() <= 4 * 120 * blocks
+
+
+def test_merged_lists_keep_all_pairs(spark):
+    draw = random.Random(6)
+    lists = {v: draw.sample(range(60), 50) for v in range(20)} | {v: draw.sample(range(100, 400), draw.choice([2, 30])) for v in range(20, 40)}
+    # one node in lists of others that have nothing else in common
+    lists |= {v: [0, *range(1000 + 40 * v, 1040 + 40 * v)] for v in range(40, 50)}
+    members = spark.createDataFrame([(v, n, -n) for v, some in lists.items() for n in some], "value long, node long, label long")
+    merged = {}
+    for r in near_dups._merged_lists(members, "test").collect():
+        assert r["label"] == -r["node"]
+        merged.setdefault(r["value"], []).append(r["node"])
+
+    def pairs(some):
+        return {(a, b) for nodes in some for a in nodes for b in nodes if a < b}
+
+    assert pairs(lists.values()) <= pairs(merged.values())
+    # the twenty lists of the first nodes are few; those that share one node only stay as they were
+    assert sum(max(m) < 60 for m in merged.values()) < 5
+    assert all(sorted(lists[v]) in [sorted(m) for m in merged.values()] for v in range(40, 50))
+    assert all(len(m) == len(set(m)) for m in merged.values())
