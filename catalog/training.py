@@ -280,7 +280,7 @@ def ngram_training_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         mine = samples.where(F.col("lang") == lang)
         both = G.score_with(mine, [models[lang], loaded])(F.col("text"))
         apart = mine.select(F.abs(both[0] - both[1]).alias("d")).agg(F.max("d")).first()[0]
-        rows.append((lang, len(loaded.words), apart == 0, loaded.longest))
+        rows.append((lang, loaded.n_words, apart == 0, loaded.longest))
     return spark.createDataFrame(rows, "lang string, words long, same_when_loaded boolean, longest int")
 
 

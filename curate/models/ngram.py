@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,14 +149,14 @@ class NgramClassifier:
 
     Places 0 to ``buckets - 1`` are those of n-grams, then come the words of the sorted dictionary. The output weights of
     the two labels differ by their sign only, as they start from zero. Words and vectors are arrays, or lie in slices in the
-    folder ``stored``, from where they are read when asked for; scoring reads words and one number per place.
+    folder ``stored``, from where they are read when asked for; scoring tasks read words and one number per place from the shared folder.
     """
 
     def __init__(
         self, longest: int, setting: Setting, words: np.ndarray | None = None, vectors: np.ndarray | None = None, output: np.ndarray | None = None, stored: str | None = None
     ) -> None:
         self.longest, self.setting, self.output, self.stored = longest, setting, output, stored
-        self._words, self._vectors, self._margins = words, vectors, None
+        self._words, self._vectors, self._margins, self._folder = words, vectors, None, None
 
     @property
     def words(self) -> np.ndarray:  # sorted keys
@@ -163,6 +164,12 @@ class NgramClassifier:
             self._words = _joined(self.slices().where("part = 'words'"), "<i8")
         return self._words
 
+    @property
+    def n_words(self) -> int:
+        if self._words is not None:
+            return len(self._words)
+        return (self.slices().where("part = 'words'").agg(F.sum(F.length("data"))).first()[0] or 0) // 8
+
     @property
     def vectors(self) -> np.ndarray:  # places x dim
         if self._vectors is None:
@@ -178,21 +185,36 @@ class NgramClassifier:
         parts += [("vectors", at, self.vectors[at : at + BLOCK].astype("<f8").tobytes()) for at in range(0, len(self.vectors), BLOCK)]
         return spark.createDataFrame(parts, _PARTS)
 
+    def _slices_of_margins(self) -> DataFrame:
+        """The stored words, and in place of vectors their margins."""
+        weights, dim = 2 * self.output, self.setting.dim
+
+        def run(batches):
+            for batch in batches:
+                rows = zip(batch.column("part").to_pylist(), batch.column("data"), strict=True)
+                found = [data.as_py() if part == "words" else (np.frombuffer(data.as_py(), "<f8").reshape(-1, dim) @ weights).astype("<f8").tobytes() for part, data in rows]
+                yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("at"), pa.array(found, pa.binary())], names=["part", "at", "data"])
+
+        return self.slices().where("part <> 'output'").mapInArrow(run, _PARTS)
+
     def margins(self) -> np.ndarray:
         """What each feature adds to the log-odds of the positive label before the average."""
         if self._margins is None:
-            weights, dim = 2 * self.output, self.setting.dim
+            self._margins = _joined(self._slices_of_margins().where("part = 'vectors'"), "<f8") if self.stored else self.vectors @ (2 * self.output)
+        return self._margins
 
-            def run(batches):
-                for batch in batches:
-                    found = [(np.frombuffer(data.as_py(), "<f8").reshape(-1, dim) @ weights).astype("<f8").tobytes() for data in batch.column("data")]
-                    yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(found, pa.binary())], names=["at", "data"])
+    def for_scoring(self) -> str | tuple[np.ndarray, np.ndarray]:
+        """Words and margins: the folder where tasks read them, so that they needn't pass the driver, or the arrays themselves.
 
-            if self.stored:
-                self._margins = _joined(self.slices().where("part = 'vectors'").select("at", "data").mapInArrow(run, "at long, data binary"), "<f8")
-            else:
-                self._margins = self.vectors @ weights
-        return self._margins
+        Arrays are given if the model isn't stored, or if Arrow doesn't know the file system of the shared folder.
+        """
+        path = scratch_path(SparkSession.active(), "ngram-margins")
+        if not self.stored or not _reached(path):
+            return self.words, self.margins()
+        if self._folder is None:
+            self._slices_of_margins().write.parquet(path)
+            self._folder = path
+        return self._folder
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Add ``scores``, the probability of each label; one column function, no shuffle.
@@ -223,8 +245,34 @@ class NgramClassifier:
 
 def _joined(slices: DataFrame, kind: str) -> np.ndarray:
     """The values of slices (at, data) in order, of one model."""
-    rows = slices.select("at", "data").toArrow().sort_by("at")
-    return np.frombuffer(b"".join(data.as_py() for data in rows.column("data")), kind).copy()
+    return _in_order(slices.select("at", "data").toArrow(), kind)
+
+
+def _in_order(rows: pa.Table, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(data.as_py() for data in rows.sort_by("at").column("data")), kind).copy()
+
+
+def _reached(path: str) -> bool:
+    try:
+        fs.FileSystem.from_uri(path)
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+    return True
+
+
+# What the models in use need for scoring, in a worker.
+_held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _held_for_scoring(parts: Sequence[str | tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Words and margins of some models; those in folders are read once by a worker, and kept until others are asked for."""
+    for path in set(_held) - {x for x in parts if isinstance(x, str)}:
+        del _held[path]
+    for path in (x for x in parts if isinstance(x, str) and x not in _held):
+        place, root = fs.FileSystem.from_uri(path)
+        rows = dataset.dataset(root, filesystem=place, format="parquet").to_table()
+        _held[path] = tuple(_in_order(rows.filter(dataset.field("part") == part), kind) for part, kind in (("words", "<i8"), ("vectors", "<f8")))
+    return [_held[x] if isinstance(x, str) else x for x in parts]
 
 
 _PARTS = "part string, at long, data binary"
@@ -237,14 +285,16 @@ def score_with(docs: DataFrame, models: Sequence[NgramClassifier]):
     All models must have the same longest n-gram. A feature is one number to each of them.
     """
     [longest] = {m.longest for m in models}
-    shared = docs.sparkSession.sparkContext.broadcast([(m.words, m.margins(), m.setting.buckets) for m in models])
+    buckets = [m.setting.buckets for m in models]
+    shared = docs.sparkSession.sparkContext.broadcast([m.for_scoring() for m in models])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held = list(zip(_held_for_scoring(shared.value), buckets, strict=True))
         for texts in batches:
-            found = [np.zeros((0, len(shared.value)))]
+            found = [np.zeros((0, len(held)))]
             for some in _slices(texts):
                 features = text_features(some, longest)
-                found.append(np.stack([probabilities(*features, *m) for m in shared.value], axis=1))
+                found.append(np.stack([probabilities(*features, *parts, n) for parts, n in held], axis=1))
             flat = np.concatenate(found)
             yield pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), flat.shape[1]).cast(pa.list_(pa.float64()))
 

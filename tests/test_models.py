@@ -246,3 +246,19 @@ def test_a_model_of_no_samples_has_no_words(spark):
     [model] = models["z"]
     assert len(model.words) == 0 and np.allclose(model.vectors, G.initial_vectors(0, 16, 8)) and not model.output.any()
     assert len(models["x"][0].words) > 1
+
+
+def test_words_and_margins_of_a_stored_model_do_not_pass_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK", 16)
+    samples = spark.createDataFrame([*sentences(200), ("x", "positive", None)], "lang string, label string, text string")
+    model, other = G.fit_all(samples, {None: [Setting(epochs=2, buckets=64), Setting(epochs=1, buckets=7, min_count=30)]}, rounds=2)[None]
+    path = scratch_path(spark, "ngram")
+    model.save(path)
+    both = [model, NgramClassifier.load(path), other]
+    found = samples.select("text", G.score_with(samples, both)(F.col("text")).alias("p")).collect()
+    assert all(m._words is None and m._margins is None for m in both)
+    # the same by arrays, which are broadcast
+    arrays = [NgramClassifier(m.longest, m.setting, m.words, m.vectors, m.output) for m in both]
+    again = samples.select("text", G.score_with(samples, arrays)(F.col("text")).alias("p")).collect()
+    assert np.allclose([r["p"] for r in found], [r["p"] for r in again], atol=1e-12) and len(found) == 201
+    assert [m.n_words for m in both] == [len(m.words) for m in arrays] == [m.n_words for m in arrays]
