@@ -16,7 +16,7 @@ from catalog.threads import _LEAVES
 from curate.operators import sampling as S
 from curate.operators.quantiles import corpus_threshold
 from curate.operators.rehydrate import rehydrate
-from curate.operators.tokens import tokenize
+from curate.operators.tokens import read_shards, tokenize
 from curate.plans.dataset import build_dataset, lines_from_jsonl, train_and_inspect, write_token_shards
 from curate.plans.select import select_top
 from curate.session import scratch_path, settle
@@ -153,7 +153,7 @@ def token_shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
     path = scratch_path(spark, "shards")
     write_token_shards(docs, "id", path, cluster_size=_boundary_size(), budget=_SHARD)
-    return spark.read.parquet(path).select("id", "copy_no", "n_tokens", "shard")
+    return read_shards(spark, path).select("id", "copy_no", "n_tokens", "shard")
 
 
 @query(f"""{_MIXTURE_CTE}, {SPLIT_CTE.format(by='lang', rows='mixture')}, parts AS (

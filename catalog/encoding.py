@@ -17,7 +17,7 @@ from curate.functions.vectors import first_chunk
 from curate.models.encoder import ship
 from curate.operators.embedding import HashedWords, chunk_rows, collect_chunks, embed
 from curate.operators.rehydrate import rehydrate, upsampling_weight
-from curate.operators.tokens import shard_by_tokens, tokenize
+from curate.operators.tokens import copies, encode, shard_by_tokens, tokenize
 from curate.session import join_lookup, settle
 
 WORDS_CTE = f"""
@@ -167,5 +167,5 @@ _SHARD = 20_000
     FROM copies""")
 def token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    tokens = settle(tokenize(docs, "doc_id", cluster_size=_boundary_size()))
+    tokens = copies(settle(encode(docs, "doc_id", cluster_size=_boundary_size())), "doc_id")
     return shard_by_tokens(tokens, "doc_id", _SHARD).select("doc_id", "copy_no", "n_tokens", "shard")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curate.models.ngram import POSITIVE, NgramClassifier, train_ngram
 from curate.operators.sampling import extremes
-from curate.operators.tokens import SHARD_TOKENS, hashed_word_ids, shard_by_tokens, tokenize, write_shards
+from curate.operators.tokens import SHARD_TOKENS, copies, encode, hashed_word_ids, shard_by_tokens, write_shards
 from curate.plans.mixture import SAMPLES_PER_SOURCE, Source, build_mixture, split_mixture
 from curate.session import settle
 from curate.sources.labelled import read_labelled_jsonl
@@ -81,7 +81,7 @@ def write_token_shards(
     cluster_size: Column | None = None,
     budget: int = SHARD_TOKENS,
 ) -> None:
-    """Tokenize, repeat by cluster size, and write a folder per shard in order of the key."""
-    tokens = settle(tokenize(docs, key, text, tokenizer, cluster_size))
+    """Tokenize, repeat by cluster size, and write a folder per shard in order of the key. Tokens are stored once per document."""
+    tokens = copies(settle(encode(docs, key, text, tokenizer, cluster_size)), key)
     write_shards(shard_by_tokens(tokens, key, budget), path, key)
 

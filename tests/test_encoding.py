@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from curate.functions.vectors import masked_mean
 from curate.operators.embedding import HashedWords, chunks, embed, mean_pool
 from curate.operators.rehydrate import WEIGHTS, upsampling_weight
-from curate.operators.tokens import batch_tokenizer, shard_by_tokens, tokenize, write_shards
+from curate.operators.tokens import batch_tokenizer, read_shards, shard_by_tokens, tokenize, write_shards
 from curate.sources.documents import choose_files
 from curate.sources.sinks import finished, unfinished, write_documents
 from curate.operators.rehydrate import rehydrate
@@ -104,6 +104,72 @@ def test_library_tokenizer_and_written_shards(spark):
     assert placed == sorted(placed)
 
 
+def shard_rows(n, shards):
+    return [(i // -(-n // shards), f"k{i:04d}", 1, None if i % 7 == 0 else [i, None, -i], i % 7, i / 3, b"\0" * (i % 3)) for i in range(n)]
+
+
+PLAIN_SHARDS = "shard long, id string, copy_no int, tokens array<int>, n_tokens int, weight double, raw binary"
+
+
+def test_many_small_shards_need_no_process_per_folder(spark, tmp_path):
+    rows = shard_rows(600, 150) + [(None, "last", 1, [], 0, None, None), (0, None, 1, [5], 1, 0.5, b"x")]
+    df = spark.createDataFrame(rows, PLAIN_SHARDS)
+    ours, plain = f"file://{tmp_path}/new/shards", f"file://{tmp_path}/plain"
+    write_shards(df, ours, "id")
+    df.write.partitionBy("shard").parquet(plain)
+    # Hadoop's writer leaves a checksum beside every file
+    files = [f for f in (tmp_path / "new").rglob("*") if f.is_file()]
+    assert len(files) >= 152 and not [f for f in files if f.suffix == ".crc" or f.name.startswith(".")]
+    assert [f.name for f in (tmp_path / "new").iterdir()] == ["shards"]
+    got, want = spark.read.parquet(ours), spark.read.parquet(plain)
+    assert got.schema == want.schema
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_folders_of_shards_are_listed_by_few_tasks(spark, tmp_path):
+    path, tracker = f"file://{tmp_path}/shards", spark.sparkContext.statusTracker()
+    write_shards(spark.createDataFrame(shard_rows(300, 150), PLAIN_SHARDS), path, "id")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        assert read_shards(spark, path).count() == 300
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(stage.numTasks for stage in stages if stage) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_long_shards_are_written_in_row_groups(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+    from curate.operators import tokens as T
+
+    monkeypatch.setattr(T, "ROW_GROUP_BYTES", 100)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(100))})
+    assert T._write_file(str(tmp_path / "x.parquet"), iter([batch.slice(i, 10) for i in range(0, 100, 10)])) == 100
+    found = pq.ParquetFile(tmp_path / "x.parquet")
+    assert found.num_row_groups == 5 and found.read()["id"].to_pylist() == list(range(100))
+
+
+def test_shards_of_other_types_are_written_by_spark(spark, tmp_path):
+    rows = spark.createDataFrame(shard_rows(60, 20), PLAIN_SHARDS).withColumn("id", F.timestamp_seconds(F.substring("id", 2, 4).cast("int")))
+    path = f"file://{tmp_path}/shards"
+    write_shards(rows, path, "id")
+    got = spark.read.parquet(path).select(rows.columns)
+    assert dict(got.dtypes)["id"] == "timestamp"
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, rows.collect()))
+
+
+def test_shards_are_whole_or_absent(spark, tmp_path):
+    df = spark.createDataFrame(shard_rows(40, 10), PLAIN_SHARDS)
+    path = f"file://{tmp_path}/shards"
+    with pytest.raises(Exception):
+        write_shards(df.withColumn("n_tokens", F.raise_error(F.lit("broken")).cast("int")), path, "id")
+    assert not list(tmp_path.iterdir())
+    write_shards(df, path, "id")
+    with pytest.raises(Exception):
+        write_shards(df, path, "id")
+    assert spark.read.parquet(path).count() == 40
+
+
 def test_a_document_without_a_size_stays(spark):
     docs = spark.createDataFrame([(1, 3), (2, None), (3, 1)], "id int, size int")
     got = sorted((r["id"], r["copy_no"]) for r in rehydrate(docs, F.col("size")).collect())
