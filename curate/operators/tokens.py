@@ -7,6 +7,7 @@ import re
 import shutil
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import md5
 from itertools import accumulate, chain, groupby
 
 import numpy as np
@@ -17,13 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curate.functions.text import words
 from curate.operators.rehydrate import rehydrate
 from curate.session import join_null_safe, settle
 
 # Fixed value: tokens after which a new shard begins.
 SHARD_TOKENS = 1_000_000_000
 VOCABULARY = 1 << 17
+# Text that the default tokenizer cuts at a time.
+CHARACTERS = 4_000_000
 # Bytes that a writer of shards holds before it writes a row group.
 ROW_GROUP_BYTES = 64 * 1024 * 1024
 # Types that come back the same from a Parquet file of Arrow's.
@@ -31,11 +33,29 @@ PLAIN = re.compile(r"(array<)*(string|boolean|tinyint|smallint|int|bigint|float|
 
 
 def hashed_word_ids(text: Column, vocabulary: int = VOCABULARY) -> Column:
-    """Default tokenizer: one id per word, from its md5."""
-    return F.transform(
-        words(text),
-        lambda word: (F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("int") % vocabulary),
-    )
+    """Default tokenizer: one id per word, from its md5; null for a null text.
+
+    ``str.split`` cuts where ``curate.functions.text.words`` does. About ``CHARACTERS`` of text are cut at a time, and each
+    distinct word of these is hashed once.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(before // CHARACTERS)) + 1).tolist(), len(texts)]
+            parts = [_word_ids(texts.slice(i, j - i).to_pylist(), vocabulary) for i, j in zip(cuts, cuts[1:])]
+            yield pa.concat_arrays(parts)
+
+    return F.arrow_udf(run, "array<int>").asNondeterministic()(F.make_valid_utf8(text))
+
+
+def _word_ids(texts: list[str | None], vocabulary: int) -> pa.ListArray:
+    found = [(text or "").split() for text in texts]
+    flat = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
+    ids = (int(md5(word.encode()).hexdigest()[:7], 16) % vocabulary for word in flat.dictionary.to_pylist())
+    ids = np.fromiter(ids, np.int32, len(flat.dictionary))[flat.indices.to_numpy()]
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=pa.array([text is None for text in texts]))
 
 
 def batch_tokenizer(load: Callable[[], Callable[[list[str]], list[list[int]]]]) -> Callable[[Column], Column]:

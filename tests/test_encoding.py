@@ -104,6 +104,23 @@ def test_library_tokenizer_and_written_shards(spark):
     assert placed == sorted(placed)
 
 
+def test_words_are_hashed_as_the_session_would(spark, monkeypatch):
+    from curate.functions.text import WHITESPACE_CHARACTERS, words
+    from curate.operators import tokens as T
+
+    odd = [f"a{c}b" for c in [*WHITESPACE_CHARACTERS, "\u200b", "\u180e", "\x00", "\ufeff", "\u2060"]]
+    texts = [None, "", "  ", *odd, WHITESPACE_CHARACTERS.join("xyx"), " the the  end ", "\U0001f600 \u00e9", None, "z" * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(1).sortWithinPartitions("id")
+    docs = docs.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.expr("cast(X'6120ff62' as string)").alias("text")))
+    hashed = F.transform(words(F.col("text")), lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int") % 1000)
+    want = {r["id"]: r["t"] for r in docs.select("id", hashed.alias("t")).collect()}
+    for size in (1, 10, 4_000_000):
+        found = T.pa.concat_arrays([T._word_ids(texts[i : i + size], 1000) for i in range(0, len(texts), size)])
+        assert dict(enumerate(found.to_pylist())) == {k: v for k, v in want.items() if k >= 0}
+    got = {r["id"]: r["t"] for r in docs.select("id", T.hashed_word_ids(F.col("text"), 1000).alias("t")).collect()}
+    assert got == want
+
+
 def shard_rows(n, shards):
     return [(i // -(-n // shards), f"k{i:04d}", 1, None if i % 7 == 0 else [i, None, -i], i % 7, i / 3, b"\0" * (i % 3)) for i in range(n)]
 
