@@ -293,5 +293,5 @@ def saved_ngram_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     model.save(path)
     loaded = NgramClassifier.load(path)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = G.score_with(docs, [model, loaded])(F.col("text"))
-    return docs.select("doc_id", F.lit(loaded.longest).alias("longest"), (F.abs(both[0] - both[1]) < 1e-12).alias("same"))
+    scored = docs.select("doc_id", G.score_with(docs, [model, loaded])(F.col("text")).alias("both"))  # once for both
+    return scored.select("doc_id", F.lit(loaded.longest).alias("longest"), (F.abs(F.col("both")[0] - F.col("both")[1]) < 1e-12).alias("same"))

@@ -5,23 +5,28 @@ feature: a block of words or places for n-grams lies on one executor with its di
 samples. A round is two Spark jobs for all languages and all settings. In the first one every block sums the products of its
 vectors with the output weights by sample, and Spark adds up the sums of blocks; in the second one the errors of the samples
 are sent to the blocks, which move their vectors. What travels is one number per sample of the mini-batch: dictionaries,
-vectors and gradients (features x dim) never reach the driver.
+vectors and gradients (features x dim) never reach the driver. A task reads vectors and features piece by piece; of its block
+it holds the dictionary and one number per feature.
 """
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from os import environ
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import dataset, fs
+from pyarrow import fs
 from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curate.operators.metrics import classifier_metrics
-from curate.session import cut_lineage, scratch_path
+from curate.session import cut_lineage, few_rows_at_once, scratch_path, small_scans
 
 # Longest n-gram, and the language whose setting differs and which is not tuned.
 NGRAMS = 2
@@ -44,14 +49,19 @@ STEP = 48_271
 ROUNDS = 8
 # Values that are sent, stored or added up in one piece.
 BLOCK = 1 << 18
-# Words of all dictionaries together; scoring holds 16 bytes a word on executors.
+# Words of all dictionaries together; scoring maps a file of 16 bytes a word on executors.
 MAX_WORDS = 50_000_000
-# Characters of text whose features make a block, and blocks per core at most; cut texts that tell where blocks of words end.
+# Characters of text whose features are written by a task and make a block, and blocks per core at most; cut texts that tell
+# where blocks of words end.
 BLOCK_TEXT = 1 << 23
 BLOCKS_PER_CORE = 4
-CUT_ROWS, CUT_TEXT = 400, 2000
+CUT_ROWS, CUT_TEXT, CUT_SHARE = 400, 2000, 1 << 20
 # Features that a task holds before it writes them by blocks.
-HELD_FEATURES = 1 << 21
+HELD_FEATURES = 1 << 20
+# Features in a row of the table at most, and bytes of rows that travel, or are scanned, at a time: Spark holds many rows at once.
+ROW_FEATURES = 1 << 14
+ROW_BYTES = 1 << 22
+SCAN_BYTES = 1 << 24
 # Rounds after which the state is written to the shared folder.
 CUT_ROUNDS = 20
 # Decimals of probabilities, beyond which they depend on the order of additions.
@@ -182,12 +192,14 @@ class NgramClassifier:
         if self.stored:
             return spark.read.schema(_PARTS).parquet(self.stored)
         parts = [("words", at, self.words[at : at + BLOCK].astype("<i8").tobytes()) for at in range(0, len(self.words), BLOCK)]
-        parts += [("vectors", at, self.vectors[at : at + BLOCK].astype("<f8").tobytes()) for at in range(0, len(self.vectors), BLOCK)]
+        step = _rows_of_vectors(self.setting.dim)
+        parts += [("vectors", at, self.vectors[at : at + step].astype("<f8").tobytes()) for at in range(0, len(self.vectors), step)]
         return spark.createDataFrame(parts, _PARTS)
 
     def _slices_of_margins(self) -> DataFrame:
         """The stored words, and in place of vectors their margins."""
         weights, dim = 2 * self.output, self.setting.dim
+        few_rows_at_once(SparkSession.active())
 
         def run(batches):
             for batch in batches:
@@ -204,7 +216,7 @@ class NgramClassifier:
         return self._margins
 
     def for_scoring(self) -> str | tuple[np.ndarray, np.ndarray]:
-        """Words and margins: the folder where tasks read them, so that they needn't pass the driver, or the arrays themselves.
+        """Words and margins: the folder with two files that tasks map, so that they pass neither driver nor memory, or the arrays themselves.
 
         Arrays are given if the model isn't stored, or if Arrow doesn't know the file system of the shared folder.
         """
@@ -212,7 +224,8 @@ class NgramClassifier:
         if not self.stored or not _reached(path):
             return self.words, self.margins()
         if self._folder is None:
-            self._slices_of_margins().write.parquet(path)
+            ordered = self._slices_of_margins().repartition(1).sortWithinPartitions("part", "at")
+            ordered.mapInArrow(_write_values(path), "n long").collect()
             self._folder = path
         return self._folder
 
@@ -232,7 +245,7 @@ class NgramClassifier:
         s = self.setting
         spark.createDataFrame([(self.longest, s.dim, float(s.rate), s.epochs, s.buckets, s.min_count)], _SETTINGS).coalesce(1).write.parquet(f"{path}/settings")
         output = spark.createDataFrame([("output", 0, self.output.astype("<f8").tobytes())], _PARTS)
-        self.slices().where("part <> 'output'").unionByName(output).write.parquet(f"{path}/parts")
+        self.slices().where("part <> 'output'").unionByName(output).write.option("parquet.block.size", SCAN_BYTES).parquet(f"{path}/parts")
 
     @classmethod
     def load(cls, path: str) -> NgramClassifier:
@@ -260,18 +273,52 @@ def _reached(path: str) -> bool:
     return True
 
 
+def _write_values(path: str):
+    """Write the data of ordered slices of words and of vectors to one file each, below ``path``."""
+
+    def run(batches):
+        place, root = fs.FileSystem.from_uri(path)
+        place.create_dir(root)
+        names = {"words": f"{root}/words-{uuid.uuid4().hex}", "vectors": f"{root}/margins-{uuid.uuid4().hex}"}
+        files = {part: place.open_output_stream(name) for part, name in names.items()}
+        n = 0
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
+                files[part].write(data.as_buffer())
+                n += 1
+        for part, file in files.items():
+            file.close()
+            place.move(names[part], names[part].rpartition("-")[0])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return run
+
+
+def _mapped(place: fs.FileSystem, path: str, kind: str) -> np.ndarray:
+    """The values in a file, of which the system reads the pages that are looked at; a file elsewhere is copied beside Spark's own first."""
+    if not place.get_file_info(path).size:
+        return np.zeros(0, kind)
+    if isinstance(place, fs.LocalFileSystem):
+        return np.asarray(np.memmap(path, kind, "r"))
+    folder = environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+    # without a name, so that it goes with the worker
+    with tempfile.TemporaryFile(dir=folder) as copy, place.open_input_stream(path) as source:
+        shutil.copyfileobj(source, copy, ROW_BYTES)
+        copy.flush()
+        return np.asarray(np.memmap(copy, kind, "r"))
+
+
 # What the models in use need for scoring, in a worker.
 _held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _held_for_scoring(parts: Sequence[str | tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Words and margins of some models; those in folders are read once by a worker, and kept until others are asked for."""
+    """Words and margins of some models; those in folders are mapped by a worker, and kept until others are asked for."""
     for path in set(_held) - {x for x in parts if isinstance(x, str)}:
         del _held[path]
     for path in (x for x in parts if isinstance(x, str) and x not in _held):
         place, root = fs.FileSystem.from_uri(path)
-        rows = dataset.dataset(root, filesystem=place, format="parquet").to_table()
-        _held[path] = tuple(_in_order(rows.filter(dataset.field("part") == part), kind) for part, kind in (("words", "<i8"), ("vectors", "<f8")))
+        _held[path] = (_mapped(place, f"{root}/words", "<i8"), _mapped(place, f"{root}/margins", "<f8"))
     return [_held[x] if isinstance(x, str) else x for x in parts]
 
 
@@ -286,6 +333,7 @@ def score_with(docs: DataFrame, models: Sequence[NgramClassifier]):
     """
     [longest] = {m.longest for m in models}
     buckets = [m.setting.buckets for m in models]
+    few_rows_at_once(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast([m.for_scoring() for m in models])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -336,11 +384,16 @@ def _sliced(values: np.ndarray) -> Iterator[slice]:
     return (slice(at, at + BLOCK) for at in range(0, len(values), BLOCK))
 
 
+def _rows_of_vectors(dim: int) -> int:
+    """Vectors that are stored or moved in one piece."""
+    return max(1, BLOCK // 8 // dim)
+
+
 class _Layout:
     """How the features of some models are cut into blocks: words by ranges of their keys, n-grams by ranges of their places."""
 
-    def __init__(self, bounds: np.ndarray, buckets: list[list[int]]):
-        self.bounds, self.buckets, self.blocks = bounds, buckets, len(bounds) + 1
+    def __init__(self, bounds: np.ndarray, buckets: list[list[int]], tasks: int):
+        self.bounds, self.buckets, self.blocks, self.tasks = bounds, buckets, len(bounds) + 1, tasks
 
     def of_words(self, keys: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, keys, side="right")
@@ -349,18 +402,22 @@ class _Layout:
         return places * self.blocks // buckets
 
     def places(self, block: int, buckets: int) -> tuple[int, int]:
-        return -(-block * buckets // self.blocks), -(-(block + 1) * buckets // self.blocks)
+        first, after = (min(-(-b * buckets // self.blocks), buckets) for b in (block, block + 1))
+        return first, after
 
 
 def _layout(samples: DataFrame, buckets: list[list[int]]) -> _Layout:
-    """Blocks of about ``BLOCK_TEXT`` characters of text; some texts tell where to cut keys, which changes no model."""
+    """Tasks and blocks of about ``BLOCK_TEXT`` characters of text; some texts tell where to cut keys, which changes no model."""
     cores = samples.sparkSession.sparkContext.defaultParallelism
-    size = samples.agg(F.sum(F.length("text"))).first()[0] or 0
+    size, n = samples.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
     blocks = int(min(max(cores, size // BLOCK_TEXT), BLOCKS_PER_CORE * cores))
-    some = samples.select(F.substring("text", 1, CUT_TEXT).alias("text"), F.xxhash64("text").alias("_hash")).orderBy("_hash").limit(CUT_ROWS)
+    # every task sends its first rows, which are few if most were left out before
+    hashed = samples.select(F.substring("text", 1, CUT_TEXT).alias("text"), F.xxhash64("text").alias("_hash"))
+    share = CUT_SHARE * min(1.0, 4 * CUT_ROWS / max(n, 1))
+    some = hashed.where(F.pmod("_hash", F.lit(CUT_SHARE)) <= int(share)).orderBy("_hash").limit(CUT_ROWS)
     keys = np.sort(text_features([row["text"] for row in some.collect()], 1)[0])  # at most CUT_ROWS cut texts
     at = np.arange(1, blocks) * len(keys) // blocks
-    return _Layout(keys[at] if len(keys) else np.arange(1, blocks, dtype=np.int64), buckets)
+    return _Layout(keys[at] if len(keys) else np.arange(1, blocks, dtype=np.int64), buckets, max(cores, -(-size // BLOCK_TEXT)))
 
 
 _PIECE = "model int, part int, kind int, block int, chunk int, samples binary, data binary"
@@ -377,26 +434,37 @@ def _feature_table(samples: DataFrame, names: list[str], longest: dict[str, int]
 
     def pieces(pending: dict, seen: dict) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId()
-        rows: list[tuple] = []
-        for (model, part), runs in pending.items():
-            labels, *lists = (np.concatenate(x) for x in zip(*runs, strict=True))
-            rows.append((model, part, _LABELS, seen[model, part] - len(labels), chunk, b"", labels.astype("<f4").tobytes()))
-            word_rows, words, gram_rows, grams = lists
-            kinds = [(_WORDS, layout.of_words(words), word_rows, words)]
-            for buckets in layout.buckets[model]:
-                places = grams % buckets
-                kinds.append((buckets, layout.of_places(places, buckets), gram_rows, places))
-            for kind, block, numbers, values in kinds:
-                order = np.argsort(block, kind="stable")
-                cuts = np.searchsorted(block[order], np.arange(layout.blocks + 1))
-                for b in np.flatnonzero(np.diff(cuts)):
-                    pick = order[cuts[b] : cuts[b + 1]]
-                    rows.append((model, part, kind, int(b), chunk, numbers[pick].astype("<i4").tobytes(), values[pick].astype("<i8").tobytes()))
-        pending.clear()
         columns = [field.split()[0] for field in _PIECE.split(", ")]
         types = [pa.int32()] * 5 + [pa.binary()] * 2
-        for at in range(0, len(rows), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 256], strict=True), types, strict=True)], names=columns)
+        some: list[tuple] = []
+        held = 0
+        for row in rows_of(pending, seen, chunk):
+            some.append(row)
+            held += len(row[-2]) + len(row[-1])
+            if held >= ROW_BYTES or len(some) == 256:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), types, strict=True)], names=columns)
+                some, held = [], 0
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), types, strict=True)], names=columns)
+
+    def rows_of(pending: dict, seen: dict, chunk: int) -> Iterator[tuple]:
+        while pending:
+            (model, part), runs = pending.popitem()
+            labels, word_rows, words, gram_rows, grams = (np.concatenate(x) for x in zip(*runs, strict=True))
+            del runs
+            yield model, part, _LABELS, seen[model, part] - len(labels), chunk, b"", labels.astype("<f4").tobytes()
+            yield from cut(model, part, _WORDS, chunk, layout.of_words(words), word_rows, words)
+            for buckets in layout.buckets[model]:
+                places = grams % buckets
+                yield from cut(model, part, buckets, chunk, layout.of_places(places, buckets), gram_rows, places)
+
+    def cut(model: int, part: int, kind: int, chunk: int, block: np.ndarray, numbers: np.ndarray, values: np.ndarray) -> Iterator[tuple]:
+        order = np.argsort(block, kind="stable")
+        cuts = np.searchsorted(block[order], np.arange(layout.blocks + 1))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            for at in range(cuts[b], cuts[b + 1], ROW_FEATURES):
+                pick = order[at : min(at + ROW_FEATURES, cuts[b + 1])]
+                yield model, part, kind, b, chunk, numbers[pick].astype("<i4").tobytes(), values[pick].astype("<i8").tobytes()
 
     def run(batches):
         pending: dict[tuple[int, int], list] = {}
@@ -423,12 +491,19 @@ def _feature_table(samples: DataFrame, names: list[str], longest: dict[str, int]
         yield from pieces(pending, seen)
 
     # texts are dealt evenly, whatever files they came from
-    dealt = samples.repartition(samples.sparkSession.sparkContext.defaultParallelism)
+    dealt = samples.repartition(layout.tasks)
+    few_rows_at_once(samples.sparkSession)
     path = scratch_path(samples.sparkSession, "features")
-    dealt.mapInArrow(run, _PIECE).write.partitionBy("part").parquet(path)
+    dealt.mapInArrow(run, _PIECE).write.partitionBy("part").option("parquet.block.size", SCAN_BYTES).parquet(path)
     return samples.sparkSession.read.parquet(path)
 
 
+def _dealt(rows: DataFrame, make, layout: _Layout) -> RDD:
+    """Elements that ``make`` makes of rows, at their blocks; few rows make a task, which holds all that it deals."""
+    with small_scans(rows.sparkSession, SCAN_BYTES):
+        return rows.rdd.map(make).partitionBy(layout.blocks, _own)
+
+
 def _add_counts(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and their summed counts."""
     keys, at = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
@@ -450,12 +525,20 @@ def _dictionaries(table: DataFrame, layout: _Layout, least: list[int]) -> RDD:
         counted = {m: _add_counts(some) for m, some in found.items()}
         yield "words", {m: (keys[n >= least[m]], n[n >= least[m]]) for m, (keys, n) in counted.items()}
 
-    rows = table.where(F.col("kind") == _WORDS).select("block", "model", "data").rdd.map(lambda r: (r[0], (r[1], bytes(r[2]))))
-    return rows.partitionBy(layout.blocks, _own).mapPartitions(count, True).persist(StorageLevel.DISK_ONLY)
+    rows = table.where(F.col("kind") == _WORDS).select("block", "model", "data")
+    return _dealt(rows, lambda r: (r[0], (r[1], bytes(r[2]))), layout).mapPartitions(count, True).persist(StorageLevel.DISK_ONLY)
 
 
 def _part_features(table: DataFrame, part: int, layout: _Layout, words: RDD, starts: dict[tuple[int, int, int], int]) -> RDD:
-    """The features of a mini-batch beside their blocks: model, kind, numbers of samples, places within the block."""
+    """The features of a mini-batch beside their blocks: model, kind, places of the kind in the block, then runs of features
+    of one sample, by its number and their count, and the place of each."""
+
+    def piece(model, kind, block, dictionary, some):
+        numbers, at = (np.concatenate(x) for x in zip(*some, strict=True))
+        low, high = (0, len(dictionary[model][0])) if kind == _WORDS else layout.places(block, kind)
+        begin = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]]))
+        lengths = np.diff(np.append(begin, len(numbers))).astype(np.int32)
+        return "part", (model, kind, high - low, numbers[begin], lengths, at.astype(np.min_scalar_type(high - low)))
 
     def place(block, elements):
         dictionary: dict = {}
@@ -475,17 +558,19 @@ def _part_features(table: DataFrame, part: int, layout: _Layout, words: RDD, sta
                 numbers, at = numbers[real], at[real]
             else:
                 at = values - layout.places(block, kind)[0]
+            if not len(at):
+                continue
             key = (model, kind)
             held.setdefault(key, []).append((numbers, at.astype(np.int32)))
             sizes[key] = sizes.get(key, 0) + len(at)
             if sizes[key] >= BLOCK:
-                yield "part", (*key, *(np.concatenate(x) for x in zip(*held.pop(key), strict=True)))
+                yield piece(*key, block, dictionary, held.pop(key))
                 del sizes[key]
         for key, some in held.items():
-            yield "part", (*key, *(np.concatenate(x) for x in zip(*some, strict=True)))
+            yield piece(*key, block, dictionary, some)
 
-    rows = table.where((F.col("part") == part) & (F.col("kind") != _LABELS)).select("block", "model", "kind", "chunk", "samples", "data").rdd
-    dealt = rows.map(lambda r: (r[0], (r[1], r[2], r[3], bytes(r[4]), bytes(r[5])))).partitionBy(layout.blocks, _own)
+    rows = table.where((F.col("part") == part) & (F.col("kind") != _LABELS)).select("block", "model", "kind", "chunk", "samples", "data")
+    dealt = _dealt(rows, lambda r: (r[0], (r[1], r[2], r[3], bytes(r[4]), bytes(r[5]))), layout)
     both = words.union(dealt)
     return both.mapPartitionsWithIndex(place, True).persist(StorageLevel.DISK_ONLY)
 
@@ -501,23 +586,28 @@ class _Job:
 
 
 def _start(words: RDD, jobs: list[_Job], layout: _Layout, firsts: np.ndarray) -> RDD:
-    """Per block one element with the start vectors of every job: those of its words, and of its places for n-grams.
+    """Per block the start vectors of every job, those of its words and of its places for n-grams, in pieces.
 
+    A piece has job, kind, the first place within the block, which words the job knows, and vectors.
     ``firsts`` has how many words each job knows before each block.
     """
     plans = [(job.model, job.setting) for job in jobs]
 
     def begin(block, elements):
         [(_, dictionary)] = elements
-        state = []
         for i, (model, s) in enumerate(plans):
+            step = _rows_of_vectors(s.dim)
             counts = dictionary.get(model, (None, np.zeros(0, np.int64)))[1]
-            known = counts >= s.min_count
-            vectors = np.zeros((len(counts), s.dim))
-            vectors[known] = initial_vectors(s.buckets + int(firsts[block][i]), int(known.sum()), s.dim)
+            before = s.buckets + int(firsts[block][i])
+            for at in range(0, len(counts), step):
+                known = counts[at : at + step] >= s.min_count
+                vectors = np.zeros((len(known), s.dim))
+                vectors[known] = initial_vectors(before, int(known.sum()), s.dim)
+                before += int(known.sum())
+                yield "state", (i, _WORDS, at, known, vectors)
             low, high = layout.places(block, s.buckets)
-            state.append((known, vectors, initial_vectors(low, high - low, s.dim)))
-        yield "state", state
+            for at in range(low, high, step):
+                yield "state", (i, s.buckets, at - low, None, initial_vectors(at, min(step, high - at), s.dim))
 
     return words.mapPartitionsWithIndex(begin, True).persist(StorageLevel.DISK_ONLY)
 
@@ -529,26 +619,38 @@ def _sums_of_samples(state: RDD, features: RDD, jobs: dict[int, _Job], sizes: di
 
     def add(elements):
         totals = {i: np.zeros((rows, n)) for i, (_, _, _, n) in weights.items()}
-        margins, known = {}, {}
+        margins: dict[tuple[int, int], list] = {}
+        known: dict[tuple[int, int], list] = {}
+
+        def whole(pieces, key):
+            if len(pieces[key]) > 1:
+                pieces[key] = [np.concatenate(pieces[key])]
+            return pieces[key][0]
+
         for name, value in elements:
             if name == "state":
-                for i, (model, buckets, w, _) in weights.items():
-                    known[i, _WORDS], margins[i, _WORDS] = value[i][0], value[i][1] @ w
-                    margins[i, buckets] = value[i][2] @ w
+                i, kind, _, mask, vectors = value
+                if i in weights:
+                    margins.setdefault((i, kind), []).append(vectors @ weights[i][2])
+                    if counted and mask is not None:
+                        known.setdefault((i, kind), []).append(mask)
                 continue
             if name == "slopes":
                 continue
-            model, kind, numbers, at = value
-            for i, (of, buckets, _, n) in weights.items():
+            model, kind, _, numbers, lengths, at = value
+            begin = np.cumsum(lengths) - lengths
+            for i, (of, buckets, _, _) in weights.items():
                 if of != model or kind not in (_WORDS, buckets):
                     continue
-                totals[i][0] += np.bincount(numbers, margins[i, kind][at], n)
+                np.add.at(totals[i][0], numbers, np.add.reduceat(whole(margins, (i, kind))[at], begin))
                 if counted:
-                    totals[i][1] += np.bincount(numbers, known[i, kind][at] if kind == _WORDS else None, n)
+                    real = np.add.reduceat(whole(known, (i, kind))[at], begin, dtype=np.int64) if kind == _WORDS else lengths
+                    np.add.at(totals[i][1], numbers, real)
         for i, total in totals.items():
             for here in _sliced(total[0]):
                 yield (i, here.start), total[:, here]
 
+    # vectors come before features
     summed = state.union(features).mapPartitions(add).reduceByKey(np.add, state.getNumPartitions())
     found = {i: np.zeros((rows, n)) for i, (_, _, _, n) in weights.items()}
     for (i, first), total in summed.collect():  # a number per sample of one mini-batch
@@ -565,34 +667,29 @@ def _step(state: RDD, features: RDD, moves: dict[int, tuple[int, int, float, np.
 
     def move(elements):
         gradients: dict[tuple[int, int], np.ndarray] = {}
-        current = None
+        slopes: dict[int, np.ndarray] = {}
         for name, value in elements:
-            if name == "state":
-                current = value
-                continue
-            if name == "slopes":
-                continue
-            model, kind, numbers, at = value
-            for i, (of, buckets, _, _, errors) in shared.value.items():
-                if of != model or kind not in (_WORDS, buckets):
-                    continue
-                vectors = current[i][1 if kind == _WORDS else 2]
-                total = gradients.setdefault((i, kind), np.zeros(len(vectors)))
-                total += np.bincount(at, errors[numbers], len(vectors))
-        slopes = {}
-        for (i, kind), c in gradients.items():
-            _, _, rate, output, _ = shared.value[i]
-            known, words, grams = current[i]
-            if kind == _WORDS:
-                c = np.where(known, c, 0.0)
-            vectors = words if kind == _WORDS else grams
-            slopes[i] = slopes.get(i, 0) + c @ vectors
-            moved = vectors - np.outer(rate * c, 2 * output)
-            current[i] = (known, moved, grams) if kind == _WORDS else (known, words, moved)
-        yield "state", current
+            if name == "part":
+                model, kind, size, numbers, lengths, at = value
+                for i, (of, buckets, _, _, errors) in shared.value.items():
+                    if of != model or kind not in (_WORDS, buckets):
+                        continue
+                    total = gradients.setdefault((i, kind), np.zeros(size))
+                    total += np.bincount(at, np.repeat(errors[numbers], lengths), size)
+            elif name == "state":
+                i, kind, first, known, vectors = value
+                if (i, kind) in gradients:
+                    _, _, rate, output, _ = shared.value[i]
+                    c = gradients[i, kind][first : first + len(vectors)]
+                    if kind == _WORDS:
+                        c = np.where(known, c, 0.0)
+                    slopes[i] = slopes.get(i, 0) + c @ vectors
+                    vectors = vectors - np.outer(rate * c, 2 * output)
+                yield "state", (i, kind, first, known, vectors)
         yield "slopes", slopes
 
-    both = state.union(features).mapPartitions(move, True).persist(StorageLevel.DISK_ONLY)
+    # features come before vectors
+    both = features.union(state).mapPartitions(move, True).persist(StorageLevel.DISK_ONLY)
     if cut:
         cut_lineage(both)
     slopes: dict[int, np.ndarray] = {}
@@ -608,23 +705,26 @@ def _stored(state: RDD, words: RDD, jobs: list[_Job], layout: _Layout, firsts: n
     plans = [(job.model, job.setting.buckets) for job in jobs]
 
     def rows(block, elements):
-        found = dict(elements)
-        for i, (model, buckets) in enumerate(plans):
-            known, of_words, of_grams = found["state"][i]
-            keys = found["words"].get(model, (np.zeros(0, np.int64),))[0][known]
-            first = int(firsts[block][i])
-            for part, start, values, kind in (
-                ("words", first, keys, "<i8"),
-                ("vectors", buckets + first, of_words[known], "<f8"),
-                ("vectors", layout.places(block, buckets)[0], of_grams, "<f8"),
-            ):
-                for here in _sliced(values):
-                    yield i, part, start + here.start, values[here].astype(kind).tobytes()
+        dictionary: dict = {}
+        seen = [int(n) for n in firsts[block]]
+        for name, value in elements:
+            if name == "words":
+                dictionary = value
+            elif name == "state":
+                i, kind, at, known, vectors = value
+                model, buckets = plans[i]
+                if kind != _WORDS:
+                    yield i, "vectors", layout.places(block, buckets)[0] + at, vectors.astype("<f8").tobytes()
+                elif known.any():
+                    keys = dictionary[model][0][at : at + len(known)][known]
+                    yield i, "words", seen[i], keys.astype("<i8").tobytes()
+                    yield i, "vectors", buckets + seen[i], vectors[known].astype("<f8").tobytes()
+                    seen[i] += len(keys)
 
     spark = SparkSession.active()
     path = scratch_path(spark, "ngrams-trained")
     table = spark.createDataFrame(words.union(state).mapPartitionsWithIndex(rows), f"job int, {_PARTS}", verifySchema=False)
-    table.write.partitionBy("job").parquet(path)
+    table.write.partitionBy("job").option("parquet.block.size", SCAN_BYTES).parquet(path)
     return path
 
 

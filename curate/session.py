@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 # Rows in a per-group lookup (one narrow row per group) that may still be broadcast.
 MAX_LOOKUP_ROWS = 100_000
 MAX_LOOKUP_BYTES = 32 * 1024 * 1024
+# Rows with whole texts or slices of models that travel between Spark and Python at a time.
+ARROW_ROWS = 1000
 
 
 def local_session(cores: int | str = "*", app: str = "curate", **conf: str) -> SparkSession:
@@ -85,6 +89,25 @@ def _with_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
 
 
+def few_rows_at_once(spark: SparkSession) -> None:
+    """From now on the session hands at most ``ARROW_ROWS`` rows to Python at once; Spark's 10,000 are much where rows are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
+@contextmanager
+def small_scans(spark: SparkSession, size: int) -> Iterator[None]:
+    """Scans that are planned inside read at most ``size`` bytes of a file per task."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def join_null_safe(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a null key matches a null key, so that no group is lost."""
     names = {column: f"_on_{column}" for column in on}

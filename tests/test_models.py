@@ -1,12 +1,13 @@
 import numpy as np
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from curate.models import mlp as M
 from curate.models import ngram as G
 from curate.models.ngram import NgramClassifier, Setting, ngram_metrics, train_ngram, train_ngrams
 from curate.operators.sampling import hash_order
-from curate.session import scratch_path
+from curate.session import scratch_path, small_scans
 
 
 @pytest.fixture(scope="module")
@@ -262,3 +263,48 @@ def test_words_and_margins_of_a_stored_model_do_not_pass_the_driver(spark, monke
     again = samples.select("text", G.score_with(samples, arrays)(F.col("text")).alias("p")).collect()
     assert np.allclose([r["p"] for r in found], [r["p"] for r in again], atol=1e-12) and len(found) == 201
     assert [m.n_words for m in both] == [len(m.words) for m in arrays] == [m.n_words for m in arrays]
+
+
+def test_rows_of_features_and_of_models_are_short(spark, monkeypatch):
+    samples = spark.createDataFrame([*sentences(60), ("x", "positive", "same " * 50_000)], "lang string, label string, text string")
+    rows = samples.select(F.lit(0).alias("model"), F.lit(0).alias("part"), F.lit(1).alias("label"), "text")
+    layout = G._layout(rows, [[64]])
+    table = G._feature_table(rows, ["None"], {"None": 2}, 1, layout)
+    # 50,000 features of one word go to one block, in several rows
+    found = {r["kind"]: r for r in table.groupBy("kind").agg(F.max(F.length("data")).alias("most"), F.sum(F.length("data")).alias("all")).collect()}
+    assert max(r["most"] for r in found.values()) <= 8 * G.ROW_FEATURES
+    assert found[G._WORDS]["all"] == 8 * sum(len(plain_features(r["text"], 1)[0]) for r in samples.collect())
+    settings = [Setting(epochs=2), Setting(epochs=1, buckets=7, min_count=30)]
+    one = G.fit_all(samples, {None: settings}, rounds=2)[None]
+    assert one[0].slices().agg(F.max(F.length("data"))).first()[0] <= G.BLOCK
+    # features of a sample that are cut apart count once each
+    monkeypatch.setattr(G, "ROW_FEATURES", 3)
+    monkeypatch.setattr(G, "BLOCK", 64)
+    short = samples.where(F.length("text") < 1000)
+    cut = G.fit_all(short, {None: settings}, rounds=2)[None]
+    monkeypatch.undo()
+    for a, b in zip(cut, G.fit_all(short, {None: settings}, rounds=2)[None], strict=True):
+        assert np.allclose(a.vectors, b.vectors, atol=1e-12) and (a.words == b.words).all() and np.allclose(a.output, b.output, atol=1e-12)
+
+
+def test_scans_are_small_only_where_asked_for(spark, tmp_path):
+    path = f"file://{tmp_path}/rows"
+    spark.range(200_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).coalesce(1).write.option("parquet.block.size", 1 << 20).parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    with small_scans(spark, 1 << 20):
+        small = spark.read.parquet(path).rdd
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert small.getNumPartitions() >= 8 and small.count() == 200_000
+
+
+def test_scoring_maps_files_of_a_stored_model(spark, tmp_path):
+    samples = spark.createDataFrame(sentences(100), "lang string, label string, text string")
+    model, none = G.fit_all(samples, {None: [Setting(epochs=2, buckets=64), Setting(epochs=1, buckets=7, min_count=10_000)]}, rounds=2)[None]
+    folders = [model.for_scoring(), none.for_scoring()]
+    for m, (words, margins) in zip((model, none), G._held_for_scoring(folders), strict=True):
+        assert all(isinstance(x.base, np.memmap) for x in (words, margins) if len(x))
+        assert (words == m.words).all() and np.allclose(margins, m.vectors @ (2 * m.output), atol=1e-15) and len(margins) == m.setting.buckets + len(words)
+    # a file system that isn't the machine's own: the same from a copy
+    folder = folders[0].removeprefix("file://")
+    elsewhere = fs.SubTreeFileSystem(folder, fs.LocalFileSystem())
+    assert (G._mapped(elsewhere, "words", "<i8") == model.words).all()
