@@ -194,10 +194,9 @@ SELECT 'vector', place, j::INT, round(v - {_STEPS.rate / 2} * coalesce(c, 0) * 2
 @query(_TWO_STEPS)
 def ngram_two_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every weight after two steps over all labelled documents, from the start weights."""
-    [model] = fit_all(labelled_documents(spark, sf_dir), {None: [_STEPS]}, rounds=1)[None]
-    found = [("output", 0, j, float(w)) for j, w in enumerate(model.output)]
-    found += [("vector", i, j, float(w)) for i, row in enumerate(model.vectors) for j, w in enumerate(row)]
-    return spark.createDataFrame(found, "part string, place long, j int, weight double").withColumn("weight", F.round("weight", 6))
+    samples = settle(labelled_documents(spark, sf_dir).select("label", "text"))
+    [model] = fit_all(samples, {None: [_STEPS]}, rounds=1)[None]
+    return model.weights().withColumn("weight", F.round("weight", 6))
 
 
 # A model with given weights: a few words, and places for n-grams.

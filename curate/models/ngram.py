@@ -229,6 +229,23 @@ class NgramClassifier:
             self._folder = path
         return self._folder
 
+    def weights(self) -> DataFrame:
+        """Every weight, unfolded on executors: rows (part, place, j, weight) of the output weights and of all vectors."""
+        spark, dim = SparkSession.active(), self.setting.dim
+        few_rows_at_once(spark)
+
+        def run(batches):
+            for batch in batches:
+                for at, data in zip(batch.column("at").to_pylist(), batch.column("data"), strict=True):
+                    values = np.frombuffer(data.as_buffer(), "<f8")
+                    n = len(values) // dim
+                    columns = (np.repeat(np.arange(at, at + n), dim), np.tile(np.arange(dim, dtype=np.int32), n), values)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["place", "j", "weight"])
+
+        vectors = self.slices().where("part = 'vectors'").mapInArrow(run, "place long, j int, weight double")
+        output = spark.createDataFrame([("output", 0, j, float(w)) for j, w in enumerate(self.output)], "part string, place long, j int, weight double")
+        return output.unionByName(vectors.withColumn("part", F.lit("vector")))
+
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Add ``scores``, the probability of each label; one column function, no shuffle.
 

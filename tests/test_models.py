@@ -3,6 +3,7 @@ import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
 
+from catalog import training
 from curate.models import mlp as M
 from curate.models import ngram as G
 from curate.models.ngram import NgramClassifier, Setting, ngram_metrics, train_ngram, train_ngrams
@@ -308,3 +309,18 @@ def test_scoring_maps_files_of_a_stored_model(spark, tmp_path):
     folder = folders[0].removeprefix("file://")
     elsewhere = fs.SubTreeFileSystem(folder, fs.LocalFileSystem())
     assert (G._mapped(elsewhere, "words", "<i8") == model.words).all()
+
+
+def test_weights_of_all_places_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    rows = [(i, *row) for i, row in enumerate(sentences(200))]
+    spark.createDataFrame(rows, "doc_id long, lang string, label string, text string").drop("label").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(row[1] == "positive")) for i, *row in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    collected = property(lambda self: pytest.fail("vectors were collected"))
+    monkeypatch.setattr(NgramClassifier, "vectors", collected)
+    found = training.ngram_two_steps(spark, str(tmp_path))
+    monkeypatch.undo()
+    samples = spark.createDataFrame(rows, "doc_id long, lang string, label string, text string").select("label", "text")
+    [model] = G.fit_all(samples, {None: [training._STEPS]}, rounds=1)[None]
+    want = {("output", 0, j): w for j, w in enumerate(model.output)} | {("vector", *at): w for at, w in np.ndenumerate(model.vectors)}
+    got = {(r["part"], r["place"], r["j"]): r["weight"] for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want) and len(model.words) > 3
