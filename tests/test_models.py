@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 import pytest
 from pyarrow import fs
@@ -181,7 +183,7 @@ def test_a_model_is_the_same_beside_others(spark, monkeypatch):
 
 def jobs_of(spark, run):
     """How many Spark jobs a function starts."""
-    group = f"jobs-{id(run)}"
+    group = f"jobs-{uuid.uuid4().hex}"  # an id would be that of the function before, which is gone, and its jobs would count again
     spark.sparkContext.setJobGroup(group, group)
     run()
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
